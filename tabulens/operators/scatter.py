@@ -9,7 +9,7 @@ from tabulens.functions.columns import as_double, dtype_of, is_numeric, present,
 from tabulens.functions.hashing import row_order, sample_n
 from tabulens.functions.moments import clean_round, ratio
 from tabulens.functions.tails import t_p
-from tabulens.operators.engineer import label_encode
+from tabulens.operators.engineer import attach_code, label_classes
 
 # Allowed and default numbers of points.
 POINTS_ALLOWED = (10, 5000)
@@ -21,7 +21,8 @@ def _as_numbers(df: DataFrame, cols: list[str], extra: list[str]) -> DataFrame:
     out = df.select(*[ref(c) for c in dict.fromkeys([*cols, *extra])])
     for c in cols:
         if not is_numeric(dtype_of(df, c)):
-            out = label_encode(out.where(present(out, c).isNotNull()), c, f"_n_{c}")
+            classes = label_classes(df.where(present(df, c).isNotNull()), c)
+            out = attach_code(out, c, classes, f"_n_{c}")  # a missing value finds no class
         else:
             out = out.withColumn(f"_n_{c}", as_double(df, c))
     return out

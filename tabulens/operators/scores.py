@@ -81,15 +81,21 @@ def score_mutual_info(
         .groupBy("column", "_bx", "_by")
         .agg(F.count("*").alias("n"))
     )
-    nx = F.sum("n").over(Window.partitionBy("column", "_bx"))
-    ny = F.sum("n").over(Window.partitionBy("column", "_by"))
-    total = prepared.agg(F.count("*").alias("total"))
-    shares = cells.select("column", "n", nx.alias("nx"), ny.alias("ny")).crossJoin(
-        F.broadcast(total)  # a single row
+    # T * MI = sum n ln n - sum nx ln nx - sum ny ln ny + T ln T, so no join back is needed
+    size = lambda c: F.col(c).cast("double") * F.log(F.col(c).cast("double"))
+    both = cells.groupBy("column").agg(F.sum(size("n")).alias("part"), F.sum("n").alias("t"))
+    sides = [
+        cells.groupBy("column", side)
+        .agg(F.sum("n").alias("m"))
+        .groupBy("column")
+        .agg((-F.sum(size("m"))).alias("part"), F.lit(0).cast("bigint").alias("t"))
+        for side in ("_bx", "_by")
+    ]
+    total = union_all([both, *sides]).groupBy("column").agg(
+        F.sum("part").alias("part"), F.sum("t").cast("double").alias("t")
     )
-    n, t = F.col("n").cast("double"), F.col("total").cast("double")
-    gain = n / t * F.log(n * t / (F.col("nx").cast("double") * F.col("ny").cast("double")))
-    return shares.groupBy("column").agg(F.greatest(F.sum(gain), F.lit(0.0)).alias("score"))
+    info = ratio(F.col("part"), F.col("t")) + F.log("t")
+    return total.select("column", F.greatest(info, F.lit(0.0)).alias("score"))
 
 
 def class_moments(prepared: DataFrame, target: str) -> DataFrame:
@@ -115,36 +121,39 @@ def class_moments(prepared: DataFrame, target: str) -> DataFrame:
 
 def score_anova_f(prepared: DataFrame, target: str) -> DataFrame:
     """Between-class over within-class variance, 0 where it is undefined."""
-    m = class_moments(prepared, target)
-    n = F.col("n").cast("double")
-    sums = m.groupBy("column").agg(
-        F.sum(n).alias("n"),
+    m = class_moments(prepared, target).withColumn("n", F.col("n").cast("double"))
+    whole = m.groupBy("column").agg(  # one row per feature
+        F.sum("n").alias("all"),
         F.count("*").cast("double").alias("k"),
-        F.sum(n * F.col("mean")).alias("s"),
-        F.sum(n * F.col("var")).alias("within"),
-        F.collect_list(F.struct("n", "mean")).alias("classes"),
+        ratio(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("grand"),
+    )
+    gap = F.col("mean") - F.col("grand")
+    sums = (
+        m.join(F.broadcast(whole), "column")
+        .groupBy("column", "all", "k")
+        .agg(F.sum(F.col("n") * gap * gap).alias("between"), F.sum(F.col("n") * F.col("var")).alias("within"))
     )
-    grand = ratio(F.col("s"), F.col("n"))
-    between = F.aggregate(
-        "classes",
-        F.lit(0.0),
-        lambda acc, c: acc + c["n"].cast("double") * F.pow(c["mean"] - grand, F.lit(2.0)),
+    f = ratio(
+        ratio(F.col("between"), F.col("k") - 1), ratio(F.col("within"), F.col("all") - F.col("k"))
     )
-    f = ratio(ratio(between, F.col("k") - 1), ratio(F.col("within"), F.col("n") - F.col("k")))
     return sums.select("column", F.coalesce(f, F.lit(0.0)).alias("score"))
 
 
 def score_chi2(prepared: DataFrame, target: str) -> DataFrame:
     """Per class, the sum of the feature (shifted to be non-negative) against its share of rows."""
-    m = class_moments(prepared, target)
-    whole = Window.partitionBy("column")
-    shift = F.least(F.min("low").over(whole), F.lit(0.0))
+    m = class_moments(prepared, target).withColumn("n", F.col("n").cast("double"))
+    whole = m.groupBy("column").agg(  # one row per feature
+        F.sum("n").alias("all"),
+        F.sum("total").alias("sum"),
+        F.least(F.min("low"), F.lit(0.0)).alias("shift"),
+    )
+    m = m.join(F.broadcast(whole), "column")
     observed = F.col("total") - F.col("n") * F.col("shift")
-    m = m.withColumn("shift", shift).select("column", "n", observed.alias("o"))
-    m = m.withColumn("all", F.sum("o").over(whole)).withColumn("rows", F.sum("n").over(whole))
-    expected = ratio(F.col("n"), F.col("rows")) * F.col("all")
-    term = ratio(F.pow(F.col("o") - expected, F.lit(2.0)), expected)
-    return m.groupBy("column").agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("score"))
+    expected = ratio(F.col("n"), F.col("all")) * (F.col("sum") - F.col("all") * F.col("shift"))
+    gap = observed - expected
+    return m.groupBy("column").agg(
+        F.coalesce(F.sum(ratio(gap * gap, expected)), F.lit(0.0)).alias("score")
+    )
 
 
 def score_rf_importance(

@@ -184,64 +184,71 @@ def skew_severity(profile: DataFrame) -> DataFrame:
     )
 
 
+def _long_doubles(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, x): every numeric value under its column's name, in the scanning task."""
+    return df.select(*[as_double(df, c).alias(c) for c in cols]).unpivot(
+        [], [ref(c) for c in cols], "column", "x"
+    )
+
+
 def profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Moments and quartiles of all numeric columns: exact percentiles, then one aggregation."""
+    """Moments and quartiles of all numeric columns: exact percentiles, then one aggregation.
+
+    The aggregation runs over the long form, so its compiled code does not grow with the
+    number of columns, and each task sends one row per column.
+    """
     cols = cols or numeric_columns(df)
-    numbers = [c for c in cols if is_number(dtype_of(df, c))]
     quart = percentiles(df, cols, [0.25, 0.5, 0.75])
-    rows = []
-    for c in cols:
-        x = as_double(df, c)
-        full = c in numbers  # a boolean has no range, spread or quartiles, but has the rest
-        q25, q50, q75 = (F.lit(v).cast("double") for v in quart[c])
-        none = F.lit(None).cast("double")
-        rows.append(
-            {
-                "column": F.lit(c),
-                "count": F.count(x),
-                "sum": clean_round(F.coalesce(F.sum(x), F.lit(0.0))),
-                "min": clean_round(F.min(x)) if full else none,
-                "max": clean_round(F.max(x)) if full else none,
-                "mean": clean_round(F.avg(x)) if full else none,
-                "std": clean_round(F.stddev_samp(x)) if full else none,
-                "median": clean_round(q50),
-                "q25": clean_round(q25) if full else none,
-                "q75": clean_round(q75) if full else none,
-                "skewness": clean_round(skew_g1(x)),
-                "kurtosis": clean_round(kurt_g2(x)),
-                "suggested_transform": suggested_transform(clean_round(skew_g1(x)), F.min(x)),
-            }
+    facts = df.sparkSession.createDataFrame(
+        [(i, c, is_number(dtype_of(df, c)), *quart[c]) for i, c in enumerate(cols)],
+        "position int, column string, is_number boolean, q25 double, median double, q75 double",
+    )
+    x = F.col("x")
+    sums = _long_doubles(df, cols).groupBy("column").agg(
+        F.count(x).alias("count"),
+        clean_round(F.coalesce(F.sum(x), F.lit(0.0))).alias("sum"),
+        F.min(x).alias("low"),
+        clean_round(F.max(x)).alias("max"),
+        clean_round(F.avg(x)).alias("mean"),
+        clean_round(F.stddev_samp(x)).alias("std"),
+        clean_round(skew_g1(x)).alias("skewness"),
+        clean_round(kurt_g2(x)).alias("kurtosis"),
+    )
+    full = lambda c: F.when(F.col("is_number"), F.col(c)).alias(c)
+    return (
+        F.broadcast(facts)
+        .join(sums, "column", "left")
+        .withColumn("min", clean_round(F.col("low")))
+        .select(
+            "column",
+            F.coalesce("count", F.lit(0)).alias("count"),
+            "sum",
+            # a boolean has no range, spread or quartiles, but has the rest
+            *[full(c) for c in ("min", "max", "mean", "std")],
+            clean_round(F.col("median")).alias("median"),
+            *[F.when(F.col("is_number"), clean_round(F.col(c))).alias(c) for c in ("q25", "q75")],
+            "skewness",
+            "kurtosis",
+            suggested_transform(F.col("skewness"), F.col("low")).alias("suggested_transform"),
         )
-    return rows_of(df, rows)
+    )
 
 
 def shape_statistics(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, skewness, kurtosis) alone."""
-    return rows_of(
-        df,
-        [
-            {
-                "column": F.lit(c),
-                "skewness": clean_round(skew_g1(as_double(df, c))),
-                "kurtosis": clean_round(kurt_g2(as_double(df, c))),
-            }
-            for c in cols
-        ],
+    x = F.col("x")
+    return _long_doubles(df, cols).groupBy("column").agg(
+        clean_round(skew_g1(x)).alias("skewness"), clean_round(kurt_g2(x)).alias("kurtosis")
     )
 
 
 def transform_suggestions(df: DataFrame, cols: list[str]) -> DataFrame:
-    return rows_of(
-        df,
-        [
-            {
-                "column": F.lit(c),
-                "suggested_transform": suggested_transform(
-                    clean_round(skew_g1(as_double(df, c))), F.min(as_double(df, c))
-                ),
-            }
-            for c in cols
-        ],
+    x = F.col("x")
+    found = _long_doubles(df, cols).groupBy("column").agg(
+        clean_round(skew_g1(x)).alias("skewness"), F.min(x).alias("low")
+    )
+    return found.select(
+        "column", suggested_transform(F.col("skewness"), F.col("low")).alias("suggested_transform")
     )
 
 

@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import as_double, ref
-from tabulens.functions.moments import pearson  # noqa: F401  (re-exported for callers)
 from tabulens.session import settle
 
 ACCURACY = 10000  # of the quantile sketch
@@ -78,6 +77,14 @@ def _within(x: Column, lo, hi) -> Column:
     return cond & x.isNotNull()
 
 
+def _stacked(doubles: DataFrame, exprs: list[Column], name: str) -> DataFrame:
+    """(i, value) for every expression that is not NULL in a row, i its position."""
+    names = [str(i) for i in range(len(exprs))]
+    wide = doubles.select(*[e.alias(n) for e, n in zip(exprs, names)])
+    long = wide.unpivot([], [ref(n) for n in names], "i", name).where(ref(name).isNotNull())
+    return long.select(F.col("i").cast("int").alias("i"), name)
+
+
 def _cut(lo, hi, approx: list[float]) -> list[float]:
     """New inner bounds from sketch values: each value and the next double after it."""
     found = set()
@@ -115,19 +122,12 @@ def order_statistics(
         else:
             approx = _probe(doubles, wanted, large, accuracy)
         cuts = {key: _cut(key[1], key[2], approx[key]) for key in large}
-        cells = []
-        for i, (c, lo, hi) in enumerate(large):
-            x = ref(c)
-            cell = F.when(_within(x, lo, hi), _bucket(x, cuts[(c, lo, hi)]))
-            cells.append(F.struct(F.lit(i).alias("i"), cell.alias("cell")))
-        counts = (
-            doubles.select(F.explode(F.array(*cells)).alias("s"))
-            .select("s.*")
-            .where("cell is not null")
-            .groupBy("i", "cell")
-            .count()
-            .collect()
-        )  # at most (intervals x bounds) rows, both fixed by the request
+        cells = [
+            F.when(_within(ref(c), lo, hi), _bucket(ref(c), cuts[(c, lo, hi)]))
+            for c, lo, hi in large
+        ]
+        # at most (intervals x bounds) rows, both fixed by the request
+        counts = _stacked(doubles, cells, "cell").groupBy("i", "cell").count().collect()
         todo = {}
         for i, (key, (before, _)) in enumerate(large.items()):
             c, lo, hi = key
@@ -153,18 +153,11 @@ def _pick(doubles: DataFrame, wanted: dict, small: dict, found: dict) -> dict:
     """Sort the values of the small intervals (each at most SORT_LIMIT rows) and read the ranks."""
     cells = []
     targets = []
-    for i, ((c, lo, hi), (before, n)) in enumerate(small.items()):
-        value = F.when(_within(ref(c), lo, hi), ref(c))
-        cells.append(F.struct(F.lit(i).alias("i"), value.alias("value")))
+    for (c, lo, hi), (before, n) in small.items():
+        cells.append(F.when(_within(ref(c), lo, hi), ref(c)))
         ks = [k - before for k in wanted[c] if before <= k < before + n]
         targets.append(F.array(*[F.lit(k).cast("bigint") for k in ks]))
-    counts = (
-        doubles.select(F.explode(F.array(*cells)).alias("s"))
-        .select("s.*")
-        .where("value is not null")
-        .groupBy("i", "value")
-        .count()
-    )
+    counts = _stacked(doubles, cells, "value").groupBy("i", "value").count()
     w = Window.partitionBy("i").orderBy("value")
     upto = F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumn("upto", upto).withColumn(

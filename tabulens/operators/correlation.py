@@ -19,8 +19,8 @@ from tabulens.functions.columns import (
     union_all,
 )
 from tabulens.functions.moments import pearson, ratio
-from tabulens.operators.engineer import attach_code, label_classes
-from tabulens.operators.ranks import avg_rank, lookup, medians, running_totals
+from tabulens.operators.engineer import attach_codes, label_tables
+from tabulens.operators.ranks import attach_values, avg_rank, medians, value_ranks
 
 RANK_BUCKET_BITS = 16  # a window task of the Kendall count sees at most 2**16 distinct ranks
 PRODUCTS_PER_PASS = 300  # pair products in one aggregation; wider frames take more passes
@@ -29,21 +29,28 @@ PRODUCTS_PER_PASS = 300  # pair products in one aggregation; wider frames take m
 def encode_and_fill(df: DataFrame, cols: list[str]) -> DataFrame:
     """The named columns as doubles: text by its label code, numbers with missing values at the median."""
     numeric = [c for c in cols if is_numeric(dtype_of(df, c))]
-    mids = medians(df, numeric)
+    texts = [c for c in cols if c not in numeric]
+    mids = medians(df, with_gaps(df, numeric))
     out = df.select(*[ref(c) for c in cols])
-    for c in cols:
-        if c not in numeric:
-            out = attach_code(out, c, label_classes(df, c), f"_code_{c}")
-    return out.select(
-        *[
-            (
-                F.coalesce(as_double(df, c), F.lit(mids[c]).cast("double"))
-                if c in numeric
-                else ref(f"_code_{c}").cast("double")
-            ).alias(c)
-            for c in cols
-        ]
-    )
+    if texts:
+        table, facts = label_tables(df, texts)
+        out = attach_codes(out, texts, table, facts, {c: f"_code_{c}" for c in texts})
+
+    def value(c: str) -> Column:
+        if c in texts:
+            return ref(f"_code_{c}").cast("double")
+        x = as_double(df, c)
+        return F.coalesce(x, F.lit(mids[c]).cast("double")) if c in mids else x
+
+    return out.select(*[value(c).alias(c) for c in cols])
+
+
+def with_gaps(df: DataFrame, cols: list[str]) -> list[str]:
+    """Those of ``cols`` that miss a value somewhere; only they need a median."""
+    if not cols:
+        return []
+    row = df.agg(*[F.max(as_double(df, c).isNull()).alias(c) for c in cols]).first()
+    return [c for c in cols if row[c]]
 
 
 def prepare_features(df: DataFrame, target: str) -> DataFrame:
@@ -78,9 +85,7 @@ def corr_pearson_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFra
 
 def with_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
     """Replace each column by its average-tie rank."""
-    out = df
-    for c in cols:
-        out = avg_rank(out, c, f"_rank_{c}")
+    out = avg_rank(df, cols, {c: f"_rank_{c}" for c in cols})
     return out.select(
         *[ref(f"_rank_{c}").alias(c) if c in cols else ref(c) for c in df.columns]
     )
@@ -94,15 +99,15 @@ def corr_spearman_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFr
 
 def _dense(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, int], dict[str, float]]:
     """Columns as dense ranks, with the number of distinct values and of tied pairs per column."""
-    out, sizes, tied = df, {}, {}
-    for c in cols:
-        counts = df.groupBy(ref(c).alias("value")).agg(F.count("*").alias("n"))
-        table = running_totals(counts, [F.col("value")], {}, number="rank")
-        n = F.col("n").cast("double")
-        facts = table.agg(F.count("*").alias("d"), F.sum(n * (n - 1) / 2).alias("t")).first()
-        sizes[c], tied[c] = facts["d"], facts["t"]
-        out = lookup(out, ref(c), table, "value", "rank", f"_dense_{c}", "n")
-    return out.select(*[ref(f"_dense_{c}").alias(c) for c in cols]), sizes, tied
+    table, facts = value_ranks(df, cols, dense="dense")
+    n = F.col("n").cast("double")
+    tied = {
+        r["column"]: r["t"]
+        for r in table.groupBy("column").agg(F.sum(n * (n - 1) / 2).alias("t")).collect()
+    }
+    out = attach_values(df, cols, table, facts, "dense", {c: f"_dense_{c}" for c in cols})
+    ranks = out.select(*[ref(f"_dense_{c}").alias(c) for c in cols])
+    return ranks, {c: facts[c]["n"] for c in cols}, tied
 
 
 def _order_counts(pairs: DataFrame, levels: int, many: bool) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.columns import as_double, dtype_of, is_numeric, present, ref
 from tabulens.functions.moments import ratio
-from tabulens.operators.ranks import lookup, medians, percentiles, running_totals
+from tabulens.operators.ranks import lookup, medians, ordered_values, percentiles
 
 # Signs in default names, the label of a missing category, default limits.
 SIGNS = {"add": "+", "subtract": "−", "multiply": "×", "divide": "÷"}
@@ -226,18 +226,39 @@ def label_text(df: DataFrame, name: str) -> Column:
     return F.coalesce(present(df, name).cast("string"), F.lit(MISSING_LABEL))
 
 
+def label_tables(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
+    """(column, class, code, n) for the categories of all ``cols``, in one pass, and their sizes."""
+    long = df.select(*[label_text(df, c).alias(c) for c in cols]).unpivot(
+        [], [ref(c) for c in cols], "column", "class"
+    )
+    counts = long.groupBy("column", "class").agg(F.count("*").alias("n"))
+    table, facts = ordered_values(counts, "class", dense="code")
+    return table.select("column", "class", "code", "n"), facts
+
+
 def label_classes(df: DataFrame, name: str) -> DataFrame:
     """(class, code, n): every category in sorted order with its code and row count."""
-    counts = df.select(label_text(df, name).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
-    return running_totals(counts, [F.col("class")], {}, number="code").select("class", "code", "n")
+    return label_tables(df, [name])[0].select("class", "code", "n")
 
 
-def attach_code(df: DataFrame, name: str, classes: DataFrame, new: str) -> DataFrame:
-    return lookup(df, label_text(df, name), classes, "class", "code", new, "n")
+def attach_code(
+    df: DataFrame, name: str, classes: DataFrame, new: str, facts: dict | None = None
+) -> DataFrame:
+    return lookup(df, label_text(df, name), classes, "class", "code", new, "n", facts)
+
+
+def attach_codes(
+    df: DataFrame, cols: list[str], table: DataFrame, facts: dict, new: dict[str, str]
+) -> DataFrame:
+    out = df
+    for c in cols:
+        out = attach_code(out, c, table.where(F.col("column") == c), new[c], facts.get(c))
+    return out
 
 
 def label_encode(df: DataFrame, name: str, new: str | None = None) -> DataFrame:
-    return attach_code(df, name, label_classes(df, name), new or f"{name}_code")
+    table, facts = label_tables(df, [name])
+    return attach_codes(df, [name], table, facts, {name: new or f"{name}_code"})
 
 
 def label_decode(df: DataFrame, code: str, classes: DataFrame, new: str | None = None) -> DataFrame:

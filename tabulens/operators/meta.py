@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulens.functions.columns import as_double, dtype_of, is_numeric, ref, require_columns, rows_of, union_all
-from tabulens.functions.moments import clean_round  # noqa: F401
-from tabulens.operators.engineer import attach_code, coerced, label_classes, label_text
+from tabulens.operators.engineer import attach_code, coerced, label_tables, label_text
 from tabulens.operators.ranks import medians
-from tabulens.session import settle
 
 
 @dataclass
@@ -30,6 +28,7 @@ class Meta:
     texts: list[str] = field(default_factory=list)
     target_is_text: bool = False
     target_median: float | None = None
+    sizes: dict = field(default_factory=dict)  # of each column's part of ``classes``
 
     def classes_of(self, name: str) -> DataFrame:
         return self.classes.where(F.col("column") == name).select("class", "code", "n")
@@ -65,16 +64,13 @@ def fit_meta(df: DataFrame, target: str | None, cols: list[str]) -> Meta:
         )
         numbers = {r["c"]: (mids[r["c"]], r["lo"], r["hi"]) for r in facts.collect()}
     coded = [*texts, *([target] if target_text else [])]
-    classes = None
-    if coded:
-        classes = settle(
-            union_all([label_classes(df, c).select(F.lit(c).alias("column"), "class", "code", "n") for c in coded])
-        )
+    classes, sizes = label_tables(df, coded) if coded else (None, {})
     return Meta(
         features=list(cols),
         target=target,
         numbers=numbers,
         classes=classes,
+        sizes=sizes,
         texts=texts,
         target_is_text=target_text,
         target_median=mids.get(target) if plus else None,
@@ -103,7 +99,7 @@ def apply_meta(df: DataFrame, meta: Meta, with_target: bool = False, keep: list[
     for c in meta.texts:
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast(T.StringType()))
-        out = attach_code(out, c, meta.classes_of(c), f"_code_{c}")
+        out = attach_code(out, c, meta.classes_of(c), f"_code_{c}", meta.sizes.get(c))
     exprs = []
     for c in meta.features:
         if c in meta.texts:
@@ -114,7 +110,9 @@ def apply_meta(df: DataFrame, meta: Meta, with_target: bool = False, keep: list[
         exprs.append(e.alias(c))
     if with_target:
         if meta.target_is_text:
-            out = attach_code(out, meta.target, meta.classes_of(meta.target), "_label")
+            out = attach_code(
+                out, meta.target, meta.classes_of(meta.target), "_label", meta.sizes.get(meta.target)
+            )
             label = F.coalesce(F.col("_label"), F.lit(0)).cast("double")
         else:
             mid = meta.target_median

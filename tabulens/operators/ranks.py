@@ -270,24 +270,21 @@ def running_totals(
 
 def lookup(
     df: DataFrame, key: Column, table: DataFrame, table_key: str, value: str, new: str,
-    weight: str | None = None,
+    weight: str | None = None, facts: dict | None = None,
 ) -> DataFrame:
     """Left-join ``table`` (one row per ``table_key``) and add its ``value`` as ``new``.
 
     A table within the size bound is broadcast. A larger one is shuffled; rows of the
     at most HOT_SHARE keys above the hot share (known from the ``weight`` column of
     counts) are answered from a small broadcast table and are spread over salts.
+    ``facts`` gives the table's size (see ``table_facts``) where it is already known.
     """
     table = table.select(
         ref(table_key).alias("_k"),
         ref(value).alias("_v"),
         (ref(weight) if weight else F.lit(0)).cast("bigint").alias("_w"),
     )
-    size = table.agg(
-        F.count("*").alias("n"),
-        F.sum(F.octet_length(F.col("_k").cast("string"))).alias("b"),
-        F.sum("_w").alias("w"),
-    ).first()
+    size = facts or table_facts(table, "_k", "_w")
     left = df.withColumn("_key", key)
     if size["n"] <= BROADCAST_ROWS and (size["b"] or 0) <= BROADCAST_BYTES:
         out = left.join(F.broadcast(table), F.col("_key") == F.col("_k"), "left")
@@ -310,19 +307,52 @@ def lookup(
     return out.select(*[ref(c) for c in df.columns], F.coalesce("_hv", "_v").alias(new))
 
 
-def value_ranks(df: DataFrame, name: str) -> DataFrame:
-    """One row per distinct value: how often it occurs and its average-tie rank."""
-    counts = (
-        df.select(as_double(df, name).alias("value"))
-        .where("value is not null")
-        .groupBy("value")
-        .agg(F.count("*").alias("n"))
+def table_facts(table: DataFrame, key: str, weight: str | None = None, by: str | None = None) -> dict:
+    """Rows, key bytes and total weight of a lookup table, or of each ``by`` part of it."""
+    row = F.struct(
+        F.count("*").alias("n"),
+        F.coalesce(F.sum(F.octet_length(ref(key).cast("string"))), F.lit(0)).alias("b"),
+        F.coalesce(F.sum(ref(weight)) if weight else F.lit(0), F.lit(0)).cast("bigint").alias("w"),
     )
-    ranked = running_totals(counts, [F.col("value")], {"before": "n"})
-    return ranked.withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
+    if by is None:
+        return table.agg(row.alias("f")).first()["f"].asDict()
+    return {r[0]: r[1].asDict() for r in table.groupBy(by).agg(row.alias("f")).collect()}
+
+
+def ordered_values(counts: DataFrame, value: str, dense: str | None = None) -> tuple[DataFrame, dict]:
+    """Number the (column, value, n) counts of several columns at once, and say how large each is.
+
+    Adds the rows before each value (``before``), its average-tie ``rank`` and, under the
+    name ``dense``, its 0-based position. The result is written once.
+    """
+    ranked = running_totals(counts, [ref(value)], {"before": "n"}, by=["column"], number=dense)
+    table = settle(ranked.withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0))
+    return table, table_facts(table, value, "n", by="column")
+
+
+def value_ranks(df: DataFrame, cols: list[str], dense: str | None = None) -> tuple[DataFrame, dict]:
+    """(column, value, n, before, rank) for the distinct values of all numeric ``cols``."""
+    long = df.select(*[as_double(df, c).alias(c) for c in cols]).unpivot(
+        [], [ref(c) for c in cols], "column", "value"
+    )
+    counts = long.where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    return ordered_values(counts, "value", dense)
+
+
+def attach_values(
+    df: DataFrame, cols: list[str], table: DataFrame, facts: dict, value: str, new: dict[str, str]
+) -> DataFrame:
+    """Add one column of a ``value_ranks`` table per name in ``cols``."""
+    none = {"n": 0, "b": 0, "w": 0}
+    out = df
+    for c in cols:
+        part = table.where(F.col("column") == c)
+        out = lookup(out, as_double(df, c), part, "value", value, new[c], "n", facts.get(c, none))
+    return out
 
 
-def avg_rank(df: DataFrame, name: str, new: str | None = None) -> DataFrame:
-    """Add the average-tie rank of a numeric column; missing values stay missing."""
-    ranks = value_ranks(df, name)
-    return lookup(df, as_double(df, name), ranks, "value", "rank", new or f"{name}_rank", "n")
+def avg_rank(df: DataFrame, names: str | list[str], new: dict[str, str] | None = None) -> DataFrame:
+    """Add the average-tie ranks of numeric columns; missing values stay missing."""
+    names = [names] if isinstance(names, str) else list(names)
+    table, facts = value_ranks(df, names)
+    return attach_values(df, names, table, facts, "rank", new or {c: f"{c}_rank" for c in names})

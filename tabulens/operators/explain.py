@@ -232,7 +232,7 @@ def rfecv(
         return _eliminate(train, test, k, 1, step, fit, problem_type)[0]
 
     with ThreadPoolExecutor(max_workers=4) as pool:
-        jobs = [pool.submit(inheritable_thread_target(one), f) for f in range(folds)]
+        jobs = [pool.submit(inheritable_thread_target(spark)(one), f) for f in range(folds)]
         per_fold = [j.result() for j in jobs]
     sizes = sorted(per_fold[0])
     curve = [(s, round(sum((p[s] or 0.0) for p in per_fold) / folds, 6)) for s in sizes]
@@ -262,6 +262,7 @@ def tune_random_search(
     if not grid:
         raise ValueError(f"no parameter grid for '{name}'")
     every = [dict(zip(grid, values)) for values in product(*grid.values())]
+    spark = prepared.sparkSession
     drawn = every if len(every) <= draws else random.Random(seed).sample(every, draws)
     frame = spread_rows(assembled(prepared, features, [key, "label"]))
     frame = kfold_assign(frame, key, folds).persist()
@@ -272,7 +273,7 @@ def tune_random_search(
         return mean_std(cross_validate(frame, name, problem_type, classes, folds, used, key))
 
     with ThreadPoolExecutor(max_workers=4) as pool:
-        jobs = [pool.submit(inheritable_thread_target(one), p) for p in drawn]
+        jobs = [pool.submit(inheritable_thread_target(spark)(one), p) for p in drawn]
         results = [j.result() for j in jobs]
     frame.unpersist()
     ordered = sorted(zip(drawn, results), key=lambda r: -(r[1][0] if r[1][0] is not None else -math.inf))

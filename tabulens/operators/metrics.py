@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ RESAMPLES = 500
 INTERVAL = (0.025, 0.975)
 ALIGN_WITHIN = 0.02
 
-BLOCKS = 4096  # resampling units of the bootstrap
+BLOCKS = 1024  # resampling units of the bootstrap
 
 
 def metrics_regression(scored: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -113,10 +115,10 @@ def _curve(counts: DataFrame, by: list[str], max_points: int) -> DataFrame:
     kept = paired.where(turn).select(
         *by, "i", (F.col("tp") + F.col("pos")).alias("tp"), (F.col("fp") + F.col("neg")).alias("fp")
     )
-    kept = running_totals(kept, [F.col("i")], {}, by=by, number="at")
-    kept = kept.select(*by, (F.col("at") + 1).alias("at"), "tp", "fp")
+    kept = running_totals(kept, [F.col("i")], {}, by=by, number="point")
+    kept = kept.select(*by, (F.col("point") + 1).alias("point"), "tp", "fp")
     sizes = kept.groupBy(*by).agg(  # one row per curve
-        F.max("at").alias("last"), F.max("tp").alias("p"), F.max("fp").alias("n")
+        F.max("point").alias("last"), F.max("tp").alias("p"), F.max("fp").alias("n")
     )
     step = F.col("last") / F.lit(float(max_points - 1))
     spots = F.when(F.col("last") < max_points, F.sequence(F.lit(0), F.col("last"))).otherwise(
@@ -127,19 +129,19 @@ def _curve(counts: DataFrame, by: list[str], max_points: int) -> DataFrame:
             F.col("last"),
         )
     )
-    wanted = sizes.select(*by, "p", "n", F.explode(F.array_distinct(spots.cast("array<bigint>"))).alias("at"))
-    joined = F.broadcast(wanted).join(kept, [*by, "at"], "left")  # at most max_points rows per curve
-    joined = joined.where("at = 0 or tp is not null")
+    wanted = sizes.select(*by, "p", "n", F.explode(F.array_distinct(spots.cast("array<bigint>"))).alias("point"))
+    joined = F.broadcast(wanted).join(kept, [*by, "point"], "left")  # at most max_points rows per curve
+    joined = joined.where("point = 0 or tp is not null")
     return joined.select(
         *by,
-        "at",
+        "point",
         F.round(ratio(F.coalesce("fp", F.lit(0)), F.col("n")), 4).alias("fpr"),
         F.round(ratio(F.coalesce("tp", F.lit(0)), F.col("p")), 4).alias("tpr"),
     )
 
 
 def roc_curve(scored: DataFrame, label: str, score: str, max_points: int = ROC_TRAIN_POINTS) -> DataFrame:
-    """(at, fpr, tpr) of a 0/1 label, at most max_points points."""
+    """(point, fpr, tpr) of a 0/1 label, at most max_points points."""
     return _curve(_score_counts(scored, ref(label) == 1, ref(score), {}), [], max_points)
 
 
@@ -169,18 +171,18 @@ def roc_align(curves: DataFrame, within: float = ALIGN_WITHIN) -> DataFrame:
     A nearest join on bands as wide as the tolerance, so a point meets only its
     neighbouring bands. Curves hold a few hundred points each.
     """
-    ends = curves.sparkSession.createDataFrame([(0.0,), (1.0,)], "at double")
-    at = curves.select(F.col("fpr").alias("at")).unionByName(ends).distinct()
+    ends = curves.sparkSession.createDataFrame([(0.0,), (1.0,)], "point double")
+    at = curves.select(F.col("fpr").alias("point")).unionByName(ends).distinct()
     band = lambda c: F.floor(F.col(c) / F.lit(within)).cast("bigint")
-    left = at.select("at", F.explode(F.sequence(band("at") - 1, band("at") + 1)).alias("band"))
+    left = at.select("point", F.explode(F.sequence(band("point") - 1, band("point") + 1)).alias("band"))
     right = curves.select("label", "fpr", "tpr", band("fpr").alias("band"))
-    gap = F.abs(F.col("fpr") - F.col("at"))
+    gap = F.abs(F.col("fpr") - F.col("point"))
     return (
         left.join(right, "band")
         .where(gap < within)
-        .groupBy("at", "label")
+        .groupBy("point", "label")
         .agg(F.min(F.struct(gap.alias("gap"), F.col("fpr"), F.col("tpr"))).alias("m"))
-        .select(F.col("at").alias("fpr"), "label", F.col("m.tpr").alias("tpr"))
+        .select(F.col("point").alias("fpr"), "label", F.col("m.tpr").alias("tpr"))
     )
 
 
@@ -243,18 +245,29 @@ def residuals(
 
 def _poisson(u: Column) -> Column:
     """Poisson(1) count from a uniform number, by its distribution function."""
-    count, p, total = F.lit(0), 0.36787944117144233, 0.0
+    marks, p, total = [], math.exp(-1.0), 0.0
     for k in range(1, 13):
         total += p
-        count = count + (u >= F.lit(total)).cast("int")
+        marks.append(total)
         p /= k
-    return count
 
+    def count(v: Column) -> Column:
+        n = F.lit(0)
+        for m in marks:
+            n = n + (v >= F.lit(m)).cast("int")
+        return n
+
+    # through an array, so that the hash behind ``u`` is computed once and not per mark
+    return F.element_at(F.transform(F.array(u), count), 1)
 
-def _replicas(blocks: DataFrame, n: int, seed: int) -> DataFrame:
-    """Each block n times with its weight per resample; at most BLOCKS * n small rows per class cell."""
-    rep = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"))
-    return rep.withColumn("w", _poisson(uniform(F.col("block"), F.col("b"), F.lit(seed)))).where("w > 0")
+
+def _weights(spark, n: int, seed: int) -> DataFrame:
+    """(block, b, w): how often each block is drawn in each of the n resamples."""
+    drawn = spark.range(BLOCKS).select(
+        F.col("id").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b")
+    )
+    w = _poisson(uniform(F.col("block"), F.col("b"), F.lit(seed)))
+    return drawn.select("block", "b", w.alias("w"))
 
 
 def _interval(values: DataFrame, metrics: list[str]) -> DataFrame:
@@ -300,7 +313,7 @@ def bootstrap_ci(
             )
         )
         w = F.col("w")
-        per = _replicas(sums, n, seed).groupBy("b").agg(
+        per = _weights(scored.sparkSession, n, seed).join(sums, "block").groupBy("b").agg(
             *[F.sum(w * F.col(c)).alias(c) for c in ("n", "d", "dd", "ae", "ee")]
         )
         spread = F.col("dd") - F.col("d") * F.col("d") / F.col("n")
@@ -316,7 +329,8 @@ def bootstrap_ci(
         .groupBy("block", "actual", "predicted")
         .agg(F.count("*").alias("n"))
     )
-    per = _replicas(cells, n, seed).groupBy("b", "actual", "predicted").agg(
+    drawn = _weights(scored.sparkSession, n, seed).join(cells, "block")
+    per = drawn.groupBy("b", "actual", "predicted").agg(
         F.sum(F.col("w") * F.col("n")).alias("n")
     )
     return _interval(f1_from_cells(per, ["b"]), ["accuracy", "f1"])

@@ -148,7 +148,7 @@ def _learner(name: str, problem_type: str, train: DataFrame, classes: int, param
     if name == LOGISTIC:
         n = train.count()
         return LogisticRegression(
-            regParam=1.0 / (p["C"] * n), standardization=False, maxIter=p["max_iter"], tol=1e-9
+            regParam=1.0 / (p["C"] * n), standardization=False, maxIter=p["max_iter"], tol=1e-6
         )
     if name == FOREST:
         kind = RandomForestRegressor if problem_type == REGRESSION else RandomForestClassifier
@@ -352,7 +352,7 @@ def train_models(
         return name, fitted, values, ci, cv_mean, cv_std
 
     with ThreadPoolExecutor(max_workers=min(THREADS, len(names))) as pool:
-        jobs = [pool.submit(inheritable_thread_target(one), n) for n in names]
+        jobs = [pool.submit(inheritable_thread_target(spark)(one), n) for n in names]
         done = [j.result() for j in jobs]
     marked.unpersist()
     if full is not None:

@@ -1 +1,559 @@
-"""Queries, to follow."""
+"""Queries: preprocessing, splits, models, validation, explanation, scoring, reduction, streaming."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tabulens.operators import explain as X
+from tabulens.operators import meta as MT
+from tabulens.operators import models as M
+from tabulens.operators import scoring as S
+from tabulens.operators import splits as SP
+from tabulens.plans import plan, union
+from tabulens.plans.inputs import LINE_KEY, REVENUE, hash_sql, lines, picked, sql_select
+from tabulens.session import shared_dir
+from tabulens.sources import sinks
+from tabulens.sources.tables import table
+from tabulens.streaming.score import read_stream, score_available
+
+CUT = "TIMESTAMP '1995-06-17 00:00:00'"
+CUT_NTZ = "TIMESTAMP_NTZ '1995-06-17 00:00:00'"
+# New data: later lines, some with a category, a price range and gaps the earlier ones lack.
+NEW = {
+    "k": LINE_KEY,
+    "l_quantity": "CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE l_quantity END",
+    "l_extendedprice": "l_extendedprice * 1.2",
+    "l_discount": "l_discount",
+    "l_returnflag": "CASE WHEN l_returnflag = 'R' THEN 'X' WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END",
+    "l_linestatus": "l_linestatus",
+    "rev": REVENUE,
+}
+OLD = {
+    "k": LINE_KEY,
+    **{c: c for c in ("l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")},
+    "rev": REVENUE,
+}
+OLD_SQL = sql_select(OLD, f"lineitem WHERE l_shipdate < {CUT}")
+NEW_SQL = sql_select(NEW, f"lineitem WHERE l_shipdate >= {CUT}")
+META_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"]
+
+
+def old(spark, folder):
+    return picked(table(spark, folder, "lineitem").where(f"l_shipdate < {CUT_NTZ}"), OLD)
+
+
+def new(spark, folder):
+    return picked(table(spark, folder, "lineitem").where(f"l_shipdate >= {CUT_NTZ}"), NEW)
+
+
+# --- preprocessing -------------------------------------------------------------------------------------
+
+
+def _meta_sql(c):
+    if c in ("l_returnflag", "l_linestatus"):
+        return f"SELECT '{c}' AS \"column\", 'text' AS kind, NULL::DOUBLE AS median, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi"
+    return f"""SELECT '{c}' AS "column", 'numeric' AS kind, round(quantile_cont({c}, 0.5), 4) AS median,
+    min({c}) AS lo, max({c}) AS hi FROM ({OLD_SQL})"""
+
+
+@plan("fit_meta", union(map(_meta_sql, META_COLUMNS)))
+def fit_meta(spark, folder):
+    out = MT.fit_meta_frame(old(spark, folder), META_COLUMNS)
+    return out.withColumn("median", F.round("median", 4))
+
+
+@plan(
+    "fit_meta_classes",
+    "WITH t AS (" + OLD_SQL + ")\n"
+    + union(
+        f"""SELECT '{c}' AS "column", {c} AS class, row_number() OVER (ORDER BY {c}) - 1 AS code, count(*) AS n FROM t GROUP BY {c}"""
+        for c in ("l_returnflag", "l_linestatus")
+    ),
+)
+def fit_meta_classes(spark, folder):
+    return MT.fit_meta(old(spark, folder), None, META_COLUMNS).classes
+
+
+
+@plan(
+    "apply_meta",
+    f"""WITH o AS ({OLD_SQL}), n AS ({NEW_SQL}) SELECT k,
+    coalesce(l_quantity, (SELECT quantile_cont(l_quantity, 0.5) FROM o)) AS l_quantity,
+    round(l_extendedprice, 4) AS l_extendedprice, l_discount,
+    CASE l_returnflag WHEN 'A' THEN 0.0 WHEN 'N' THEN 1.0 WHEN 'R' THEN 2.0 ELSE 0.0 END::DOUBLE AS l_returnflag,
+    (dense_rank() OVER (ORDER BY l_linestatus) - 1)::DOUBLE AS l_linestatus FROM n""",
+)
+def apply_meta(spark, folder):
+    fitted = MT.fit_meta(old(spark, folder), None, META_COLUMNS)
+    out = MT.apply_meta(new(spark, folder), fitted, keep=["k"])
+    return out.withColumnRenamed("_keep_k", "k").withColumn("l_extendedprice", F.round("l_extendedprice", 4))
+
+
+@plan(
+    "unseen_categories",
+    f"""SELECT 'l_returnflag' AS "column", coalesce(l_returnflag, '__MISSING__') AS value, count(*) AS n FROM ({NEW_SQL})
+    WHERE coalesce(l_returnflag, '__MISSING__') NOT IN (SELECT l_returnflag FROM ({OLD_SQL})) GROUP BY 2""",
+)
+def unseen_categories(spark, folder):
+    fitted = MT.fit_meta(old(spark, folder), None, META_COLUMNS)
+    return MT.unseen_categories(new(spark, folder), fitted)
+
+
+@plan(
+    "extrapolation_flags",
+    f"""WITH r AS (SELECT max(l_extendedprice) AS hi, min(l_extendedprice) AS lo FROM ({OLD_SQL}))
+    SELECT k, CASE WHEN l_extendedprice < lo OR l_extendedprice > hi THEN 'l_extendedprice' ELSE '' END AS outside_range
+    FROM ({NEW_SQL}), r""",
+)
+def extrapolation_flags(spark, folder):
+    fitted = MT.fit_meta(old(spark, folder), None, META_COLUMNS)
+    out = MT.extrapolation_flags(new(spark, folder), fitted)
+    return out.select("k", F.concat_ws(",", "outside_range").alias("outside_range"))
+
+
+# --- splits ------------------------------------------------------------------------------------------------
+
+
+@plan(
+    "train_test_split",
+    f"""SELECT o_orderkey, row_number() OVER (ORDER BY {hash_sql('o_orderkey')}) <= ceil((SELECT count(*) FROM orders) * 0.2) AS is_test
+    FROM orders""",
+)
+def train_test_split(spark, folder):
+    return SP.split_flag(table(spark, folder, "orders"), "o_orderkey").select("o_orderkey", "is_test")
+
+
+@plan(
+    "kfold_assign",
+    f"SELECT o_orderkey, CAST(floor(({hash_sql('o_orderkey')}) / 4294967296.0::DOUBLE * 5) AS INT) AS fold FROM orders",
+)
+def kfold_assign(spark, folder):
+    return SP.kfold_assign(table(spark, folder, "orders"), "o_orderkey").select("o_orderkey", "fold")
+
+
+@plan(
+    "stratified_kfold_assign",
+    f"""SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {hash_sql('o_orderkey')}) - 1) % 5 AS INT) AS fold
+    FROM orders""",
+)
+def stratified_kfold_assign(spark, folder):
+    src = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    return SP.stratified_kfold_assign(src, "o_orderstatus", "o_orderkey").select("o_orderkey", "fold")
+
+
+@plan(
+    "leave_one_out",
+    f"SELECT s_suppkey, row_number() OVER (ORDER BY {hash_sql('s_suppkey')}) - 1 AS fold FROM supplier",
+)
+def leave_one_out(spark, folder):
+    src = table(spark, folder, "supplier").select("s_suppkey", "s_acctbal")
+    out, _ = SP.cv_assign(src, "s_suppkey", "loo", "regression")
+    return out.select("s_suppkey", "fold")
+
+
+# --- models with a closed form: one feature, so SQL can say what the fit must be ------------------------------
+
+
+def _one_feature(spark, folder, x, name, params=None):
+    prepared = lines(spark, folder).select(F.col(x), F.col("rev").alias("label"))
+    frame = M.assembled(prepared, [x], ["label"])
+    model = M.fit_model(name, frame, M.REGRESSION, params=params).parts["m"]
+    return spark.createDataFrame(
+        [(name, round(float(model.coefficients[0]), 3), round(float(model.intercept), 3))],
+        "model string, slope double, intercept double",
+    )
+
+
+def _line_sql(name, x, slope):
+    return f"""WITH t AS (SELECT {x} AS x, rev AS y FROM (SELECT {x}, {REVENUE} AS rev FROM lineitem)),
+    m AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx, count(*) AS n FROM t),
+    f AS (SELECT *, {slope} AS b FROM m) SELECT '{name}' AS model, round(b, 3) AS slope, round(my - b * mx, 3) AS intercept FROM f"""
+
+
+@plan("reg_linear", _line_sql(M.LINEAR, "l_extendedprice", "sxy / sxx"))
+def reg_linear(spark, folder):
+    return _one_feature(spark, folder, "l_extendedprice", M.LINEAR)
+
+
+@plan("reg_ridge", _line_sql(M.RIDGE, "l_discount", "sxy / (sxx + 1.0)"))
+def reg_ridge(spark, folder):
+    return _one_feature(spark, folder, "l_discount", M.RIDGE)
+
+
+@plan("reg_lasso", _line_sql(M.LASSO, "l_discount", "sign(sxy) * greatest(abs(sxy / n) - 1.0, 0) / (sxx / n)"))
+def reg_lasso(spark, folder):
+    return _one_feature(spark, folder, "l_discount", M.LASSO)
+
+
+# --- other models ----------------------------------------------------------------------------------------------
+
+NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+SMALL_FOREST = {"trees": 10, "max_depth": 5}
+SMALL_BOOST = {"rounds": 10, "max_depth": 4}
+
+
+def _reg_frame(spark, folder):
+    return lines(spark, folder).select("k", *NUMBERS, F.col("rev").alias("label"))
+
+
+def _cls_frame(spark, folder):
+    """Binary target with signal: is the revenue above 50000?"""
+    return lines(spark, folder).select(
+        "k", *NUMBERS, (F.col("rev") > 50000).cast("double").alias("label")
+    )
+
+
+def _multi_frame(spark, folder):
+    label = F.expr("CASE WHEN rev < 30000 THEN 0.0D WHEN rev < 60000 THEN 1.0D ELSE 2.0D END")
+    return lines(spark, folder).select("k", *NUMBERS, label.alias("label"))
+
+
+def _holdout(frame, name, problem_type, classes=0, params=None):
+    """Fit on four fifths, report the metrics on the rest."""
+    vectors = M.assembled(frame, NUMBERS, ["k", "label"])
+    marked = SP.kfold_assign(SP.split_flag(M.spread_rows(vectors), "k"), "k", 5, 7).persist()
+    train, test = marked.where("not is_test"), marked.where("is_test")
+    fitted = M.fit_model(name, train, problem_type, classes, params, "fold")
+    scored = fitted.score(test)
+    if problem_type == M.REGRESSION:
+        out = M.metrics_regression(scored, "label", "prediction")
+    else:
+        out = M.metrics_classification(scored, "label", "prediction")
+    result = frame.sparkSession.createDataFrame(out.collect(), out.schema)  # one row
+    marked.unpersist()
+    return result
+
+
+@plan("clf_logistic")
+def clf_logistic(spark, folder):
+    return _holdout(_cls_frame(spark, folder), M.LOGISTIC, M.CLASSIFICATION, 2)
+
+
+@plan("reg_forest")
+def reg_forest(spark, folder):
+    return _holdout(_reg_frame(spark, folder), M.FOREST, M.REGRESSION, params=SMALL_FOREST)
+
+
+@plan("clf_forest")
+def clf_forest(spark, folder):
+    return _holdout(_cls_frame(spark, folder), M.FOREST, M.CLASSIFICATION, 2, SMALL_FOREST)
+
+
+@plan("reg_boost")
+def reg_boost(spark, folder):
+    return _holdout(_reg_frame(spark, folder), M.BOOST, M.REGRESSION, params={**SMALL_BOOST, "step": 0.3})
+
+
+@plan("clf_boost")
+def clf_boost(spark, folder):
+    return _holdout(_multi_frame(spark, folder), M.BOOST, M.CLASSIFICATION, 3, {"rounds": 5, "max_depth": 3})
+
+
+@plan("ens_voting")
+def ens_voting(spark, folder):
+    return _holdout(_reg_frame(spark, folder), M.VOTING, M.REGRESSION, params=SMALL_FOREST)
+
+
+@plan("ens_voting_class")
+def ens_voting_class(spark, folder):
+    return _holdout(_cls_frame(spark, folder), M.VOTING, M.CLASSIFICATION, 2, SMALL_FOREST)
+
+
+@plan("ens_stacking")
+def ens_stacking(spark, folder):
+    return _holdout(_reg_frame(spark, folder), M.STACKING, M.REGRESSION, params=SMALL_FOREST)
+
+
+@plan("ens_stacking_class")
+def ens_stacking_class(spark, folder):
+    return _holdout(_cls_frame(spark, folder), M.STACKING, M.CLASSIFICATION, 2, SMALL_FOREST)
+
+
+@plan("train_models")
+def train_models(spark, folder):
+    names = [M.LINEAR, M.RIDGE, M.LASSO, M.FOREST]
+    out = M.train_models(
+        _reg_frame(spark, folder), NUMBERS, "k", M.REGRESSION, models=names, params={M.FOREST: SMALL_FOREST}
+    )
+    return out.report
+
+
+@plan("train_models_class")
+def train_models_class(spark, folder):
+    out = M.train_models(
+        _cls_frame(spark, folder),
+        NUMBERS,
+        "k",
+        M.CLASSIFICATION,
+        models=[M.LOGISTIC, M.FOREST],
+        params={M.FOREST: SMALL_FOREST},
+    )
+    return out.report
+
+
+@plan(
+    "cross_validate",
+    f"""WITH t AS (SELECT floor(({hash_sql('o_orderkey')}) / 4294967296.0::DOUBLE * 5) AS fold, o_custkey AS x, o_totalprice AS y FROM orders),
+    f AS (SELECT unnest(range(5)) AS f),
+    m AS (SELECT f, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t, f WHERE fold <> f GROUP BY f),
+    s AS (SELECT f, round(1 - sum((y - a - b * x) * (y - a - b * x)) / (var_pop(y) * count(*)), 6) AS r2 FROM t JOIN m ON fold = f GROUP BY f)
+    SELECT round(avg(r2), 5) AS cv_mean, round(stddev_pop(r2), 5) AS cv_std FROM s""",
+)
+def cross_validate(spark, folder):
+    src = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", F.col("o_totalprice").alias("label")
+    )
+    frame = M.assembled(src, ["o_custkey"], ["o_orderkey", "label"])
+    frame = SP.kfold_assign(frame, "o_orderkey").persist()
+    mean, std = M.mean_std(M.cross_validate(frame, M.LINEAR, M.REGRESSION, 0, 5))
+    frame.unpersist()
+    return spark.createDataFrame([(round(mean, 5), round(std, 5))], "cv_mean double, cv_std double")
+
+
+@plan("cross_validate_stratified")
+def cross_validate_stratified(spark, folder):
+    frame = M.spread_rows(M.assembled(_cls_frame(spark, folder), NUMBERS, ["k", "label"]))
+    folded, n = SP.cv_assign(frame, "k", "stratified_k_fold", M.CLASSIFICATION, 3)
+    folded = folded.persist()
+    mean, std = M.mean_std(M.cross_validate(folded, M.LOGISTIC, M.CLASSIFICATION, 2, n))
+    folded.unpersist()
+    return spark.createDataFrame([(mean, std)], "cv_mean double, cv_std double")
+
+
+@plan("feature_importances")
+def feature_importances(spark, folder):
+    frame = M.spread_rows(M.assembled(_reg_frame(spark, folder), NUMBERS, ["label"]))
+    fitted = M.fit_model(M.FOREST, frame, M.REGRESSION, params=SMALL_FOREST)
+    return M.feature_importances(fitted, NUMBERS, spark)
+
+
+@plan("learning_curve")
+def learning_curve(spark, folder):
+    return X.learning_curve(
+        _reg_frame(spark, folder), NUMBERS, "k", M.REGRESSION, params={"trees": 5, "max_depth": 4}, folds=3
+    )
+
+
+@plan("tune_random_search")
+def tune_random_search(spark, folder):
+    return X.tune_random_search(_reg_frame(spark, folder), NUMBERS, "k", M.REGRESSION, M.RIDGE)
+
+
+@plan("rfecv")
+def rfecv(spark, folder):
+    ranking, _ = X.rfecv(
+        _reg_frame(spark, folder), NUMBERS, "k", M.REGRESSION, folds=3, trees=5, max_depth=4
+    )
+    return ranking
+
+
+# --- explanation and scoring --------------------------------------------------------------------------------
+
+
+def _linear(spark, folder, x, source=None):
+    src = source if source is not None else lines(spark, folder)
+    meta = MT.fit_meta(src, "rev", [x])
+    prepared = MT.apply_meta(src, meta, with_target=True)
+    frame = M.assembled(prepared, [x], ["label"])
+    return M.fit_model(M.LINEAR, frame, M.REGRESSION), meta, prepared
+
+
+_REG_L = f"(SELECT regr_slope({REVENUE}, {{x}}) AS b, regr_intercept({REVENUE}, {{x}}) AS a FROM lineitem)"
+
+
+@plan(
+    "partial_dependence",
+    f"""SELECT DISTINCT 'l_discount' AS feature, round(l_discount, 6) AS value, round(a + b * l_discount, 3) AS average
+    FROM lineitem, {_REG_L.format(x='l_discount')}""",
+)
+def partial_dependence(spark, folder):
+    fitted, _, prepared = _linear(spark, folder, "l_discount")
+    out = X.partial_dependence(fitted, prepared, ["l_discount"], "l_discount")
+    return out.withColumn("average", F.round("average", 3))
+
+
+@plan("partial_dependence_forest")
+def partial_dependence_forest(spark, folder):
+    prepared = _reg_frame(spark, folder)
+    frame = M.spread_rows(M.assembled(prepared, NUMBERS, ["label"]))
+    fitted = M.fit_model(M.FOREST, frame, M.REGRESSION, params=SMALL_FOREST)
+    return X.partial_dependence(fitted, M.spread_rows(prepared), NUMBERS, "l_extendedprice")
+
+
+@plan("prediction_interval")
+def prediction_interval(spark, folder):
+    frame = M.spread_rows(M.assembled(_reg_frame(spark, folder), NUMBERS, ["k", "label"]))
+    fitted = M.fit_model(M.FOREST, frame, M.REGRESSION, params=SMALL_FOREST)
+    return X.prediction_interval(fitted, frame).select("k", "prediction", "lower_95", "upper_95")
+
+
+@plan(
+    "predict_batch",
+    f"""WITH o AS ({OLD_SQL}), m AS (SELECT regr_slope(rev, l_extendedprice) AS b, regr_intercept(rev, l_extendedprice) AS a FROM o)
+    SELECT k, round(round(a + b * l_extendedprice, 6), 2) AS prediction FROM ({NEW_SQL}), m""",
+)
+def predict_batch(spark, folder):
+    fitted, meta, _ = _linear(spark, folder, "l_extendedprice", old(spark, folder))
+    out = S.predict_batch(fitted, meta, new(spark, folder), ["k"])
+    return out.withColumn("prediction", F.round("prediction", 2))
+
+
+@plan("predict_batch_class")
+def predict_batch_class(spark, folder):
+    src = old(spark, folder)
+    cols = ["l_quantity", "l_extendedprice", "l_linestatus"]
+    meta = MT.fit_meta(src, "l_returnflag", cols)
+    frame = M.assembled(MT.apply_meta(src, meta, with_target=True), cols, ["label"])
+    fitted = M.fit_model(M.LOGISTIC, frame, M.CLASSIFICATION, 3, {"max_iter": 50})
+    out = S.predict_batch(fitted, meta, new(spark, folder), ["k"])
+    names = meta.target_labels()
+    return out.select(
+        "k", "prediction", *[F.round(F.col("probabilities")[c], 4).alias(f"prob_{c}") for c in names]
+    )
+
+
+@plan(
+    "predict_only",
+    f"""WITH o AS ({OLD_SQL}), m AS (SELECT regr_slope(rev, l_discount) AS b, regr_intercept(rev, l_discount) AS a FROM o)
+    SELECT k, round(round(a + b * l_discount, 6), 3) AS prediction FROM ({NEW_SQL}), m""",
+)
+def predict_only(spark, folder):
+    fitted, meta, _ = _linear(spark, folder, "l_discount", old(spark, folder))
+    out = S.predict_only(fitted, meta, new(spark, folder), ["k"])
+    return out.withColumn("prediction", F.round("prediction", 3))
+
+
+_SCENARIOS = """SELECT l_returnflag, avg(l_extendedprice) * (CASE l_returnflag WHEN 'R' THEN 3 ELSE 1 END) AS l_extendedprice
+    FROM lineitem GROUP BY l_returnflag"""
+
+
+@plan(
+    "predict_what_if",
+    f"""SELECT l_returnflag, round(a + b * l_extendedprice, 2) AS prediction,
+    CAST(l_extendedprice > (SELECT max(l_extendedprice) FROM lineitem) AS INT) AS n_warnings
+    FROM ({_SCENARIOS}), {_REG_L.format(x='l_extendedprice')}""",
+)
+def predict_what_if(spark, folder):
+    fitted, meta, _ = _linear(spark, folder, "l_extendedprice")
+    factor = F.when(F.col("l_returnflag") == "R", 3).otherwise(1)
+    scenarios = (
+        lines(spark, folder)
+        .groupBy("l_returnflag")
+        .agg(F.avg("l_extendedprice").alias("p"))
+        .select("l_returnflag", (F.col("p") * factor).alias("l_extendedprice"))
+    )
+    out = S.predict_what_if(fitted, meta, scenarios, ["l_returnflag"])
+    return out.select(
+        "l_returnflag", F.round("prediction", 2).alias("prediction"), F.size("warnings").alias("n_warnings")
+    )
+
+
+@plan(
+    "evaluate_holdout",
+    f"""WITH o AS ({OLD_SQL}), m AS (SELECT regr_slope(rev, l_extendedprice) AS b, regr_intercept(rev, l_extendedprice) AS a FROM o),
+    s AS (SELECT rev AS y, rev - (a + b * l_extendedprice) AS e FROM ({NEW_SQL}), m),
+    v AS (SELECT count(*)::DOUBLE AS n_samples, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse FROM s)
+    SELECT metric, round(value, 4) AS value FROM (UNPIVOT v ON n_samples, r2, mae, rmse INTO NAME metric VALUE value)""",
+)
+def evaluate_holdout(spark, folder):
+    fitted, meta, _ = _linear(spark, folder, "l_extendedprice", old(spark, folder))
+    out = S.evaluate_holdout(fitted, meta, new(spark, folder))
+    return out.withColumn("value", F.round("value", 4))
+
+
+@plan("evaluate_holdout_class")
+def evaluate_holdout_class(spark, folder):
+    train = old(spark, folder).withColumn("big", F.expr("CASE WHEN rev > 50000 THEN 'yes' ELSE 'no' END"))
+    test = new(spark, folder).withColumn("big", F.expr("CASE WHEN rev > 50000 THEN 'yes' ELSE 'no' END"))
+    cols = ["l_quantity", "l_extendedprice", "l_returnflag"]
+    meta = MT.fit_meta(train, "big", cols)
+    frame = M.assembled(MT.apply_meta(train, meta, with_target=True), cols, ["label"])
+    fitted = M.fit_model(M.LOGISTIC, frame, M.CLASSIFICATION, 2, {"max_iter": 100})
+    return S.evaluate_holdout(fitted, meta, test)
+
+
+@plan("evaluate_drift")
+def evaluate_drift(spark, folder):
+    src = old(spark, folder)
+    return S.evaluate_drift(MT.fit_meta(src, None, META_COLUMNS), src, new(spark, folder))
+
+
+@plan(
+    "write_predictions",
+    f"""SELECT round(round(a + b * l_discount, 6), 3) AS prediction FROM lineitem, {_REG_L.format(x='l_discount')}""",
+)
+def write_predictions(spark, folder):
+    fitted, meta, _ = _linear(spark, folder, "l_discount")
+    path = f"{shared_dir(spark)}/pred-{uuid.uuid4().hex}"
+    sinks.write_predictions(S.predict_batch(fitted, meta, lines(spark, folder)), path)
+    back = spark.read.option("header", True).schema("prediction double").csv(path)
+    return back.select(F.round("prediction", 3).alias("prediction"))
+
+
+@plan(
+    "save_load_model",
+    f"""SELECT k, round(round(a + b * l_tax, 6), 3) AS prediction FROM (SELECT {LINE_KEY} AS k, l_tax FROM lineitem), {_REG_L.format(x='l_tax')}""",
+)
+def save_load_model(spark, folder):
+    fitted, meta, _ = _linear(spark, folder, "l_tax")
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    sinks.save_model(fitted, meta, path, spark)
+    again, meta_again = sinks.load_model(path, spark)
+    out = S.predict_batch(again, meta_again, lines(spark, folder), ["k"])
+    return out.withColumn("prediction", F.round("prediction", 3))
+
+
+# --- reduction and streaming ------------------------------------------------------------------------------------
+
+
+@plan(
+    "reduce_pca",
+    f"""WITH t AS (SELECT l_extendedprice AS a, {REVENUE} AS b, l_quantity AS y FROM lineitem),
+    z AS (SELECT (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b, y FROM t)
+    SELECT round(round((a + b) / sqrt(2), 4), 3) AS x, round(round((a - b) / sqrt(2), 4), 3) AS y, y AS target FROM z""",
+)
+def reduce_pca(spark, folder):
+    out = X.reduce_pca(lines(spark, folder), ["l_extendedprice", "rev"], "l_quantity")
+    return out.select(F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "target")
+
+
+@plan(
+    "explained_variance",
+    f"""WITH c AS (SELECT corr(l_extendedprice, {REVENUE}) AS r FROM lineitem)
+    SELECT CAST(1 AS INT) AS component, round((1 + abs(r)) / 2, 6) AS explained_variance FROM c
+    UNION ALL SELECT CAST(2 AS INT), round((1 - abs(r)) / 2, 6) FROM c""",
+)
+def explained_variance(spark, folder):
+    return X.explained_variance(lines(spark, folder), ["l_extendedprice", "rev"])
+
+
+@plan("reduce_pca_embeddings")
+def reduce_pca_embeddings(spark, folder):
+    return X.reduce_pca(table(spark, folder, "embeddings"), ["embedding"], "label")
+
+
+@plan(
+    "stream_score",
+    """WITH m AS (SELECT regr_slope(value, user_id) AS b, regr_intercept(value, user_id) AS a FROM events)
+    SELECT event_id, round(round(a + b * user_id, 6), 4) AS prediction FROM events, m""",
+)
+def stream_score(spark, folder):
+    events = table(spark, folder, "events")
+    meta = MT.fit_meta(events, "value", ["user_id"])
+    frame = M.assembled(MT.apply_meta(events, meta, with_target=True), ["user_id"], ["label"])
+    fitted = M.fit_model(M.LINEAR, frame, M.REGRESSION)
+    stream = read_stream(spark, folder, events.schema, "events.parquet")
+    out = score_available(fitted, meta, stream, ["event_id"])
+    return out.withColumn("prediction", F.round("prediction", 4))
+
+
+@plan("stream_score_class")
+def stream_score_class(spark, folder):
+    events = table(spark, folder, "events")
+    meta = MT.fit_meta(events, "event_type", ["value", "user_id"])
+    frame = M.assembled(MT.apply_meta(events, meta, with_target=True), meta.features, ["label"])
+    fitted = M.fit_model(M.LOGISTIC, frame, M.CLASSIFICATION, 5, {"max_iter": 30})
+    stream = read_stream(spark, folder, events.schema, "events.parquet")
+    return score_available(fitted, meta, stream, ["event_id"]).select("event_id", "prediction")

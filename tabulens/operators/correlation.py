@@ -23,6 +23,7 @@ from tabulens.operators.engineer import attach_codes, label_tables
 from tabulens.operators.ranks import attach_values, avg_rank, medians, value_ranks
 
 RANK_BUCKET_BITS = 16  # a window task of the Kendall count sees at most 2**16 distinct ranks
+DIGIT_BITS = 3  # base-8 digits in the Kendall count
 PRODUCTS_PER_PASS = 300  # pair products in one aggregation; wider frames take more passes
 
 
@@ -110,71 +111,90 @@ def _dense(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, int], d
     return ranks, {c: facts[c]["n"] for c in cols}, tied
 
 
-def _order_counts(pairs: DataFrame, levels: int, many: bool) -> DataFrame:
-    """(concordant, discordant) row pairs of a table (a, b, n) of dense ranks with counts.
+def _pair_counts(pairs: DataFrame, many: bool) -> DataFrame:
+    """(pair, concordant, both) of a table (pair, levels, a, b, n) of dense ranks with counts.
 
-    Two different values of ``a`` first differ in exactly one bit, so every pair is
-    counted at one bit level inside the group of rows that share the higher bits: rows
-    with the bit unset come before rows with it set, and a running sum along ``b``
-    counts how many of them lie below. That is n log n rows and no pair is ever formed.
+    Two different values of ``a`` first differ in exactly one base-8 digit, so every pair
+    of rows is counted at one digit level, inside the group that shares the higher digits:
+    running sums along ``b``, one per digit, tell how many rows of a lower digit lie
+    below. That is n log n rows; no pair of rows is ever formed, and no window sees more
+    than 2**16 distinct ranks. ``both`` counts the row pairs tied on both sides.
     """
-    bit = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
-    rows = pairs.select("a", "b", "n", bit)
+    size = 1 << DIGIT_BITS
+    keys = ["pair", "level", "g", "part"]
+    rows = pairs.select("*", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("level"))
     rows = rows.select(
+        "pair",
         "level",
-        F.expr("shiftright(a, level + 1)").alias("g"),
+        F.expr(f"shiftright(a, {DIGIT_BITS} * (level + 1))").alias("g"),
+        F.expr(f"shiftright(b, {RANK_BUCKET_BITS})").alias("part"),
+        F.expr(f"shiftright(a, {DIGIT_BITS} * level) & {size - 1}").alias("digit"),
         "b",
-        F.when(F.expr("shiftright(a, level) % 2") == 0, F.col("n")).otherwise(0).alias("w0"),
-        F.when(F.expr("shiftright(a, level) % 2") == 1, F.col("n")).otherwise(0).alias("w1"),
+        "n",
     )
-    cells = rows.groupBy("level", "g", "b").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
-    cells = cells.withColumn("part", F.expr(f"shiftright(b, {RANK_BUCKET_BITS})"))
-    keys = ["level", "g", "part"]
-    w = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    cells = cells.withColumn("below", F.coalesce(F.sum("w0").over(w), F.lit(0))).withColumn(
-        "total", F.sum("w0").over(whole)
+    of = lambda d: F.when(F.col("digit") == d, F.col("n")).otherwise(0)
+    lower = range(size - 1)
+    below = Window.partitionBy(*keys).orderBy("b").rangeBetween(Window.unboundedPreceding, -1)
+    runs = rows.select(
+        *keys, "digit", "n", *[F.coalesce(F.sum(of(d)).over(below), F.lit(0)).alias(f"p{d}") for d in lower]
     )
-    if many:
-        parts = cells.groupBy(*keys).agg(F.max("total").alias("t"))
-        run = Window.partitionBy("level", "g").orderBy("part").rowsBetween(
-            Window.unboundedPreceding, -1
+    if many:  # add what lies in the parts before
+        parts = rows.groupBy(*keys).agg(*[F.sum(of(d)).alias(f"t{d}") for d in lower])
+        run = (
+            Window.partitionBy("pair", "level", "g")
+            .orderBy("part")
+            .rowsBetween(Window.unboundedPreceding, -1)
         )
-        group = Window.partitionBy("level", "g")
-        parts = parts.select(
-            *keys,
-            F.coalesce(F.sum("t").over(run), F.lit(0)).alias("offset"),
-            F.sum("t").over(group).alias("all"),
+        offsets = parts.select(
+            *keys, *[F.coalesce(F.sum(f"t{d}").over(run), F.lit(0)).alias(f"o{d}") for d in lower]
         )
-        cells = cells.join(parts, keys).withColumn("below", F.col("below") + F.col("offset"))
-        cells = cells.withColumn("total", F.col("all"))
-    one = F.col("w1").cast("double")
-    return cells.agg(
-        F.sum(one * F.col("below")).alias("concordant"),
-        F.sum(one * (F.col("total") - F.col("below") - F.col("w0"))).alias("discordant"),
+        runs = runs.join(offsets, keys).select(
+            *keys, "digit", "n", *[(F.col(f"p{d}") + F.col(f"o{d}")).alias(f"p{d}") for d in lower]
+        )
+    under = F.lit(0)
+    for d in lower:
+        under = under + F.when(F.col("digit") > d, F.col(f"p{d}")).otherwise(0)
+    n = F.col("n").cast("double")
+    return runs.groupBy("pair").agg(
+        F.sum(n * under).alias("concordant"),
+        F.sum(F.when(F.col("level") == 0, n * (n - 1) / 2)).alias("both"),
     )
 
 
 def corr_kendall_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Kendall's tau-b, exact at any size."""
+    """Kendall's tau-b, exact at any size; all pairs of columns go through one shuffle."""
     cols = cols or number_columns(df)
     ranks, sizes, tied = _dense(encode_and_fill(df, cols), cols)
     n = float(df.count())
     n0 = n * (n - 1) / 2
-    frames = []
-    for x, y in combinations(cols, 2):
-        a, b = (x, y) if sizes[x] <= sizes[y] else (y, x)  # fewer values, fewer bit levels
-        pairs = ranks.groupBy(ref(a).alias("a"), ref(b).alias("b")).agg(F.count("*").alias("n"))
-        levels = max(int(sizes[a] - 1).bit_length(), 1)
-        counted = _order_counts(pairs, levels, sizes[b] > 1 << RANK_BUCKET_BITS)
+    tagged, facts, many = [], [], False
+    for i, (x, y) in enumerate(combinations(cols, 2)):
+        a, b = (x, y) if sizes[x] <= sizes[y] else (y, x)  # fewer values, fewer digit levels
+        levels = max(-(-int(sizes[a] - 1).bit_length() // DIGIT_BITS), 1)
+        many = many or sizes[b] > 1 << RANK_BUCKET_BITS
+        tagged.append(
+            F.struct(F.lit(i).alias("pair"), F.lit(levels).alias("levels"), ref(a).alias("a"), ref(b).alias("b"))
+        )
         spread = ((n0 - tied[x]) * (n0 - tied[y])) ** 0.5
-        tau = ratio(F.col("concordant") - F.col("discordant"), F.lit(spread))
         for p, q in ((x, y), (y, x)):
-            frames.append(counted.select(F.lit(p).alias("x"), F.lit(q).alias("y"), F.round(tau, 4).alias("value")))
-    diagonal = df.sparkSession.createDataFrame(
+            facts.append((i, p, q, n0 - tied[x] - tied[y], spread))
+    spark = df.sparkSession
+    diagonal = spark.createDataFrame(
         [(c, c, 1.0 if sizes[c] > 1 else None) for c in cols], "x string, y string, value double"
     )
-    return union_all([diagonal, *frames])
+    if not tagged:
+        return diagonal
+    pairs = (
+        ranks.select(F.inline(F.array(*tagged)))
+        .groupBy("pair", "levels", "a", "b")
+        .agg(F.count("*").alias("n"))
+    )
+    known = spark.createDataFrame(facts, "pair int, x string, y string, base double, spread double")
+    # pairs of rows tied on neither side are either concordant or discordant
+    untied = F.col("base") + F.col("both")
+    tau = F.round(ratio(2 * F.col("concordant") - untied, F.col("spread")), 4)
+    off = _pair_counts(pairs, many).join(F.broadcast(known), "pair").select("x", "y", tau.alias("value"))
+    return diagonal.unionByName(off)
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None, method: str = "pearson") -> DataFrame:
@@ -230,7 +250,8 @@ def _gram(df: DataFrame, cols: list[str]) -> np.ndarray:
 def vif(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, vif) without intercept: missing values first, then the largest.
 
-    The factor of column i is G_ii * (G^-1)_ii with G = X'X; a singular G gives NULL.
+    Every column is regressed on the others through G = X'X; one that the others
+    determine fully gives NULL.
     """
     cols = [c for c in cols if c in df.columns and is_numeric(dtype_of(df, c))]
     if len(cols) < 2:
@@ -243,10 +264,12 @@ def vif(df: DataFrame, cols: list[str]) -> DataFrame:
     g = _gram(filled, cols)
     scale = np.sqrt(np.diag(g))
     unit = g / np.outer(scale, scale)
-    values: list[float | None] = [None] * len(cols)
-    if np.linalg.cond(unit) < 1e15:
-        inverse = np.linalg.inv(unit)
-        values = [round(float(v), 4) if np.isfinite(v) else None for v in np.diag(inverse)]
+    values: list[float | None] = []
+    for i in range(len(cols)):
+        rest = [j for j in range(len(cols)) if j != i]
+        explained = unit[i, rest] @ np.linalg.pinv(unit[np.ix_(rest, rest)], rcond=1e-12) @ unit[rest, i]
+        left = 1.0 - float(explained)  # share of the column that the others leave over
+        values.append(round(1.0 / left, 4) if left > 1e-12 else None)
     rows = df.sparkSession.createDataFrame(list(zip(cols, values)), "feature string, vif double")
     return rows.orderBy(F.desc_nulls_first("vif"), "feature")
 

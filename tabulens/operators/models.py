@@ -192,16 +192,15 @@ def fit_model(
 ) -> Fitted:
     """Fit one registered model on columns ``features`` and ``label``.
 
-    ``params`` hold the model's own parameters; for the ensembles, those of their forest.
+    ``params`` hold the model's own parameters; for the ensembles, a dict per member name.
     Stacking needs a ``fold`` column for its out-of-fold inputs.
     """
     name = BOOST if name in BOOST_NAMES else name
     if name not in REGISTRY[problem_type]:
         raise ValueError(f"model '{name}' is not available for {problem_type}")
     params = params or {}
-    fit = lambda kind, rows: _learner(
-        kind, problem_type, rows, classes, params if kind in (name, FOREST) else {}
-    ).fit(rows)
+    own = lambda kind: params if kind == name else params.get(kind, {})
+    fit = lambda kind, rows: _learner(kind, problem_type, rows, classes, own(kind)).fit(rows)
     if name not in (VOTING, STACKING):
         return Fitted(name, problem_type, {"m": fit(name, train)}, classes)
     bases = _base_names(name, problem_type)
@@ -220,7 +219,7 @@ def fit_model(
         oof.append(_stacked(out, _stack_inputs(list(bases), problem_type, classes)).select("features", "label"))
     final_name = LINEAR if problem_type == REGRESSION else LOGISTIC
     stacked = union_all(oof).persist()
-    parts["final"] = _learner(final_name, problem_type, stacked, classes, {}).fit(stacked)
+    parts["final"] = _learner(final_name, problem_type, stacked, classes, own(final_name)).fit(stacked)
     stacked.unpersist()
     return Fitted(name, problem_type, parts, classes)
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,29 +28,12 @@ BROADCAST_ROWS = 200_000  # rows of a lookup table that may be broadcast
 BROADCAST_BYTES = 32 * 1024 * 1024  # and the size of its keys
 HOT_SHARE = 1000  # a key above 1/HOT_SHARE of all rows is hot, so there are at most HOT_SHARE
 SALTS = 64
+INF = float("inf")
 
 
 # --- order statistics -------------------------------------------------------------------
 
 
-def _bucket(x: Column, bounds: list[float]) -> Column:
-    """How many of the sorted ``bounds`` are <= x; searched in two levels when there are many."""
-    if not bounds:
-        return F.lit(0)
-    if len(bounds) <= 64:
-        total = F.lit(0)
-        for b in bounds:
-            total = total + (x >= F.lit(b)).cast("int")
-        return total
-    step = math.isqrt(len(bounds))
-    heads = bounds[::step]
-    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    head = F.size(F.filter(F.array(*map(F.lit, heads)), lambda b: b <= x))
-    block = F.element_at(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), head)
-    inside = F.size(F.filter(block, lambda b: b <= x))
-    return F.when(head == 0, 0).otherwise((head - 1) * step + inside)
-
-
 def _sketch(x: Column, probs: list[float], accuracy: int) -> Column:
     """Approximate values a little below and a little above each probability."""
     slack = 2.0 / accuracy
@@ -57,42 +41,35 @@ def _sketch(x: Column, probs: list[float], accuracy: int) -> Column:
     return F.percentile_approx(x, F.array(*map(F.lit, around)), accuracy)
 
 
-def _probe(doubles: DataFrame, wanted: dict[str, list[int]], inside: dict, accuracy: int) -> dict:
-    """Approximate values around each wanted rank, per (column, interval) still too large."""
+def _probe(doubles: DataFrame, wanted: dict, large: list[tuple], accuracy: int) -> list[list[float]]:
+    """Approximate values around each wanted rank of the intervals that are still too large."""
     exprs = []
-    for (c, lo, hi), (before, size) in inside.items():
+    for c, lo, hi, before, size in large:
         ranks = [k - before for k in wanted[c] if before <= k < before + size]
-        x = F.when(_within(ref(c), lo, hi), ref(c))
+        x = F.when((ref(c) >= F.lit(lo)) & (ref(c) < F.lit(hi)), ref(c))
         exprs.append(_sketch(x, [r / max(size - 1, 1) for r in ranks], accuracy))
     row = doubles.agg(*[e.alias(f"p{i}") for i, e in enumerate(exprs)]).first()
-    return {key: list(row[i] or []) for i, key in enumerate(inside)}
-
-
-def _within(x: Column, lo, hi) -> Column:
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & (x >= lo)
-    if hi is not None:
-        cond = cond & (x < hi)
-    return cond & x.isNotNull()
-
-
-def _stacked(doubles: DataFrame, exprs: list[Column], name: str) -> DataFrame:
-    """(i, value) for every expression that is not NULL in a row, i its position."""
-    names = [str(i) for i in range(len(exprs))]
-    wide = doubles.select(*[e.alias(n) for e, n in zip(exprs, names)])
-    long = wide.unpivot([], [ref(n) for n in names], "i", name).where(ref(name).isNotNull())
-    return long.select(F.col("i").cast("int").alias("i"), name)
-
-
-def _cut(lo, hi, approx: list[float]) -> list[float]:
-    """New inner bounds from sketch values: each value and the next double after it."""
-    found = set()
-    for v in approx:
-        for b in (v, float(np.nextafter(v, np.inf))):
-            if (lo is None or b > lo) and (hi is None or b < hi):
-                found.add(b)
-    return sorted(found)
+    return [list(v or []) for v in row]
+
+
+def _cells(doubles: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """(i, cell, value): every value of the i-th column of ``edges`` with its cell between the edges."""
+    cols = list(edges)
+    wide = doubles.select(*[ref(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    cut = [i for i, c in enumerate(cols) if edges[c]]
+    if cut:
+        wide = Bucketizer(
+            splitsArray=[[-INF, *edges[cols[i]], INF] for i in cut],
+            inputCols=[f"v{i}" for i in cut],
+            outputCols=[f"b{i}" for i in cut],
+            handleInvalid="keep",
+        ).transform(wide)
+    parts = []
+    for i in range(len(cols)):
+        cell = F.col(f"b{i}").cast("int") if i in cut else F.lit(0)
+        parts += [F.lit(i), cell, F.col(f"v{i}")]
+    long = wide.select(F.stack(F.lit(len(cols)), *parts).alias("i", "cell", "value"))
+    return long.where("value is not null")
 
 
 def order_statistics(
@@ -104,76 +81,73 @@ def order_statistics(
 ) -> dict[str, dict[int, float]]:
     """Exact values at 0-based ranks per column of a frame of doubles.
 
-    ``first`` may hold sketch values already known per column. Each round narrows the intervals that hold a wanted rank by the sketch's
-    resolution; a value repeated in a third of all rows gets an interval of its own.
+    ``first`` may hold sketch values already known per column. Each round narrows the
+    intervals that hold a wanted rank by the sketch's resolution; a value repeated in a
+    third of all rows gets an interval of its own. Only counts per interval and the
+    wanted values reach the driver.
     """
     found: dict[str, dict[int, float]] = {c: {} for c in wanted}
-    # interval (column, lo, hi) -> (rows before it, rows in it)
-    todo = {(c, None, None): (0, sizes[c]) for c, ks in wanted.items() if ks and sizes[c]}
-    small: dict = {}
+    # intervals (column, lo, hi, rows before, rows inside), half open
+    todo = [(c, -INF, INF, 0, sizes[c]) for c, ks in wanted.items() if ks and sizes[c]]
+    small: list[tuple] = []
     while True:
-        small.update({k: v for k, v in todo.items() if v[1] <= SORT_LIMIT})
-        large = {k: v for k, v in todo.items() if v[1] > SORT_LIMIT}
+        small += [t for t in todo if t[4] <= SORT_LIMIT]
+        large = [t for t in todo if t[4] > SORT_LIMIT]
         if not large:
             break
-        if first:
-            approx = {key: first[key[0]] for key in large}
-            first = None
-        else:
-            approx = _probe(doubles, wanted, large, accuracy)
-        cuts = {key: _cut(key[1], key[2], approx[key]) for key in large}
-        cells = [
-            F.when(_within(ref(c), lo, hi), _bucket(ref(c), cuts[(c, lo, hi)]))
-            for c, lo, hi in large
-        ]
-        # at most (intervals x bounds) rows, both fixed by the request
-        counts = _stacked(doubles, cells, "cell").groupBy("i", "cell").count().collect()
-        todo = {}
-        for i, (key, (before, _)) in enumerate(large.items()):
-            c, lo, hi = key
-            edges = [lo, *cuts[key], hi]
-            per_cell = {r["cell"]: r["count"] for r in counts if r["i"] == i}
+        probes = [first[t[0]] for t in large] if first else _probe(doubles, wanted, large, accuracy)
+        first = None
+        edges: dict[str, set[float]] = {}
+        for (c, lo, hi, _, _), values in zip(large, probes):
+            near = {b for v in values for b in (float(v), float(np.nextafter(v, INF)))}
+            edges.setdefault(c, set()).update(b for b in (lo, hi, *near) if lo <= b <= hi and abs(b) < INF)
+        cuts = {c: sorted(e) for c, e in edges.items()}
+        # at most (columns x edges) rows, both fixed by the request
+        rows = _cells(doubles, cuts).groupBy("i", "cell").count().collect()
+        counts = {(r["i"], r["cell"]): r["count"] for r in rows}
+        index = {c: i for i, c in enumerate(cuts)}
+        todo = []
+        for c, lo, hi, before, _ in large:
+            bounds = [-INF, *cuts[c], INF]
             at = before
-            for j in range(len(edges) - 1):
-                n = per_cell.get(j, 0)
+            for j in range(bounds.index(lo), bounds.index(hi)):
+                a, b = bounds[j], bounds[j + 1]
+                n = counts.get((index[c], j), 0)
                 ks = [k for k in wanted[c] if at <= k < at + n]
-                if ks:
-                    a, b = edges[j], edges[j + 1]
-                    if a is not None and b is not None and np.nextafter(a, np.inf) == b:
-                        found[c].update({k: a for k in ks})
-                    else:
-                        todo[(c, a, b)] = (at, n)
+                if ks and np.nextafter(a, INF) == b:  # room for one value only
+                    found[c].update({k: a for k in ks})
+                elif ks:
+                    todo.append((c, a, b, at, n))
                 at += n
-    if small:
-        found = _pick(doubles, wanted, small, found)
-    return found
+    return _pick(doubles, wanted, small, found) if small else found
 
 
-def _pick(doubles: DataFrame, wanted: dict, small: dict, found: dict) -> dict:
+def _pick(doubles: DataFrame, wanted: dict, small: list[tuple], found: dict) -> dict:
     """Sort the values of the small intervals (each at most SORT_LIMIT rows) and read the ranks."""
-    cells = []
+    edges: dict[str, list[float]] = {}
+    for c in dict.fromkeys(t[0] for t in small):
+        mine = {b for t in small if t[0] == c for b in t[1:3] if abs(b) < INF}
+        edges[c] = sorted(mine)
+    index = {c: i for i, c in enumerate(edges)}
     targets = []
-    for (c, lo, hi), (before, n) in small.items():
-        cells.append(F.when(_within(ref(c), lo, hi), ref(c)))
-        ks = [k - before for k in wanted[c] if before <= k < before + n]
-        targets.append(F.array(*[F.lit(k).cast("bigint") for k in ks]))
-    counts = _stacked(doubles, cells, "value").groupBy("i", "value").count()
-    w = Window.partitionBy("i").orderBy("value")
-    upto = F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto).withColumn(
-        "ks", F.element_at(F.array(*targets), F.col("i") + 1)
+    for c, lo, hi, before, n in small:
+        cell = [-INF, *edges[c], INF].index(lo)
+        targets += [(index[c], cell, k - before, before) for k in wanted[c] if before <= k < before + n]
+    spark = doubles.sparkSession
+    marks = spark.createDataFrame(targets, "i int, cell int, k bigint, before bigint")
+    kept = _cells(doubles, edges)
+    cond = F.lit(False)
+    for i in index.values():
+        cond = cond | ((F.col("i") == i) & F.col("cell").isin(sorted({t[1] for t in targets if t[0] == i})))
+    counts = kept.where(cond).groupBy("i", "cell", "value").count()
+    w = Window.partitionBy("i", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("count").over(w))
+    hits = ranked.join(F.broadcast(marks), ["i", "cell"]).where(  # one row per wanted rank
+        (F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("count"))
     )
-    hits = ranked.select(
-        "i",
-        "value",
-        F.filter("ks", lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("count"))).alias(
-            "ks"
-        ),
-    ).where(F.size("ks") > 0)
-    keys = list(small.items())
-    for r in hits.collect():  # one row per wanted rank
-        (c, _, _), (before, _) = keys[r["i"]]
-        found[c].update({k + before: r["value"] for k in r["ks"]})
+    names = list(index)
+    for r in hits.select("i", "k", "before", "value").collect():
+        found[names[r["i"]]][r["k"] + r["before"]] = r["value"]
     return found
 
 

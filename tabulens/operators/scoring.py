@@ -36,7 +36,8 @@ def _class_names(fitted: Fitted, meta: Meta) -> list[str]:
 
 
 def predict_batch(
-    fitted: Fitted, meta: Meta, df: DataFrame, keep: list[str] | None = None, warn: bool = False
+    fitted: Fitted, meta: Meta, df: DataFrame, keep: list[str] | None = None, warn: bool = False,
+    digits: int = 6,
 ) -> DataFrame:
     """Predictions of raw rows: the class name or the number, with class probabilities.
 
@@ -47,12 +48,12 @@ def predict_batch(
         df = df.withColumn("_warnings", range_warnings(df, meta))
     scored = score_frame(fitted, meta, df, keep + (["_warnings"] if warn else []))
     if fitted.problem_type == REGRESSION:
-        out = [F.round("prediction", 6).alias("prediction")]
+        out = [F.round("prediction", digits).alias("prediction")]
     else:
         names = _class_names(fitted, meta)
         labels = F.array(*map(F.lit, names))
         pred = F.element_at(labels, F.col("prediction").cast("int") + 1)
-        probs = F.map_from_arrays(labels, F.transform("probs", lambda p: F.round(p, 6)))
+        probs = F.map_from_arrays(labels, F.transform("probs", lambda p: F.round(p, digits)))
         out = [pred.alias("prediction"), F.when(F.col("probs").isNotNull(), probs).alias("probabilities")]
     return scored.select(
         *[ref(k) for k in keep], *out, *([F.col("_warnings").alias("warnings")] if warn else [])

@@ -191,6 +191,7 @@ def reg_lasso(spark, folder):
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 SMALL_FOREST = {"trees": 10, "max_depth": 5}
+MEMBERS = {M.FOREST: SMALL_FOREST, M.LOGISTIC: {"max_iter": 50}}
 SMALL_BOOST = {"rounds": 10, "max_depth": 4}
 
 
@@ -253,22 +254,22 @@ def clf_boost(spark, folder):
 
 @plan("ens_voting")
 def ens_voting(spark, folder):
-    return _holdout(_reg_frame(spark, folder), M.VOTING, M.REGRESSION, params=SMALL_FOREST)
+    return _holdout(_reg_frame(spark, folder), M.VOTING, M.REGRESSION, params=MEMBERS)
 
 
 @plan("ens_voting_class")
 def ens_voting_class(spark, folder):
-    return _holdout(_cls_frame(spark, folder), M.VOTING, M.CLASSIFICATION, 2, SMALL_FOREST)
+    return _holdout(_cls_frame(spark, folder), M.VOTING, M.CLASSIFICATION, 2, MEMBERS)
 
 
 @plan("ens_stacking")
 def ens_stacking(spark, folder):
-    return _holdout(_reg_frame(spark, folder), M.STACKING, M.REGRESSION, params=SMALL_FOREST)
+    return _holdout(_reg_frame(spark, folder), M.STACKING, M.REGRESSION, params=MEMBERS)
 
 
 @plan("ens_stacking_class")
 def ens_stacking_class(spark, folder):
-    return _holdout(_cls_frame(spark, folder), M.STACKING, M.CLASSIFICATION, 2, SMALL_FOREST)
+    return _holdout(_cls_frame(spark, folder), M.STACKING, M.CLASSIFICATION, 2, MEMBERS)
 
 
 @plan("train_models")
@@ -392,12 +393,11 @@ def prediction_interval(spark, folder):
 @plan(
     "predict_batch",
     f"""WITH o AS ({OLD_SQL}), m AS (SELECT regr_slope(rev, l_extendedprice) AS b, regr_intercept(rev, l_extendedprice) AS a FROM o)
-    SELECT k, round(round(a + b * l_extendedprice, 6), 2) AS prediction FROM ({NEW_SQL}), m""",
+    SELECT k, round(a + b * l_extendedprice, 2) AS prediction FROM ({NEW_SQL}), m""",
 )
 def predict_batch(spark, folder):
     fitted, meta, _ = _linear(spark, folder, "l_extendedprice", old(spark, folder))
-    out = S.predict_batch(fitted, meta, new(spark, folder), ["k"])
-    return out.withColumn("prediction", F.round("prediction", 2))
+    return S.predict_batch(fitted, meta, new(spark, folder), ["k"], digits=2)
 
 
 @plan("predict_batch_class")
@@ -512,11 +512,10 @@ def save_load_model(spark, folder):
     "reduce_pca",
     f"""WITH t AS (SELECT l_extendedprice AS a, {REVENUE} AS b, l_quantity AS y FROM lineitem),
     z AS (SELECT (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b, y FROM t)
-    SELECT round(round((a + b) / sqrt(2), 4), 3) AS x, round(round((a - b) / sqrt(2), 4), 3) AS y, y AS target FROM z""",
+    SELECT round((a + b) / sqrt(2), 4) AS x, round((a - b) / sqrt(2), 4) AS y, y AS target FROM z""",
 )
 def reduce_pca(spark, folder):
-    out = X.reduce_pca(lines(spark, folder), ["l_extendedprice", "rev"], "l_quantity")
-    return out.select(F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "target")
+    return X.reduce_pca(lines(spark, folder), ["l_extendedprice", "rev"], "l_quantity")
 
 
 @plan(
@@ -537,7 +536,7 @@ def reduce_pca_embeddings(spark, folder):
 @plan(
     "stream_score",
     """WITH m AS (SELECT regr_slope(value, user_id) AS b, regr_intercept(value, user_id) AS a FROM events)
-    SELECT event_id, round(round(a + b * user_id, 6), 4) AS prediction FROM events, m""",
+    SELECT event_id, round(a + b * user_id, 4) AS prediction FROM events, m""",
 )
 def stream_score(spark, folder):
     events = table(spark, folder, "events")
@@ -545,8 +544,7 @@ def stream_score(spark, folder):
     frame = M.assembled(MT.apply_meta(events, meta, with_target=True), ["user_id"], ["label"])
     fitted = M.fit_model(M.LINEAR, frame, M.REGRESSION)
     stream = read_stream(spark, folder, events.schema, "events.parquet")
-    out = score_available(fitted, meta, stream, ["event_id"])
-    return out.withColumn("prediction", F.round("prediction", 4))
+    return score_available(fitted, meta, stream, ["event_id"], digits=4)
 
 
 @plan("stream_score_class")

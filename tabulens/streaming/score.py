@@ -30,10 +30,11 @@ def stream_score(
     checkpoint: str,
     keep: list[str] | None = None,
     available_now: bool = False,
+    digits: int = 6,
 ) -> StreamingQuery:
     """Append predictions of each micro-batch as Parquet; stateless and exactly once per file."""
     writer = (
-        predict_batch(fitted, meta, stream, keep)
+        predict_batch(fitted, meta, stream, keep, digits=digits)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
@@ -45,11 +46,11 @@ def stream_score(
 
 
 def score_available(
-    fitted: Fitted, meta: Meta, stream: DataFrame, keep: list[str] | None = None
+    fitted: Fitted, meta: Meta, stream: DataFrame, keep: list[str] | None = None, digits: int = 6
 ) -> DataFrame:
     """Score all input available now through the stream and read the sink back."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    query = stream_score(fitted, meta, stream, f"{base}/out", f"{base}/state", keep, available_now=True)
+    query = stream_score(fitted, meta, stream, f"{base}/out", f"{base}/state", keep, True, digits)
     query.awaitTermination()
     return spark.read.parquet(f"{base}/out")

@@ -7,16 +7,23 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.columns import dtype_of, is_integral, ref
 
-# The multiplier is odd, so the map is one-to-one below 2**31.
+# Both multipliers are odd, so every step is one-to-one below 2**31, and no
+# product leaves 64 bits.
 MULTIPLIER = 2654435761
+SECOND_MULTIPLIER = 1540483477
 MODULUS = 4294967296
 KEY_RANGE = 2147483648
 
 
 def spread(key: Column, seed: int = 0) -> Column:
-    """Multiplicative hash of an integer key into [0, 2**32), within 64-bit arithmetic."""
+    """Hash of an integer key into [0, 2**32): multiply, fold the high bits in, multiply.
+
+    The middle step matters: without it another seed would only rotate the order, and
+    folds would line up with the split.
+    """
     k = F.pmod(key.cast("bigint"), F.lit(KEY_RANGE)) + F.lit(seed)
-    return F.pmod(k * F.lit(MULTIPLIER), F.lit(MODULUS))
+    h = F.pmod(k * F.lit(MULTIPLIER), F.lit(MODULUS))
+    return F.pmod(h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(SECOND_MULTIPLIER), F.lit(MODULUS))
 
 
 def row_order(df: DataFrame, key: str, seed: int = 0) -> Column:
@@ -26,6 +33,12 @@ def row_order(df: DataFrame, key: str, seed: int = 0) -> Column:
     return F.xxhash64(ref(key), F.lit(seed))
 
 
+def slot(df: DataFrame, key: str, n: int, seed: int = 0) -> Column:
+    """One of n slots from the leading bits of the row hash."""
+    unit = F.pmod(row_order(df, key, seed), F.lit(MODULUS)).cast("double") / F.lit(float(MODULUS))
+    return F.floor(unit * n).cast("int")
+
+
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the leading 32 bits of an md5 over the parts."""
     digest = F.md5(F.concat_ws("_", *[p.cast("string") for p in parts]).cast("binary"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import ref, union_all
-from tabulens.functions.hashing import row_order, sample_n, uniform
+from tabulens.functions.hashing import sample_n, slot, uniform
 from tabulens.functions.moments import ratio
 from tabulens.operators.ranks import running_totals
 
@@ -295,7 +295,7 @@ def bootstrap_ci(
     the rows. Blocks are random groups of rows of like size, which keeps the spread of
     the metrics that of row resampling.
     """
-    block = F.pmod(row_order(scored, key, seed), F.lit(BLOCKS)).alias("block")
+    block = slot(scored, key, BLOCKS, seed).alias("block")
     if problem_type == "regression":
         y, p = ref(actual).cast("double"), ref(predicted).cast("double")
         centre = scored.agg(F.avg(y).alias("c")).first()["c"] or 0.0

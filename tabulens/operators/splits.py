@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import ref
-from tabulens.functions.hashing import MODULUS, row_order
+from tabulens.functions.hashing import row_order, slot
 from tabulens.operators.ranks import order_statistics, running_totals
 
 # Defaults and limits of the splits.
@@ -45,9 +45,7 @@ def train_test_split(
 
 def kfold_assign(df: DataFrame, key: str, k: int = FOLDS, seed: int = SEED, name: str = "fold") -> DataFrame:
     """Fold 0..k-1 from the leading bits of the row hash; no shuffle."""
-    h = row_order(df, key, seed)
-    unit = F.pmod(h, F.lit(MODULUS)).cast("double") / F.lit(float(MODULUS))
-    return df.withColumn(name, F.floor(unit * k).cast("int"))
+    return df.withColumn(name, slot(df, key, k, seed))
 
 
 def stratified_kfold_assign(

@@ -204,7 +204,7 @@ _CI = "SELECT '{m}' AS metric, round(quantile_cont({m}, 0.025), 3) AS ci_lower,
 
 @plan(
     "bootstrap_ci",
-    f"""WITH t AS (SELECT ({hash_sql('k')}) % 1024 AS block, y, fit, (SELECT avg(y) FROM ({SCORED_SQL})) AS c FROM ({SCORED_SQL})),
+    f"""WITH t AS (SELECT CAST(floor(({hash_sql('k')}) / 4294967296.0::DOUBLE * 1024) AS INT) AS block, y, fit, (SELECT avg(y) FROM ({SCORED_SQL})) AS c FROM ({SCORED_SQL})),
     s AS (SELECT block, count(*) AS n, sum(y - c) AS d, sum((y - c) * (y - c)) AS dd, sum(abs(y - fit)) AS ae,
           sum((y - fit) * (y - fit)) AS ee FROM t GROUP BY block),
     {_REPLICAS.format(blocks='s', poisson=_POISSON)},
@@ -219,7 +219,7 @@ def bootstrap_ci(spark, folder):
 
 @plan(
     "bootstrap_ci_class",
-    f"""WITH s AS (SELECT ({hash_sql('k')}) % 1024 AS block, flag, flag_fit, count(*) AS n FROM ({SCORED_SQL}) GROUP BY ALL),
+    f"""WITH s AS (SELECT CAST(floor(({hash_sql('k')}) / 4294967296.0::DOUBLE * 1024) AS INT) AS block, flag, flag_fit, count(*) AS n FROM ({SCORED_SQL}) GROUP BY ALL),
     {_REPLICAS.format(blocks='s', poisson=_POISSON)},
     c AS (SELECT b, flag AS a, flag_fit AS p, sum(w * n) AS n FROM w GROUP BY ALL),
     k AS (SELECT b, a AS l, sum(n) AS s, sum(n) FILTER (a = p) AS tp FROM c GROUP BY b, a),

@@ -53,4 +53,5 @@ def lines(spark: SparkSession, folder: str, *cols: str) -> DataFrame:
 
 
 def hash_sql(key: str, seed: int = 42) -> str:
-    return f"((({key}) % 2147483648 + {seed}) * 2654435761) % 4294967296"
+    h = f"(((({key}) % 2147483648 + {seed}) * 2654435761) % 4294967296)"
+    return f"(xor({h}, {h} >> 15) * 1540483477) % 4294967296"

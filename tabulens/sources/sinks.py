@@ -12,7 +12,7 @@ from tabulens.operators.models import Fitted, load_fitted, save_fitted
 def predictions_table(predictions: DataFrame, classes: list[str] | None = None) -> DataFrame:
     """prediction and one prob_<class> column per class, 6 digits."""
     probs = [
-        F.format_number(F.element_at("probabilities", F.lit(c)), "0.000000").alias(f"prob_{c}")
+        F.format_string("%.6f", F.element_at("probabilities", F.lit(c))).alias(f"prob_{c}")
         for c in (classes or [])
     ]
     return predictions.select("prediction", *probs)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.hashing import sample_n
 from tabulens.operators import ranks as R
-from tabulens.operators.splits import split_flag, stratified_kfold_assign
+from tabulens.operators.splits import kfold_assign, split_flag, stratified_kfold_assign
 
 
 def hot_values(n=3000, seed=1):
@@ -79,3 +79,12 @@ def test_split_is_exact_and_stratified_folds_are_even(spark, monkeypatch):
         assert len(part) == 5 and part["count"].max() - part["count"].min() <= 1
     with pytest.raises(ValueError):
         split_flag(df, "id", 0.7)
+
+
+def test_folds_do_not_line_up_with_the_split(spark):
+    df = split_flag(spark.range(4000), "id", 0.2)
+    got = kfold_assign(kfold_assign(df, "id", 5, 43, "a"), "id", 5, 44, "b").toPandas()
+    for c in ("a", "b"):
+        share = got.groupby(c).is_test.mean()
+        assert len(share) == 5 and share.between(0.13, 0.27).all()
+    assert (got.groupby(["a", "b"]).size() > 100).sum() == 25

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabulens.functions.columns import dtype_of, is_numeric, ref, require_columns, rows_of, union_all
 from tabulens.functions.moments import pearson, ratio
 from tabulens.operators.correlation import prepare_features, signed, with_ranks
-from tabulens.operators.engineer import edge_code, quantile_edges
+from tabulens.operators.engineer import quantile_edges, with_codes
 from tabulens.operators.profile import (
     CLASSIFICATION,
     REGRESSION,
@@ -72,8 +72,10 @@ def score_mutual_info(
         exact.add(target)
     binned = [c for c in [*feats, target] if c not in exact]
     edges = quantile_edges(prepared, binned, bins) if binned else {}
-    code = lambda c: ref(c) if c in exact else edge_code(ref(c), edges[c][1:-1])
-    coded = prepared.select(
+    inner = {c: edges[c][1:-1] for c in binned}
+    names = {c: f"_bin{i}" for i, c in enumerate(binned)}
+    code = lambda c: ref(names[c]) if c in names else ref(c)
+    coded = with_codes(prepared, inner, names).select(
         *[code(c).cast("bigint").alias(c) for c in feats], code(target).cast("bigint").alias("_by")
     )
     cells = (

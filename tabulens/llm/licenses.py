@@ -123,7 +123,8 @@ def word_frequency(df: DataFrame, vocabulary: frozenset[str], id_col: str = "doc
             for text in pdf["text"]:
                 for _, held in blocks_of(text, vocabulary):
                     n.update(held)
-        yield pd.DataFrame({"word": list(n), "n": list(n.values())})
+        if n:
+            yield pd.DataFrame({"word": list(n), "n": list(n.values())})
 
     counts = documents(df, id_col, text_col).select("text").mapInPandas(count, "word string, n bigint")
     found = {r.word: r.n for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}

@@ -22,7 +22,7 @@ from tabulens.llm.common import documents, filesystem, new_folder, put_file, set
 
 END_ID = 1
 SHARD_IDS = 1 << 22  # ids after which a shard is closed
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000  # about 250 MB a worker
 LONG_WORD = 64
 SELECT_STEP = 256
 MAX_TASKS = 10_000  # of a read; a task may read several shards

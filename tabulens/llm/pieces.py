@@ -12,6 +12,7 @@ The weight of a piece is (rank + 1) ** -alpha: the vocabulary lists pieces by ra
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
@@ -25,9 +26,8 @@ from tabulens.llm.common import documents
 SPACE = "▁"
 ALPHA = 1.0
 SEED = 42
-CHUNK_CHARS = 2_000_000  # of texts sampled together
-CACHE_UNITS = 200_000
-LONG_UNIT = 48
+CHUNK_CHARS = 1_000_000  # of texts sampled together; a longer text is sampled by itself
+CHARACTERS = 1 << 21  # code points, and one value that no piece has
 UNIT = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
 
@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """The pieces of a model file, with weights, and sampling over texts."""
+    """The pieces of a model file as a trie with weights, and sampling over texts."""
 
     def __init__(self, path: str, alpha: float = ALPHA, seed: int = SEED):
         from sentencepiece import SentencePieceProcessor
@@ -63,101 +63,133 @@ class Lattice:
             self.bytes_of.append(data)
         if (self.byte_ids < 0).any():
             raise ValueError("the model has no byte pieces, so decoding would lose characters")
-        self.byte_weight = (len(self.ids) + 1) ** -alpha
-        self.longest = max(map(len, self.ids))
-        self.known: dict[str, tuple] = {}
-
-    def table(self, unit: str) -> tuple[int, list, list, list]:
-        """Length, and the edges by end position: (end + share summed up), start, code.
-
-        The code of an edge is a piece id, or -1 minus the character that is spelled in bytes.
+        self.byte_log = math.log((len(self.ids) + 1) ** -alpha)
+        steps: dict[int, int] = {}  # node and next character to node; node 0 is the root
+        self.piece_at, self.log_at = [-1], [0.0]
+        for piece, i in self.ids.items():
+            node = 0
+            for c in piece:
+                key = node * CHARACTERS + ord(c)
+                node = steps.setdefault(key, len(self.piece_at))
+                if node == len(self.piece_at):
+                    self.piece_at.append(-1)
+                    self.log_at.append(0.0)
+            self.piece_at[node], self.log_at[node] = i, math.log(self.weight[piece])
+        self.step_keys = np.array(sorted(steps), np.int64)
+        self.step_nodes = np.array([steps[k] for k in sorted(steps)], np.int64)
+        self.piece_at, self.log_at = np.array(self.piece_at), np.array(self.log_at)
+
+    def _edges(self, text: str, size: np.ndarray):
+        """(start, end, code, log weight) of all pieces in the units that ``text`` joins; end is exclusive.
+
+        A code below 0 is -1 minus a character that is spelled in bytes.
+        """
+        chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+        unit_end = np.repeat(np.cumsum(size), size)
+        read = np.where(chars == 32, ord(SPACE), np.where(chars == ord(SPACE), CHARACTERS - 1, chars))
+        at, node, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), []
+        alone = np.zeros(len(chars), bool)
+        for length in itertools.count(1):
+            inside = at + length <= unit_end[at]
+            at, node = at[inside], node[inside]
+            if not len(at):
+                break
+            key = node * CHARACTERS + read[at + length - 1]
+            step = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
+            hit = self.step_keys[step] == key
+            at, node = at[hit], self.step_nodes[step[hit]]
+            ends = self.piece_at[node] >= 0
+            found.append((at[ends], at[ends] + length, self.piece_at[node[ends]], self.log_at[node[ends]]))
+            if length == 1:
+                alone[at[ends]] = True
+        odd = np.flatnonzero(~alone)
+        c = chars[odd]
+        n_bytes = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+        found.append((odd, odd + 1, -1 - c, n_bytes * self.byte_log))
+        return (np.concatenate(x) for x in zip(*found))
+
+    def _filtered(self, units: list[str]):
+        """Forward pass over all units at once, by end position within the unit.
+
+        State: unit and position. Returns the length and first state of each unit, the first edge
+        into each state, and of each edge the share summed up within its state, the start, the code.
         """
-        word = unit.lstrip(" ")
-        spaces = len(unit) - len(word)
-        text, marked = SPACE * spaces + word, SPACE in word
-        total, keys, starts, codes = [0.0], [], [], []  # logs of the summed weights
-        for end in range(1, len(text) + 1):
-            edges = []
-            for start in range(max(0, end - self.longest), end):
-                part = text[start:end]
-                weight = self.weight.get(part)
-                if weight is not None and not (marked and SPACE in text[max(start, spaces) : end]):
-                    edges.append((total[start] + math.log(weight), start, self.ids[part]))
-            if not edges or edges[-1][1] != end - 1:
-                n = len(text[end - 1].encode())
-                edges.append((total[end - 1] + n * math.log(self.byte_weight), end - 1, -1 - ord(text[end - 1])))
-            top = max(e[0] for e in edges)
-            shares = [math.exp(e[0] - top) for e in edges]
-            whole = sum(shares)
-            total.append(top + math.log(whole))
-            below = 0.0
-            for (_, start, code), share in zip(edges, shares):
-                below += share / whole
-                keys.append(end + below)
-                starts.append(start)
-                codes.append(code)
-            keys[-1] = end + 1.0
-        return len(text), keys, starts, codes
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        base = np.cumsum(size + 1) - (size + 1)
+        start, end, code, log_weight = self._edges("".join(units), size)
+        state = np.arange(size.sum()) + np.repeat(np.arange(len(units)), size)
+        place = state - np.repeat(base, size)
+        into, level = state[end - 1] + 1, place[end - 1] + 1
+        order = np.lexsort((into, level))
+        start, into, code, log_weight, level = (x[order] for x in (state[start], into, code, log_weight, level))
+        total, share = np.zeros(len(state) + len(units)), np.empty(len(into))
+        first = np.zeros(len(total), np.int64)
+        cuts = np.flatnonzero(np.r_[True, level[1:] != level[:-1], True]) if len(level) else np.zeros(1, np.int64)
+        for a, b in zip(cuts, cuts[1:]):
+            value, to = total[start[a:b]] + log_weight[a:b], into[a:b]
+            heads = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+            n = np.diff(np.r_[heads, b - a])
+            top = np.maximum.reduceat(value, heads)
+            value = np.exp(value - np.repeat(top, n))
+            whole = np.add.reduceat(value, heads)
+            total[to[heads]], first[to[heads]] = top + np.log(whole), a + heads
+            value = np.cumsum(value / np.repeat(whole, n))
+            value -= np.repeat(np.r_[0.0, value[heads[1:] - 1]], n)
+            value[heads + n - 1] = 1.0
+            share[a:b] = value
+        return size, base, first, share, start, code
 
     def sample(self, keys, texts) -> list[np.ndarray]:
         """Ids of a sampled segmentation of each text; equal keys and texts give equal samples."""
         from xxhash import xxh64_intdigest
 
-        out, some, size = [], [], 0
-        for key, text in zip(keys, texts):
-            some.append((xxh64_intdigest(str(key), self.seed), UNIT.findall(" " + text)))
-            size += len(text)
-            if size > CHUNK_CHARS:
-                out += self._sample(some)
-                some, size = [], 0
-        return out + self._sample(some) if some else out
-
-    def _tables(self, units: list[str]):
-        if len(self.known) > CACHE_UNITS:
-            self.known = {}
-        tables = []
-        for u in units:
-            t = self.known.get(u)
-            if t is None:
-                t = self.table(u)
-                if len(u) <= LONG_UNIT:
-                    self.known[u] = t
-            tables.append(t)
-        size = np.array([t[0] for t in tables])
-        base = np.cumsum(size + 1) - (size + 1)
-        edges = np.array([len(t[1]) for t in tables])
-        shift = np.repeat(base, edges)
-        keys = np.fromiter((k for t in tables for k in t[1]), np.float64, edges.sum()) + shift
-        starts = np.fromiter((k for t in tables for k in t[2]), np.int64, edges.sum()) + shift
-        codes = np.fromiter((k for t in tables for k in t[3]), np.int64, edges.sum())
-        return size, base, keys, starts, codes
-
-    def _sample(self, some: list[tuple[int, list[str]]]) -> list[np.ndarray]:
-        flat = [u for _, units in some for u in units]
+        parts: list[list[np.ndarray]] = []
+        seeds, owners, begins, units, held = [], [], [], [], 0
+        for doc, (key, text) in enumerate(zip(keys, texts)):
+            seed, begin = xxh64_intdigest(str(key), self.seed), 0
+            parts.append([])
+            for unit in UNIT.findall(" " + text):
+                seeds.append(seed)
+                owners.append(doc)
+                begins.append(begin)
+                units.append(unit)
+                begin += len(unit)
+            held += begin
+            if held >= CHUNK_CHARS:
+                self._sample(seeds, owners, begins, units, parts)
+                seeds, owners, begins, units, held = [], [], [], [], 0
+        if units:
+            self._sample(seeds, owners, begins, units, parts)
+        return [self._spelled(np.concatenate(p)) for p in parts]
+
+    def _sample(self, seeds, owners, begins, flat, parts) -> None:
+        """Walk back from the end of every unit, all at once; adds each document's codes to ``parts``."""
         number = {u: i for i, u in enumerate(dict.fromkeys(flat))}
         unit = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        size, base, keys, starts, codes = self._tables(list(number))
-        per_doc = np.array([len(units) for _, units in some])
-        doc_first = np.cumsum(per_doc) - per_doc
-        begin = np.cumsum(size[unit]) - size[unit]  # character offset of each unit
-        begin -= np.repeat(begin[doc_first], per_doc)
-        seeds = np.repeat(np.array([s for s, _ in some], np.uint64), per_doc)
-        left, at, steps, found = np.arange(len(flat)), base[unit] + size[unit], np.zeros(len(flat), np.int64), []
+        size, base, first, share, starts, codes = self._filtered(list(number))
+        seeds, begin, base = np.array(seeds, np.uint64), np.array(begins), base[unit]
+        left, at, steps, found = np.arange(len(flat)), base + size[unit], np.zeros(len(flat), np.int64), []
         while len(left):
-            here = at - base[unit[left]]
-            random = (mix(seeds[left] + mix((begin[left] + here).astype(np.uint64))) >> np.uint64(11)) * 2.0**-53
-            edge = np.searchsorted(keys, at + random, side="right")
-            found.append((left, steps[left].copy(), codes[edge]))
+            position = (begin[left] + at - base[left]).astype(np.uint64)
+            random = (mix(seeds[left] + mix(position)) >> np.uint64(11)) * 2.0**-53
+            edge = first[at]
+            above = np.flatnonzero(share[edge] <= random)
+            while len(above):
+                edge[above] += 1
+                above = above[share[edge[above]] <= random[above]]
+            found.append((left, steps[left], codes[edge]))
             steps[left] += 1
             at = starts[edge]
-            more = at > base[unit[left]]
+            more = at > base[left]
             left, at = left[more], at[more]
         ends = np.cumsum(steps)
-        ids = np.empty(ends[-1] if len(ends) else 0, np.int64)
+        ids = np.empty(ends[-1], np.int64)
         for who, step, code in found:  # sampled from the last piece to the first
             ids[ends[who] - 1 - step] = code
-        doc_ends = ends[doc_first + per_doc - 1]
-        return [self._spelled(x) for x in np.split(ids, doc_ends[:-1])]
+        owners = np.array(owners)
+        last = np.flatnonzero(np.r_[owners[1:] != owners[:-1], True])
+        for doc, codes_of in zip(owners[last], np.split(ids, ends[last][:-1])):
+            parts[doc].append(codes_of)
 
     def _spelled(self, ids: np.ndarray) -> np.ndarray:
         """Replace the characters among the ids by their byte pieces."""

@@ -19,9 +19,14 @@ def spread(key: Column, seed: int = 0) -> Column:
     """Hash of an integer key into [0, 2**32): multiply, fold the high bits in, multiply.
 
     The middle step matters: without it another seed would only rotate the order, and
-    folds would line up with the split.
+    folds would line up with the split. Bits from the 32nd on are multiplied and folded into
+    the lower 31 first, so keys that differ only there are spread as well.
     """
-    k = F.pmod(key.cast("bigint"), F.lit(KEY_RANGE)) + F.lit(seed)
+    low = F.lit(KEY_RANGE - 1)
+    key = key.cast("bigint")
+    upper = F.shiftrightunsigned(key, 31)
+    upper = upper.bitwiseAND(low).bitwiseXOR(F.shiftright(upper, 31)) * F.lit(SECOND_MULTIPLIER)
+    k = key.bitwiseAND(low).bitwiseXOR(upper.bitwiseAND(low)) + F.lit(seed)
     h = F.pmod(k * F.lit(MULTIPLIER), F.lit(MODULUS))
     return F.pmod(h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(SECOND_MULTIPLIER), F.lit(MODULUS))
 

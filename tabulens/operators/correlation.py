@@ -132,6 +132,8 @@ def _pair_counts(pairs: DataFrame, many: bool) -> DataFrame:
         "b",
         "n",
     )
+    # the sums depend on these keys only, so a group has at most 8 rows for each of its ranks
+    rows = rows.groupBy(*keys, "digit", "b").agg(F.sum("n").alias("n"))
     of = lambda d: F.when(F.col("digit") == d, F.col("n")).otherwise(0)
     lower = range(size - 1)
     below = Window.partitionBy(*keys).orderBy("b").rangeBetween(Window.unboundedPreceding, -1)

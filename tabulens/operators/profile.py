@@ -114,28 +114,20 @@ def few_distinct(df: DataFrame, cols: list[str], limit: int) -> dict[str, int]:
     return {c: exact.get(c, rough[c]) for c in cols}
 
 
-def _looks_like_date(df: DataFrame, cols: list[str], order_by: str | None) -> DataFrame:
-    """(column, is_date): do the first five non-missing values all read as dates in one format?"""
-    samples = []
-    for c in cols:
-        order = ref(order_by) if order_by else ref(c)
-        samples.append(
-            df.where(ref(c).isNotNull())
-            .orderBy(order)
-            .limit(5)
-            .select(F.lit(c).alias("column"), ref(c).cast("string").alias("value"))
-        )
-    parsed = union_all(samples).groupBy("column").agg(
+def _looks_like_date(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, is_date): do all non-missing values read as dates in one format? One scan."""
+    values = df.select(*[ref(c) for c in cols]).unpivot([], [ref(c) for c in cols], "column", "value")
+    parsed = values.where("value is not null").groupBy("column").agg(
         F.greatest(
             *[F.min(F.try_to_timestamp("value", F.lit(f)).isNotNull()) for f in DATE_FORMATS]
         ).alias("is_date")
     )
     empty = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    # an empty sample reads as a date, as it does for the usual date parsers
+    # a column without values reads as a date, as it does for the usual date parsers
     return empty.join(parsed, "column", "left").withColumn("is_date", F.coalesce("is_date", F.lit(True)))
 
 
-def classify_columns(df: DataFrame, order_by: str | None = None) -> DataFrame:
+def classify_columns(df: DataFrame) -> DataFrame:
     """(column, dtype, column_type) by the type rules."""
     ints = [f.name for f in df.schema.fields if is_integral(f.dataType)]
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -161,7 +153,7 @@ def classify_columns(df: DataFrame, order_by: str | None = None) -> DataFrame:
     out = rows_of(df, rows)
     if not texts:
         return out
-    dates = _looks_like_date(df, texts, order_by)
+    dates = _looks_like_date(df, texts)
     return out.join(F.broadcast(dates), "column", "left").select(
         "column",
         "dtype",
@@ -302,9 +294,9 @@ def profile_nulls_distinct(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
-def profile_columns(df: DataFrame, approx: bool = False, order_by: str | None = None) -> DataFrame:
+def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
     """The whole column profile, one row per column."""
-    out = classify_columns(df, order_by).join(profile_nulls_distinct(df, approx), "column")
+    out = classify_columns(df).join(profile_nulls_distinct(df, approx), "column")
     if numeric_columns(df):
         out = out.join(profile_numeric(df), "column", "left")
     if text_columns(df):

@@ -87,6 +87,16 @@ def order_statistics(
     wanted values reach the driver.
     """
     found: dict[str, dict[int, float]] = {c: {} for c in wanted}
+    # +inf is no edge of an interval, so its ranks are answered from its count
+    infinite = doubles.agg(*[F.count_if(ref(c) == INF).alias(f"n{i}") for i, c in enumerate(wanted)]).first() if wanted else ()
+    top = {c: n for c, n in zip(wanted, infinite) if n}
+    if top:
+        below = {c: sizes[c] - top.get(c, 0) for c in wanted}
+        for c in top:
+            found[c] = {k: INF for k in wanted[c] if k >= below[c]}
+        wanted = {c: [k for k in ks if k < below[c]] for c, ks in wanted.items()}
+        sizes = {**sizes, **below}
+        doubles = doubles.withColumns({c: F.when(ref(c) < INF, ref(c)) for c in top})
     # intervals (column, lo, hi, rows before, rows inside), half open
     todo = [(c, -INF, INF, 0, sizes[c]) for c, ks in wanted.items() if ks and sizes[c]]
     small: list[tuple] = []

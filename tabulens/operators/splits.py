@@ -16,7 +16,6 @@ TEST_SIZE = 0.2
 TEST_SIZE_ALLOWED = (0.05, 0.5)
 SEED = 42
 FOLDS = 5
-LEAVE_ONE_OUT_ROWS = 200
 
 
 def split_flag(
@@ -24,7 +23,8 @@ def split_flag(
 ) -> DataFrame:
     """Mark ceil(n * test_size) rows as test rows, by hash order of a unique key.
 
-    The cut is the exact order statistic of the hash, found without sorting the rows.
+    The cut is the exact order statistic of the hash, found without sorting the rows. Rows that
+    share the hash of the cut, few of any key, are told apart by the key.
     """
     if not TEST_SIZE_ALLOWED[0] <= test_size <= TEST_SIZE_ALLOWED[1]:
         raise ValueError("test_size must be between 0.05 and 0.5")
@@ -33,7 +33,13 @@ def split_flag(
     n = hashed.count()
     rank = math.ceil(n * test_size) - 1
     cut = order_statistics(hashed, {"h": [rank]}, {"h": n})["h"][rank]
-    return df.withColumn(name, order.cast("double") <= F.lit(cut))
+    below, at = hashed.agg(F.count_if(F.col("h") < cut), F.count_if(F.col("h") == cut)).first()
+    flag = order.cast("double") <= F.lit(cut)
+    if below + at > rank + 1:
+        tied = df.where(order.cast("double") == F.lit(cut)).select(ref(key).alias("k")).orderBy("k")
+        last = tied.limit(rank + 1 - below).agg(F.max("k")).first()[0]
+        flag = (order.cast("double") < F.lit(cut)) | ((order.cast("double") == F.lit(cut)) & (ref(key) <= F.lit(last)))
+    return df.withColumn(name, flag)
 
 
 def train_test_split(
@@ -72,12 +78,10 @@ def cv_assign(
     label: str = "label",
     seed: int = SEED,
 ) -> tuple[DataFrame, int]:
-    """Folds by strategy name; leave-one-out falls back to k folds above 200 rows."""
+    """Folds by strategy name and their number; leave-one-out gives every row a fold of its own."""
     if strategy == "stratified_k_fold" and problem_type == "classification":
         return stratified_kfold_assign(df, label, key, k, seed), k
     if strategy == "loo":
-        n = df.count()
-        if n <= LEAVE_ONE_OUT_ROWS:
-            one = running_totals(df.withColumn("_h", row_order(df, key, seed)), [F.col("_h"), ref(key)], {}, number="fold")
-            return one.drop("_h"), n
+        one = running_totals(df.withColumn("_h", row_order(df, key, seed)), [F.col("_h"), ref(key)], {}, number="fold")
+        return one.drop("_h"), df.count()
     return kfold_assign(df, key, k, seed), k

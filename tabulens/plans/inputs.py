@@ -53,5 +53,7 @@ def lines(spark: SparkSession, folder: str, *cols: str) -> DataFrame:
 
 
 def hash_sql(key: str, seed: int = 42) -> str:
-    h = f"(((({key}) % 2147483648 + {seed}) * 2654435761) % 4294967296)"
+    key = f"({key})::BIGINT"
+    upper = f"(xor(({key} >> 31) & 2147483647, {key} >> 62) * 1540483477) & 2147483647"
+    h = f"(((xor({key} & 2147483647, {upper}) + {seed}) * 2654435761) % 4294967296)"
     return f"(xor({h}, {h} >> 15) * 1540483477) % 4294967296"

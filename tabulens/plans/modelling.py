@@ -125,6 +125,20 @@ def train_test_split(spark, folder):
     return SP.split_flag(table(spark, folder, "orders"), "o_orderkey").select("o_orderkey", "is_test")
 
 
+WIDE_KEY = "o_orderkey * 4294967296"  # keys that differ in their upper bits only
+
+
+@plan(
+    "train_test_split_wide_keys",
+    f"""WITH t AS (SELECT {WIDE_KEY} AS k FROM orders)
+    SELECT k, row_number() OVER (ORDER BY {hash_sql('k')}, k) <= ceil((SELECT count(*) FROM orders) * 0.2) AS is_test,
+      CAST(floor(({hash_sql('k')}) / 4294967296.0::DOUBLE * 5) AS INT) AS fold FROM t""",
+)
+def train_test_split_wide_keys(spark, folder):
+    src = table(spark, folder, "orders").selectExpr(f"{WIDE_KEY} AS k")
+    return SP.kfold_assign(SP.split_flag(src, "k"), "k")
+
+
 @plan(
     "kfold_assign",
     f"SELECT o_orderkey, CAST(floor(({hash_sql('o_orderkey')}) / 4294967296.0::DOUBLE * 5) AS INT) AS fold FROM orders",

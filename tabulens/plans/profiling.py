@@ -42,6 +42,7 @@ TEXTS = {
     "o_orderkey": "CAST(o_orderkey AS {s})",
     "price": "CASE WHEN o_orderkey % 10 = 0 THEN 'NaN' ELSE CAST(o_totalprice AS {s}) END",
     "cust": "CASE WHEN o_orderkey % 9 = 0 THEN 'NA' ELSE CAST(o_custkey AS {s}) END",
+    "wide_id": "CAST(1234567890123456789 + o_orderkey AS {s})",
     "flag": "CASE WHEN o_orderkey % 8 = 0 THEN '' WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END",
     "status": "CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE o_orderstatus END",
     "nothing": "CASE WHEN o_orderkey % 2 = 0 THEN 'null' ELSE 'None' END",

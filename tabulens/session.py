@@ -26,8 +26,8 @@ def local_session(cores: str = "8", memory: str = "8g", name: str = "tabulens")
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediates.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may
-    fall back to a temporary folder, since executors there share the disk.
+    The session names it in ``spark.checkpoint.dir``. Only a local master, where all tasks run in
+    one process, may fall back to a temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -35,9 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="tabulens-")
+        named = tempfile.mkdtemp(prefix="tabulens-")  # one process, so all tasks see it
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 

@@ -13,7 +13,7 @@ NA_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 # How numbers and truth values are written.
-INT_PATTERN = r"^[+-]?[0-9]{1,18}$"
+INT_PATTERN = r"^[+-]?[0-9]+$"
 FLOAT_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(inf|infinity)$"
 TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
@@ -71,7 +71,7 @@ def _fits(c: str) -> Column:
     bad = lambda ok: F.count_if(v.isNotNull() & ~ok)
     return F.struct(
         F.count(v).alias("n"),
-        bad(v.rlike(INT_PATTERN)).alias("int"),
+        bad(v.rlike(INT_PATTERN) & v.try_cast("bigint").isNotNull()).alias("int"),
         bad(F.lower(v).rlike(FLOAT_PATTERN)).alias("float"),
         bad(v.isin(*TRUE_WORDS, *FALSE_WORDS)).alias("bool"),
     )

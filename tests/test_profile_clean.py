@@ -152,3 +152,32 @@ def test_outliers_of_constant_and_short_columns(spark):
     df = spark.createDataFrame([(1.0, 1.0)] * 3 + [(1.0, None)] * 3, "c double, s double")
     got = {r.column: (r.z_score_count, r.iqr_count) for r in D.outliers(df).collect()}
     assert got == {"c": (0, 0)}
+
+
+def test_one_word_among_dates_makes_a_column_text(spark):
+    from tabulens.operators.profile import classify_columns
+
+    dates = [(f"2024-01-{d:02d}", f"2024-01-{d:02d}", None) for d in range(1, 20)]
+    df = spark.createDataFrame([*dates, ("word", "2024-02-01", None)], "a string, b string, c string")
+    got = {r["column"]: r["column_type"] for r in classify_columns(df).collect()}
+    assert got == {"a": "text / categorical", "b": "datetime (string)", "c": "datetime (string)"}
+
+
+def test_nineteen_digit_integers_stay_integers(spark):
+    from tabulens.sources.tables import inferred_types, with_types
+
+    df = spark.createDataFrame([("1234567890123456789", "12345678901234567890"), ("1234567890123456790", "1")], "a string, b string")
+    types = inferred_types(df)
+    assert types == {"a": "bigint", "b": "double"}
+    assert with_types(df, types).select("a").distinct().count() == 2
+
+
+def test_keys_that_differ_in_upper_bits_split_evenly(spark):
+    from tabulens.operators.splits import cv_assign, kfold_assign, split_flag
+
+    for shift in (31, 32, 40):
+        df = spark.range(1000).selectExpr(f"shiftleft(id, {shift}) AS k")
+        assert split_flag(df, "k").where("is_test").count() == 200
+        assert {150 < r["count"] < 250 for r in kfold_assign(df, "k").groupBy("fold").count().collect()} == {True}
+    folds, n = cv_assign(spark.range(300), "id", "loo", "regression")
+    assert n == 300 and folds.select("fold").distinct().count() == 300

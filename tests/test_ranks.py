@@ -88,3 +88,12 @@ def test_folds_do_not_line_up_with_the_split(spark):
         share = got.groupby(c).is_test.mean()
         assert len(share) == 5 and share.between(0.13, 0.27).all()
     assert (got.groupby(["a", "b"]).size() > 100).sum() == 25
+
+
+def test_infinities_that_fill_more_than_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(R, "SORT_LIMIT", 20)
+    values = [float("inf")] * 60 + [float("-inf")] * 40 + [float(i) for i in range(50)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    wanted = [0, 39, 40, 89, 90, 149]
+    got = R.order_statistics(df, {"x": wanted}, {"x": len(values)})["x"]
+    assert [got[k] for k in wanted] == [sorted(values)[k] for k in wanted]

@@ -25,7 +25,8 @@ from tabulens.llm.common import settled
 FIT_ROWS = 8192  # rows that centroids, rotation and first thresholds are fitted on
 MAX_LISTS = 4096
 LIST_ROWS = 256  # rows a list has on average, as long as there are fewer than MAX_LISTS lists
-PROBES = 48
+PROBE_SHARE = 0.6  # of the lists, at least MIN_PROBES: vectors without clusters need that many for a recall of 0.9
+MIN_PROBES = 48
 COLUMN_BLOCK = 8
 EPSILON = 2.1  # of the test: larger abandons fewer candidates
 BLOCK_ROWS = 4096  # candidates of a list that one task scans at once
@@ -117,7 +118,7 @@ def nearest(
     df: DataFrame,
     queries: DataFrame,
     k: int = 20,
-    probes: int = PROBES,
+    probes: int | None = None,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
 ) -> DataFrame:
@@ -140,6 +141,7 @@ def nearest(
     rows = settled(rows, "vectors")
     n = rows.count()
     index = fit(rows, rows.where("copy = 1"), n, dim)
+    probes = probes or max(MIN_PROBES, math.ceil(PROBE_SHARE * len(index.centroids)))
     keep = k + 1  # the query itself may be among them
 
     @F.pandas_udf("int")

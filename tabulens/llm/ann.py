@@ -31,6 +31,9 @@ COLUMN_BLOCK = 8
 EPSILON = 2.1  # of the test: larger abandons fewer candidates
 BLOCK_ROWS = 4096  # candidates of a list that one task scans at once
 BLOCK_QUERIES = 1024
+SCAN_PAIRS = 1 << 17  # pairs of a query and a candidate that are scanned together
+SCORE_PAIRS = 1 << 14  # pairs scored together
+DENSE = 0.2  # share of the pairs alive from which on blocks are read for all of them
 SEED = 7
 
 
@@ -96,22 +99,32 @@ def fit(rows: DataFrame, distinct: DataFrame, n: int, dim: int) -> Index:
     return index
 
 
-def scan(q: np.ndarray, x: np.ndarray, limit: float, k: int) -> np.ndarray:
-    """Positions of the rows of x that may be among the k nearest of q and within ``limit``, by partial distances."""
-    dim, alive, part = x.shape[1], np.arange(len(x)), np.zeros(len(x))
+def scan(q: np.ndarray, x: np.ndarray, limits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of q, row of x) that may be among the k nearest of that q and within its limit, by partial distances.
+
+    Column blocks are read for all pairs at once while most are alive, then for those alive alone.
+    """
+    dim = x.shape[1]
     if len(x) > 2 * k:  # a first threshold from the list itself
-        head = ((x[: 2 * k] - q) ** 2).sum(1)
-        limit = min(limit, float(np.partition(head, k - 1)[k - 1]))
-    slack = 1e-9 * (1.0 + float(q @ q) + float(x[0] @ x[0]))
+        limits = np.minimum(limits, np.partition(_distances(q, x[: 2 * k]), k - 1, 1)[:, k - 1])
+    slack = 1e-9 * (1.0 + (q * q).sum(1).max() + (x * x).sum(1).max())
+    part, at, row = np.zeros((len(q), len(x))), None, None
     for start in range(0, dim, COLUMN_BLOCK):
         stop = min(dim, start + COLUMN_BLOCK)
-        part = part + ((x[alive, start:stop] - q[start:stop]) ** 2).sum(1)
-        bound = limit if stop == dim else limit * stop / dim * (1.0 + EPSILON / math.sqrt(stop)) ** 2
-        stay = part <= bound + slack
-        alive, part = alive[stay], part[stay]
-        if not len(alive):
-            break
-    return alive
+        bound = slack + (limits if stop == dim else limits * (stop / dim * (1.0 + EPSILON / math.sqrt(stop)) ** 2))
+        if at is None:
+            part += _distances(q[:, start:stop], x[:, start:stop])
+            part[part > bound[:, None]] = np.inf  # abandoned
+            alive = np.isfinite(part)
+            if stop == dim or np.count_nonzero(alive) < DENSE * part.size:
+                at, row = np.nonzero(alive)
+                part = part[at, row]
+        else:
+            gap = q[at, start:stop] - x[row, start:stop]
+            part = part + np.einsum("ij,ij->i", gap, gap)
+            stay = part <= bound[at]
+            at, row, part = at[stay], row[stay], part[stay]
+    return at, row
 
 
 def nearest(
@@ -190,14 +203,21 @@ def nearest(
         cand = cand.sort_values("vec_id")
         raw, ids = np.stack(cand["v"].to_numpy()), cand["vec_id"].to_numpy()
         lifted = index.lift(raw)
-        raw_q = np.stack(ask["v"].to_numpy())
+        raw_q, limits = np.stack(ask["v"].to_numpy()), ask["limit"].to_numpy()
+        lifted_q, m = index.lift_query(raw_q), max(1, SCAN_PAIRS // len(raw))
         parts = []
-        for k1, k2, limit, q, lifted_q in zip(ask["k1"], ask["k2"], ask["limit"], raw_q, index.lift_query(raw_q)):
-            alive = scan(lifted_q, lifted, limit, keep)
-            score = raw[alive] @ q
-            best = np.lexsort((ids[alive], -score))[:keep]
-            parts.append((np.full(len(best), k1), np.full(len(best), k2), ids[alive][best], score[best]))
-        return pd.DataFrame(dict(zip(("k1", "k2", "vec_id", "score"), map(np.concatenate, zip(*parts)))))
+        for i in range(0, len(raw_q), m):
+            at, row = scan(lifted_q[i : i + m], lifted, limits[i : i + m], keep)
+            score = np.empty(len(at))
+            for j in range(0, len(at), SCORE_PAIRS):
+                some = slice(j, j + SCORE_PAIRS)
+                score[some] = np.einsum("ij,ij->i", raw_q[i + at[some]], raw[row[some]])
+            order = np.lexsort((ids[row], -score, at))
+            at, row, score = at[order], row[order], score[order]
+            best = np.arange(len(at)) - np.searchsorted(at, at) < keep
+            parts.append((i + at[best], ids[row[best]], score[best]))
+        at, found, score = map(np.concatenate, zip(*parts))
+        return pd.DataFrame({"k1": ask["k1"].to_numpy()[at], "k2": ask["k2"].to_numpy()[at], "vec_id": found, "score": score})
 
     by = ["list", "rb", "qb"]
     hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "k1 bigint, k2 bigint, vec_id bigint, score double")

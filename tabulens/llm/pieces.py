@@ -27,6 +27,7 @@ SPACE = "▁"
 ALPHA = 1.0
 SEED = 42
 CHUNK_CHARS = 1_000_000  # of texts sampled together; a longer text is sampled by itself
+KNOWN_EDGES = 6_000_000  # edges of units that a worker remembers before it starts anew
 CHARACTERS = 1 << 21  # code points, and one value that no piece has
 UNIT = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
@@ -78,6 +79,28 @@ class Lattice:
         self.step_keys = np.array(sorted(steps), np.int64)
         self.step_nodes = np.array([steps[k] for k in sorted(steps)], np.int64)
         self.piece_at, self.log_at = np.array(self.piece_at), np.array(self.log_at)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Units passed forward so far: their numbers, lengths, first states; see _filtered for the rest."""
+        self.number: dict[str, int] = {}
+        self.size, self.base, self.first, self.starts, self.codes = (np.zeros(0, np.int32) for _ in range(5))
+        self.share = np.zeros(0)
+
+    def _learn(self, units: list[str]) -> None:
+        """Pass the units not yet known forward."""
+        if len(self.codes) > KNOWN_EDGES:
+            self._forget()
+        fresh = [u for u in dict.fromkeys(units) if u not in self.number]
+        if not fresh:
+            return
+        self.number.update(zip(fresh, itertools.count(len(self.number))))
+        states, edges = len(self.first), len(self.codes)
+        size, base, first, share, starts, codes = self._filtered(fresh)
+        known = (self.size, self.base, self.first, self.share, self.starts, self.codes)
+        added = (size, base + states, first + edges, share, starts + states, codes)
+        joined = (np.concatenate((old, new.astype(old.dtype))) for old, new in zip(known, added))
+        self.size, self.base, self.first, self.share, self.starts, self.codes = joined
 
     def _edges(self, text: str, size: np.ndarray):
         """(start, end, code, log weight) of all pieces in the units that ``text`` joins; end is exclusive.
@@ -120,7 +143,8 @@ class Lattice:
         state = np.arange(size.sum()) + np.repeat(np.arange(len(units)), size)
         place = state - np.repeat(base, size)
         into, level = state[end - 1] + 1, place[end - 1] + 1
-        order = np.lexsort((into, level))
+        reach = int((end - start).max(initial=0)) + 1
+        order = np.argsort((level * (len(state) + len(units)) + into) * reach + (end - start))
         start, into, code, log_weight, level = (x[order] for x in (state[start], into, code, log_weight, level))
         total, share = np.zeros(len(state) + len(units)), np.empty(len(into))
         first = np.zeros(len(total), np.int64)
@@ -133,8 +157,10 @@ class Lattice:
             value = np.exp(value - np.repeat(top, n))
             whole = np.add.reduceat(value, heads)
             total[to[heads]], first[to[heads]] = top + np.log(whole), a + heads
-            value = np.cumsum(value / np.repeat(whole, n))
-            value -= np.repeat(np.r_[0.0, value[heads[1:] - 1]], n)
+            value = value / np.repeat(whole, n)
+            for j in range(1, n.max()):  # summed state by state, so that other units cannot change a rounding
+                more = heads[n > j] + j
+                value[more] += value[more - 1]
             value[heads + n - 1] = 1.0
             share[a:b] = value
         return size, base, first, share, start, code
@@ -144,52 +170,48 @@ class Lattice:
         from xxhash import xxh64_intdigest
 
         parts: list[list[np.ndarray]] = []
-        seeds, owners, begins, units, held = [], [], [], [], 0
-        for doc, (key, text) in enumerate(zip(keys, texts)):
-            seed, begin = xxh64_intdigest(str(key), self.seed), 0
-            parts.append([])
-            for unit in UNIT.findall(" " + text):
-                seeds.append(seed)
-                owners.append(doc)
-                begins.append(begin)
-                units.append(unit)
-                begin += len(unit)
-            held += begin
+        seeds, counts, units, held = [], [], [], 0
+        for key, text in zip(keys, texts):
+            found = UNIT.findall(" " + text)
+            seeds.append(xxh64_intdigest(str(key), self.seed))
+            counts.append(len(found))
+            units += found
+            held += len(text) + 1
             if held >= CHUNK_CHARS:
-                self._sample(seeds, owners, begins, units, parts)
-                seeds, owners, begins, units, held = [], [], [], [], 0
+                parts.append(self._sample(seeds, counts, units))
+                seeds, counts, units, held = [], [], [], 0
         if units:
-            self._sample(seeds, owners, begins, units, parts)
-        return [self._spelled(np.concatenate(p)) for p in parts]
-
-    def _sample(self, seeds, owners, begins, flat, parts) -> None:
-        """Walk back from the end of every unit, all at once; adds each document's codes to ``parts``."""
-        number = {u: i for i, u in enumerate(dict.fromkeys(flat))}
-        unit = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        size, base, first, share, starts, codes = self._filtered(list(number))
-        seeds, begin, base = np.array(seeds, np.uint64), np.array(begins), base[unit]
-        left, at, steps, found = np.arange(len(flat)), base + size[unit], np.zeros(len(flat), np.int64), []
+            parts.append(self._sample(seeds, counts, units))
+        return [self._spelled(codes) for part in parts for codes in part]
+
+    def _sample(self, seeds: list[int], counts: list[int], units: list[str]) -> list[np.ndarray]:
+        """Walk back from the end of every unit, all at once; the codes of each document of ``counts`` units."""
+        self._learn(units)
+        unit = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+        size, base, counts = self.size[unit].astype(np.int64), self.base[unit].astype(np.int64), np.array(counts)
+        first, share, starts, codes = self.first, self.share, self.starts, self.codes
+        seeds = np.repeat(np.array(seeds, np.uint64), counts)
+        begin, last = np.cumsum(size) - size, np.cumsum(counts)
+        begin -= np.repeat(begin[last - counts], counts)
+        left, at, steps, found = np.arange(len(units)), base + size, np.zeros(len(units), np.int64), []
         while len(left):
             position = (begin[left] + at - base[left]).astype(np.uint64)
             random = (mix(seeds[left] + mix(position)) >> np.uint64(11)) * 2.0**-53
-            edge = first[at]
+            edge = first[at].astype(np.int64)
             above = np.flatnonzero(share[edge] <= random)
             while len(above):
                 edge[above] += 1
                 above = above[share[edge[above]] <= random[above]]
             found.append((left, steps[left], codes[edge]))
             steps[left] += 1
-            at = starts[edge]
+            at = starts[edge].astype(np.int64)
             more = at > base[left]
             left, at = left[more], at[more]
         ends = np.cumsum(steps)
         ids = np.empty(ends[-1], np.int64)
         for who, step, code in found:  # sampled from the last piece to the first
             ids[ends[who] - 1 - step] = code
-        owners = np.array(owners)
-        last = np.flatnonzero(np.r_[owners[1:] != owners[:-1], True])
-        for doc, codes_of in zip(owners[last], np.split(ids, ends[last][:-1])):
-            parts[doc].append(codes_of)
+        return np.split(ids, ends[last - 1][:-1])
 
     def _spelled(self, ids: np.ndarray) -> np.ndarray:
         """Replace the characters among the ids by their byte pieces."""

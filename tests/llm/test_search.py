@@ -268,3 +268,20 @@ def test_recall_with_few_probes_and_small_blocks(spark, monkeypatch):
         hit += len(best & {i for i, _ in got[q]})
         total += 20
     assert hit / total >= 0.9
+
+
+@pytest.mark.parametrize("dense", [0.0, 0.2, 1.1])
+def test_scan_keeps_all_within_the_limit(dense, monkeypatch):
+    monkeypatch.setattr(ann, "DENSE", dense)
+    monkeypatch.setattr(ann, "EPSILON", 1e6)  # no partial distance abandons: only the whole distance decides
+    rng = np.random.default_rng(1)
+    q, x = rng.standard_normal((7, 21)), rng.standard_normal((90, 21))
+    x[40:50] = x[3]  # ties
+    d = ((q[:, None] - x[None]) ** 2).sum(2)
+    limits = np.full(7, np.inf)
+    limits[0] = 0.0
+    at, row = ann.scan(q, x, limits, 5)
+    found = set(zip(at.tolist(), row.tolist()))
+    cut = np.minimum(limits, np.sort(d[:, :10], 1)[:, 4])
+    assert found == {(int(i), int(j)) for i, j in np.argwhere(d <= cut[:, None] + 1e-8)}
+    assert not any(i == 0 for i, _ in found)

@@ -391,6 +391,18 @@ def test_samples_depend_on_the_row_key_only(spark):
     assert pieces.sampled(frame(spark, []), PIECES).count() == 0
 
 
+def test_samples_do_not_depend_on_remembered_units(monkeypatch):
+    model = tokenizer_path("piece_bpe_32k.model")
+    texts = ["the cat sat on the mat", "", "ünïcode ▁ marks\n\n  and  runs", "x" * 300, "the cat sat again"] * 3
+    keys = list(range(len(texts)))
+    fresh = [pieces.Lattice(model).sample([k], [t])[0].tolist() for k, t in zip(keys[:5], texts[:5])]
+    whole = [x.tolist() for x in pieces.Lattice(model).sample(keys, texts)]
+    monkeypatch.setattr(pieces, "CHUNK_CHARS", 1)
+    monkeypatch.setattr(pieces, "KNOWN_EDGES", 40)
+    assert [x.tolist() for x in pieces.Lattice(model).sample(keys, texts)] == whole
+    assert whole[:5] == fresh
+
+
 def test_samples_follow_the_lattice_weights():
     pieces_of = pieces.Lattice(PIECES, alpha=0.3)
     text = "▁the"

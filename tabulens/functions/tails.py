@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+NORMAL_DOF = 1e7  # from here on the two differ by less than 1e-7
+
 
 def _series_lower_gamma(a: float, x: float) -> float:
     term = total = 1.0 / a
@@ -33,7 +35,9 @@ def _fraction(pairs) -> float:
         c = (b + a / c) or floor
         value *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
+            return value
+    if abs(c * d - 1.0) > 1e-9:
+        raise ArithmeticError("the tail probability did not converge")
     return value
 
 
@@ -68,7 +72,9 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
 
 
 def t_tail(t: float, dof: float) -> float:
-    """Two-sided P(|T| >= |t|) for Student's t."""
+    """Two-sided P(|T| >= |t|) for Student's t; beyond NORMAL_DOF degrees of freedom of the normal."""
+    if dof > NORMAL_DOF:
+        return math.erfc(abs(t) / math.sqrt(2.0))
     a, b = dof / 2.0, 0.5
     x = dof / (dof + t * t)
     if x <= 0.0:

@@ -17,6 +17,7 @@ INT_PATTERN = r"^[+-]?[0-9]+$"
 FLOAT_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(inf|infinity)$"
 TRUE_WORDS = ("True", "TRUE", "true")
 FALSE_WORDS = ("False", "FALSE", "false")
+SURPLUS = "_surplus_field"  # a column for what a row has beyond the header
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -43,15 +44,28 @@ def csv_traits(spark: SparkSession, path: str) -> dict:
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """A headed CSV as text columns. Files stay splittable unless a quoted field spans lines."""
+    """A headed CSV as text columns. Files stay splittable unless a quoted field spans lines.
+
+    A row with fewer fields than the header ends in NULLs; one with more that are not empty raises.
+    """
     traits = csv_traits(spark, path)
-    return (
-        spark.read.option("header", True)
-        .option("encoding", traits["encoding"])
-        .option("multiLine", traits["multi_line"])
-        .option("escape", '"')
-        .csv(path)
-    )
+
+    def reader():
+        return (
+            spark.read.option("header", True)
+            .option("encoding", traits["encoding"])
+            .option("multiLine", traits["multi_line"])
+            .option("escape", '"')
+        )
+
+    names = reader().csv(path).columns
+    if not names:
+        return reader().csv(path)
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, SURPLUS])
+    rows = reader().schema(schema).csv(path)
+    if rows.where(F.col(SURPLUS).isNotNull()).take(1):
+        raise ValueError("a row of the CSV has more fields than its header")
+    return rows.drop(SURPLUS)
 
 
 def na_tokens(df: DataFrame) -> DataFrame:

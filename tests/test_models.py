@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabulens.functions import tails
 from tabulens.operators import drift as D
 from tabulens.operators import explain as X
 from tabulens.operators import meta as MT
@@ -207,6 +208,24 @@ def test_validation_messages(spark):
     assert {r.check for r in TB.validate_dataset(df, ["b"]).collect()} == {"columns", "column_exists", "rows"}
 
 
+def test_csv_rows_of_other_lengths(spark, tmp_path):
+    short = tmp_path / "short.csv"
+    short.write_text("a,b`c\n1,x\n2\n3,y,\n")
+    got = [tuple(r) for r in TB.read_csv(spark, str(short)).orderBy("a").collect()]
+    assert got == [(1, "x"), (2, None), (3, "y")]
+    long = tmp_path / "long.csv"
+    long.write_text("a,b\n1,x\n2,y,z\n")
+    with pytest.raises(ValueError, match="more fields"):
+        TB.read_csv(spark, str(long))
+
+
+def test_tails_of_large_degrees():
+    assert abs(tails.t_tail(1.96, 9.9e6) - tails.t_tail(1.96, 1.1e7)) < 1e-7
+    assert abs(tails.t_tail(2.0, 1e13) - 0.04550026389635842) < 1e-12
+    with pytest.raises(ArithmeticError):
+        tails._fraction(iter([(0.0, 1.0), (1.0, 1.0), (1.0, 1.0)]))
+
+
 def test_model_round_trip_and_stream(spark, train, tmp_path):
     pdf, df = train
     raw = df.withColumn("label", F.when(F.col("label") > 0, "up").otherwise("down"))

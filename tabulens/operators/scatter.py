@@ -44,7 +44,7 @@ def scatter_sample(
 def linregress(df: DataFrame, features: str | list[str], target: str) -> DataFrame:
     """One least-squares line per feature over all rows with both values, in one aggregation."""
     features = [features] if isinstance(features, str) else features
-    numbers = _as_numbers(df, [*features, target], [])
+    numbers = _as_numbers(df.where(present(df, target).isNotNull()), [*features, target], [])
     y = ref(f"_n_{target}").cast("double")
     rows = []
     for f in features:
@@ -84,7 +84,8 @@ def scatter_grid(
 ) -> DataFrame:
     """(feature, x, y): the point samples of several features in one frame."""
     order = row_order(df, key, seed)
-    numbers = _as_numbers(df, [*features, target], [key]).withColumn("_h", order)
+    both = df.where(present(df, target).isNotNull())  # classes seen without a target get no code
+    numbers = _as_numbers(both, [*features, target], [key]).withColumn("_h", order)
     tops = [
         numbers.where(ref(f"_n_{f}").isNotNull() & ref(f"_n_{target}").isNotNull())
         .orderBy("_h", ref(key))

@@ -120,3 +120,12 @@ def test_rank_joins_without_broadcast(spark, monkeypatch):
     want = pdf.corr(method="spearman")
     for r in K.corr_spearman_matrix(df).collect():
         assert r.value == pytest.approx(want.loc[r.x, r.y], abs=5.1e-5)
+
+
+def test_line_codes_skip_classes_without_a_target(spark):
+    rows = [(0, "a", None), (1, "b", 1.0), (2, "c", 3.0), (3, "d", 5.0)]
+    df = spark.createDataFrame(rows, "k bigint, f string, y double")
+    line = L.linregress(df, "f", "y").first()
+    assert (line.slope, line.intercept, line.x0, line.x1) == (2.0, 1.0, 0.0, 2.0)
+    grid = L.scatter_grid(df, ["f"], "y", "k")
+    assert sorted((r.x, r.y) for r in grid.collect()) == [(0.0, 1.0), (1.0, 3.0), (2.0, 5.0)]

@@ -148,7 +148,7 @@ def learning_curve(
     folds: int = FOLDS,
 ) -> DataFrame:
     """(train_size, train_score, val_score, val_std) on growing, nested, hash-ordered parts."""
-    frame = spread_rows(assembled(prepared, features, [key, "label"]))
+    frame = spread_rows(assembled(prepared, features, [key, "label"]), key)
     order = row_order(frame, key, SEED)
     frame = kfold_assign(frame.withColumn("_h", order.cast("double")), key, folds, SEED + 2)
     frame = kfold_assign(frame, key, folds, SEED + 3, "inner").persist()
@@ -215,7 +215,7 @@ def rfecv(
 ) -> tuple[DataFrame, DataFrame]:
     """Recursive elimination scored on folds: (feature, rank, selected) and (n_features, cv_score)."""
     spark = prepared.sparkSession
-    frame = spread_rows(assembled(prepared, features, [key, "label"]))
+    frame = spread_rows(assembled(prepared, features, [key, "label"]), key)
     if problem_type == CLASSIFICATION:
         frame = stratified_kfold_assign(frame, "label", key, folds)
     else:
@@ -264,7 +264,7 @@ def tune_random_search(
     every = [dict(zip(grid, values)) for values in product(*grid.values())]
     spark = prepared.sparkSession
     drawn = every if len(every) <= draws else random.Random(seed).sample(every, draws)
-    frame = spread_rows(assembled(prepared, features, [key, "label"]))
+    frame = spread_rows(assembled(prepared, features, [key, "label"]), key)
     frame = kfold_assign(frame, key, folds).persist()
     classes = _classes(frame, problem_type)
 

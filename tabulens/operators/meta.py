@@ -13,6 +13,10 @@ from tabulens.operators.engineer import attach_code, coerced, label_tables, labe
 from tabulens.operators.ranks import medians
 
 
+MAX_CLASSES = 10_000  # of a target: more are no classification problem
+WARNING = "array<struct<feature: string, kind: string, value: string, lo: double, hi: double>>"
+
+
 @dataclass
 class Meta:
     """What a frame's columns looked like when the preprocessing was fitted.
@@ -34,8 +38,11 @@ class Meta:
         return self.classes.where(F.col("column") == name).select("class", "code", "n")
 
     def target_labels(self) -> list[str]:
-        """The target's classes in code order (a classifier's classes, so few)."""
-        return [r["class"] for r in self.classes_of(self.target).orderBy("code").collect()]
+        """The target's classes in code order; more than MAX_CLASSES raise."""
+        found = self.classes_of(self.target).orderBy("code").limit(MAX_CLASSES + 1).collect()
+        if len(found) > MAX_CLASSES:
+            raise ValueError(f"target '{self.target}' has more than {MAX_CLASSES} classes")
+        return [r["class"] for r in found]
 
     def frame(self, spark) -> DataFrame:
         """(column, kind, median, lo, hi) in feature order."""
@@ -87,14 +94,26 @@ def _number(df: DataFrame, c: str) -> Column:
     return as_double(df, c) if is_numeric(dtype_of(df, c)) else coerced(df, c)
 
 
-def apply_meta(df: DataFrame, meta: Meta, with_target: bool = False, keep: list[str] | None = None) -> DataFrame:
+def apply_meta(
+    df: DataFrame,
+    meta: Meta,
+    with_target: bool = False,
+    keep: list[str] | None = None,
+    label: str = "label",
+    warn: bool = False,
+    target_fill: float | None = None,
+) -> DataFrame:
     """The features as doubles, in training order.
 
     An absent feature counts as missing; a missing number takes the training median;
     a category unknown to the training frame takes code 0. With ``with_target`` the
-    encoded target is added as ``label``.
+    encoded target is added as ``label``; a missing number there takes ``target_fill``, by
+    default the training median. With ``warn`` the row's warnings (WARNING) are added as
+    ``_warnings``: numbers outside the training range and categories it did not have.
     """
     keep = keep or []
+    if with_target and label in meta.features:
+        raise ValueError(f"a feature is named '{label}': give the target column another name")
     out = df
     for c in meta.texts:
         if c not in out.columns:
@@ -113,14 +132,28 @@ def apply_meta(df: DataFrame, meta: Meta, with_target: bool = False, keep: list[
             out = attach_code(
                 out, meta.target, meta.classes_of(meta.target), "_label", meta.sizes.get(meta.target)
             )
-            label = F.coalesce(F.col("_label"), F.lit(0)).cast("double")
+            target = F.coalesce(F.col("_label"), F.lit(0)).cast("double")
         else:
-            mid = meta.target_median
-            label = F.coalesce(_number(df, meta.target), F.lit(0.0 if mid is None else mid))
-        exprs.append(label.alias("label"))
+            mid = meta.target_median if target_fill is None else target_fill
+            target = F.coalesce(_number(df, meta.target), F.lit(0.0 if mid is None else mid))
+        exprs.append(target.alias(label))
+    if warn:
+        unseen = [
+            F.when(ref(f"_code_{c}").isNull(), _warning(c, "unseen", label_text(df, c)))
+            for c in meta.texts
+            if c in df.columns
+        ]
+        exprs.append(F.concat(range_warnings(df, meta), _listed(unseen)).alias("_warnings"))
     return out.select(*[ref(k).alias(f"_keep_{k}") for k in keep], *exprs)
 
 
+def target_fill(df: DataFrame, meta: Meta) -> float | None:
+    """What a missing numeric target of an evaluated frame takes: the median of that frame."""
+    if meta.target_is_text or meta.target not in df.columns:
+        return None
+    return medians(df.select(_number(df, meta.target).alias("target")), ["target"])["target"]
+
+
 def missing_features(df: DataFrame, meta: Meta) -> list[str]:
     return [c for c in meta.features if c not in df.columns]
 
@@ -156,17 +189,21 @@ def extrapolation_flags(df: DataFrame, meta: Meta) -> DataFrame:
     return df.select("*", F.array_compact(F.array(*named)).alias("outside_range"))
 
 
+def _warning(feature: str, kind: str, value: Column, lo: float | None = None, hi: float | None = None) -> Column:
+    number = lambda x: F.lit(x).cast("double")
+    return F.struct(
+        F.lit(feature).alias("feature"), F.lit(kind).alias("kind"), value.alias("value"),
+        number(lo).alias("lo"), number(hi).alias("hi"),
+    )
+
+
+def _listed(warnings: list[Column]) -> Column:
+    return F.array_compact(F.array(*warnings)).cast(WARNING) if warnings else F.array().cast(WARNING)
+
+
 def range_warnings(df: DataFrame, meta: Meta) -> Column:
-    texts = [
-        F.when(
-            flag,
-            F.format_string(
-                f"'{c}' value %s is outside training range [%.4f, %.4f]",
-                ref(c).cast("string"),
-                F.lit(float(meta.numbers[c][1])),
-                F.lit(float(meta.numbers[c][2])),
-            ),
-        )
+    """The row's numbers outside the training range, with that range."""
+    return _listed([
+        F.when(flag, _warning(c, "range", ref(c).cast("string"), *map(float, meta.numbers[c][1:])))
         for c, flag in outside(df, meta).items()
-    ]
-    return F.array_compact(F.array(*texts)) if texts else F.array().cast("array<string>")
+    ])

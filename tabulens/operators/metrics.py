@@ -334,3 +334,28 @@ def bootstrap_ci(
         F.sum(F.col("w") * F.col("n")).alias("n")
     )
     return _interval(f1_from_cells(per, ["b"]), ["accuracy", "f1"])
+
+
+def views(
+    scored: DataFrame, classifier: bool, classes: int, key: str, n: int = SAMPLE_TRAIN, points: int = ROC_TRAIN_POINTS
+) -> dict[str, DataFrame]:
+    """All views of one scored frame (``key``, label, prediction, probs), each a DataFrame of its own.
+
+    Numbers: predictions, residuals (all rows). Classes: predictions, confusion (with row
+    percentages), and where there are probabilities roc (two classes: and calibration).
+    Every view reads ``scored``, so give a frame that was written once.
+    """
+    out = {"predictions": predictions_sample(scored, "label", "prediction", key, n)}
+    if not classifier:
+        return out | {"residuals": residuals(scored, "label", "prediction")}
+    out["confusion"] = confusion_row_pct(confusion_matrix(scored, "label", "prediction"))
+    known = scored.where("probs is not null")
+    if known.isEmpty():
+        return out
+    if classes == 2:
+        positive = known.withColumn("score", F.element_at("probs", 2))
+        out["roc"] = roc_curve(positive, "label", "score", points)
+        out["calibration"] = calibration_curve(positive, "label", "score")
+    else:
+        out["roc"] = roc_ovr(known, "label", "probs", list(range(classes)), points)
+    return out

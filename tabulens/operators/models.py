@@ -25,8 +25,10 @@ from tabulens.operators.metrics import (
     metrics_classification,
     metrics_regression,
     roc_auc,
+    views,
 )
 from tabulens.operators.splits import FOLDS, SEED, TEST_SIZE, cv_assign, kfold_assign, split_flag
+from tabulens.session import settle
 
 REGRESSION = "regression"
 CLASSIFICATION = "classification"
@@ -53,19 +55,26 @@ def available_models(problem_type: str) -> list[str]:
     return list(REGISTRY[problem_type])
 
 
-def assembled(prepared: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
-    """``features`` as one vector column (inputs renamed, since names may hold any character)."""
+def assembled(prepared: DataFrame, features: list[str], keep: list[str], label: str | None = None) -> DataFrame:
+    """``features`` as one vector column (inputs renamed, since names may hold any character).
+
+    ``label`` names the target column, which becomes ``label``.
+    """
     inputs = [f"_f{i}" for i in range(len(features))]
     named = prepared.select(
-        *[ref(k) for k in keep], *[ref(c).cast("double").alias(i) for c, i in zip(features, inputs)]
+        *[ref(k) for k in keep], *([ref(label).alias("label")] if label else []), *[ref(c).cast("double").alias(i) for c, i in zip(features, inputs)]
     )
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(named).drop(*inputs)
 
 
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Iterative learners need every core: widen a frame read as fewer partitions than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread_rows(df: DataFrame, key: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Iterative learners need every core: deal rows to ``partitions``, by default the session's shuffle partitions.
+
+    By the unique ``key``, which keeps samples drawn per partition apart from the input's layout
+    and the number of cores; without a key evenly.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, ref(key)) if key else df.repartition(n)
 
 
 @dataclass
@@ -280,13 +289,16 @@ def mean_std(values: list[float]) -> tuple[float | None, float | None]:
 
 @dataclass
 class Trained:
-    """Outcome of ``train_models``."""
+    """Outcome of ``train_models``: per model the report, the scored test side and its views."""
 
     report: DataFrame
     best: Fitted
     models: dict[str, Fitted]
     n_train: int
     n_test: int
+    scored: dict[str, DataFrame]  # key, label, prediction, probs of the test rows, written once
+    views: dict[str, dict[str, DataFrame]]  # see ``metrics.views``
+    importances: dict[str, DataFrame | None]
 
 
 def train_models(
@@ -313,7 +325,7 @@ def train_models(
         raise ValueError(f"no valid models in {models}")
     params = params or {}
     marked = split_flag(assembled(prepared, features, [key, "label"]), key, test_size)
-    marked = kfold_assign(spread_rows(marked), key, FOLDS, SEED + 1, "inner").persist()
+    marked = kfold_assign(spread_rows(marked, key), key, FOLDS, SEED + 1, "inner").persist()
     train, test = marked.where("not is_test"), marked.where("is_test")
     n_train, n_test = train.count(), test.count()
     classes = 0
@@ -326,7 +338,7 @@ def train_models(
 
     def one(name: str):
         fitted = fit_model(name, train, problem_type, classes, params.get(name), "inner")
-        scored = fitted.score(test).select(key, "label", "prediction", "probs").persist()
+        scored = settle(fitted.score(test).select(key, "label", "prediction", "probs"))
         values = (
             metrics_regression(scored, "label", "prediction")
             if problem_type == REGRESSION
@@ -342,13 +354,12 @@ def train_models(
             r["metric"]: (r["ci_lower"], r["ci_upper"])
             for r in bootstrap_ci(scored, "label", "prediction", key, problem_type, resamples).collect()
         }
-        scored.unpersist()
         cv_mean = cv_std = None
         if full is not None:
             cv_mean, cv_std = mean_std(
                 cross_validate(full, name, problem_type, classes, n_folds, params.get(name), key)
             )
-        return name, fitted, values, ci, cv_mean, cv_std
+        return name, fitted, values, ci, cv_mean, cv_std, scored
 
     with ThreadPoolExecutor(max_workers=min(THREADS, len(names))) as pool:
         jobs = [pool.submit(inheritable_thread_target(spark)(one), n) for n in names]
@@ -360,7 +371,7 @@ def train_models(
     done.sort(key=lambda d: -(d[2][lead] or -1.0))
     rows = [
         (i + 1, name, metric, value, *ci.get(metric, (None, None)), cv_mean, cv_std)
-        for i, (name, _, values, ci, cv_mean, cv_std) in enumerate(done)
+        for i, (name, _, values, ci, cv_mean, cv_std, _) in enumerate(done)
         for metric, value in values.items()
     ]
     report = spark.createDataFrame(
@@ -368,7 +379,13 @@ def train_models(
         "rank int, model_name string, metric string, value double, ci_lower double, ci_upper double,"
         " cv_mean double, cv_std double",
     )
-    return Trained(report, done[0][1], {d[0]: d[1] for d in done}, n_train, n_test)
+    models_of = {d[0]: d[1] for d in done}
+    scored_of = {d[0]: d[-1] for d in done}
+    return Trained(
+        report, done[0][1], models_of, n_train, n_test, scored_of,
+        {n: views(s, problem_type == CLASSIFICATION, classes, key) for n, s in scored_of.items()},
+        {n: feature_importances(f, features, spark) for n, f in models_of.items()},
+    )
 
 
 def save_fitted(fitted: Fitted, path: str, spark) -> None:

@@ -25,7 +25,7 @@ from tabulens.session import settle
 ACCURACY = 10000  # of the quantile sketch
 SORT_LIMIT = 200_000  # values of one bracket that one task may sort
 BROADCAST_ROWS = 200_000  # rows of a lookup table that may be broadcast
-BROADCAST_BYTES = 32 * 1024 * 1024  # and the size of its keys
+BROADCAST_BYTES = 32 * 1024 * 1024  # and its size
 HOT_SHARE = 1000  # a key above 1/HOT_SHARE of all rows is hot, so there are at most HOT_SHARE
 SALTS = 64
 INF = float("inf")
@@ -258,9 +258,11 @@ def lookup(
 ) -> DataFrame:
     """Left-join ``table`` (one row per ``table_key``) and add its ``value`` as ``new``.
 
-    A table within the size bound is broadcast. A larger one is shuffled; rows of the
-    at most HOT_SHARE keys above the hot share (known from the ``weight`` column of
-    counts) are answered from a small broadcast table and are spread over salts.
+    A table within the size bound is broadcast. A larger one is shuffled; of the at most
+    HOT_SHARE keys above the hot share (known from the ``weight`` column of counts) only
+    hashes are broadcast: rows with such a hash are spread over salts, and so are rows
+    without a key, which match nothing; the table has its rows of these hashes once per
+    salt. The salt hashes the row and its partition, so equal rows are spread as well.
     ``facts`` gives the table's size (see ``table_facts``) where it is already known.
     """
     table = table.select(
@@ -268,7 +270,7 @@ def lookup(
         ref(value).alias("_v"),
         (ref(weight) if weight else F.lit(0)).cast("bigint").alias("_w"),
     )
-    size = facts or table_facts(table, "_k", "_w")
+    size = facts or table_facts(table, "_k", "_w", value="_v")
     left = df.withColumn("_key", key)
     if size["n"] <= BROADCAST_ROWS and (size["b"] or 0) <= BROADCAST_BYTES:
         out = left.join(F.broadcast(table), F.col("_key") == F.col("_k"), "left")
@@ -276,26 +278,30 @@ def lookup(
     if not weight:
         out = left.join(table, F.col("_key") == F.col("_k"), "left")
         return out.select(*[ref(c) for c in df.columns], F.col("_v").alias(new))
-    hot = table.where(F.col("_w") * HOT_SHARE > F.lit(size["w"])).select(
-        F.col("_k").alias("_hk"), F.col("_v").alias("_hv")
+    hot = table.where(F.col("_w") * HOT_SHARE > F.lit(size["w"]))
+    hot = F.broadcast(hot.select(F.xxhash64("_k").alias("_hot")).distinct())
+    spread = 1 + F.pmod(F.xxhash64(F.spark_partition_id(), *[ref(c) for c in df.columns]), F.lit(SALTS))
+    salt = F.when(F.col("_hot").isNotNull() | F.col("_key").isNull(), spread).otherwise(F.lit(0))
+    same_type = F.col("_key").try_cast(table.schema["_k"].dataType)
+    left = left.join(hot, F.xxhash64(same_type) == F.col("_hot"), "left").withColumn("_salt", salt.cast("bigint"))
+    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
+    right = table.join(hot, F.xxhash64("_k") == F.col("_hot"), "left").select(
+        "_k", "_v", F.explode(salts.cast("array<bigint>")).alias("_s")
     )
-    left = left.join(F.broadcast(hot), F.col("_key") == F.col("_hk"), "left")
-    salt = F.when(
-        F.col("_hk").isNotNull() | F.col("_key").isNull(),
-        1 + F.pmod(F.xxhash64(*[ref(c) for c in df.columns]), F.lit(SALTS)),
-    ).otherwise(F.lit(0))
-    cold = table.select("_k", "_v", F.lit(0).cast("bigint").alias("_s"))
-    out = left.withColumn("_salt", salt.cast("bigint")).join(
-        cold, (F.col("_key") == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left"
-    )
-    return out.select(*[ref(c) for c in df.columns], F.coalesce("_hv", "_v").alias(new))
+    out = left.join(right, (F.col("_key") == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left")
+    return out.select(*[ref(c) for c in df.columns], F.col("_v").alias(new))
 
 
-def table_facts(table: DataFrame, key: str, weight: str | None = None, by: str | None = None) -> dict:
-    """Rows, key bytes and total weight of a lookup table, or of each ``by`` part of it."""
+def table_facts(
+    table: DataFrame, key: str, weight: str | None = None, by: str | None = None, value: str | None = None
+) -> dict:
+    """Rows, bytes (of keys, and of values where named) and total weight of a lookup table, or of each ``by`` part."""
+    size = F.octet_length(ref(key).cast("string"))
+    if value:
+        size = F.coalesce(size, F.lit(0)) + F.coalesce(F.octet_length(ref(value).cast("string")), F.lit(0))
     row = F.struct(
         F.count("*").alias("n"),
-        F.coalesce(F.sum(F.octet_length(ref(key).cast("string"))), F.lit(0)).alias("b"),
+        F.coalesce(F.sum(size), F.lit(0)).alias("b"),
         F.coalesce(F.sum(ref(weight)) if weight else F.lit(0), F.lit(0)).cast("bigint").alias("w"),
     )
     if by is None:

@@ -2,30 +2,48 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import ref
 from tabulens.operators.drift import drift_report
-from tabulens.operators.meta import Meta, apply_meta, range_warnings
+from tabulens.operators.explain import prediction_interval
+from tabulens.operators.meta import Meta, apply_meta, missing_features, target_fill
 from tabulens.operators.metrics import (
+    ROC_TRAIN_POINTS,
     metrics_classification,
     metrics_regression,
     roc_auc,
+    views,
 )
-from tabulens.operators.models import CLASSIFICATION, REGRESSION, Fitted, assembled
+from tabulens.operators.models import CLASSIFICATION, FOREST, REGRESSION, Fitted, assembled
+from tabulens.session import settle
+
+TARGET = "_target"  # the encoded target while a feature may be named label
 
 
-def score_frame(fitted: Fitted, meta: Meta, df: DataFrame, keep: list[str], with_target: bool = False) -> DataFrame:
-    """``keep`` columns, prediction and probs (and label) of raw rows."""
-    ready = apply_meta(df, meta, with_target, keep)
-    kept = [f"_keep_{k}" for k in keep] + (["label"] if with_target else [])
-    scored = fitted.score(assembled(ready, meta.features, kept))
+def score_frame(
+    fitted: Fitted, meta: Meta, df: DataFrame, keep: list[str], with_target: bool = False, warn: bool = False,
+    interval: bool = False,
+) -> DataFrame:
+    """``keep`` columns, prediction and probs of raw rows, and as asked label, warnings, lower_95 and upper_95."""
+    fill = target_fill(df, meta) if with_target else None
+    ready = apply_meta(df, meta, with_target, keep, TARGET, warn, fill)
+    kept = [f"_keep_{k}" for k in keep] + (["_warnings"] if warn else [])
+    vectors = assembled(ready, meta.features, kept, TARGET if with_target else None)
+    scored = fitted.score(vectors)
+    if interval:
+        bounds = prediction_interval(fitted, scored.withColumnRenamed("prediction", "_mean"))
+        scored = bounds.drop("prediction").withColumnRenamed("_mean", "prediction")
     return scored.select(
         *[ref(f"_keep_{k}").alias(k) for k in keep],
         *(["label"] if with_target else []),
         "prediction",
         "probs",
+        *([F.col("_warnings").alias("warnings")] if warn else []),
+        *(["lower_95", "upper_95"] if interval else []),
     )
 
 
@@ -37,16 +55,16 @@ def _class_names(fitted: Fitted, meta: Meta) -> list[str]:
 
 def predict_batch(
     fitted: Fitted, meta: Meta, df: DataFrame, keep: list[str] | None = None, warn: bool = False,
-    digits: int = 6,
+    digits: int = 6, interval: bool = False,
 ) -> DataFrame:
     """Predictions of raw rows: the class name or the number, with class probabilities.
 
-    ``warn`` adds the values that lie outside the training range, row by row.
+    ``warn`` adds, row by row, the numbers outside the training range and the categories it did
+    not have (``warnings``), and the features that ``df`` lacks (``missing_features``);
+    ``interval`` adds a regression forest's interval over its trees.
     """
     keep = list(keep or [])
-    if warn:
-        df = df.withColumn("_warnings", range_warnings(df, meta))
-    scored = score_frame(fitted, meta, df, keep + (["_warnings"] if warn else []))
+    scored = score_frame(fitted, meta, df, keep, warn=warn, interval=interval)
     if fitted.problem_type == REGRESSION:
         out = [F.round("prediction", digits).alias("prediction")]
     else:
@@ -55,9 +73,10 @@ def predict_batch(
         pred = F.element_at(labels, F.col("prediction").cast("int") + 1)
         probs = F.map_from_arrays(labels, F.transform("probs", lambda p: F.round(p, digits)))
         out = [pred.alias("prediction"), F.when(F.col("probs").isNotNull(), probs).alias("probabilities")]
-    return scored.select(
-        *[ref(k) for k in keep], *out, *([F.col("_warnings").alias("warnings")] if warn else [])
-    )
+    if warn:
+        absent = F.array(*map(F.lit, missing_features(df, meta))).cast("array<string>")
+        out += [F.col("warnings"), absent.alias("missing_features")]
+    return scored.select(*[ref(k) for k in keep], *out, *(["lower_95", "upper_95"] if interval else []))
 
 
 def predict_only(fitted: Fitted, meta: Meta, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -66,13 +85,12 @@ def predict_only(fitted: Fitted, meta: Meta, df: DataFrame, keep: list[str] | No
 
 
 def predict_what_if(fitted: Fitted, meta: Meta, scenarios: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Scenario rows with prediction, probabilities and range warnings."""
-    return predict_batch(fitted, meta, scenarios, keep, warn=True)
+    """Scenario rows with prediction, probabilities and warnings, and an interval where a regression forest predicts."""
+    forest = fitted.name == FOREST and fitted.problem_type == REGRESSION
+    return predict_batch(fitted, meta, scenarios, keep, warn=True, interval=forest)
 
 
-def evaluate_holdout(fitted: Fitted, meta: Meta, df: DataFrame) -> DataFrame:
-    """(metric, value) of labelled new data under the stored preprocessing."""
-    scored = score_frame(fitted, meta, df, [], with_target=True)
+def _metrics(fitted: Fitted, scored: DataFrame) -> DataFrame:
     if fitted.problem_type == REGRESSION:
         m = metrics_regression(scored, "label", "prediction")
         names = ["r2", "mae", "rmse"]
@@ -87,16 +105,36 @@ def evaluate_holdout(fitted: Fitted, meta: Meta, df: DataFrame) -> DataFrame:
     return long.unpivot([], ["n_samples", *names], "metric", "value")
 
 
-def evaluate_drift(meta: Meta, train: DataFrame, df: DataFrame) -> DataFrame:
-    return drift_report(train, df, [c for c in meta.features if c in df.columns])
+def evaluate_holdout(fitted: Fitted, meta: Meta, df: DataFrame) -> DataFrame:
+    """(metric, value) of labelled new data under the stored preprocessing."""
+    return _metrics(fitted, score_frame(fitted, meta, df, [], with_target=True))
+
+
+@dataclass
+class Evaluation:
+    """Outcome of ``evaluate``: the scored frame, written once, and what is read from it."""
+
+    scored: DataFrame  # key, label, prediction, probs
+    metrics: DataFrame
+    views: dict[str, DataFrame]  # see ``metrics.views``
+    drift: DataFrame | None
+    missing_features: list[str]
+
+
+def evaluate(
+    fitted: Fitted, meta: Meta, df: DataFrame, key: str, train: DataFrame | None = None, points: int = ROC_TRAIN_POINTS
+) -> Evaluation:
+    """Score labelled new data once and read every view from it; drift against ``train`` where given."""
+    scored = settle(score_frame(fitted, meta, df, [key], with_target=True))
+    classifier = fitted.problem_type == CLASSIFICATION
+    return Evaluation(
+        scored,
+        _metrics(fitted, scored),
+        views(scored, classifier, fitted.classes, key, points=points),
+        evaluate_drift(meta, train, df) if train is not None else None,
+        missing_features(df, meta),
+    )
 
 
-__all__ = [
-    "CLASSIFICATION",
-    "evaluate_drift",
-    "evaluate_holdout",
-    "predict_batch",
-    "predict_only",
-    "predict_what_if",
-    "score_frame",
-]
+def evaluate_drift(meta: Meta, train: DataFrame, df: DataFrame) -> DataFrame:
+    return drift_report(train, df, [c for c in meta.features if c in df.columns])

@@ -228,7 +228,7 @@ def _multi_frame(spark, folder):
 def _holdout(frame, name, problem_type, classes=0, params=None):
     """Fit on four fifths, report the metrics on the rest."""
     vectors = M.assembled(frame, NUMBERS, ["k", "label"])
-    marked = SP.kfold_assign(SP.split_flag(M.spread_rows(vectors), "k"), "k", 5, 7).persist()
+    marked = SP.kfold_assign(SP.split_flag(M.spread_rows(vectors, "k"), "k"), "k", 5, 7).persist()
     train, test = marked.where("not is_test"), marked.where("is_test")
     fitted = M.fit_model(name, train, problem_type, classes, params, "fold")
     scored = fitted.score(test)
@@ -329,7 +329,7 @@ def cross_validate(spark, folder):
 
 @plan("cross_validate_stratified")
 def cross_validate_stratified(spark, folder):
-    frame = M.spread_rows(M.assembled(_cls_frame(spark, folder), NUMBERS, ["k", "label"]))
+    frame = M.spread_rows(M.assembled(_cls_frame(spark, folder), NUMBERS, ["k", "label"]), "k")
     folded, n = SP.cv_assign(frame, "k", "stratified_k_fold", M.CLASSIFICATION, 3)
     folded = folded.persist()
     mean, std = M.mean_std(M.cross_validate(folded, M.LOGISTIC, M.CLASSIFICATION, 2, n))
@@ -399,7 +399,7 @@ def partial_dependence_forest(spark, folder):
 
 @plan("prediction_interval")
 def prediction_interval(spark, folder):
-    frame = M.spread_rows(M.assembled(_reg_frame(spark, folder), NUMBERS, ["k", "label"]))
+    frame = M.spread_rows(M.assembled(_reg_frame(spark, folder), NUMBERS, ["k", "label"]), "k")
     fitted = M.fit_model(M.FOREST, frame, M.REGRESSION, params=SMALL_FOREST)
     return X.prediction_interval(fitted, frame).select("k", "prediction", "lower_95", "upper_95")
 
@@ -446,8 +446,9 @@ _SCENARIOS = """SELECT l_returnflag, avg(l_extendedprice) * (CASE l_returnflag W
 @plan(
     "predict_what_if",
     f"""SELECT l_returnflag, round(a + b * l_extendedprice, 2) AS prediction,
-    CAST(l_extendedprice > (SELECT max(l_extendedprice) FROM lineitem) AS INT) AS n_warnings
-    FROM ({_SCENARIOS}), {_REG_L.format(x='l_extendedprice')}""",
+    CASE WHEN outside THEN 'l_extendedprice' END AS warned, CASE WHEN outside THEN lo END AS lo, CASE WHEN outside THEN hi END AS hi
+    FROM (SELECT *, l_extendedprice NOT BETWEEN lo AND hi AS outside FROM ({_SCENARIOS}),
+    (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)), {_REG_L.format(x='l_extendedprice')}""",
 )
 def predict_what_if(spark, folder):
     fitted, meta, _ = _linear(spark, folder, "l_extendedprice")
@@ -459,8 +460,33 @@ def predict_what_if(spark, folder):
         .select("l_returnflag", (F.col("p") * factor).alias("l_extendedprice"))
     )
     out = S.predict_what_if(fitted, meta, scenarios, ["l_returnflag"])
+    first = F.get("warnings", 0)
     return out.select(
-        "l_returnflag", F.round("prediction", 2).alias("prediction"), F.size("warnings").alias("n_warnings")
+        "l_returnflag", F.round("prediction", 2).alias("prediction"),
+        first["feature"].alias("warned"), first["lo"].alias("lo"), first["hi"].alias("hi"),
+    )
+
+
+@plan(
+    "predict_batch_warnings",
+    f"""WITH o AS ({OLD_SQL}), s AS (SELECT * FROM ({NEW_SQL}), (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM o)),
+    w AS (SELECT k, l_extendedprice NOT BETWEEN lo AND hi AS price,
+    coalesce(l_returnflag, '__MISSING__') NOT IN (SELECT l_returnflag FROM o) AS flag, coalesce(l_returnflag, '__MISSING__') AS value FROM s)
+    SELECT k, concat_ws(',', CASE WHEN price THEN 'range l_extendedprice' END, CASE WHEN flag THEN 'unseen l_returnflag' END) AS warned,
+    CASE WHEN flag THEN value END AS unseen, 'l_extra' AS lacking FROM w""",
+)
+def predict_batch_warnings(spark, folder):
+    src = old(spark, folder).withColumn("l_extra", F.col("l_quantity"))
+    cols = ["l_extendedprice", "l_returnflag", "l_extra"]
+    meta = MT.fit_meta(src, "rev", cols)
+    frame = M.assembled(MT.apply_meta(src, meta, with_target=True), cols, ["label"])
+    fitted = M.fit_model(M.RIDGE, frame, M.REGRESSION)
+    out = S.predict_batch(fitted, meta, new(spark, folder), ["k"], warn=True)
+    text = F.transform("warnings", lambda w: F.concat_ws(" ", w["kind"], w["feature"]))
+    unseen = F.filter("warnings", lambda w: w["kind"] == "unseen")
+    return out.select(
+        "k", F.array_join(text, ",").alias("warned"), F.get(unseen, 0)["value"].alias("unseen"),
+        F.array_join("missing_features", ",").alias("lacking"),
     )
 
 
@@ -477,6 +503,17 @@ def evaluate_holdout(spark, folder):
     return out.withColumn("value", F.round("value", 4))
 
 
+@plan(
+    "evaluate_residuals",
+    f"""WITH o AS ({OLD_SQL}), m AS (SELECT regr_slope(rev, l_extendedprice) AS b, regr_intercept(rev, l_extendedprice) AS a FROM o)
+    SELECT round(round(a + b * l_extendedprice, 6), 2) AS fitted, round(round(rev - (a + b * l_extendedprice), 6), 2) AS residual FROM ({NEW_SQL}), m""",
+)
+def evaluate_residuals(spark, folder):
+    fitted, meta, _ = _linear(spark, folder, "l_extendedprice", old(spark, folder))
+    found = S.evaluate(fitted, meta, new(spark, folder), "k").views["residuals"]
+    return found.select(*[F.round(c, 2).alias(c) for c in ("fitted", "residual")])
+
+
 @plan("evaluate_holdout_class")
 def evaluate_holdout_class(spark, folder):
     train = old(spark, folder).withColumn("big", F.expr("CASE WHEN rev > 50000 THEN 'yes' ELSE 'no' END"))

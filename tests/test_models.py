@@ -189,6 +189,47 @@ def test_preprocessing_replays_on_new_data(spark):
     assert [r.s for r in MT.apply_meta(new.drop("s"), meta).collect()] == [0.0, 0.0, 0.0]
 
 
+def test_warnings_missing_features_and_a_feature_named_label(spark):
+    rows = [(float(i), "b" if i % 2 else "a", float(i % 5), 2.0 * i) for i in range(20)]
+    old = spark.createDataFrame(rows, "label double, s string, extra double, y double")
+    meta = MT.fit_meta(old, "y", ["label", "s", "extra"])
+    with pytest.raises(ValueError, match="named 'label'"):
+        MT.apply_meta(old, meta, with_target=True)
+    ready = MT.apply_meta(old, meta, with_target=True, label="target")
+    fitted = ML.fit_model(ML.FOREST, ML.assembled(ready, meta.features, [], "target"), "regression", params={"trees": 5})
+    new = spark.createDataFrame([(1, 3.0, "z"), (2, 50.0, "a"), (3, 4.0, None)], "k int, label double, s string")
+    got = {r.k: r for r in S.predict_what_if(fitted, meta, new, ["k"]).collect()}
+    assert [(w.feature, w.kind, w.value) for w in got[1].warnings] == [("s", "unseen", "z")]
+    assert [tuple(w) for w in got[2].warnings] == [("label", "range", "50.0", 0.0, 19.0)]
+    assert [w.value for w in got[3].warnings] == ["__MISSING__"]
+    assert all(r.missing_features == ["extra"] and r.lower_95 <= r.prediction <= r.upper_95 for r in got.values())
+
+
+def test_evaluation_reads_all_views_from_one_scored_frame(spark, train):
+    _, df = train
+    raw = df.withColumn("y", F.when(F.col("label") > 0, "up").otherwise("down"))
+    meta = MT.fit_meta(raw, "y", list("abc"))
+    frame = ML.assembled(MT.apply_meta(raw, meta, with_target=True), list("abc"), ["label"])
+    fitted = ML.fit_model(ML.LOGISTIC, frame, "classification", 2, {"max_iter": 30})
+    found = S.evaluate(fitted, meta, raw.drop("c"), "k", train=raw)
+    assert found.missing_features == ["c"] and found.drift.count() == 2
+    assert set(found.views) == {"predictions", "confusion", "roc", "calibration"}
+    assert sum(r.n for r in found.views["confusion"].collect()) == raw.count() == found.scored.count()
+    numbers = MT.fit_meta(df, "label", list("abc"))
+    line = ML.fit_model(ML.LINEAR, ML.assembled(MT.apply_meta(df, numbers, with_target=True), list("abc"), ["label"]), "regression")
+    holes = df.withColumn("label", F.when(F.col("k") >= 10, F.col("label") + 100))
+    filled = S.evaluate(line, numbers, holes, "k").scored.where("k < 10").collect()
+    median = holes.select(F.median("label")).first()[0]
+    assert all(abs(r.label - median) < 1e-9 for r in filled)
+
+
+def test_too_many_classes_raise(spark, monkeypatch):
+    meta = MT.fit_meta(spark.range(9).selectExpr("id x", "cast(id as string) y"), "y", ["x"])
+    monkeypatch.setattr(MT, "MAX_CLASSES", 8)
+    with pytest.raises(ValueError, match="more than 8 classes"):
+        meta.target_labels()
+
+
 def test_csv_types_encoding_and_quotes(spark, tmp_path):
     p = tmp_path / "types.csv"
     p.write_text('a,b,c,d,e\n1,True,,NA,"two\nlines"\n,False,,N/A,x\n3,,,null,y\n')

@@ -97,3 +97,18 @@ def test_infinities_that_fill_more_than_a_sort(spark, monkeypatch):
     wanted = [0, 39, 40, 89, 90, 149]
     got = R.order_statistics(df, {"x": wanted}, {"x": len(values)})["x"]
     assert [got[k] for k in wanted] == [sorted(values)[k] for k in wanted]
+
+
+def test_lookup_without_broadcast_spreads_hot_and_missing_keys(spark, monkeypatch):
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 2)
+    keys = [0] * 600 + [None] * 300 + list(range(1, 101)) + [777]
+    df = spark.createDataFrame([(k,) for k in keys], "key int").repartition(4)
+    table = spark.createDataFrame([(i, f"v{i}", 600 if i == 0 else 1) for i in range(101)], "k bigint, v string, n bigint")
+    got = R.lookup(df, F.col("key"), table, "k", "v", "new", "n").groupBy("key", "new").count().collect()
+    want = {(0, "v0"): 600, (None, None): 300, (777, None): 1} | {(i, f"v{i}"): 1 for i in range(1, 101)}
+    assert {(r.key, r.new): r["count"] for r in got} == want
+
+
+def test_lookup_size_counts_the_values(spark):
+    table = spark.createDataFrame([(1, "x" * 1000, 1)], "k int, v string, n bigint")
+    assert R.table_facts(table, "k", "n", value="v") == {"n": 1, "b": 1001, "w": 1}

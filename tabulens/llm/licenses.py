@@ -7,14 +7,18 @@ c being the words needed (prefix filter); it must have c template words at all (
 and after the first shared word enough must be left on both sides (positional filter). What passes
 is verified, so the join is exact. Words in no template never add to an overlap and are left out
 of the blocks' order.
+
+``scan_runs`` takes runs of words over the whole text as blocks instead, so a notice may be wrapped
+over any number of lines.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -146,8 +150,21 @@ def scan(df: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES,
     vocabulary = frozenset(w for _, wording in templates for w in words_of(wording))
     table = Templates(templates, word_frequency(df, vocabulary, id_col, text_col), threshold)
 
-    place = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("label", pa.string())])
+    def matches(text: str, words: list[str]) -> list[dict]:
+        if vocabulary.isdisjoint(words):
+            return []
+        return [
+            {"line": number, "label": label, "containment": share}
+            for number, held in blocks_of(text, vocabulary)
+            for label, share in table.matches(held)
+        ]
+
     match = pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])
+    return _looked(df, phrases, matches, match, SCAN, id_col, text_col)
+
+
+def _looked(df: DataFrame, phrases: dict[str, str], matches: Callable[[str, list[str]], list[dict]], match: pa.DataType, schema: str, id_col: str, text_col: str) -> DataFrame:
+    place = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("label", pa.string())])
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(place)), ("matches", pa.list_(match))])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +173,94 @@ def scan(df: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES,
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 words = words_of(text)
                 places = [{"first": a, "last": b, "label": c} for a, b, c in phrase_places(words, phrases)]
-                matches = [
-                    {"line": number, "label": label, "containment": share}
-                    for number, held in (blocks_of(text, vocabulary) if not vocabulary.isdisjoint(words) else ())
-                    for label, share in table.matches(held)
-                ]
-                rows.append({"doc_id": doc, "n_words": len(words), "places": places, "matches": matches})
+                rows.append({"doc_id": doc, "n_words": len(words), "places": places, "matches": matches(text, words)})
             yield pa.RecordBatch.from_pylist(rows, out)
 
-    return documents(df, id_col, text_col).mapInArrow(look, SCAN)
+    return documents(df, id_col, text_col).mapInArrow(look, schema)
+
+
+class Runs:
+    """Templates against runs of words over a whole text.
+
+    A run begins with a template word, has at most (words of the wording) / threshold words, and ends
+    with the last word that adds a template word. Texts are filtered by prefix and length, starts by
+    the distance to the next prefix word and to the last word needed; what passes is verified.
+    """
+
+    def __init__(self, templates, frequency: dict[str, int], threshold: float):
+        rank = {w: i for i, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
+        self.rows = []
+        for label, wording in templates:
+            said = words_of(wording)
+            words = sorted(set(said), key=rank.__getitem__)
+            if words:
+                need = max(1, math.ceil(threshold * len(words) - 1e-9))
+                width = max(len(said), math.floor(len(said) / threshold + 1e-9))
+                self.rows.append((label, frozenset(words), need, width, frozenset(words[: len(words) - need + 1]), said[0]))
+
+    def matches(self, words: list[str], held: set[str]) -> list[tuple[int, int, str, float]]:
+        """(first word, last word, label, containment), ``held`` being the template words of the text.
+
+        Runs of one template that overlap count once: the one with the most template words, then
+        the shortest, then one that begins as the wording does, then the first.
+        """
+        wanted = [r for r in self.rows if not r[4].isdisjoint(held) and len(r[1] & held) >= r[2]]
+        if not wanted:
+            return []
+        places: dict[str, list[int]] = {}
+        for at, word in enumerate(words):
+            if word in held:
+                places.setdefault(word, []).append(at)
+        runs = [x for number, row in enumerate(wanted) for x in self._runs(number, row, places)]
+        taken: list[set[int]] = [set() for _ in wanted]
+        found = []
+        for overlap, share, length, _, first, number in sorted(runs, key=lambda r: (-r[0], -r[1], *r[2:])):
+            here = range(first, first + length)
+            if taken[number].isdisjoint(here):
+                taken[number].update(here)
+                found.append((first, first + length - 1, wanted[number][0], share))
+        return sorted(found)
+
+    @staticmethod
+    def _runs(number, row, places) -> Iterator[tuple[int, float, int, bool, int, int]]:
+        _, words, need, width, prefix, opening = row
+        spots = sorted((p, w) for w in words for p in places.get(w, ()))
+        anchors = sorted(p for w in prefix for p in places.get(w, ()))
+        for i in range(len(spots) - need + 1):
+            first, word = spots[i]
+            if spots[i + need - 1][0] >= first + width:
+                continue
+            near = bisect_left(anchors, first)
+            if near == len(anchors):
+                return
+            if anchors[near] >= first + width:
+                continue
+            seen, last = set(), first
+            for j in range(i, min(len(spots), i + width)):
+                at, x = spots[j]
+                if at >= first + width:
+                    break
+                if x not in seen:
+                    seen.add(x)
+                    last = at
+            if len(seen) >= need:
+                yield len(seen), len(seen) / len(words), last - first + 1, word != opening, first, number
+
+
+SCAN_RUNS = (
+    "doc_id bigint, n_words bigint, places array<struct<first: bigint, last: bigint, label: string>>,"
+    " matches array<struct<first: bigint, last: bigint, label: string, containment: double>>"
+)
+
+
+def scan_runs(df: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``scan`` with runs of words as blocks: matches are (first word, last word, label, containment)."""
+    vocabulary = frozenset(w for _, wording in templates for w in words_of(wording))
+    table = Runs(templates, word_frequency(df, vocabulary, id_col, text_col), threshold)
+
+    def matches(text: str, words: list[str]) -> list[dict]:
+        found = table.matches(words, vocabulary.intersection(words))
+        return [{"first": a, "last": b, "label": label, "containment": share} for a, b, label, share in found]
+
+    match = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])
+    return _looked(df, phrases, matches, match, SCAN_RUNS, id_col, text_col)

@@ -40,7 +40,14 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
-    found = licenses.scan(table(spark, folder, "documents"))
+    return _labelled(licenses.scan(table(spark, folder, "documents")))
+
+
+def op2_license_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return _labelled(licenses.scan_runs(table(spark, folder, "documents")))
+
+
+def _labelled(found: DataFrame) -> DataFrame:
     starts = F.transform("places", lambda p: p["first"])
     base = F.transform("places", lambda p: p["label"])
     more = F.transform("matches", lambda m: m["label"])
@@ -168,7 +175,7 @@ FROM x GROUP BY doc_id"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality, op2_licenses, op3_neighbours, op4_winnowing, op5_simhash,
+        op1_quality, op2_licenses, op2_license_runs, op3_neighbours, op4_winnowing, op5_simhash,
         op6_packing, op7_warc, op8_segmentation, op9_token_shards, op10_line_dedup,
     )
 }

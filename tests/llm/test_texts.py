@@ -369,6 +369,50 @@ def test_phrase_places(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+WRAPPED = ["Licensed under the Apache License,\nVersion 2.0", f"one\n\n{MIT}\ntwo", f"one\n{BSD}", "Licensed under " + "some other words " * 9 + "the Apache License"]
+
+
+def test_wrapped_notices_are_found(spark):
+    got = {r.doc_id: {m.label for m in r.matches} for r in licenses.scan_runs(frame(spark, list(enumerate(WRAPPED)))).collect()}
+    assert got == {0: {"apache-2.0"}, 1: {"mit-notice"}, 2: {"bsd"}, 3: set()}
+
+
+def plain_runs(text, templates, threshold):
+    said = licenses.words_of(text)
+    out = []
+    for label, wording in templates:
+        opening = licenses.words_of(wording)
+        words, width, runs = set(opening), max(len(opening), int(len(opening) / threshold + 1e-9)), []
+        for a, first in enumerate(said):
+            if first in words:
+                window = said[a : a + width]
+                b = max(window.index(w) for w in words & set(window))
+                share = len(words & set(window)) / len(words)
+                if share >= threshold - 1e-9:
+                    runs.append((-share, b + 1, first != opening[0], a))
+        used = set()
+        for share, n, _, a in sorted(runs):
+            if used.isdisjoint(range(a, a + n)):
+                used.update(range(a, a + n))
+                out.append((a, a + n - 1, label, -share))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
+def test_runs_against_brute_force(spark, threshold):
+    rng = np.random.default_rng(int(threshold * 10))
+    vocabulary = [f"w{i}" for i in range(9)]
+    templates = [(f"t{k}", " ".join(rng.choice(vocabulary, rng.integers(1, 7)))) for k in range(9)] + [("none", " - ")]
+    texts = [" ".join(rng.choice([*vocabulary, "x", "y"], rng.integers(0, 50))).replace("x", "x\n") for _ in range(80)]
+    for r in licenses.scan_runs(frame(spark, list(enumerate(texts))), templates=templates, threshold=threshold).collect():
+        assert sorted((m.first, m.last, m.label, m.containment) for m in r.matches) == plain_runs(texts[r.doc_id], templates, threshold)
+
+
 # ---------------------------------------------------------------- pieces
 
 

@@ -9,7 +9,8 @@ is verified, so the join is exact. Words in no template never add to an overlap
 of the blocks' order.
 
 ``scan_runs`` takes runs of words over the whole text as blocks instead, so a notice may be wrapped
-over any number of lines.
+over any number of lines. Its templates also name the words that tell them apart, and of the
+templates that match one place only the best stays.
 """
 
 from __future__ import annotations
@@ -52,6 +53,30 @@ TEMPLATES = [
     ("reserved", "Copyright. All rights reserved."),
 ]
 
+GPL_NOTICES = [
+    "This program is free software under the GNU General Public License version {}.",
+    "This work is licensed under the GNU General Public License, version {}.",
+    "GNU General Public License as published by the Free Software Foundation, version {}",
+]
+LATER_NOTICES = [
+    "GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version",
+    "either version {} of the License, or (at your option) any later version",
+]
+CC = {"": "Attribution", "-sa": "Attribution-ShareAlike", "-nc": "Attribution-NonCommercial", "-nd": "Attribution-NoDerivatives",
+      "-nc-sa": "Attribution-NonCommercial-ShareAlike", "-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+# Label, wording, and the words that a run must hold.
+NOTICES = [
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2 0"),
+    ("mit-notice", "Released under the MIT License.", "mit"),
+    ("mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission granted software"),
+    *((f"gpl-{v}.0", wording.format(v), f"gnu general public {v}") for v in "23" for wording in GPL_NOTICES),
+    *((f"gpl-{v}.0-or-later", wording.format(v), f"version {v} or later") for v in "23" for wording in LATER_NOTICES),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution source binary"),
+    *((f"cc-by{k}-4.0", f"Licensed under CC BY{k.upper()} 4.0.", f"cc by{k} 4 0") for k in CC),
+    *((f"cc-by{k}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License", f"creative commons {name} 4 0") for k, name in CC.items()),
+    ("reserved", "All rights reserved.", "all rights reserved"),
+]
+
 
 def words_of(text: str) -> list[str]:
     return re.findall(WORD, text.translate(UPPER_TO_LOWER))
@@ -190,21 +215,22 @@ class Runs:
     def __init__(self, templates, frequency: dict[str, int], threshold: float):
         rank = {w: i for i, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
         self.rows = []
-        for label, wording in templates:
+        for label, wording, *must in templates:
             said = words_of(wording)
             words = sorted(set(said), key=rank.__getitem__)
             if words:
                 need = max(1, math.ceil(threshold * len(words) - 1e-9))
                 width = max(len(said), math.floor(len(said) / threshold + 1e-9))
-                self.rows.append((label, frozenset(words), need, width, frozenset(words[: len(words) - need + 1]), said[0]))
+                self.rows.append((label, frozenset(words), need, width, frozenset(words[: len(words) - need + 1]), said[0], frozenset(words_of(" ".join(must)))))
 
     def matches(self, words: list[str], held: set[str]) -> list[tuple[int, int, str, float]]:
         """(first word, last word, label, containment), ``held`` being the template words of the text.
 
-        Runs of one template that overlap count once: the one with the most template words, then
-        the shortest, then one that begins as the wording does, then the first.
+        Runs are taken best first: those with the most template words, then the largest containment,
+        then the shortest, then one that begins as the wording does, then the first. A run goes if it
+        overlaps a better one of its template, or if better ones hold half of its words.
         """
-        wanted = [r for r in self.rows if not r[4].isdisjoint(held) and len(r[1] & held) >= r[2]]
+        wanted = [r for r in self.rows if not r[4].isdisjoint(held) and len(r[1] & held) >= r[2] and r[6] <= held]
         if not wanted:
             return []
         places: dict[str, list[int]] = {}
@@ -213,17 +239,19 @@ class Runs:
                 places.setdefault(word, []).append(at)
         runs = [x for number, row in enumerate(wanted) for x in self._runs(number, row, places)]
         taken: list[set[int]] = [set() for _ in wanted]
+        better: set[int] = set()
         found = []
         for overlap, share, length, _, first, number in sorted(runs, key=lambda r: (-r[0], -r[1], *r[2:])):
             here = range(first, first + length)
-            if taken[number].isdisjoint(here):
+            if taken[number].isdisjoint(here) and 2 * len(better.intersection(here)) < length:
                 taken[number].update(here)
+                better.update(here)
                 found.append((first, first + length - 1, wanted[number][0], share))
         return sorted(found)
 
     @staticmethod
     def _runs(number, row, places) -> Iterator[tuple[int, float, int, bool, int, int]]:
-        _, words, need, width, prefix, opening = row
+        _, words, need, width, prefix, opening, must = row
         spots = sorted((p, w) for w in words for p in places.get(w, ()))
         anchors = sorted(p for w in prefix for p in places.get(w, ()))
         for i in range(len(spots) - need + 1):
@@ -243,7 +271,7 @@ class Runs:
                 if x not in seen:
                     seen.add(x)
                     last = at
-            if len(seen) >= need:
+            if len(seen) >= need and must <= seen:
                 yield len(seen), len(seen) / len(words), last - first + 1, word != opening, first, number
 
 
@@ -253,9 +281,12 @@ SCAN_RUNS = (
 )
 
 
-def scan_runs(df: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``scan`` with runs of words as blocks: matches are (first word, last word, label, containment)."""
-    vocabulary = frozenset(w for _, wording in templates for w in words_of(wording))
+def scan_runs(df: DataFrame, phrases: dict[str, str] = PHRASES, templates=NOTICES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``scan`` with runs of words as blocks: matches are (first word, last word, label, containment).
+
+    A template is (label, wording) or (label, wording, words that a run must hold).
+    """
+    vocabulary = frozenset(w for _, wording, *_ in templates for w in words_of(wording))
     table = Runs(templates, word_frequency(df, vocabulary, id_col, text_col), threshold)
 
     def matches(text: str, words: list[str]) -> list[dict]:

@@ -384,23 +384,25 @@ def test_wrapped_notices_are_found(spark):
 
 def plain_runs(text, templates, threshold):
     said = licenses.words_of(text)
-    out = []
-    for label, wording in templates:
+    runs, out = [], []
+    for label, wording, *must in templates:
         opening = licenses.words_of(wording)
-        words, width, runs = set(opening), max(len(opening), int(len(opening) / threshold + 1e-9)), []
+        words, width = set(opening), max(len(opening), int(len(opening) / threshold + 1e-9))
         for a, first in enumerate(said):
             if first in words:
                 window = said[a : a + width]
                 b = max(window.index(w) for w in words & set(window))
                 share = len(words & set(window)) / len(words)
-                if share >= threshold - 1e-9:
-                    runs.append((-share, b + 1, first != opening[0], a))
-        used = set()
-        for share, n, _, a in sorted(runs):
-            if used.isdisjoint(range(a, a + n)):
-                used.update(range(a, a + n))
-                out.append((a, a + n - 1, label, -share))
-    return sorted(out)
+                if share >= threshold - 1e-9 and set(" ".join(must).split()) <= set(window):
+                    runs.append((-len(words & set(window)), -share, b + 1, first != opening[0], a, wording, label))
+    order = [t[1] for t in templates]
+    for _, share, n, _, a, wording, label in sorted(runs, key=lambda r: (*r[:5], order.index(r[5]))):
+        here = set(range(a, a + n))
+        own = {i for x, y, _, _, w in out if w == wording for i in range(x, y + 1)}
+        others = {i for x, y, *_ in out for i in range(x, y + 1)}
+        if not here & own and len(here & others) < n / 2:
+            out.append((a, a + n - 1, label, -share, wording))
+    return sorted(x[:4] for x in out)
 
 
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
@@ -408,11 +410,33 @@ def test_runs_against_brute_force(spark, threshold):
     rng = np.random.default_rng(int(threshold * 10))
     vocabulary = [f"w{i}" for i in range(9)]
     templates = [(f"t{k}", " ".join(rng.choice(vocabulary, rng.integers(1, 7)))) for k in range(9)] + [("none", " - ")]
+    templates = [(*t, rng.choice(t[1].split())) if k % 3 == 0 else t for k, t in enumerate(templates)]
     texts = [" ".join(rng.choice([*vocabulary, "x", "y"], rng.integers(0, 50))).replace("x", "x\n") for _ in range(80)]
     for r in licenses.scan_runs(frame(spark, list(enumerate(texts))), templates=templates, threshold=threshold).collect():
         assert sorted((m.first, m.last, m.label, m.containment) for m in r.matches) == plain_runs(texts[r.doc_id], templates, threshold)
 
 
+NOTICES = {
+    "Licensed under CC BY-NC 4.0.": {"cc-by-nc-4.0"}, "Licensed under CC BY 4.0.": {"cc-by-4.0"}, "Licensed under CC BY-SA 4.0.": {"cc-by-sa-4.0"},
+    "Licensed under CC BY-NC-SA 4.0.": {"cc-by-nc-sa-4.0"}, "Licensed under CC BY 3.0.": set(),
+    "Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.": {"cc-by-4.0", "cc-by-nc-4.0"},
+    "This work is licensed under the GNU General Public License, version 3.": {"gpl-3.0"},
+    "This program is free software under the GNU General Public License version 3.": {"gpl-3.0"},
+    "This program is free software under the GNU General Public License version 2.": {"gpl-2.0"},
+    "It was released under pressure of the new license": set(), "Released under the MIT License.": {"mit-notice"},
+    "released " + "word " * 50 + "under the mit license": {"mit-notice"}, "released " + "word " * 50 + "under mit " + "word " * 50 + "the license": set(),
+    "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License": {"cc-by-sa-4.0"},
+    "the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.": {"gpl-2.0-or-later"},
+    "All rights reserved.": {"reserved"}, "all the rights of the reserved seats": set(),
+}
+
+
+def test_notices_get_their_own_label_only(spark):
+    texts = list(NOTICES)
+    got = {texts[r.doc_id]: {m.label for m in r.matches} for r in licenses.scan_runs(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == NOTICES
+
+
 # ---------------------------------------------------------------- pieces
 
 

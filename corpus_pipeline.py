@@ -22,21 +22,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from the texts; n_chars follows."""
+    """Repeated lines go from the texts; n_chars follows. Lines are judged by id: rows without id keep theirs."""
     kept = lines.with_kept_text(docs, lines.keep_bitmaps(docs))
     return kept.withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group; rows without id stay."""
-    found = simhash.groups(docs)
-    gone = found.groupBy("doc_id").agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("gone"))
-    return docs.join(gone.where("gone").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each SimHash group: the smallest id, rows without id last."""
+    return simhash.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents, each placed in a sequence."""
-    return packing.packed(docs, tokenizer_path())
+    """The pieces of all rows, each placed in a sequence; those of rows without id have a NULL doc_id."""
+    return packing.packed(docs, tokenizer_path(), without_id=True)
 
 
 STAGES = [

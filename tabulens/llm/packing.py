@@ -82,10 +82,10 @@ def slots(patterns: list[tuple[Pattern, int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "each", "sequence", "offset"), table.T))
 
 
-def token_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", without_id: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, part, nth): documents with end id, cut at the capacity.
 
-    ``nth`` numbers the pieces of one length within ``part``.
+    ``nth`` numbers the pieces of one length within ``part``. ``without_id`` takes rows without id too.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,17 +93,24 @@ def token_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col
         end = np.array([END_ID], coder.dtype).tobytes()
         for pdf in batches:
             rows = []
-            for doc, ids in zip(pdf["doc_id"], coder.encode(pdf["text"])):
+            for known, doc, ids in zip(pdf["known"], pdf["doc_id"], coder.encode(pdf["text"])):
                 ids = np.frombuffer(ids + end, coder.dtype).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
                     nth = seen.get(len(piece), 0)
                     seen[len(piece)] = nth + 1
-                    rows.append((doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), part, nth))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"])
+                    rows.append((known, doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), part, nth))
+            out = pd.DataFrame(rows, columns=["known", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"])
+            out["doc_id"] = out["doc_id"].astype("Int64").where(out["known"].astype(bool))
+            yield out.drop(columns="known")
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, nth bigint"
-    return settled(documents(df, id_col, text_col).mapInPandas(cut, schema), "pieces")
+    docs = documents(df, id_col, text_col).select(F.lit(True).alias("known"), "doc_id", "text")
+    if without_id:
+        text = F.coalesce(df[f"`{text_col}`"], F.lit("")).alias("text")
+        key = df[f"`{id_col}`"].cast("bigint")
+        docs = df.select(key.isNotNull().alias("known"), F.coalesce(key, F.lit(0)).alias("doc_id"), text)
+    return settled(docs.mapInPandas(cut, schema), "pieces")
 
 
 def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -136,9 +143,9 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return out.select("*", "place.sequence_id", "place.offset").drop("place", "rank", "before")
 
 
-def packed(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", without_id: bool = False) -> DataFrame:
     """One row per piece of a document, placed: see ``token_pieces`` and ``placed``.
 
     The empty text is one piece of one id, the end id.
     """
-    return placed(token_pieces(df, tokenizer, capacity, id_col, text_col), capacity).drop("part", "nth")
+    return placed(token_pieces(df, tokenizer, capacity, id_col, text_col, without_id), capacity).drop("part", "nth")

@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.llm.common import documents, settled
@@ -229,5 +229,41 @@ def groups(
     return docs.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(df: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each group: the smallest id, then the smallest hash of the text.
+
+    Rows are judged one by one: repeated ids are told apart by their texts, rows without id are
+    judged too and come after all others. Of rows with equal id and text any one stays.
+    """
+
+    @F.pandas_udf("bigint")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([simhash(t, words) for t in texts], dtype="int64")
+
+    text = F.coalesce(df[f"`{text_col}`"], F.lit(""))
+    key = [df[f"`{id_col}`"].cast("bigint"), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    rows = df.select(*(k.alias(n) for k, n in zip(key, ("id", "h1", "h2"))), hashed(text).alias("fp"))
+    keys = settled(rows.groupBy("id", "h1", "h2", "fp").agg(F.count("*").alias("n")), "keys")
+    order = F.struct(F.isnull("id").alias("last"), "id", "h1", "h2")
+    nodes = settled(keys.groupBy("fp").agg(F.min(order).alias("head")), "nodes")
+    roots = components(near_links(nodes, max_bits), "a", "b")
+    nodes = nodes.join(roots, nodes["fp"] == roots["u"], "left").select("fp", F.coalesce("v", "fp").alias("root"), "head")
+    heads = nodes.groupBy("root").agg(F.min("head").alias("first"))
+    heads = nodes.join(heads, "root").select("fp", "first")
+    judged = keys.join(heads, "fp").select("id", "h1", "h2", "n", (F.col("first") != order).alias("gone"))
+    judged = settled(judged.where("gone or n > 1"), "judged")
+
+    def same(other: DataFrame) -> Column:
+        return key[0].eqNullSafe(other["id"]) & (key[1] == other["h1"]) & (key[2] == other["h2"])
+
+    gone, repeated = judged.where("gone"), judged.where("not gone")
+    kept = df.join(gone, same(gone), "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*df.columns)
+    names = ["__id", "__h1", "__h2"]
+    once = df.join(repeated, same(repeated), "left_semi").withColumns(dict(zip(names, key))).dropDuplicates(names)
+    return kept.join(repeated, same(repeated), "left_anti").select(*df.columns).union(once.select(*df.columns))
+
+
 def hex_of(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

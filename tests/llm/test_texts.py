@@ -536,3 +536,17 @@ def test_pipeline_keeps_odd_rows(spark):
     empty = frame(spark, [], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    import corpus_pipeline
+
+    long = ["the cat sat on the mat and looked at the moon", "entirely other words stand in this second text here", "a third text about rivers hills and boats"]
+    rows = [(5, long[0]), (5, long[0]), (5, long[1]), (3, long[1]), (None, long[0]), (None, long[2]), (None, long[2]), (1 << 60, "x y z w")]
+    docs = frame(spark, [(*r, "s") for r in rows], "doc_id bigint, text string, lang string").repartition(3)
+    kept = corpus_pipeline.one_of_each(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    want = [(3, long[1]), (5, long[0]), (1 << 60, "x y z w"), (None, long[2])]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    packed = corpus_pipeline.pack(spark, kept, SMALL).collect()
+    assert sorted(((r.doc_id, r.ids_crc32) for r in packed), key=str) == sorted(((i, crc(whole_ids(t))) for i, t in want), key=str)

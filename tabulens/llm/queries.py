@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.llm import ann, licenses, lines, packing, pieces, quality, simhash, tokens, warc, winnow
+from tabulens.llm import align, ann, licenses, lines, packing, pieces, quality, simhash, tokens, warc, winnow
 from tabulens.llm.common import UPPER
 from tabulens.sources.tables import table
 
@@ -114,6 +114,11 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return align.aligned_documents(table(spark, folder, "documents"), a, b)
+
+
 # ---------------------------------------------------------------- SQL
 
 _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -177,6 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality, op2_licenses, op2_license_runs, op3_neighbours, op4_winnowing, op5_simhash,
         op6_packing, op7_warc, op8_segmentation, op9_token_shards, op10_line_dedup,
+        op11_alignment,
     )
 }
 SQL: dict[str, str] = {"op2_licenses": _licenses_sql(), "op7_warc": _WARC_SQL, "op10_line_dedup": _LINES_SQL}

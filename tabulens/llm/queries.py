@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.llm import align, ann, licenses, lines, packing, pieces, quality, simhash, tokens, warc, winnow
+from tabulens.llm import align, ann, chat, licenses, lines, packing, pieces, quality, resample, simhash, tokens, warc, winnow
 from tabulens.llm.common import UPPER
 from tabulens.sources.tables import table
 
@@ -119,6 +119,21 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return align.aligned_documents(table(spark, folder, "documents"), a, b)
 
 
+def op12_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and conversation -1, whose texts hold the template's own marks."""
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    marks = F.lit("</s>[INST] ok [/INST]")
+    own = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise(chat.TARGET).alias("role"), marks.alias("text"),
+    )
+    return chat.digests(chat.formatted(given.unionByName(own)))
+
+
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 # ---------------------------------------------------------------- SQL
 
 _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -182,7 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality, op2_licenses, op2_license_runs, op3_neighbours, op4_winnowing, op5_simhash,
         op6_packing, op7_warc, op8_segmentation, op9_token_shards, op10_line_dedup,
-        op11_alignment,
+        op11_alignment, op12_chat_windows, op13_resampling,
     )
 }
 SQL: dict[str, str] = {"op2_licenses": _licenses_sql(), "op7_warc": _WARC_SQL, "op10_line_dedup": _LINES_SQL}

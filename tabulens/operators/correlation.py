@@ -15,35 +15,39 @@ from tabulens.functions.columns import (
     number_columns,
     ref,
     require_columns,
-    rows_of,
-    union_all,
 )
-from tabulens.functions.moments import pearson, ratio
+from tabulens.functions.comoments import Moments, comoments
+from tabulens.functions.moments import ratio
 from tabulens.operators.engineer import attach_codes, label_tables
 from tabulens.operators.ranks import attach_values, avg_rank, medians, value_ranks
 
 RANK_BUCKET_BITS = 16  # a window task of the Kendall count sees at most 2**16 distinct ranks
 DIGIT_BITS = 3  # base-8 digits in the Kendall count
-PRODUCTS_PER_PASS = 300  # pair products in one aggregation; wider frames take more passes
 
 
-def encode_and_fill(df: DataFrame, cols: list[str]) -> DataFrame:
-    """The named columns as doubles: text by its label code, numbers with missing values at the median."""
-    numeric = [c for c in cols if is_numeric(dtype_of(df, c))]
-    texts = [c for c in cols if c not in numeric]
-    mids = medians(df, with_gaps(df, numeric))
+def encoded(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The named columns as doubles, text by its label code; missing numbers stay missing."""
+    texts = [c for c in cols if not is_numeric(dtype_of(df, c))]
     out = df.select(*[ref(c) for c in cols])
     if texts:
         table, facts = label_tables(df, texts)
         out = attach_codes(out, texts, table, facts, {c: f"_code_{c}" for c in texts})
+    return out.select(*[(ref(f"_code_{c}").cast("double") if c in texts else as_double(df, c)).alias(c) for c in cols])
+
+
+def encode_and_fill(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The named columns as doubles: text by its label code, numbers with missing values at the median."""
+    mids = medians(df, with_gaps(df, [c for c in cols if is_numeric(dtype_of(df, c))]))
+    filled = lambda c: F.coalesce(ref(c), F.lit(mids[c]).cast("double")) if c in mids else ref(c)
+    return encoded(df, cols).select(*[filled(c).alias(c) for c in cols])
 
-    def value(c: str) -> Column:
-        if c in texts:
-            return ref(f"_code_{c}").cast("double")
-        x = as_double(df, c)
-        return F.coalesce(x, F.lit(mids[c]).cast("double")) if c in mids else x
 
-    return out.select(*[value(c).alias(c) for c in cols])
+def filled_moments(df: DataFrame, cols: list[str]) -> Moments:
+    """Moments of ``encode_and_fill`` in one scan; further ones only for the medians of columns with gaps."""
+    found = comoments(encoded(df, cols), cols)
+    gaps = [c for c, n in zip(cols, found.gaps()) if n]
+    mids = medians(df, gaps)
+    return found.filled(np.array([np.nan if mids.get(c, 0.0) is None else mids.get(c, 0.0) for c in cols], float))
 
 
 def with_gaps(df: DataFrame, cols: list[str]) -> list[str]:
@@ -60,28 +64,17 @@ def prepare_features(df: DataFrame, target: str) -> DataFrame:
     return encode_and_fill(df, [c for c in df.columns if c != target] + [target])
 
 
-def _pair_matrix(df: DataFrame, cols: list[str], value) -> DataFrame:
-    """(x, y, value) for all ordered pairs from one symmetric expression per unordered pair."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    frames = []
-    for at in range(0, len(pairs), PRODUCTS_PER_PASS):
-        chunk = pairs[at : at + PRODUCTS_PER_PASS]
-        frames.append(
-            rows_of(
-                df,
-                [{"x": F.lit(a), "y": F.lit(b), "value": value(ref(a), ref(b))} for a, b in chunk],
-            )
-        )
-    half = union_all(frames)
-    mirror = half.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "value")
-    return half.unionByName(mirror)
+def _matrix(df: DataFrame, cols: list[str], moments: Moments) -> DataFrame:
+    """(x, y, value) for all ordered pairs; NULL where a column is constant, missing or infinite."""
+    found = moments.correlations().round(4).tolist()
+    rows = [(x, y, None if v != v else v) for x, of in zip(cols, found) for y, v in zip(cols, of)]
+    return df.sparkSession.createDataFrame(rows, "x string, y string, value double")
 
 
 def corr_pearson_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(x, y, value): all pair moments in one aggregation; a constant column gives NULL."""
+    """(x, y, value): all pair moments in one scan; a constant column gives NULL."""
     cols = cols or number_columns(df)
-    filled = encode_and_fill(df, cols)
-    return _pair_matrix(filled, cols, lambda a, b: F.round(pearson(a, b), 4))
+    return _matrix(df, cols, filled_moments(df, cols))
 
 
 def with_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -95,7 +88,7 @@ def with_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
 def corr_spearman_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or number_columns(df)
     ranked = with_ranks(encode_and_fill(df, cols), cols)
-    return _pair_matrix(ranked, cols, lambda a, b: F.round(pearson(a, b), 4))
+    return _matrix(df, cols, comoments(ranked, cols).filled(np.zeros(len(cols))))
 
 
 def _dense(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, int], dict[str, float]]:
@@ -235,44 +228,38 @@ def corr_strength(matrix: DataFrame) -> DataFrame:
 # --- collinearity -----------------------------------------------------------------------------
 
 
-def _gram(df: DataFrame, cols: list[str]) -> np.ndarray:
-    """X'X over all rows; only the k x k sums reach the driver."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    g = np.zeros((len(cols), len(cols)))
-    for at in range(0, len(pairs), PRODUCTS_PER_PASS):
-        chunk = pairs[at : at + PRODUCTS_PER_PASS]
-        row = df.agg(
-            *[F.sum(ref(cols[i]) * ref(cols[j])).alias(f"g{n}") for n, (i, j) in enumerate(chunk)]
-        ).first()
-        for n, (i, j) in enumerate(chunk):
-            g[i, j] = g[j, i] = row[n]
-    return g
+NULL_SPACE = 1e-12  # eigenvalues and squared shares in it below this are rounding
+
+
+def inflation(products: np.ndarray) -> list[float | None]:
+    """Variance inflation of every column from X'X, None where the other columns determine it.
+
+    One eigendecomposition of the scaled matrix: a column with a part in the null space is
+    determined; for any other the diagonal of the pseudo-inverse is 1 / (1 - R squared).
+    """
+    scale = np.sqrt(np.diag(products))
+    values, vectors = np.linalg.eigh(products / np.outer(scale, scale))
+    null = values <= NULL_SPACE * max(values[-1], 1.0)
+    determined = (vectors[:, null] ** 2).sum(1) > NULL_SPACE
+    found = (vectors[:, ~null] ** 2 / values[~null]).sum(1)
+    return [None if d or v * NULL_SPACE >= 1 else round(float(v), 4) for d, v in zip(determined, found)]
 
 
 def vif(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, vif) without intercept: missing values first, then the largest.
 
-    Every column is regressed on the others through G = X'X; one that the others
-    determine fully gives NULL.
+    Every column is regressed on the others through X'X; one that the others determine fully
+    gives NULL. Columns without spread, without values or with an infinite one are left out.
     """
     cols = [c for c in cols if c in df.columns and is_numeric(dtype_of(df, c))]
     if len(cols) < 2:
         raise ValueError("at least 2 numeric columns are required")
-    filled = encode_and_fill(df, cols)
-    spread = filled.agg(*[F.stddev_samp(ref(c)).alias(c) for c in cols]).first().asDict()
-    cols = [c for c in cols if spread[c]]
-    if len(cols) < 2:
+    moments = filled_moments(df, cols)
+    kept = [i for i in range(len(cols)) if not moments.constant()[i] and np.isfinite(moments.moments[i, i])]
+    if len(kept) < 2:
         raise ValueError("not enough columns with variance")
-    g = _gram(filled, cols)
-    scale = np.sqrt(np.diag(g))
-    unit = g / np.outer(scale, scale)
-    values: list[float | None] = []
-    for i in range(len(cols)):
-        rest = [j for j in range(len(cols)) if j != i]
-        explained = unit[i, rest] @ np.linalg.pinv(unit[np.ix_(rest, rest)], rcond=1e-12) @ unit[rest, i]
-        left = 1.0 - float(explained)  # share of the column that the others leave over
-        values.append(round(1.0 / left, 4) if left > 1e-12 else None)
-    rows = df.sparkSession.createDataFrame(list(zip(cols, values)), "feature string, vif double")
+    values = inflation(moments.products()[np.ix_(kept, kept)])
+    rows = df.sparkSession.createDataFrame([(cols[i], v) for i, v in zip(kept, values)], "feature string, vif double")
     return rows.orderBy(F.desc_nulls_first("vif"), "feature")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,16 @@ from tabulens.functions.columns import (
     rows_of,
 )
 from tabulens.functions.moments import percent, ratio
-from tabulens.operators.profile import distinct_counts, few_distinct
-from tabulens.operators.ranks import percentiles
+from tabulens.operators.profile import QUARTILES, distinct_counts, few_distinct
+from tabulens.operators.ranks import (
+    Cells,
+    brackets_of,
+    column_facts,
+    interpolated,
+    order_statistics,
+    percentiles,
+    ranks_around,
+)
 
 # Limits of the distribution report.
 PER_VALUE_LIMIT = 15
@@ -175,35 +185,89 @@ def kde_on_bins(bins: DataFrame, kde: DataFrame) -> DataFrame:
     )
 
 
-def fences(df: DataFrame, cols: list[str]) -> dict[str, dict[str, float]]:
-    """Quartiles and 1.5 IQR fences per column."""
-    out = {}
-    for c, (q1, q2, q3) in percentiles(df, cols, [0.25, 0.5, 0.75]).items():
-        if q1 is None:
-            continue
-        iqr = q3 - q1
-        out[c] = {"q1": q1, "median": q2, "q3": q3, "lo": q1 - FENCE * iqr, "hi": q3 + FENCE * iqr}
+def fences(df: DataFrame, cols: list[str], facts: dict[str, dict] | None = None) -> dict[str, dict[str, float]]:
+    """Quartiles and 1.5 IQR fences per column with values."""
+    found = percentiles(df, cols, QUARTILES, facts)
+    return {c: _fence(q) for c, q in found.items() if q[0] is not None}
+
+
+def _fence(quartiles: list[float]) -> dict[str, float]:
+    q1, q2, q3 = quartiles
+    return {"q1": q1, "median": q2, "q3": q3, "lo": q1 - FENCE * (q3 - q1), "hi": q3 + FENCE * (q3 - q1)}
+
+
+def _fence_brackets(pairs: list) -> list[tuple[float, float]]:
+    """Where the fences can lie, given that the quartiles lie within ``pairs``."""
+    (a, b), _, (c, d) = pairs
+    low = (a - FENCE * (d - a), b - FENCE * (c - b))
+    high = (c + FENCE * (c - b), d + FENCE * (d - a))
+    return [p for p in (low, high) if p[0] <= p[1]]
+
+
+def _beyond_fences(df: DataFrame, facts: dict[str, dict], flags: dict[str, Callable] | None = None) -> dict[str, dict]:
+    """Per column of ``facts``, given at QUARTILES: quartiles, fences, values beyond them, the last values inside and
+    the rows flagged, all from one scan: the values near quartiles and fences, and counts of those between.
+    """
+    cols = [c for c in facts if facts[c]["n"]]
+    if not cols:
+        return {}
+    doubles = df.select(*[as_double(df, c).alias(c) for c in cols])
+    near = {c: brackets_of(facts[c]["sketch"]) for c in cols}
+    brackets = {c: near[c] + _fence_brackets(facts[c]["sketch"]) for c in cols}
+    with Cells(doubles, brackets, flags) as cells:
+        wanted = {c: ranks_around(facts[c]["n"], QUARTILES) for c in cols}
+        at, outside = cells.at(wanted)
+        if outside:  # the sketch missed a rank
+            sizes = {c: facts[c]["n"] for c in outside}
+            at |= order_statistics(doubles, {c: wanted[c] for c in outside}, sizes, {c: outside[c] for c in outside})
+        out = {c: _fence(interpolated(at[c], facts[c]["n"], QUARTILES)) for c in cols}
+        limits = df.sparkSession.createDataFrame([(i, out[c]["lo"], out[c]["hi"]) for i, c in enumerate(cols)], "i int, lo double, hi double")
+        rows = cells.table.join(F.broadcast(limits), "i").groupBy("i").agg(  # a row per column
+            F.coalesce(F.sum(F.when((F.col("high") < F.col("lo")) | (F.col("low") > F.col("hi")), F.col("n"))), F.lit(0)).alias("beyond"),
+            F.min(F.when(F.col("low") >= F.col("lo"), F.col("low"))).alias("least"),
+            F.max(F.when(F.col("high") <= F.col("hi"), F.col("high"))).alias("most"),
+            F.max(((F.col("low") < F.col("lo")) & (F.col("high") >= F.col("lo"))) | ((F.col("low") <= F.col("hi")) & (F.col("high") > F.col("hi")))).alias("cut"),
+            F.sum("flagged").alias("flagged"),
+        )
+        for r in rows.collect():
+            out[cols[r["i"]]] |= {k: r[k] for k in ("beyond", "least", "most", "flagged", "cut")}
+    _recount(doubles, {c: f for c, f in out.items() if f.pop("cut")})
     return out
 
 
+def _recount(doubles: DataFrame, of: dict[str, dict]) -> None:
+    """Count directly where a fence fell between the values listed."""
+    if not of:
+        return
+    row = doubles.agg(*[
+        F.struct(
+            F.count_if((ref(c) < f["lo"]) | (ref(c) > f["hi"])).alias("beyond"),
+            F.min(F.when(ref(c) >= f["lo"], ref(c))).alias("least"),
+            F.max(F.when(ref(c) <= f["hi"], ref(c))).alias("most"),
+        ).alias(f"c{i}")
+        for i, (c, f) in enumerate(of.items())
+    ]).first()
+    for f, found in zip(of.values(), row):
+        f |= found.asDict()
+
+
+BOX = "column string, min double, q1 double, median double, q3 double, max double"
+
+
 def box_stats(df: DataFrame, cols: str | list[str]) -> DataFrame:
-    """(column, min, q1, median, q3, max): whiskers end at the last values inside the fences."""
+    """(column, min, q1, median, q3, max): whiskers end at the last values inside the fences.
+
+    Two scans for all columns. Columns without values have no row.
+    """
     cols = [cols] if isinstance(cols, str) else cols
+    found = _beyond_fences(df, column_facts(df, cols, QUARTILES))
     rows = []
-    for c, f in fences(df, cols).items():
-        x = as_double(df, c)
-        inside = F.when(x.between(F.lit(f["lo"]), F.lit(f["hi"])), x)
-        rows.append(
-            {
-                "column": F.lit(c),
-                "min": F.round(F.coalesce(F.min(inside), F.lit(f["q1"])), 6),
-                "q1": F.round(F.lit(f["q1"]), 6),
-                "median": F.round(F.lit(f["median"]), 6),
-                "q3": F.round(F.lit(f["q3"]), 6),
-                "max": F.round(F.coalesce(F.max(inside), F.lit(f["q3"])), 6),
-            }
-        )
-    return rows_of(df, rows)
+    for c, f in found.items():
+        low = f["q1"] if f["least"] is None or f["least"] > f["hi"] else f["least"]
+        high = f["q3"] if f["most"] is None or f["most"] < f["lo"] else f["most"]
+        rows.append((c, low, f["q1"], f["median"], f["q3"], high))
+    out = df.sparkSession.createDataFrame(rows, BOX)
+    return out.select("column", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
 def box_outliers(df: DataFrame, c: str) -> DataFrame:
@@ -254,28 +318,22 @@ def _z_outlier(x: Column, m: float, s: float) -> Column:
     return F.abs((x - F.lit(m)) / F.lit(s)) > Z_LIMIT
 
 
+OUTLIERS = "column string, z_score_count bigint, iqr_count bigint, z_score_pct double, iqr_pct double, n_valid bigint"
+
+
 def outliers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column, z_score_count, iqr_count, z_score_pct, iqr_pct, n_valid) for columns of 4 values up."""
+    """(column, z_score_count, iqr_count, z_score_pct, iqr_pct, n_valid) for columns of 4 values up: two scans."""
     cols = [c for c in (cols or df.columns) if c in number_columns(df)]
-    z = _z_bounds(df, cols)
-    cols = [c for c in cols if z[c]["n"] >= MIN_VALUES]
-    f = fences(df, cols)
+    facts = column_facts(df, cols, QUARTILES, m=F.avg, s=F.stddev_pop, rows=lambda x: F.count("*")) if cols else {}
+    facts = {c: f for c, f in facts.items() if f["n"] >= MIN_VALUES}
+    flags = {c: lambda x, f=f: _z_outlier(x, f["m"], f["s"]) for c, f in facts.items()}
     rows = []
-    for c in cols:
-        x = as_double(df, c)
-        far = F.count_if(_z_outlier(x, z[c]["m"], z[c]["s"]))
-        beyond = F.count_if((x < F.lit(f[c]["lo"])) | (x > F.lit(f[c]["hi"])))
-        rows.append(
-            {
-                "column": F.lit(c),
-                "z_score_count": far,
-                "iqr_count": beyond,
-                "z_score_pct": percent(far, F.count("*")),
-                "iqr_pct": percent(beyond, F.count("*")),
-                "n_valid": F.count(x),
-            }
-        )
-    return rows_of(df, rows)
+    for c, f in _beyond_fences(df, facts, flags).items():
+        n, all_rows = facts[c]["n"], facts[c]["rows"]
+        rows.append((c, f["flagged"], f["beyond"], f["flagged"] * 100.0 / all_rows, f["beyond"] * 100.0 / all_rows, n))
+    out = df.sparkSession.createDataFrame(rows, OUTLIERS)
+    shares = {c: F.round(c, 2) for c in ("z_score_pct", "iqr_pct")}
+    return out.withColumns(shares)
 
 
 def outliers_zscore(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ from tabulens.functions.columns import (
 )
 from tabulens.functions.hashing import row_order
 from tabulens.functions.moments import clean_round, kurt_g2, percent, skew_g1
-from tabulens.operators.ranks import percentiles
+from tabulens.operators.ranks import column_facts, percentiles
 
 # Thresholds and labels of the column rules.
 CLASS_LIMIT_INT = 20
@@ -183,46 +183,46 @@ def _long_doubles(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+
+
 def profile_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Moments and quartiles of all numeric columns: exact percentiles, then one aggregation.
+    """Moments and quartiles of all numeric columns in two scans.
 
-    The aggregation runs over the long form, so its compiled code does not grow with the
-    number of columns, and each task sends one row per column.
+    The first gives moments and the quantile sketch, in long form, so its code does not grow with the
+    number of columns and each task sends one row per column; the second the exact quartiles.
     """
     cols = cols or numeric_columns(df)
-    quart = percentiles(df, cols, [0.25, 0.5, 0.75])
-    facts = df.sparkSession.createDataFrame(
-        [(i, c, is_number(dtype_of(df, c)), *quart[c]) for i, c in enumerate(cols)],
-        "position int, column string, is_number boolean, q25 double, median double, q75 double",
-    )
-    x = F.col("x")
-    sums = _long_doubles(df, cols).groupBy("column").agg(
-        F.count(x).alias("count"),
-        clean_round(F.coalesce(F.sum(x), F.lit(0.0))).alias("sum"),
-        F.min(x).alias("low"),
-        clean_round(F.max(x)).alias("max"),
-        clean_round(F.avg(x)).alias("mean"),
-        clean_round(F.stddev_samp(x)).alias("std"),
-        clean_round(skew_g1(x)).alias("skewness"),
-        clean_round(kurt_g2(x)).alias("kurtosis"),
+    facts = column_facts(
+        df, cols, QUARTILES,
+        sum=lambda x: clean_round(F.coalesce(F.sum(x), F.lit(0.0))),
+        low=F.min,
+        max=lambda x: clean_round(F.max(x)),
+        mean=lambda x: clean_round(F.avg(x)),
+        std=lambda x: clean_round(F.stddev_samp(x)),
+        skewness=lambda x: clean_round(skew_g1(x)),
+        kurtosis=lambda x: clean_round(kurt_g2(x)),
+    )
+    quart = percentiles(df, cols, QUARTILES, facts)
+    names = ("sum", "low", "max", "mean", "std", "skewness", "kurtosis")
+    rows = [(c, is_number(dtype_of(df, c)), facts[c]["n"], *[facts[c][k] for k in names], *quart[c]) for c in cols]
+    found = df.sparkSession.createDataFrame(
+        rows,
+        "column string, is_number boolean, count bigint, "
+        + ", ".join(f"{k} double" for k in (*names, "q25", "median", "q75")),
     )
     full = lambda c: F.when(F.col("is_number"), F.col(c)).alias(c)
-    return (
-        F.broadcast(facts)
-        .join(sums, "column", "left")
-        .withColumn("min", clean_round(F.col("low")))
-        .select(
-            "column",
-            F.coalesce("count", F.lit(0)).alias("count"),
-            "sum",
-            # a boolean has no range, spread or quartiles, but has the rest
-            *[full(c) for c in ("min", "max", "mean", "std")],
-            clean_round(F.col("median")).alias("median"),
-            *[F.when(F.col("is_number"), clean_round(F.col(c))).alias(c) for c in ("q25", "q75")],
-            "skewness",
-            "kurtosis",
-            suggested_transform(F.col("skewness"), F.col("low")).alias("suggested_transform"),
-        )
+    return found.withColumn("min", clean_round(F.col("low"))).select(
+        "column",
+        "count",
+        "sum",
+        # a boolean has no range, spread or quartiles, but has the rest
+        *[full(c) for c in ("min", "max", "mean", "std")],
+        clean_round(F.col("median")).alias("median"),
+        *[F.when(F.col("is_number"), clean_round(F.col(c))).alias(c) for c in ("q25", "q75")],
+        "skewness",
+        "kurtosis",
+        suggested_transform(F.col("skewness"), F.col("low")).alias("suggested_transform"),
     )
 
 

@@ -2,9 +2,9 @@
 
 Three building blocks carry the rest of the package:
 
-* ``percentiles``: exact interpolated percentiles of many columns. An approximate
-  sketch brackets each wanted rank, one scan counts the rows per bracket, and only
-  the few values inside a bracket are ever sorted.
+* ``percentiles``: exact interpolated percentiles of many columns in two scans. A quantile
+  sketch brackets each wanted rank; the second scan counts the rows between brackets and
+  lists the distinct values inside, and only these are ever sorted.
 * ``running_totals``: exact running sums over ordered distinct values, by range
   partitioning, per-partition totals and an offset per partition.
 * ``lookup``: a join to a table with one row per key that spreads the hot keys.
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import as_double, ref
-from tabulens.session import settle
+from tabulens.session import settle, written
 
 ACCURACY = 10000  # of the quantile sketch
 SORT_LIMIT = 200_000  # values of one bracket that one task may sort
@@ -34,162 +34,183 @@ INF = float("inf")
 # --- order statistics -------------------------------------------------------------------
 
 
-def _sketch(x: Column, probs: list[float], accuracy: int) -> Column:
-    """Approximate values a little below and a little above each probability."""
+def _around(p: float, accuracy: int) -> tuple[float, float]:
+    """Probabilities whose sketched values lie below and above the exact one at ``p``."""
     slack = 2.0 / accuracy
-    around = sorted({min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)})
-    return F.percentile_approx(x, F.array(*map(F.lit, around)), accuracy)
-
-
-def _probe(doubles: DataFrame, wanted: dict, large: list[tuple], accuracy: int) -> list[list[float]]:
-    """Approximate values around each wanted rank of the intervals that are still too large."""
-    exprs = []
-    for c, lo, hi, before, size in large:
-        ranks = [k - before for k in wanted[c] if before <= k < before + size]
-        x = F.when((ref(c) >= F.lit(lo)) & (ref(c) < F.lit(hi)), ref(c))
-        exprs.append(_sketch(x, [r / max(size - 1, 1) for r in ranks], accuracy))
-    row = doubles.agg(*[e.alias(f"p{i}") for i, e in enumerate(exprs)]).first()
-    return [list(v or []) for v in row]
-
-
-def _cells(doubles: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
-    """(i, cell, value): every value of the i-th column of ``edges`` with its cell between the edges."""
-    cols = list(edges)
-    wide = doubles.select(*[ref(c).alias(f"v{i}") for i, c in enumerate(cols)])
-    cut = [i for i, c in enumerate(cols) if edges[c]]
-    if cut:
-        wide = Bucketizer(
-            splitsArray=[[-INF, *edges[cols[i]], INF] for i in cut],
-            inputCols=[f"v{i}" for i in cut],
-            outputCols=[f"b{i}" for i in cut],
-            handleInvalid="keep",
-        ).transform(wide)
-    parts = []
-    for i in range(len(cols)):
-        cell = F.col(f"b{i}").cast("int") if i in cut else F.lit(0)
-        parts += [F.lit(i), cell, F.col(f"v{i}")]
-    long = wide.select(F.stack(F.lit(len(cols)), *parts).alias("i", "cell", "value"))
-    return long.where("value is not null")
+    return max(p - slack, 0.0), min(p + slack, 1.0)
+
+
+def sketch(x: Column, probs: list[float], accuracy: int | None = None) -> Column:
+    """A (low, high) pair of approximate values around each probability, from one mergeable quantile sketch."""
+    accuracy = accuracy or ACCURACY
+    around = [_around(p, accuracy) for p in probs]
+    asked = sorted({q for pair in around for q in pair})
+    at = {q: i for i, q in enumerate(asked)}
+    found = F.percentile_approx(x, F.array(*map(F.lit, asked)), accuracy)
+    return F.array(*[F.array(found[at[lo]], found[at[hi]]) for lo, hi in around])
+
+
+def column_facts(df: DataFrame, cols: list[str], probs: list[float], **aggregates) -> dict[str, dict]:
+    """One scan over all columns in long form: per column ``n``, ``sketch`` at ``probs``, and each of
+    ``aggregates``, a function of the column of values. A column without values has n 0."""
+    x = F.col("x")
+    long = df.select(*[as_double(df, c).alias(c) for c in cols]).unpivot([], [ref(c) for c in cols], "column", "x")
+    every = {"n": F.count(x), "sketch": sketch(x, probs), **{k: f(x) for k, f in aggregates.items()}}
+    found = {r["column"]: r.asDict() for r in long.groupBy("column").agg(*[e.alias(k) for k, e in every.items()]).collect()}
+    return {c: found.get(c, dict.fromkeys(every) | {"n": 0}) for c in cols}
+
+
+class Cells:
+    """Counts of the values of several columns between edges, with all distinct values inside brackets.
+
+    ``brackets`` holds (low, high) pairs per column. Every pair's ends are edges, and so are the numbers
+    next above them, so a value that fills a third of all rows has a cell of its own. One scan gives a
+    row (i, cell, value, n, low, high) per distinct value inside a bracket and one per other cell, where
+    ``value`` is NULL; ``flags`` adds ``flagged``, the rows of it for which a column's flag holds. The
+    rows are written once, in the shared folder, and deleted on leaving the context.
+    """
+
+    def __init__(self, doubles: DataFrame, brackets: dict[str, list[tuple[float, float]]], flags: dict[str, Column] | None = None):
+        self.cols, self.edges, kept = list(brackets), [], []
+        for pairs in brackets.values():
+            ends = {e for pair in pairs for b in pair for e in (b, float(np.nextafter(b, INF))) if abs(e) < INF}
+            edges = [-INF, *sorted(ends), INF]
+            self.edges.append(edges)
+            kept.append([j for j, (a, b) in enumerate(zip(edges, edges[1:])) if np.nextafter(a, INF) < b and any(lo <= a and b <= np.nextafter(hi, INF) for lo, hi in pairs)])
+        self.kept = kept
+        self.flags = flags or {}
+        self._written = written(self._counted(doubles), "cells")
+
+    def __enter__(self) -> Cells:
+        self.table = self._written.__enter__()
+        return self
+
+    def __exit__(self, *error) -> None:
+        self._written.__exit__(*error)
+
+    def _counted(self, doubles: DataFrame) -> DataFrame:
+        wide = doubles.select(*[ref(c).alias(f"v{i}") for i, c in enumerate(self.cols)])
+        cut = [i for i, edges in enumerate(self.edges) if len(edges) > 2]
+        if cut:
+            wide = Bucketizer(
+                splitsArray=[self.edges[i] for i in cut],
+                inputCols=[f"v{i}" for i in cut],
+                outputCols=[f"b{i}" for i in cut],
+                handleInvalid="keep",
+            ).transform(wide)
+        parts = []
+        for i, c in enumerate(self.cols):
+            x = F.col(f"v{i}")
+            cell = F.col(f"b{i}").cast("int") if i in cut else F.lit(0)
+            inside = F.when(cell.isin(self.kept[i]), x) if self.kept[i] else F.lit(None).cast("double")
+            parts += [F.lit(i), cell, inside, x, self.flags[c](x) if c in self.flags else F.lit(False)]
+        long = wide.select(F.stack(F.lit(len(self.cols)), *parts).alias("i", "cell", "value", "x", "flag")).where("x is not null")
+        return long.groupBy("i", "cell", "value").agg(
+            F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.count_if("flag").alias("flagged")
+        )
+
+    def at(self, wanted: dict[str, list[int]]) -> tuple[dict[str, dict[int, float]], dict[str, list[tuple[float, float]]]]:
+        """Values at 0-based ranks, and the brackets to ask again for ranks that no bracket held."""
+        rows = self.table.groupBy("i", "cell").agg(F.sum("n").alias("n"), F.count("value").alias("values")).collect()
+        counts = {(r["i"], r["cell"]): (r["n"], r["values"]) for r in rows}  # columns x edges at most
+        found: dict[str, dict[int, float]] = {c: {} for c in wanted}
+        again: dict[str, list[tuple[float, float]]] = {}
+        marks, large = [], False
+        for i, c in enumerate(self.cols):
+            before = 0
+            for cell, (a, b) in enumerate(zip(self.edges[i], self.edges[i][1:])):
+                n, values = counts.get((i, cell), (0, 0))
+                ks = [k for k in wanted.get(c, ()) if before <= k < before + n]
+                if ks and np.nextafter(a, INF) == b:  # room for one value only
+                    found[c].update({k: a for k in ks})
+                elif ks and cell in self.kept[i]:
+                    marks += [(i, cell, k - before, k) for k in ks]
+                    large = large or values > SORT_LIMIT
+                elif ks:
+                    again.setdefault(c, []).append((a, b))
+                before += n
+        if marks:
+            for r in self._hits(marks, large):
+                found[self.cols[r["i"]]][r["k"]] = r["value"]
+        return found, again
+
+    def _hits(self, marks: list[tuple], large: bool) -> list:
+        """The values at places within cells; cells of many distinct values are ranked by many tasks."""
+        spark = self.table.sparkSession
+        asked = F.broadcast(spark.createDataFrame(marks, "i int, cell int, place bigint, k bigint"))  # a row per wanted rank
+        cells = F.broadcast(spark.createDataFrame(sorted({m[:2] for m in marks}), "i int, cell int"))
+        values = self.table.where("value is not null").join(cells, ["i", "cell"]).select("i", "cell", "value", "n")
+        if large:
+            ranked = running_totals(values, [F.col("value")], {"before": "n"}, by=["i", "cell"])
+        else:
+            up_to = Window.partitionBy("i", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+            ranked = values.withColumn("before", F.coalesce(F.sum("n").over(up_to), F.lit(0)))
+        hit = (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n"))
+        return ranked.join(asked, ["i", "cell"]).where(hit).select("i", "k", "value").collect()
 
 
 def order_statistics(
     doubles: DataFrame,
     wanted: dict[str, list[int]],
     sizes: dict[str, int],
-    first: dict[str, list[float]] | None = None,
-    accuracy: int = ACCURACY,
+    first: dict[str, list] | None = None,
 ) -> dict[str, dict[int, float]]:
-    """Exact values at 0-based ranks per column of a frame of doubles.
+    """Exact values at 0-based ranks per column of a frame of doubles, in two scans.
 
-    ``first`` may hold sketch values already known per column. Each round narrows the
-    intervals that hold a wanted rank by the sketch's resolution; a value repeated in a
-    third of all rows gets an interval of its own. Only counts per interval and the
-    wanted values reach the driver.
+    ``first`` may hold the ``sketch`` around each wanted rank already. The sketch brackets the ranks;
+    one scan then counts the rows between brackets and lists the values inside. Should a rank lie
+    outside its bracket after all, the cell that holds it is listed by a further scan.
     """
+    wanted = {c: ks for c, ks in wanted.items() if ks and sizes[c]}
     found: dict[str, dict[int, float]] = {c: {} for c in wanted}
-    # +inf is no edge of an interval, so its ranks are answered from its count
-    infinite = doubles.agg(*[F.count_if(ref(c) == INF).alias(f"n{i}") for i, c in enumerate(wanted)]).first() if wanted else ()
-    top = {c: n for c, n in zip(wanted, infinite) if n}
-    if top:
-        below = {c: sizes[c] - top.get(c, 0) for c in wanted}
-        for c in top:
-            found[c] = {k: INF for k in wanted[c] if k >= below[c]}
-        wanted = {c: [k for k in ks if k < below[c]] for c, ks in wanted.items()}
-        sizes = {**sizes, **below}
-        doubles = doubles.withColumns({c: F.when(ref(c) < INF, ref(c)) for c in top})
-    # intervals (column, lo, hi, rows before, rows inside), half open
-    todo = [(c, -INF, INF, 0, sizes[c]) for c, ks in wanted.items() if ks and sizes[c]]
-    small: list[tuple] = []
-    while True:
-        small += [t for t in todo if t[4] <= SORT_LIMIT]
-        large = [t for t in todo if t[4] > SORT_LIMIT]
-        if not large:
-            break
-        probes = [first[t[0]] for t in large] if first else _probe(doubles, wanted, large, accuracy)
-        first = None
-        edges: dict[str, set[float]] = {}
-        for (c, lo, hi, _, _), values in zip(large, probes):
-            near = {b for v in values for b in (float(v), float(np.nextafter(v, INF)))}
-            edges.setdefault(c, set()).update(b for b in (lo, hi, *near) if lo <= b <= hi and abs(b) < INF)
-        cuts = {c: sorted(e) for c, e in edges.items()}
-        # at most (columns x edges) rows, both fixed by the request
-        rows = _cells(doubles, cuts).groupBy("i", "cell").count().collect()
-        counts = {(r["i"], r["cell"]): r["count"] for r in rows}
-        index = {c: i for i, c in enumerate(cuts)}
-        todo = []
-        for c, lo, hi, before, _ in large:
-            bounds = [-INF, *cuts[c], INF]
-            at = before
-            for j in range(bounds.index(lo), bounds.index(hi)):
-                a, b = bounds[j], bounds[j + 1]
-                n = counts.get((index[c], j), 0)
-                ks = [k for k in wanted[c] if at <= k < at + n]
-                if ks and np.nextafter(a, INF) == b:  # room for one value only
-                    found[c].update({k: a for k in ks})
-                elif ks:
-                    todo.append((c, a, b, at, n))
-                at += n
-    return _pick(doubles, wanted, small, found) if small else found
-
-
-def _pick(doubles: DataFrame, wanted: dict, small: list[tuple], found: dict) -> dict:
-    """Sort the values of the small intervals (each at most SORT_LIMIT rows) and read the ranks."""
-    edges: dict[str, list[float]] = {}
-    for c in dict.fromkeys(t[0] for t in small):
-        mine = {b for t in small if t[0] == c for b in t[1:3] if abs(b) < INF}
-        edges[c] = sorted(mine)
-    index = {c: i for i, c in enumerate(edges)}
-    targets = []
-    for c, lo, hi, before, n in small:
-        cell = [-INF, *edges[c], INF].index(lo)
-        targets += [(index[c], cell, k - before, before) for k in wanted[c] if before <= k < before + n]
-    spark = doubles.sparkSession
-    marks = spark.createDataFrame(targets, "i int, cell int, k bigint, before bigint")
-    kept = _cells(doubles, edges)
-    cond = F.lit(False)
-    for i in index.values():
-        cond = cond | ((F.col("i") == i) & F.col("cell").isin(sorted({t[1] for t in targets if t[0] == i})))
-    counts = kept.where(cond).groupBy("i", "cell", "value").count()
-    w = Window.partitionBy("i", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("count").over(w))
-    hits = ranked.join(F.broadcast(marks), ["i", "cell"]).where(  # one row per wanted rank
-        (F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("count"))
-    )
-    names = list(index)
-    for r in hits.select("i", "k", "before", "value").collect():
-        found[names[r["i"]]][r["k"] + r["before"]] = r["value"]
+    if not wanted:
+        return found
+    if first is None:
+        exprs = [sketch(ref(c), [k / max(sizes[c] - 1, 1) for k in ks]).alias(f"s{i}") for i, (c, ks) in enumerate(wanted.items())]
+        first = dict(zip(wanted, doubles.agg(*exprs).first()))
+    todo = {c: brackets_of(first[c]) for c in wanted}
+    while todo:
+        with Cells(doubles, todo) as cells:
+            values, todo = cells.at({c: [k for k in wanted[c] if k not in found[c]] for c in todo})
+        for c, of in values.items():
+            found[c].update(of)
     return found
 
 
-def percentiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Exact percentiles with linear interpolation between neighbours, missing values aside."""
-    doubles = df.select(*[as_double(df, c).alias(c) for c in cols])
-    facts = doubles.agg(
-        *[
-            F.struct(F.count(ref(c)).alias("n"), _sketch(ref(c), probs, ACCURACY).alias("s")).alias(c)
-            for c in cols
-        ]
-    ).first()
-    sizes = {c: facts[c]["n"] for c in cols}
-    wanted: dict[str, list[int]] = {}
-    for c in cols:
-        spots = [p * (sizes[c] - 1) for p in probs] if sizes[c] else []
-        wanted[c] = sorted({k for s in spots for k in (math.floor(s), math.ceil(s))})
-    at = order_statistics(doubles, wanted, sizes, {c: list(facts[c]["s"] or []) for c in cols})
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        if not sizes[c]:
-            out[c] = [None] * len(probs)
-            continue
-        out[c] = []
-        for p in probs:
-            spot = p * (sizes[c] - 1)
-            lo, hi = math.floor(spot), math.ceil(spot)
-            a, b = at[c][lo], at[c][hi]
-            out[c].append(a + (b - a) * (spot - lo))
+def brackets_of(pairs) -> list[tuple[float, float]]:
+    return sorted({(float(lo), float(hi)) for lo, hi in pairs if lo is not None})
+
+
+def ranks_around(n: int, probs: list[float]) -> list[int]:
+    """The 0-based ranks that percentiles of n values lie between."""
+    spots = [p * (n - 1) for p in probs] if n else []
+    return sorted({k for s in spots for k in (math.floor(s), math.ceil(s))})
+
+
+def interpolated(at: dict[int, float], n: int, probs: list[float]) -> list[float | None]:
+    if not n:
+        return [None] * len(probs)
+    out = []
+    for p in probs:
+        spot = p * (n - 1)
+        a, b = at[math.floor(spot)], at[math.ceil(spot)]
+        out.append(a if a == b else a + (b - a) * (spot - math.floor(spot)))
     return out
 
 
+def percentiles(
+    df: DataFrame, cols: list[str], probs: list[float], facts: dict[str, dict] | None = None
+) -> dict[str, list[float | None]]:
+    """Exact percentiles with linear interpolation between neighbours, missing values aside: two scans,
+    one where the ``column_facts`` at ``probs`` are there already."""
+    facts = facts or column_facts(df, cols, probs)
+    sizes = {c: facts[c]["n"] for c in cols}
+    wanted = {c: ranks_around(sizes[c], probs) for c in cols}
+    doubles = df.select(*[as_double(df, c).alias(c) for c in cols])
+    at = order_statistics(doubles, wanted, sizes, {c: facts[c]["sketch"] for c in cols})
+    return {c: interpolated(at.get(c, {}), sizes[c], probs) for c in cols}
+
+
 def medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     if not cols:
         return {}

@@ -32,14 +32,14 @@ def spread(key: Column, seed: int = 0) -> Column:
 
 
 def row_order(df: DataFrame, key: str, seed: int = 0) -> Column:
-    """Hash of the row key: arithmetic for integers, xxhash64 otherwise."""
+    """Hash of the row key: arithmetic for integers, xxhash64 otherwise. Rows without a key come last."""
     if is_integral(dtype_of(df, key)):
-        return spread(ref(key), seed)
-    return F.xxhash64(ref(key), F.lit(seed))
+        return F.coalesce(spread(ref(key), seed), F.lit(MODULUS - 1))
+    return F.when(ref(key).isNull(), F.lit((1 << 63) - 1)).otherwise(F.xxhash64(ref(key), F.lit(seed)))
 
 
 def slot(df: DataFrame, key: str, n: int, seed: int = 0) -> Column:
-    """One of n slots from the leading bits of the row hash."""
+    """One of n slots from the leading bits of the row hash; all rows without a key share the last slot."""
     unit = F.pmod(row_order(df, key, seed), F.lit(MODULUS)).cast("double") / F.lit(float(MODULUS))
     return F.floor(unit * n).cast("int")
 

@@ -263,7 +263,9 @@ def running_totals(
         "*",
         *[F.coalesce(F.sum(src).over(inside), F.lit(0)).alias(f"_l_{new}") for new, src in feeds.items()],
     )
-    joined = local.join(offsets, keys)
+    known = [F.col(f"_k{i}").eqNullSafe(ref(k)) for i, k in enumerate(keys)]  # a missing ``by`` value is one too
+    offsets = offsets.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    joined = local.join(offsets, known)
     return joined.select(
         *[ref(c) for c in table.columns if c != "_one"],
         *[(F.col(f"_l_{new}") + F.col(f"_o_{new}")).alias(new) for new in feeds],

@@ -24,21 +24,31 @@ def split_flag(
     """Mark ceil(n * test_size) rows as test rows, by hash order of a unique key.
 
     The cut is the exact order statistic of the hash, found without sorting the rows. Rows that
-    share the hash of the cut, few of any key, are told apart by the key.
+    share the hash of the cut, few of any key, are told apart by the key. Rows without a key count
+    among the n rows and are training rows; should the test rows not fill up without them, it raises.
+    An empty table stays empty.
     """
     if not TEST_SIZE_ALLOWED[0] <= test_size <= TEST_SIZE_ALLOWED[1]:
         raise ValueError("test_size must be between 0.05 and 0.5")
     order = row_order(df, key, seed)
     hashed = df.select(order.cast("double").alias("h"))
     n = hashed.count()
+    if not n:
+        return df.withColumn(name, F.lit(False))
     rank = math.ceil(n * test_size) - 1
     cut = order_statistics(hashed, {"h": [rank]}, {"h": n})["h"][rank]
-    below, at = hashed.agg(F.count_if(F.col("h") < cut), F.count_if(F.col("h") == cut)).first()
-    flag = order.cast("double") <= F.lit(cut)
+    keyed = ref(key).isNotNull()
+    below, at, named = df.select(order.cast("double").alias("h"), keyed.alias("named")).agg(
+        F.count_if(F.col("h") < cut), F.count_if((F.col("h") == cut) & F.col("named")), F.count_if("named")
+    ).first()
+    if named < rank + 1:
+        raise ValueError(f"{n - named} of {n} rows have no key, too many to tell test from training rows")
+    flag = keyed & (order.cast("double") <= F.lit(cut))
     if below + at > rank + 1:
-        tied = df.where(order.cast("double") == F.lit(cut)).select(ref(key).alias("k")).orderBy("k")
+        tied = df.where(keyed & (order.cast("double") == F.lit(cut))).select(ref(key).alias("k")).orderBy("k")
         last = tied.limit(rank + 1 - below).agg(F.max("k")).first()[0]
-        flag = (order.cast("double") < F.lit(cut)) | ((order.cast("double") == F.lit(cut)) & (ref(key) <= F.lit(last)))
+        tie = (order.cast("double") == F.lit(cut)) & F.coalesce(ref(key) <= F.lit(last), F.lit(False))
+        flag = keyed & ((order.cast("double") < F.lit(cut)) | tie)
     return df.withColumn(name, flag)
 
 
@@ -50,7 +60,7 @@ def train_test_split(
 
 
 def kfold_assign(df: DataFrame, key: str, k: int = FOLDS, seed: int = SEED, name: str = "fold") -> DataFrame:
-    """Fold 0..k-1 from the leading bits of the row hash; no shuffle."""
+    """Fold 0..k-1 from the leading bits of the row hash; no shuffle. Rows without a key are in the last fold."""
     return df.withColumn(name, slot(df, key, k, seed))
 
 
@@ -60,7 +70,8 @@ def stratified_kfold_assign(
     """Folds that split every class evenly: the position within the class in hash order, mod k.
 
     Positions come from running totals over range partitions, so a class that holds
-    most rows is still numbered by many tasks.
+    most rows is still numbered by many tasks. Rows without a class are a class of their own, and rows
+    without a key come last in theirs.
     """
     marked = df.withColumn("_class", ref(label)).withColumn("_h", row_order(df, key, seed))
     numbered = running_totals(

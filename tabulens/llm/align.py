@@ -12,7 +12,6 @@ counted over the whole corpus by id pair.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -20,23 +19,32 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens.llm.common import documents, settled
+from tabulens.llm.units import Rows, Units, spans
 
 # The byte-level alphabet shows these byte ranges as themselves, all other bytes from U+0100 on.
 SHOWN_BYTES = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
 SPACE = "▁"
-STOP = (1 << 32) - 1  # ends the ids of one tokenizer for one unit; no id reaches it
-CHUNK_CHARS = 1_000_000  # of texts aligned together; a longer text is aligned by itself
-KNOWN_UNITS = 400_000  # units that a worker remembers before it starts anew
-LONG_UNIT = 64
+CHUNK_BYTES = 1_000_000  # of texts aligned together; a longer text is aligned by itself
+KNOWN_CHARS = 8_000_000  # of the units that a worker remembers before it starts anew
+JOINED_CHARS = 100_000  # of new units that are encoded in one call
 BROADCAST_PAIRS = 2_000_000  # id pairs that tasks look up in memory: 17 bytes each
 COUNTED_LINKS = 4_000_000  # links that a task sorts at a time
-# A unit begins with a space or line break after a character that is not white space.
-UNIT = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
-SEPARATORS = re.compile(r"[\x1c-\x1f]")  # white space for Python but not for the tokenizers
+# The characters that regular expressions take for white space, U+001C to U+001F aside.
+WHITE = np.zeros(0x3002, bool)
+WHITE[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
+
+
+def is_white(chars: np.ndarray) -> np.ndarray:
+    return WHITE[np.minimum(chars, len(WHITE) - 1)]
+
+
+def utf8_size(chars: np.ndarray) -> np.ndarray:
+    return 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
 
 
 def byte_level_decoder() -> dict[str, int]:
@@ -84,9 +92,13 @@ class Pieces:
             self.bytes_of.append(b"" if self.model.is_control(i) else plain.encode())
             if not (self.model.is_control(i) or self.model.is_unknown(i)) and re.search(r"\S[ \n]", plain):
                 self.by_units = False
+        self.lead = len(self.model.encode("x"))
 
     def encode(self, spaced: str) -> list[int]:
-        return self.model.encode(spaced[1:])
+        if not self.by_units:
+            return self.model.encode(spaced[1:])
+        # After a word of its own, a unit may begin with any white space or be nothing else.
+        return self.model.encode("x" + spaced)[self.lead :]
 
 
 def tokenizer(path: str) -> ByteLevel | Pieces:
@@ -94,93 +106,91 @@ def tokenizer(path: str) -> ByteLevel | Pieces:
 
 
 class Pair:
-    """Two tokenizers, and the ids of the units of text met so far."""
+    """Two tokenizers, and the ids of the units of text met so far.
+
+    A unit begins with a space or line break after a character that is not white space. Neither
+    tokenizer joins characters over its start, so a text's ids are those of its units in turn.
+    """
 
     def __init__(self, a: str, b: str):
         self.a, self.b = tokenizer(a), tokenizer(b)
         self.size_a, self.size_b = (np.array([len(x) for x in t.bytes_of], np.int64) for t in (self.a, self.b))
         self.by_units = self.a.by_units and self.b.by_units
+        self.known = Units()
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, bytes] = {}  # unit to the ids of A, STOP, the ids of B, STOP
-        self.odd: set[str] = set()  # units whose tokens do not spell them
-
-    def units(self, spaced: str) -> list[str]:
-        """Parts that both tokenizers encode independently; the whole text where that is not certain."""
-        if not self.by_units or SEPARATORS.search(spaced):
-            return [spaced]
-        return UNIT.findall(spaced)
+        self.known.clear()
+        self.units = Rows(1 << 18, at_a=np.int64, n_a=np.int32, at_b=np.int64, n_b=np.int32, odd=bool)
+        self.ids_a, self.ids_b = Rows(1 << 21, id=np.uint32), Rows(1 << 21, id=np.uint32)
 
-    def _cut(self, coder, sizes: np.ndarray, text: str, ends: np.ndarray) -> list[bytes] | None:
-        """Ids of ``text`` cut at the byte offsets ``ends``; None if the tokens do not spell it or cross a cut."""
+    def _cut(self, coder, sizes: np.ndarray, text: str, ends: np.ndarray):
+        """(ids, ids of each part) of ``text`` cut at the byte offsets ``ends``; None if the tokens do not spell it or cross a cut."""
         ids = coder.encode(text)
         if b"".join(map(coder.bytes_of.__getitem__, ids)) != text.encode():
             return None
-        ids = np.array(ids, "<u4")
+        ids = np.array(ids, np.uint32)
         token_ends = np.cumsum(sizes[ids])
-        cuts = np.searchsorted(token_ends, ends)
-        if len(ends) > 1 and not np.array_equal(token_ends[cuts], ends):
+        cuts = np.searchsorted(token_ends, ends, side="right")
+        if not np.array_equal(token_ends[cuts - 1], ends):
             return None
-        data, ends = ids.tobytes(), ((cuts + 1) * 4).tolist()
-        ends[-1] = len(data)
-        return [data[s:e] for s, e in zip([0, *ends], ends)]
-
-    def _learn(self, units: list[str]) -> None:
-        """Encode units: those that end in a visible character joined, the others and odd ones each by itself."""
-        stop = STOP.to_bytes(4, "little")
-        groups, plain, held = [], [], 0
-        for u in units:
-            if u[-1].isspace() or len(u) > LONG_UNIT:
-                groups.append([u])
-                continue
-            plain.append(u)
-            held += len(u)
-            if held > 100_000:
-                groups.append(plain)
-                plain, held = [], 0
-        if plain:
-            groups.append(plain)
-        while groups:
-            some = groups.pop()
-            text, ends = "".join(some), np.cumsum([len(u.encode()) for u in some])
-            ids_a = self._cut(self.a, self.size_a, text, ends)
-            ids_b = ids_a and self._cut(self.b, self.size_b, text, ends)
-            if ids_b:
-                self.known.update(zip(some, (x + stop + y + stop for x, y in zip(ids_a, ids_b))))
-            elif len(some) > 1:
-                half = len(some) // 2
-                groups += [some[:half], some[half:]]
+        return ids, np.diff(cuts, prepend=0)
+
+    def _learn(self, chars: np.ndarray, size: np.ndarray) -> None:
+        """Encode new units: runs of those that end in a visible character joined, any other, and odd ones, by itself."""
+        ends, through = np.cumsum(size), np.cumsum(utf8_size(chars))
+        lone = is_white(chars[ends - 1]) | ((chars >= 0x1C) & (chars <= 0x1F))[ends - 1]
+        block = (ends - 1) // JOINED_CHARS
+        cuts = np.flatnonzero(lone[1:] | lone[:-1] | (block[1:] != block[:-1])) + 1
+        todo = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)]))[::-1]
+        while todo:
+            i, j = todo.pop()
+            first = ends[i] - size[i]
+            text = chars[first : ends[j - 1]].tobytes().decode("utf-32-le")
+            here = through[ends[i:j] - 1] - (through[first - 1] if first else 0)
+            found = self._cut(self.a, self.size_a, text, here), self._cut(self.b, self.size_b, text, here)
+            if None not in found:
+                self._keep(*found[0], *found[1], np.zeros(j - i, bool))
+            elif j - i > 1:
+                middle = (i + j) // 2
+                todo += [(middle, j), (i, middle)]
             else:
-                self.odd.update(some)
-                self.known[some[0]] = stop + stop
+                nothing = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+                self._keep(*nothing, *nothing, np.ones(1, bool))
+
+    def _keep(self, ids_a, n_a, ids_b, n_b, odd) -> None:
+        self.units.extend(at_a=self.ids_a.n + np.cumsum(n_a) - n_a, n_a=n_a, at_b=self.ids_b.n + np.cumsum(n_b) - n_b, n_b=n_b, odd=odd)
+        self.ids_a.extend(id=ids_a)
+        self.ids_b.extend(id=ids_b)
 
-    def encode(self, texts: list[str]):
+    def encode(self, texts: list[str | None]):
         """(ids of A, ids of B, tokens of A and of B by text) of all texts; a text without tokens has none."""
-        units = [self.units(" " + t) if t else [] for t in texts]
-        new = set().union(*units).difference(self.known)
-        if len(self.known) + len(new) > KNOWN_UNITS:
+        spaced = [" " + t if t else "" for t in texts]
+        chars = np.frombuffer("".join(spaced).encode("utf-32-le"), "<u4")
+        ends = np.cumsum(np.fromiter(map(len, spaced), np.int64, len(spaced)))
+        white = is_white(chars)
+        opens = ((chars == 10) | (chars == 32)) & ~np.concatenate(([True], white[:-1]))
+        # U+001C to U+001F are white space for some patterns only: such texts stay whole.
+        unsure = np.zeros(len(ends), bool)
+        unsure[np.searchsorted(ends, np.flatnonzero((chars >= 0x1C) & (chars <= 0x1F)), side="right")] = True
+        opens[np.repeat(unsure | (not self.by_units), np.diff(ends, prepend=0))] = False
+        opens[(ends - np.diff(ends, prepend=0))[np.diff(ends, prepend=0) > 0]] = True
+        start = np.flatnonzero(opens)
+        if self.known.chars.n > KNOWN_CHARS:
             self._forget()
-            new = set().union(*units)
-        self._learn(list(new))
-        if self.odd:
-            units = [[] if not self.odd.isdisjoint(u) else u for u in units]
-        stream = np.frombuffer(b"".join(map(self.known.__getitem__, itertools.chain.from_iterable(units))), "<u4")
-        for u in new:
-            if len(u) > LONG_UNIT:
-                del self.known[u]
-                self.odd.discard(u)
-        stops = stream == STOP
-        place = np.flatnonzero(stops)
-        of_b = np.cumsum(stops) % 2 == 1
-        ids_a, ids_b = stream[~(stops | of_b)], stream[of_b & ~stops]
-        ends = np.cumsum([len(us) for us in units])  # units through each text
-        lengths = np.diff(place, prepend=-1) - 1
-        through_a = np.concatenate(([0], np.cumsum(lengths[0::2])))[ends]
-        through_b = np.concatenate(([0], np.cumsum(lengths[1::2])))[ends]
-        return ids_a, ids_b, np.diff(through_a, prepend=0), np.diff(through_b, prepend=0)
-
-    def align(self, texts: list[str]):
+        unit = self.known.numbered(chars, start, np.diff(start, append=len(chars)), self._learn, self._forget)
+        last = np.searchsorted(start, ends)
+        odd = np.concatenate(([0], np.cumsum(self.units["odd"][unit])))[last]
+        odd = np.diff(odd, prepend=0) > 0
+        unit = unit[np.repeat(~odd, np.diff(last, prepend=0))]
+        units = np.cumsum(np.where(odd, 0, np.diff(last, prepend=0)))  # through each text
+        n_a, n_b = self.units["n_a"][unit].astype(np.int64), self.units["n_b"][unit].astype(np.int64)
+        ids_a = self.ids_a["id"][spans(self.units["at_a"][unit], n_a)]
+        ids_b = self.ids_b["id"][spans(self.units["at_b"][unit], n_b)]
+        through = lambda n: np.diff(np.concatenate(([0], np.cumsum(n)))[units], prepend=0)
+        return ids_a, ids_b, through(n_a), through(n_b)
+
+    def align(self, texts: list[str | None]):
         """Ids as ``encode`` gives them, and the last token of A and of B of every group, in order."""
         ids_a, ids_b, n_a, n_b = self.encode(texts)
         last_a, last_b = shared_cuts(np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b]), n_a, n_b)
@@ -236,49 +246,71 @@ def pair(a: str, b: str) -> Pair:
     return _PAIRS[a, b]
 
 
-def chunks(texts: list[str]) -> Iterator[list[int]]:
-    """Indices of texts in runs of about CHUNK_CHARS."""
-    held, some = 0, []
-    for i, t in enumerate(texts):
-        some.append(i)
-        held += len(t)
-        if held >= CHUNK_CHARS:
-            yield some
-            held, some = 0, []
-    if some:
-        yield some
+def chunks(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in runs of about CHUNK_BYTES."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        until = max(at + 1, int(np.searchsorted(ends, CHUNK_BYTES + (ends[at - 1] if at else 0))))
+        yield texts.slice(at, until - at).to_pylist()
+        at = until
 
 
-def _parts(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
-    data, ends = values.astype("<u4").tobytes(), np.cumsum(counts) * 4
-    return [data[e - n * 4 : e] for e, n in zip(ends.tolist(), counts.tolist())]
+class Alignment:
+    """One text's ids by A and B, and how many tokens of each there are through every group."""
 
+    TYPES = {
+        "a_ids": "binary", "b_ids": "binary", "a_ends": "binary", "b_ends": "binary",
+        "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "groups_sha256": "string", "links": "binary",
+    }
 
-ALIGNED = pa.schema([("doc_id", pa.int64()), *((c, pa.binary()) for c in ("a_ids", "b_ids", "a_ends", "b_ends"))])
+    def __init__(self, ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray):
+        self.ids_a, self.ids_b, self.ends_a, self.ends_b = ids_a, ids_b, ends_a, ends_b
 
+    def column(self, name: str):
+        """The value of an output column."""
+        if name == "links":
+            return ((self.ids_a[self.ends_a - 1].astype(np.int64) << 32) | self.ids_b[self.ends_b - 1]).astype("<i8").tobytes()
+        if name == "groups_sha256":
+            return group_digest(self.ids_a, self.ids_b, self.ends_a, self.ends_b)
+        of = {"a_ids": self.ids_a, "n_a": self.ids_a, "b_ids": self.ids_b, "n_b": self.ids_b, "b_ends": self.ends_b}
+        values = of.get(name, self.ends_a)
+        return len(values) if name.startswith("n_") else values.astype("<u4").tobytes()
 
-def aligned(df: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, a_ids, b_ids, a_ends, b_ends): binaries of little-endian unsigned 32-bit numbers.
 
-    ``a`` is a byte-level BPE file, ``b`` a SentencePiece model. a_ends and b_ends count the tokens
-    through each group. A text that is NULL or empty, or that the tokens of either side do not spell
-    after a space, has no tokens. One row per row with an id; repeated rows repeat.
+def aligned(
+    df: DataFrame, a: str, b: str, columns=("a_ids", "b_ids", "a_ends", "b_ends"), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, columns): the tokens of every whole text by two tokenizers, in groups that end together.
+
+    ``a`` is a byte-level BPE file, ``b`` a SentencePiece model. Columns: ``a_ids`` and ``b_ids``, and
+    ``a_ends`` and ``b_ends``, the tokens through each group, as little-endian unsigned 32-bit numbers;
+    ``n_a``, ``n_b``, ``n_groups``, their numbers; ``groups_sha256``, the digest of
+    `a1,a2|b1;a3|b2,b3`, all groups in order; ``links``, the pairs of ids that end together, as 64-bit
+    numbers (A id << 32 | B id).
+
+    A text that is NULL or empty, or that the tokens of either side do not spell after a space, has no
+    tokens: empty binaries, zeros and the digest ''. One row per row with an id; repeated rows repeat.
     """
+    types = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    out = pa.schema([("doc_id", pa.int64()), *((c, types[Alignment.TYPES[c]]) for c in columns)])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, texts = batch["doc_id"].to_numpy(), batch["text"].to_pylist()
-            for some in chunks(texts):
-                ids_a, ids_b, n_a, n_b, last_a, last_b = pair(a, b).align([texts[i] for i in some])
-                first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-                groups = np.diff(np.searchsorted(last_a, np.cumsum(n_a)), prepend=0)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(docs[some]), pa.array(_parts(ids_a, n_a)), pa.array(_parts(ids_b, n_b)),
-                    pa.array(_parts(last_a + 1 - np.repeat(first_a, groups), groups)),
-                    pa.array(_parts(last_b + 1 - np.repeat(first_b, groups), groups)),
-                ], schema=ALIGNED)
-
-    schema = "doc_id bigint, a_ids binary, b_ids binary, a_ends binary, b_ends binary"
+            at = 0
+            for texts in chunks(batch["text"]):
+                ids_a, ids_b, n_a, n_b, last_a, last_b = pair(a, b).align(texts)
+                through_a, through_b = np.cumsum(n_a), np.cumsum(n_b)
+                groups = np.searchsorted(last_a, through_a)
+                found = [
+                    Alignment(ids_a[x - n : x], ids_b[y - m : y], last_a[f:g] + 1 - (x - n), last_b[f:g] + 1 - (y - m))
+                    for x, n, y, m, f, g in zip(through_a, n_a, through_b, n_b, [0, *groups], groups)
+                ]
+                values = [pa.array([d.column(c) for d in found], types[Alignment.TYPES[c]]) for c in columns]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, len(texts)), *values], schema=out)
+                at += len(texts)
+
+    schema = "doc_id bigint, " + ", ".join(f"{c} {Alignment.TYPES[c]}" for c in columns)
     return documents(df, id_col, text_col).mapInArrow(align, schema)
 
 
@@ -292,24 +324,6 @@ def _spelled(ids: np.ndarray, last: np.ndarray, inner: int, outer: int, table: n
     return rows
 
 
-def digests(df: DataFrame) -> DataFrame:
-    """Of ``aligned`` rows: counts, groups_sha256, and links as a binary of 64-bit keys (A id << 32 | B id).
-
-    The digested text is `a1,a2|b1;a3|b2,b3`, groups in order; without tokens the digest is ''.
-    """
-
-    @F.pandas_udf("struct<n_a: bigint, n_b: bigint, n_groups: bigint, groups_sha256: string, links: binary>")
-    def digest(a_ids: pd.Series, b_ids: pd.Series, a_ends: pd.Series, b_ends: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y, p, q in zip(a_ids, b_ids, a_ends, b_ends):
-            x, y, p, q = (np.frombuffer(v, "<u4").astype(np.int64) for v in (x, y, p, q))
-            links = ((x[p - 1] << 32) | y[q - 1]).astype("<i8").tobytes()
-            out.append((len(x), len(y), len(p), group_digest(x, y, p, q), links))
-        return pd.DataFrame(out, columns=["n_a", "n_b", "n_groups", "groups_sha256", "links"])
-
-    return df.select("doc_id", digest("a_ids", "b_ids", "a_ends", "b_ends").alias("d")).select("doc_id", "d.*")
-
-
 def group_digest(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
     """sha256 of the groups' decimal ids; '' without groups."""
     if not len(ends_a):
@@ -427,7 +441,7 @@ def link_scores(df: DataFrame, counts: DataFrame, bound: int = BROADCAST_PAIRS)
 
 def aligned_documents(df: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row with an id: doc_id, n_a, n_b, n_groups, groups_sha256, n_links, n_best, count_sum."""
-    found = digests(aligned(df, a, b, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
-    found = settled(found, "aligned")
+    found = aligned(df, a, b, ("n_a", "n_b", "n_groups", "groups_sha256", "links"), id_col, text_col)
+    found = settled(found.withColumn("row", F.monotonically_increasing_id()), "aligned")
     counts = settled(link_counts(found), "links")
     return link_scores(found.withColumn("n_links", F.col("n_groups")), counts)

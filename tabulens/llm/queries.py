@@ -40,10 +40,6 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
-    return _labelled(licenses.scan(table(spark, folder, "documents")))
-
-
-def op2_license_runs(spark: SparkSession, folder: str) -> DataFrame:
     return _labelled(licenses.scan_runs(table(spark, folder, "documents")))
 
 
@@ -136,40 +132,6 @@ def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---------------------------------------------------------------- SQL
 
-_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
-
-
-def _places(phrase: str) -> str:
-    parts = phrase.split()
-    wanted = ", ".join(f"'{w}'" for w in parts)
-    return f"list_filter(range(1, len(words) + 1), lambda i: words[i:i + {len(parts) - 1}] = [{wanted}])"
-
-
-def _licenses_sql() -> str:
-    rows = []
-    for label, wording in licenses.TEMPLATES:
-        words = sorted(set(licenses.words_of(wording)))
-        need = max(1, -int(-(licenses.THRESHOLD * len(words) - 1e-9) // 1))
-        rows.append(f"('{label}', [{', '.join(repr(w) for w in words)}], {need})")
-    every = ", ".join(f"{_places(p)} AS p{i}" for i, p in enumerate(licenses.PHRASES))
-    flat = " || ".join(f"p{i}" for i in range(len(licenses.PHRASES)))
-    base = " || ".join(f"CASE WHEN len(p{i}) > 0 THEN ['{b}'] ELSE [] END" for i, b in enumerate(licenses.PHRASES.values()))
-    return f"""
-WITH t(label, words, need) AS (VALUES {', '.join(rows)}),
-d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{licenses.WORD}') AS words FROM documents WHERE doc_id IS NOT NULL),
-p AS (SELECT doc_id, len(words) AS n_words, {every} FROM d),
-l AS (SELECT doc_id, unnest(string_split({_LOWER}, chr(10))) AS line FROM documents),
-w AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{licenses.WORD}')) AS held FROM l),
-m AS (SELECT doc_id, list(DISTINCT label) AS more, max(len(list_intersect(held, words)) / len(words)::DOUBLE) AS share
-      FROM w, t WHERE len(list_intersect(held, words)) >= need GROUP BY doc_id),
-b AS (SELECT doc_id, n_words, {flat} AS starts, {base} AS base FROM p)
-SELECT doc_id, n_words, len(starts) AS n_base, list_min(starts) - 1 AS first_word, list_max(starts) - 1 AS last_word,
-  array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
-  array_to_string(list_sort(list_distinct(base || coalesce(more, []))), ',') AS labels,
-  CASE WHEN len(starts) > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
-FROM b LEFT JOIN m USING (doc_id)"""
-
-
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages WHERE page_id IS NOT NULL),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
@@ -195,9 +157,9 @@ FROM x GROUP BY doc_id"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality, op2_licenses, op2_license_runs, op3_neighbours, op4_winnowing, op5_simhash,
+        op1_quality, op2_licenses, op3_neighbours, op4_winnowing, op5_simhash,
         op6_packing, op7_warc, op8_segmentation, op9_token_shards, op10_line_dedup,
         op11_alignment, op12_chat_windows, op13_resampling,
     )
 }
-SQL: dict[str, str] = {"op2_licenses": _licenses_sql(), "op7_warc": _WARC_SQL, "op10_line_dedup": _LINES_SQL}
+SQL: dict[str, str] = {"op7_warc": _WARC_SQL, "op10_line_dedup": _LINES_SQL}

@@ -365,3 +365,45 @@ def test_op13_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     bench = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     assert rows_of(QUERIES["op13_resampling"](spark, SMALL)) == plain_resampling(docs, bench)
+
+
+# ---------------------------------------------------------------- the license query
+
+
+LICENSED = {
+    "Licensed under CC BY 4.0.": "cc-by,cc-by-4.0",
+    "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0",
+    "This program is free software under the GNU General Public License version 3.": "gpl,gpl-3.0",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+    "It was released under pressure of the new license": "",
+    "Licensed under the Apache License,\nVersion 2.0": "apache,apache-2.0",
+    "Released under the MIT License.": "mit,mit-notice",
+    None: "",
+}
+
+
+def test_op2_query_gives_exactly_the_labels_of_a_notice(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(LICENSED)), "doc_id bigint, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op2_licenses"](spark, str(tmp_path)).collect()}
+    assert [got[i].labels for i in range(len(LICENSED))] == list(LICENSED.values())
+    assert [q for q in QUERIES if q.startswith("op2_")] == ["op2_licenses"]
+
+
+def plain_base(text):
+    """n_words, n_base, first_word, last_word, base_labels as the contract words them."""
+    words = WORD.findall((text or "").translate(LOWER))
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    places = [(i, label) for p, label in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    starts = [i for i, _ in places]
+    return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
+
+
+@needs_data
+def test_op2_query_base_columns(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = QUERIES["op2_licenses"](spark, SMALL).collect()
+    assert {r.doc_id for r in got} == docs.keys() and any(r.n_base for r in got)
+    for r in got:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain_base(docs[r.doc_id])
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1

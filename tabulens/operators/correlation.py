@@ -18,8 +18,10 @@ from tabulens.functions.columns import (
 )
 from tabulens.functions.comoments import Moments, comoments
 from tabulens.functions.moments import ratio
+from tabulens.operators import ranks
 from tabulens.operators.engineer import attach_codes, label_tables
-from tabulens.operators.ranks import attach_values, avg_rank, medians, value_ranks
+from tabulens.operators.ranks import attach_values, avg_rank, by_row, distinct_sizes, medians, ranked_long, value_ranks
+from tabulens.session import settled
 
 RANK_BUCKET_BITS = 16  # a window task of the Kendall count sees at most 2**16 distinct ranks
 DIGIT_BITS = 3  # base-8 digits in the Kendall count
@@ -78,7 +80,15 @@ def corr_pearson_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFra
 
 
 def with_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Replace each column by its average-tie rank."""
+    """Replace each column by its average-tie rank.
+
+    Where all columns are ranked and some have too many values to look up, all take the long form;
+    the rows then come in another order.
+    """
+    if cols and set(cols) == set(df.columns):
+        n, sizes = distinct_sizes(df, cols)
+        if max(sizes.values()) > ranks.BROADCAST_ROWS:
+            return by_row(ranked_long(df, cols, n), cols, F.col("below") + (F.col("equal") + 1) / 2.0)
     out = avg_rank(df, cols, {c: f"_rank_{c}" for c in cols})
     return out.select(
         *[ref(f"_rank_{c}").alias(c) if c in cols else ref(c) for c in df.columns]
@@ -91,17 +101,31 @@ def corr_spearman_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFr
     return _matrix(df, cols, comoments(ranked, cols).filled(np.zeros(len(cols))))
 
 
-def _dense(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, int], dict[str, float]]:
-    """Columns as dense ranks, with the number of distinct values and of tied pairs per column."""
-    table, facts = value_ranks(df, cols, dense="dense")
-    n = F.col("n").cast("double")
-    tied = {
-        r["column"]: r["t"]
-        for r in table.groupBy("column").agg(F.sum(n * (n - 1) / 2).alias("t")).collect()
-    }
-    out = attach_values(df, cols, table, facts, "dense", {c: f"_dense_{c}" for c in cols})
-    ranks = out.select(*[ref(f"_dense_{c}").alias(c) for c in cols])
-    return ranks, {c: facts[c]["n"] for c in cols}, tied
+def _ranked(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, int], dict[str, float]]:
+    """Columns as order-preserving codes, with the number of codes and of tied pairs per column.
+
+    A column of few values takes dense ranks by a lookup. With any others, all rows go through the long
+    form, where the code of a value is the number of rows below it and looked-up codes just travel along.
+    """
+    rows, sizes = distinct_sizes(df, cols)
+    few = [c for c in cols if sizes[c] <= ranks.BROADCAST_ROWS]
+    many = [c for c in cols if c not in few]
+    codes, numbers, tied = df, {}, {}
+    if few:
+        table, facts = value_ranks(df, few, dense="dense")
+        n = F.col("n").cast("double")
+        tied = {r["column"]: r["t"] for r in table.groupBy("column").agg(F.sum(n * (n - 1) / 2).alias("t")).collect()}
+        codes = attach_values(df, few, table, facts, "dense", {c: f"_dense_{c}" for c in few})
+        numbers = {c: facts[c]["n"] for c in few}
+    codes = codes.select(*[ref(f"_dense_{c}" if c in few else c).alias(c) for c in cols])
+    if many:
+        long = settled(ranked_long(codes, cols, rows), "long")
+        at = F.col("i").isin([i for i, c in enumerate(cols) if c in many])
+        for r in long.where(at).groupBy("i").agg(F.sum((F.col("equal") - 1) / 2.0).alias("t")).collect():
+            tied[cols[r["i"]]] = r["t"]
+        codes = by_row(long, cols, F.when(at, F.col("below")).otherwise(F.col("x").cast("bigint")))
+        numbers |= {c: rows if tied.get(c, 0.0) < rows * (rows - 1) / 2.0 else 1 for c in many}
+    return codes, numbers, tied
 
 
 def _pair_counts(pairs: DataFrame, many: bool) -> DataFrame:
@@ -159,7 +183,7 @@ def _pair_counts(pairs: DataFrame, many: bool) -> DataFrame:
 def corr_kendall_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Kendall's tau-b, exact at any size; all pairs of columns go through one shuffle."""
     cols = cols or number_columns(df)
-    ranks, sizes, tied = _dense(encode_and_fill(df, cols), cols)
+    codes, sizes, tied = _ranked(encode_and_fill(df, cols), cols)
     n = float(df.count())
     n0 = n * (n - 1) / 2
     tagged, facts, many = [], [], False
@@ -180,7 +204,7 @@ def corr_kendall_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFra
     if not tagged:
         return diagonal
     pairs = (
-        ranks.select(F.inline(F.array(*tagged)))
+        codes.select(F.inline(F.array(*tagged)))
         .groupBy("pair", "levels", "a", "b")
         .agg(F.count("*").alias("n"))
     )

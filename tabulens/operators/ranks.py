@@ -1,33 +1,38 @@
 """Exact order statistics and ranks that never put raw rows into one task.
 
-Three building blocks carry the rest of the package:
+Four building blocks carry the rest of the package:
 
 * ``percentiles``: exact interpolated percentiles of many columns in two scans. A quantile
   sketch brackets each wanted rank; the second scan counts the rows between brackets and
   lists the distinct values inside, and only these are ever sorted.
 * ``running_totals``: exact running sums over ordered distinct values, by range
   partitioning, per-partition totals and an offset per partition.
+* ``ranked_long``: ranks of columns with too many values for a lookup, by a range shuffle of
+  (row, column, value) and a second one back to the rows, whatever the number of columns.
 * ``lookup``: a join to a table with one row per key that spreads the hot keys.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import as_double, ref
-from tabulens.session import settle, written
+from tabulens.session import settle, settled, written
 
 ACCURACY = 10000  # of the quantile sketch
 SORT_LIMIT = 200_000  # values of one bracket that one task may sort
 BROADCAST_ROWS = 200_000  # rows of a lookup table that may be broadcast
 BROADCAST_BYTES = 32 * 1024 * 1024  # and its size
 HOT_SHARE = 1000  # a key above 1/HOT_SHARE of all rows is hot, so there are at most HOT_SHARE
-SALTS = 64
+TASK_ROWS = 4_000_000  # values that one task ranks
 INF = float("inf")
 
 
@@ -283,9 +288,10 @@ def lookup(
 
     A table within the size bound is broadcast. A larger one is shuffled; of the at most
     HOT_SHARE keys above the hot share (known from the ``weight`` column of counts) only
-    hashes are broadcast: rows with such a hash are spread over salts, and so are rows
-    without a key, which match nothing; the table has its rows of these hashes once per
-    salt. The salt hashes the row and its partition, so equal rows are spread as well.
+    hashes are broadcast: rows with such a hash are spread over as many salts as its weight
+    fills shuffle partitions, and rows without a key, which match nothing, over all; the table
+    has its rows of these hashes once per salt. The salt hashes the row and its partition, so
+    equal rows are spread as well.
     ``facts`` gives the table's size (see ``table_facts``) where it is already known.
     """
     table = table.select(
@@ -301,16 +307,17 @@ def lookup(
     if not weight:
         out = left.join(table, F.col("_key") == F.col("_k"), "left")
         return out.select(*[ref(c) for c in df.columns], F.col("_v").alias(new))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = table.where(F.col("_w") * HOT_SHARE > F.lit(size["w"]))
-    hot = F.broadcast(hot.select(F.xxhash64("_k").alias("_hot")).distinct())
-    spread = 1 + F.pmod(F.xxhash64(F.spark_partition_id(), *[ref(c) for c in df.columns]), F.lit(SALTS))
+    share = F.ceil(F.col("_w") * parts / F.lit(size["w"])).cast("bigint")
+    hot = F.broadcast(hot.select(F.xxhash64("_k").alias("_hot"), share.alias("_n")).groupBy("_hot").agg(F.max("_n").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(parts).cast("bigint"))
+    spread = 1 + F.pmod(F.xxhash64(F.spark_partition_id(), *[ref(c) for c in df.columns]), salts)
     salt = F.when(F.col("_hot").isNotNull() | F.col("_key").isNull(), spread).otherwise(F.lit(0))
     same_type = F.col("_key").try_cast(table.schema["_k"].dataType)
     left = left.join(hot, F.xxhash64(same_type) == F.col("_hot"), "left").withColumn("_salt", salt.cast("bigint"))
-    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
-    right = table.join(hot, F.xxhash64("_k") == F.col("_hot"), "left").select(
-        "_k", "_v", F.explode(salts.cast("array<bigint>")).alias("_s")
-    )
+    every = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(1).cast("bigint"), F.col("_salts"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    right = table.join(hot, F.xxhash64("_k") == F.col("_hot"), "left").select("_k", "_v", F.explode(every).alias("_s"))
     out = left.join(right, (F.col("_key") == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left")
     return out.select(*[ref(c) for c in df.columns], F.col("_v").alias(new))
 
@@ -364,6 +371,68 @@ def attach_values(
     return out
 
 
+# --- ranks of many columns of many values -----------------------------------------------------
+
+
+def distinct_sizes(df: DataFrame, cols: list[str]) -> tuple[int, dict[str, int]]:
+    """Rows, and about how many distinct values each column has: one scan."""
+    row = df.agg(F.count("*"), *[F.approx_count_distinct(as_double(df, c)) for c in cols]).first()
+    return row[0], dict(zip(cols, row[1:]))
+
+
+def ranked_long(df: DataFrame, cols: list[str], n: int) -> DataFrame:
+    """(row, i, x, below, equal): every value x of the i-th column with the rows below it and equal to it.
+
+    The rows travel as (row, i, x) only: once to the task that owns their range of values, where ranks
+    are positions in sorted order. A value's rows may lie in several ranges; the first and last
+    value of each range, and the rows before it, are joined back by a broadcast of at most a few
+    rows per range. What each range holds is written once.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(cols) // TASK_ROWS))
+    wide = df.select(F.monotonically_increasing_id().alias("row"), *[as_double(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
+    pairs = [e for i in range(len(cols)) for e in (F.lit(i), F.col(f"v{i}"))]
+    long = wide.select("row", F.stack(F.lit(len(cols)), *pairs).alias("i", "x")).where("x is not null")
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        i, x = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("i", "x"))
+        opens = np.concatenate(([True], i[1:] != i[:-1]))  # of a column
+        starts = np.flatnonzero(opens | np.concatenate(([True], x[1:] != x[:-1])))  # of equal values
+        sizes = np.diff(starts, append=len(x))
+        first = np.maximum.accumulate(np.where(opens, np.arange(len(x)), 0))[starts]
+        ends = np.concatenate((opens[starts][1:], [True]))
+        run = np.repeat(np.arange(len(starts)), sizes)
+        columns = {
+            "row": np.concatenate([b["row"].to_numpy() for b in held]), "i": i, "x": x,
+            "part": np.full(len(x), TaskContext.get().partitionId(), np.int32),
+            "below": (starts - first)[run], "equal": sizes[run], "edge": (opens[starts] | ends)[run],
+        }
+        yield from pa.table(columns).to_batches(max_chunksize=100_000)
+
+    ordered = long.repartitionByRange(parts, "i", "x", "row").sortWithinPartitions("i", "x", "row")
+    schema = "row bigint, i int, x double, part int, below bigint, equal bigint, edge boolean"
+    found = settled(ordered.mapInArrow(local, schema), "ranges")
+    before = Window.partitionBy("i").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = found.groupBy("part", "i").agg(F.count("*").alias("n"))  # a row per range, and one per column
+    offsets = F.broadcast(offsets.select("part", "i", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    edges = found.where("edge").groupBy("part", "i", "x").agg(F.min("below").alias("b"), F.max("equal").alias("e"))
+    edges = edges.join(offsets, ["part", "i"]).groupBy("i", "x")
+    edges = F.broadcast(edges.agg(F.min(F.col("offset") + F.col("b")).alias("b"), F.sum("e").alias("e")))  # two per range
+    out = found.join(offsets, ["part", "i"]).join(edges, ["i", "x"], "left")
+    return out.select(
+        "row", "i", "x", F.coalesce("b", F.col("offset") + F.col("below")).alias("below"), F.coalesce("e", "equal").alias("equal")
+    )
+
+
+def by_row(long: DataFrame, names: list[str], value: Column) -> DataFrame:
+    """The long form back as one row per row, with ``value`` under each column's name."""
+    out = long.groupBy("row").agg(*[F.max(F.when(F.col("i") == i, value)).alias(c) for i, c in enumerate(names)])
+    return out.select(*[ref(c) for c in names])
+
+
 def avg_rank(df: DataFrame, names: str | list[str], new: dict[str, str] | None = None) -> DataFrame:
     """Add the average-tie ranks of numeric columns; missing values stay missing."""
     names = [names] if isinstance(names, str) else list(names)

@@ -55,14 +55,24 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _put(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    folder = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return folder, df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder: evaluated once, columns still prunable."""
+    return _put(df, name)[1]
+
+
 @contextmanager
 def written(df: DataFrame, name: str) -> Iterator[DataFrame]:
-    """``df`` as Parquet in the shared folder, deleted after use: evaluated once, columns still prunable."""
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    """Like ``settled``, for readers that end with the context: the folder is deleted then."""
+    folder, found = _put(df, name)
     try:
-        yield spark.read.schema(df.schema).parquet(folder)
+        yield found
     finally:
+        spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

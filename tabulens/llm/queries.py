@@ -94,7 +94,7 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_segmentation(spark: SparkSession, folder: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
-    found = pieces.decoded(pieces.sampled(table(spark, folder, "documents"), model), model)
+    found = pieces.sampled(table(spark, folder, "documents"), model, decode=True)
     return found.select("doc_id", *pieces.crc32_of(), F.sha2("decoded", 256).alias("decoded_sha256"),
                         (F.col("decoded") == F.col("text")).alias("lossless"))
 

@@ -30,10 +30,10 @@ from tabulens.llm.units import Rows, Units, spans
 SHOWN_BYTES = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
 SPACE = "▁"
 CHUNK_BYTES = 1_000_000  # of texts aligned together; a longer text is aligned by itself
-KNOWN_CHARS = 8_000_000  # of the units that a worker remembers before it starts anew
+KNOWN_CHARS = 4_000_000  # of the units that a worker remembers before it starts anew
 JOINED_CHARS = 100_000  # of new units that are encoded in one call
 BROADCAST_PAIRS = 2_000_000  # id pairs that tasks look up in memory: 17 bytes each
-COUNTED_LINKS = 4_000_000  # links that a task sorts at a time
+COUNTED_LINKS = 2_000_000  # links that a task sorts at a time
 # The characters that regular expressions take for white space, U+001C to U+001F aside.
 WHITE = np.zeros(0x3002, bool)
 WHITE[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
@@ -256,6 +256,11 @@ def chunks(texts: pa.Array) -> Iterator[list[str]]:
         at = until
 
 
+def link_type(bits: int) -> str:
+    """A pair of ids of so many bits each is an unsigned number of twice as many, little-endian."""
+    return {16: "<u4", 32: "<u8"}[bits]
+
+
 class Alignment:
     """One text's ids by A and B, and how many tokens of each there are through every group."""
 
@@ -264,13 +269,14 @@ class Alignment:
         "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "groups_sha256": "string", "links": "binary",
     }
 
-    def __init__(self, ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray):
-        self.ids_a, self.ids_b, self.ends_a, self.ends_b = ids_a, ids_b, ends_a, ends_b
+    def __init__(self, ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, link_bits: int):
+        self.ids_a, self.ids_b, self.ends_a, self.ends_b, self.link_bits = ids_a, ids_b, ends_a, ends_b, link_bits
 
     def column(self, name: str):
         """The value of an output column."""
         if name == "links":
-            return ((self.ids_a[self.ends_a - 1].astype(np.int64) << 32) | self.ids_b[self.ends_b - 1]).astype("<i8").tobytes()
+            a, b = (x.astype(link_type(self.link_bits)) for x in (self.ids_a[self.ends_a - 1], self.ids_b[self.ends_b - 1]))
+            return ((a << a.dtype.type(self.link_bits)) | b).tobytes()
         if name == "groups_sha256":
             return group_digest(self.ids_a, self.ids_b, self.ends_a, self.ends_b)
         of = {"a_ids": self.ids_a, "n_a": self.ids_a, "b_ids": self.ids_b, "n_b": self.ids_b, "b_ends": self.ends_b}
@@ -279,15 +285,15 @@ class Alignment:
 
 
 def aligned(
-    df: DataFrame, a: str, b: str, columns=("a_ids", "b_ids", "a_ends", "b_ends"), id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, a: str, b: str, columns=("a_ids", "b_ids", "a_ends", "b_ends"), id_col: str = "doc_id", text_col: str = "text", link_bits: int = 32
 ) -> DataFrame:
     """(doc_id, columns): the tokens of every whole text by two tokenizers, in groups that end together.
 
     ``a`` is a byte-level BPE file, ``b`` a SentencePiece model. Columns: ``a_ids`` and ``b_ids``, and
     ``a_ends`` and ``b_ends``, the tokens through each group, as little-endian unsigned 32-bit numbers;
     ``n_a``, ``n_b``, ``n_groups``, their numbers; ``groups_sha256``, the digest of
-    `a1,a2|b1;a3|b2,b3`, all groups in order; ``links``, the pairs of ids that end together, as 64-bit
-    numbers (A id << 32 | B id).
+    `a1,a2|b1;a3|b2,b3`, all groups in order; ``links``, the pairs of ids that end together, as numbers
+    (A id << link_bits | B id) of twice ``link_bits`` bits, 16 where both vocabularies fit, or 32.
 
     A text that is NULL or empty, or that the tokens of either side do not spell after a space, has no
     tokens: empty binaries, zeros and the digest ''. One row per row with an id; repeated rows repeat.
@@ -303,7 +309,7 @@ def aligned(
                 through_a, through_b = np.cumsum(n_a), np.cumsum(n_b)
                 groups = np.searchsorted(last_a, through_a)
                 found = [
-                    Alignment(ids_a[x - n : x], ids_b[y - m : y], last_a[f:g] + 1 - (x - n), last_b[f:g] + 1 - (y - m))
+                    Alignment(ids_a[x - n : x], ids_b[y - m : y], last_a[f:g] + 1 - (x - n), last_b[f:g] + 1 - (y - m), link_bits)
                     for x, n, y, m, f, g in zip(through_a, n_a, through_b, n_b, [0, *groups], groups)
                 ]
                 values = [pa.array([d.column(c) for d in found], types[Alignment.TYPES[c]]) for c in columns]
@@ -358,7 +364,7 @@ def decimal_table(top: int) -> np.ndarray:
 # ---------------------------------------------------------------- counts of links
 
 
-def link_counts(df: DataFrame) -> DataFrame:
+def link_counts(df: DataFrame, link_bits: int = 32) -> DataFrame:
     """(link, n, best): how often each id pair is linked in the corpus, and whether no pair with its B id is
     linked more often. The pairs of one B id are at most as many as A has ids."""
 
@@ -366,24 +372,25 @@ def link_counts(df: DataFrame) -> DataFrame:
         held, n = [], 0
         for batch in batches:
             for links in batch["links"]:
-                held.append(np.frombuffer(links.as_buffer(), "<i8"))
+                held.append(np.frombuffer(links.as_buffer(), link_type(link_bits)))
                 n += len(held[-1])
                 if n >= COUNTED_LINKS:
                     yield counted(held)
                     held, n = [], 0
+            held = [np.concatenate(held)] if held else []  # a copy: nothing holds on to the batch
         if n:
             yield counted(held)
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         links, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(links), pa.array(n.astype(np.int64))], names=["link", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(links.astype(np.int64)), pa.array(n.astype(np.int64))], names=["link", "n"])
 
     seen = df.select("links").mapInArrow(count, "link bigint, n bigint").groupBy("link").agg(F.sum("n").alias("n"))
-    of_b = Window.partitionBy(F.col("link").bitwiseAND(F.lit((1 << 32) - 1)))
+    of_b = Window.partitionBy(F.col("link").bitwiseAND(F.lit((1 << link_bits) - 1)))
     return seen.select("link", "n", (F.col("n") == F.max("n").over(of_b)).alias("best"))
 
 
-def link_scores(df: DataFrame, counts: DataFrame, bound: int = BROADCAST_PAIRS) -> DataFrame:
+def link_scores(df: DataFrame, counts: DataFrame, bound: int = BROADCAST_PAIRS, link_bits: int = 32) -> DataFrame:
     """Add n_best and count_sum to rows with a unique ``row`` and ``links``; ``links`` goes.
 
     The most frequent pairs, at most ``bound``, are looked up in the tasks' memory. Links of all other
@@ -396,10 +403,10 @@ def link_scores(df: DataFrame, counts: DataFrame, bound: int = BROADCAST_PAIRS)
             break
         least, held = size, held + n
     frequent = F.floor(F.log2("n")) >= (64 if least is None else least)
-    table = counts.where(frequent).toPandas().sort_values("link")
-    known = df.sparkSession.sparkContext.broadcast(
-        (table["link"].to_numpy(np.int64), table["n"].to_numpy(np.int64), table["best"].to_numpy(bool))
-    )
+    table = counts.where(frequent).toPandas()
+    keys = table["link"].to_numpy(np.int64).astype(link_type(link_bits))
+    order = np.argsort(keys)
+    known = df.sparkSession.sparkContext.broadcast((keys[order], table["n"].to_numpy(np.int64)[order], table["best"].to_numpy(bool)[order]))
 
     def looked(links: np.ndarray):
         keys, n, best = known.value
@@ -409,39 +416,47 @@ def link_scores(df: DataFrame, counts: DataFrame, bound: int = BROADCAST_PAIRS)
         there = keys[at] == links
         return there, np.where(there, n[at], 0), np.where(there, best[at], False)
 
-    @F.pandas_udf("struct<n_best: bigint, count_sum: bigint>")
-    def score(links: pd.Series) -> pd.DataFrame:
-        out = []
-        for x in links:
-            there, n, best = looked(np.frombuffer(x, "<i8"))
-            out.append((int(best[there].sum()), int(n[there].sum())))
-        return pd.DataFrame(out, columns=["n_best", "count_sum"], dtype="int64")
+    kept = [f for f in df.schema.fields if f.name not in ("links", "row")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", row bigint, n_best bigint, count_sum bigint"
 
-    kept = [c for c in df.columns if c not in ("links", "row")]
-    found = df.select("row", *kept, score("links").alias("s"))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bests, sums = [], []
+            for x in batch["links"]:
+                there, n, best = looked(np.frombuffer(x.as_buffer(), link_type(link_bits)))
+                bests.append(int(best[there].sum()))
+                sums.append(int(n[there].sum()))
+            names = [*(f.name for f in kept), "row"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in names), pa.array(bests, pa.int64()), pa.array(sums, pa.int64())], names=[*names, "n_best", "count_sum"]
+            )
+
+    found = df.select(*[f.name for f in kept], "row", "links").mapInArrow(score, schema)
     if held == sum(n for _, n in by_size):
-        return found.select(*kept, "s.*")
+        return found.drop("row")
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, x in zip(batch["row"].to_pylist(), batch["links"]):
-                links = np.frombuffer(x.as_buffer(), "<i8")
+                links = np.frombuffer(x.as_buffer(), link_type(link_bits))
                 link, times = np.unique(links[~looked(links)[0]], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(link), row)), pa.array(link), pa.array(times.astype(np.int64))], names=["row", "link", "times"]
+                    [pa.array(np.full(len(link), row)), pa.array(link.astype(np.int64)), pa.array(times.astype(np.int64))], names=["row", "link", "times"]
                 )
 
     others = df.select("row", "links").mapInArrow(rare, "row bigint, link bigint, times bigint")
     others = others.join(counts.where(~frequent), "link").groupBy("row").agg(
         F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("n") * F.col("times")).alias("more")
     )
-    added = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a.split(".")[1])
-    return found.join(others, "row", "left").select(*kept, added("s.n_best", "more_best"), added("s.count_sum", "more"))
+    added = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+    return found.join(others, "row", "left").select(*[f.name for f in kept], added("n_best", "more_best"), added("count_sum", "more"))
 
 
 def aligned_documents(df: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row with an id: doc_id, n_a, n_b, n_groups, groups_sha256, n_links, n_best, count_sum."""
-    found = aligned(df, a, b, ("n_a", "n_b", "n_groups", "groups_sha256", "links"), id_col, text_col)
+    both = pair(a, b)
+    bits = 16 if max(len(both.size_a), len(both.size_b)) <= 1 << 16 else 32
+    found = aligned(df, a, b, ("n_a", "n_b", "n_groups", "groups_sha256", "links"), id_col, text_col, bits)
     found = settled(found.withColumn("row", F.monotonically_increasing_id()), "aligned")
-    counts = settled(link_counts(found), "links")
-    return link_scores(found.withColumn("n_links", F.col("n_groups")), counts)
+    counts = settled(link_counts(found, bits), "links")
+    return link_scores(found.withColumn("n_links", F.col("n_groups")), counts, link_bits=bits)

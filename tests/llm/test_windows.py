@@ -107,13 +107,13 @@ def test_forgetting_units_changes_nothing(monkeypatch):
         assert (ids_a.tolist(), ids_b.tolist()) == plain_alignment(text)[:2]
 
 
-@pytest.mark.parametrize("bound", [0, 20, 2_000_000])
-def test_link_counts_and_scores(spark, bound):
+@pytest.mark.parametrize("bound,bits", [(0, 16), (20, 32), (2_000_000, 16)])
+def test_link_counts_and_scores(spark, bound, bits):
     texts = ["the cat sat", "the cat ran", "a cat the", "", None, "Unaligned déjà vu 日本", "the cat sat"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    found = align.aligned(df, A, B, ("links",)).selectExpr("doc_id", "doc_id as row", "links")
-    counts = align.link_counts(found)
-    got = {r.doc_id: (r.n_best, r.count_sum) for r in align.link_scores(found, counts, bound).collect()}
+    found = align.aligned(df, A, B, ("links",), link_bits=bits).selectExpr("doc_id", "doc_id as row", "links")
+    counts = align.link_counts(found, bits)
+    got = {r.doc_id: (r.n_best, r.count_sum) for r in align.link_scores(found, counts, bound, bits).collect()}
     links = {i: [(x[-1], y[-1]) for x, y in plain_alignment(t)[2]] for i, t in enumerate(texts)}
     n = {}
     for pair in (p for ps in links.values() for p in ps):

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,6 +20,7 @@ from pyspark.sql import types as T
 
 from tabulens.functions.columns import dtype_of, ref
 from tabulens.functions.hashing import row_order
+from tabulens.operators import flat_trees
 from tabulens.operators.models import (
     BOOST,
     BOOST_NAMES,
@@ -86,12 +90,16 @@ def partial_dependence(
 ) -> DataFrame:
     """(feature, value, average): mean prediction with the feature set to each grid value.
 
-    Binary classifiers average the probability of the second class. The grid is a literal
-    array, so every row is scored once per grid point and only sums are shuffled.
+    Binary classifiers average the probability of the second class. Regression trees are walked
+    once for the whole grid; for other models the grid is a literal array, so every row is
+    scored once per grid point and only sums are shuffled.
     """
     if feature not in features:
         raise ValueError(f"feature '{feature}' was not used in training")
     grid = _grid(prepared, feature, points)
+    model = fitted.parts.get("m")
+    if fitted.problem_type != CLASSIFICATION and hasattr(model, "trees") and grid:
+        return _tree_dependence(model, prepared, features, feature, grid)
     wide = prepared.select(
         *[ref(c) for c in features if c != feature],
         F.posexplode(F.array(*map(F.lit, grid))).alias("_at", feature),
@@ -108,32 +116,50 @@ def partial_dependence(
     )
 
 
+def _tree_dependence(model, prepared: DataFrame, features: list[str], feature: str, grid: list[float]) -> DataFrame:
+    """``partial_dependence`` of a forest or boosted regression, exact for all grid values in one walk."""
+    trees, at, points = flat_trees.of_spark(model, prepared.sparkSession), features.index(feature), np.array(grid, float)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros(len(points)), 0
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            sums += trees.grid_sums(x, at, points)
+            n += len(x)
+        yield pa.RecordBatch.from_pydict({"at": np.arange(len(points)), "sum": sums, "n": np.full(len(points), n)})
+
+    rows = prepared.select(*[ref(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
+    sums = rows.mapInArrow(walk, "at bigint, sum double, n bigint").groupBy("at").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+    value = F.get(F.array(*map(F.lit, grid)), F.col("at"))
+    return sums.select(
+        F.lit(feature).alias("feature"),
+        F.round(value, 6).alias("value"),
+        F.round(F.try_divide("sum", "n"), 6).alias("average"),
+    )
+
+
 def prediction_interval(
     fitted: Fitted, frame: DataFrame, lo: float = 0.025, hi: float = 0.975
 ) -> DataFrame:
-    """Percentiles over the trees' predictions of a regression forest, per row."""
+    """Percentiles over the trees' predictions of a regression forest, per row: all trees in one step."""
     forest = fitted.parts.get("m")
     if forest is None or not hasattr(forest, "trees") or fitted.problem_type == CLASSIFICATION:
         raise ValueError("prediction intervals need a regression forest")
-    out, kept, names = frame, frame.columns, []
-    for i, tree in enumerate(forest.trees):
-        name = f"_t{i}"
-        out = tree.copy({tree.predictionCol: name}).transform(out)
-        names.append(name)
-    out = out.select(*[ref(c) for c in kept], F.array_sort(F.array(*names)).alias("_trees"))
-
-    def at(p: float):
-        spot = p * (len(names) - 1)
-        k, g = math.floor(spot), spot - math.floor(spot)
-        a, b = F.element_at("_trees", k + 1), F.element_at("_trees", min(k + 2, len(names)))
-        return F.round(a + (b - a) * F.lit(g), 6)
-
-    mean = F.aggregate("_trees", F.lit(0.0), lambda s, t: s + t) / len(names)
+    trees = flat_trees.of_spark(forest, frame.sparkSession)
+
+    @F.pandas_udf("struct<prediction: double, lower_95: double, upper_95: double>")
+    def interval(x: pd.Series) -> pd.DataFrame:
+        names = ["prediction", "lower_95", "upper_95"]
+        if not len(x):
+            return pd.DataFrame(columns=names, dtype=float)
+        each = trees.each(np.stack(x.to_list()).astype(float))
+        return pd.DataFrame(np.column_stack([each.mean(1), *np.quantile(each, [lo, hi], axis=1)]), columns=names)
+
+    kept = [c for c in frame.columns if c not in ("prediction", "lower_95", "upper_95")]
+    out = frame.select(*[ref(c) for c in kept], interval(vector_to_array("features")).alias("_interval"))
     return out.select(
         *[ref(c) for c in kept],
-        F.round(mean, 6).alias("prediction"),
-        at(lo).alias("lower_95"),
-        at(hi).alias("upper_95"),
+        *[F.round(F.col("_interval")[c], 6).alias(c) for c in ("prediction", "lower_95", "upper_95")],
     )
 
 

@@ -10,7 +10,6 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import ref, union_all
+from tabulens.operators.boosting import SoftmaxBoost, SoftmaxModel
 from tabulens.operators.metrics import (
     bootstrap_ci,
     metrics_classification,
@@ -122,9 +122,11 @@ def _outputs(model, df: DataFrame, tag: str) -> DataFrame:
     """Apply one Spark model under its own output columns p_<tag> and q_<tag>."""
     kept = df.columns
     out = model.transform(df)
-    probs = (
-        vector_to_array("probability") if "probability" in out.columns else F.lit(None).cast("array<double>")
-    )
+    probs = F.lit(None).cast("array<double>")
+    if isinstance(model, SoftmaxModel):
+        probs = F.col("probability")
+    elif "probability" in out.columns:
+        probs = vector_to_array("probability")
     return out.select(*[ref(c) for c in kept], F.col("prediction").alias(f"p_{tag}"), probs.alias(f"q_{tag}"))
 
 
@@ -178,8 +180,9 @@ def _learner(name: str, problem_type: str, train: DataFrame, classes: int, param
         )
         if problem_type == REGRESSION:
             return GBTRegressor(**common)
-        binary = GBTClassifier(**common)
-        return binary if classes <= 2 else OneVsRest(classifier=binary)
+        if classes > 2:
+            return SoftmaxBoost(classes, **{k: p[k] for k in ("rounds", "step", "max_depth", "subsample", "seed")})
+        return GBTClassifier(**common)
     raise ValueError(f"unknown model '{name}'")
 
 
@@ -391,14 +394,22 @@ def train_models(
 def save_fitted(fitted: Fitted, path: str, spark) -> None:
     """Write a model: one pipeline folder per part and a small description."""
     for tag, part in fitted.parts.items():
-        PipelineModel([part]).write().overwrite().save(f"{path}/parts/{tag}")
+        if isinstance(part, SoftmaxModel):
+            part.save(f"{path}/parts/{tag}", spark)
+        else:
+            PipelineModel([part]).write().overwrite().save(f"{path}/parts/{tag}")
+    own = [tag for tag, part in fitted.parts.items() if isinstance(part, SoftmaxModel)]
     spark.createDataFrame(
-        [(fitted.name, fitted.problem_type, fitted.classes, list(fitted.parts))],
-        "name string, problem_type string, classes int, tags array<string>",
+        [(fitted.name, fitted.problem_type, fitted.classes, list(fitted.parts), own)],
+        "name string, problem_type string, classes int, tags array<string>, own array<string>",
     ).write.mode("overwrite").parquet(f"{path}/model")
 
 
 def load_fitted(path: str, spark) -> Fitted:
     d = spark.read.parquet(f"{path}/model").first()
-    parts = {t: PipelineModel.load(f"{path}/parts/{t}").stages[0] for t in d["tags"]}
+    load = lambda t: SoftmaxModel.load(t, spark)
+    parts = {
+        t: load(f"{path}/parts/{t}") if t in d["own"] else PipelineModel.load(f"{path}/parts/{t}").stages[0]
+        for t in d["tags"]
+    }
     return Fitted(d["name"], d["problem_type"], parts, d["classes"])

@@ -55,8 +55,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _put(df: DataFrame, name: str) -> tuple[str, DataFrame]:
-    folder = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return folder, df.sparkSession.read.schema(df.schema).parquet(folder)
 
@@ -73,6 +83,4 @@ def written(df: DataFrame, name: str) -> Iterator[DataFrame]:
     try:
         yield found
     finally:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, folder)

@@ -185,12 +185,32 @@ class Shard:
     def doc_id(self, i: int) -> int:
         return self.names.select(i) + self.least
 
+    def span(self, i: int) -> tuple[int, int]:
+        """Where the ids of document i begin and end."""
+        return self.bounds.select(i), self.bounds.select(i + 1)
+
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
+        start, end = self.span(i)
+        return self.ids[start:end]
+
+    def find(self, doc_id: int) -> range:
+        """The documents of an id, by halving over the id sequence."""
+        wanted, ends = doc_id - self.least, []
+        for above in (False, True):
+            low, high = 0, self.n_docs
+            while low < high:
+                middle = (low + high) // 2
+                value = self.names.select(middle)
+                if value < wanted or (above and value == wanted):
+                    low = middle + 1
+                else:
+                    high = middle
+            ends.append(low)
+        return range(*ends)
 
 
 def write_shards(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Encode texts in ascending id order into shards; the manifest (path, n_docs, n_ids, first_id).
+    """Encode texts in ascending id order into shards; the manifest (path, n_docs, n_ids, first_id, least_doc, last_doc).
 
     Each document ends with id 1. ``first_id`` is the number of ids in all shards before. Rows of
     equal id come in text order. A document is never cut, so a shard holds at most one document
@@ -206,7 +226,7 @@ def write_shards(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
         def flush():
             path = put_file(folder, f"shard-{part:06d}-{seq:05d}.idef", shard_bytes(names, parts, coder.dtype))
-            return pd.DataFrame({"part": [part], "seq": [seq], "path": [path], "n_docs": [len(names)], "n_ids": [n]})
+            return pd.DataFrame({"part": [part], "seq": [seq], "path": [path], "n_docs": [len(names)], "n_ids": [n], "least_doc": names[0], "last_doc": names[-1]})
 
         for pdf in batches:
             for doc, ids in zip(pdf["doc_id"], coder.encode(pdf["text"])):
@@ -220,14 +240,33 @@ def write_shards(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
             yield flush()
 
     docs = documents(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    written = settled(docs.mapInPandas(write, "part int, seq int, path string, n_docs bigint, n_ids bigint"), "manifest")
+    schema = "part int, seq int, path string, n_docs bigint, n_ids bigint, least_doc bigint, last_doc bigint"
+    written = settled(docs.mapInPandas(write, schema), "manifest")
     # One row per task, then the shards of each task.
     parts = written.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("n_ids").over(within), F.lit(0))
-    return written.join(parts, "part").select("path", "n_docs", "n_ids", (F.col("base") + inside).alias("first_id"))
+    return written.join(parts, "part").select("path", "n_docs", "n_ids", (F.col("base") + inside).alias("first_id"), "least_doc", "last_doc")
+
+
+DOCUMENT = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+
+
+def _shard(path: str) -> Shard:
+    system, at = filesystem(path)
+    with system.open_input_file(at) as f:
+        return Shard(f.read())
+
+
+def _described(shard: Shard, first: int, which) -> pd.DataFrame:
+    """Documents by number, every offset from the select structure."""
+    rows = []
+    for i in which:
+        start, end = shard.span(i)
+        rows.append((shard.doc_id(i), first + start, end - start, zlib.crc32(shard.ids[start:end].astype("<u4").tobytes())))
+    return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -236,15 +275,30 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, first in zip(pdf["path"], pdf["first_id"]):
-                system, at = filesystem(path)
-                with system.open_input_file(at) as f:
-                    shard = Shard(f.read())
-                bounds = shard.bounds.all().astype(np.int64)
-                crc = [zlib.crc32(shard.ids[s:e].astype("<u4").tobytes()) for s, e in zip(bounds, bounds[1:])]
-                yield pd.DataFrame({
-                    "doc_id": shard.names.all().astype(np.int64) + shard.least,
-                    "start": bounds[:-1] + first, "n_tokens": np.diff(bounds), "ids_crc32": crc,
-                })
+                shard = _shard(path)
+                yield _described(shard, first, range(shard.n_docs))
 
     spread = manifest.select("path", "first_id").repartition(min(MAX_TASKS, max(1, manifest.count())))
-    return spread.mapInPandas(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return spread.mapInPandas(read, DOCUMENT)
+
+
+def look_up(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``read_shards`` for the ids of ``wanted`` only: each shard that may hold some is opened once.
+
+    Ids and shards meet in equal spans of ids, about one per shard, so neither side is broadcast. Ids that
+    no shard holds, and NULL ones, give no row; repeated ids count once, repeated documents all.
+    """
+    ends = manifest.agg(F.count("*"), F.min("least_doc"), F.max("last_doc")).first()
+    if not ends[0]:
+        return manifest.sparkSession.createDataFrame([], DOCUMENT)
+    span = (ends[2] - ends[1]) // ends[0] + 1
+    cell = lambda c: F.expr(f"({c} - {ends[1]}) div {span}")
+    ids = wanted.select(wanted[f"`{id_col}`"].cast("bigint").alias("wanted")).where(f"wanted between {ends[1]} and {ends[2]}").distinct()
+    shards = manifest.withColumn("cell", F.explode(F.sequence(cell("least_doc"), cell("last_doc"))))
+    met = ids.withColumn("cell", cell("wanted")).join(shards, "cell").where("wanted between least_doc and last_doc")
+
+    def read(group: pd.DataFrame) -> pd.DataFrame:
+        shard, first = _shard(group["path"].iloc[0]), int(group["first_id"].iloc[0])
+        return _described(shard, first, [i for d in group["wanted"] for i in shard.find(int(d))])
+
+    return met.select("path", "first_id", "wanted").groupBy("path").applyInPandas(read, DOCUMENT)

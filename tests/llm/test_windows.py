@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tabulens.llm import align, chat, resample, units
+from tabulens.llm import align, chat, resample, tokens, units
 from tabulens.llm.queries import QUERIES, tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -169,13 +169,13 @@ def escape(text):
     return re.sub(r"(\\|<(?=/?s>)|\[(?=/?INST\]))", r"\1\\", text)
 
 
-def tokens(text):
+def size_of(text):
     return max(len(re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9 \t\n\x0b\x0c\r]", text)), len(text) // 16) + chat.TURN_TOKENS
 
 
 def plain_windows(turns, budget, history):
     """(block, repeated turns, new turns) of one conversation, turn by turn."""
-    sizes = [tokens(t) for _, t in turns]
+    sizes = [size_of(t) for _, t in turns]
     lead = turns[0][0] == chat.SYSTEM and sizes[0] <= budget // 2
     room, span = budget - history - (sizes[0] if lead else 0), chat.BLOCK * budget
     long, before, used, block, new, out = sum(sizes) > span, 0, 0, None, [], []
@@ -407,3 +407,19 @@ def test_op2_query_base_columns(spark):
     for r in got:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain_base(docs[r.doc_id])
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+
+
+# ---------------------------------------------------------------- token shards
+
+
+@pytest.mark.parametrize("shard_ids", [3, 40, 1 << 22])
+def test_looking_up_documents_equals_reading_all(spark, shard_ids):
+    rows = [(i * 7 - 30, "word " * (i % 5)) for i in range(60)] + [(5, None), (5, "again"), (5, "again"), (10**12, "far")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    manifest = tokens.write_shards(df, tokenizer_path(), shard_ids=shard_ids)
+    every = sorted(tuple(r) for r in tokens.read_shards(manifest).collect())
+    assert len(every) == len(rows) and [r[1] for r in every][0] == 0
+    asked = [5, 5, -30, 10**12, 6, None, -(10**15), 10**15, 19]
+    wanted = spark.createDataFrame([(d,) for d in asked], "doc_id bigint")
+    assert sorted(tuple(r) for r in tokens.look_up(manifest, wanted).collect()) == [r for r in every if r[0] in asked]
+    assert tokens.look_up(manifest.limit(0), wanted).collect() == []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,18 +69,24 @@ def _range(df: DataFrame, x: Column):
     return df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).first()
 
 
+def _finite(c: str, r) -> tuple[float, float]:
+    if math.isinf(r["lo"]) or math.isinf(r["hi"]):
+        raise ValueError(f"column '{c}' holds infinite values")
+    return r["lo"], r["hi"]
+
+
 def hist_numeric(df: DataFrame, c: str, target: str | None = None, n_bins: int = 20) -> DataFrame:
     """Equal-width bins, the last one closed, empty bins kept: (bin, start, end, midpoint, count).
 
     With a target, ``mean_y`` is its mean per bin. One scan for the range and one
-    aggregation with at most ``n_bins`` groups.
+    aggregation with at most ``n_bins`` groups. A column without values, or with an infinite one, raises.
     """
     x = as_double(df, c)
     n_bins = min(n_bins, few_distinct(df, [c], n_bins)[c])
     r = _range(df, x)
     if not r["n"]:
         raise ValueError(f"column '{c}' has no values")
-    lo, hi = r["lo"], r["hi"]
+    lo, hi = _finite(c, r)
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     bin_of = F.least(F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(n_bins)), F.lit(n_bins))
@@ -148,6 +155,7 @@ def kde_gaussian(df: DataFrame, c: str, points: int = KDE_POINTS) -> DataFrame:
     ).first()
     if not r["n"] or r["lo"] == r["hi"]:
         raise ValueError("a density needs at least two distinct values")
+    _finite(c, r)
     h = r["s"] * r["n"] ** (-0.2)
     lo, step = r["lo"], (r["hi"] - r["lo"]) / (points - 1)
     values = df.where(x.isNotNull()).select(x.alias("x"), F.lit(1).alias("w"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -15,6 +17,7 @@ from tabulens.operators.engineer import quantile_edges, with_codes
 from tabulens.operators.profile import (
     CLASSIFICATION,
     REGRESSION,
+    class_balance,
     detect_problem_type,
     distinct_counts,
     effective_dtype,
@@ -285,6 +288,34 @@ def select_features(
     )
 
 
+@dataclass
+class Selection:
+    """A ranking with what belongs to it; ``class_balance`` is None for a regression."""
+
+    problem_type: str
+    ranking: DataFrame
+    class_balance: DataFrame | None
+    weights: dict[str, float]
+    n_features: int
+
+
+def feature_selection(
+    df: DataFrame,
+    target: str,
+    problem_type: str | None = None,
+    top_n: int | None = None,
+    trees: int = FOREST_TREES,
+    methods: list[str] | None = None,
+) -> Selection:
+    """``select_features`` together with the classes of the target and the weights used."""
+    require_columns(df, [target])
+    if problem_type is None:
+        problem_type = detect_problem_type(df, target).first()["problem_type"]
+    ranking = select_features(df, target, problem_type, top_n, trees, methods)
+    balance = class_balance(df, target) if problem_type == CLASSIFICATION else None
+    return Selection(problem_type, ranking, balance, dict(WEIGHTS[problem_type]), len(df.columns) - 1)
+
+
 def rank_top(ranking: DataFrame, n: int = 10) -> DataFrame:
     return ranking.where(F.col("rank") <= n)
 

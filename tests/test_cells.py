@@ -107,3 +107,10 @@ def test_nothing_is_left_in_the_shared_folder(spark):
     before = left()
     assert R.percentiles(df, ["x"], [0.5])["x"] == [499.5]
     assert left() == before
+
+
+def test_histogram_and_density_of_infinite_values_raise(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(98)] + [(float("inf"),)] * 2, "x double")
+    for view in (D.hist_numeric, D.kde_gaussian):
+        with pytest.raises(ValueError, match="infinite"):
+            view(df, "x")

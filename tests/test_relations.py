@@ -129,3 +129,14 @@ def test_line_codes_skip_classes_without_a_target(spark):
     assert (line.slope, line.intercept, line.x0, line.x1) == (2.0, 1.0, 0.0, 2.0)
     grid = L.scatter_grid(df, ["f"], "y", "k")
     assert sorted((r.x, r.y) for r in grid.collect()) == [(0.0, 1.0), (1.0, 3.0), (2.0, 5.0)]
+
+
+def test_feature_selection_reports_the_class_balance(spark):
+    rows = [(float(i), float(i % 7), "rare" if i % 10 == 0 else "often" if i % 2 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, kind string")
+    found = S.feature_selection(df, "kind", trees=3, methods=["anova_f"])
+    assert (found.problem_type, found.n_features) == ("classification", 2) and found.weights["anova_f"] == 0.25
+    got = {r["class"]: (r["count"], r.imbalance_ratio, r.is_severe, r.n_classes) for r in found.class_balance.collect()}
+    assert got == {"rare": (6, 5.0, True, 2), "often": (30, 5.0, True, 2)}
+    assert {r["column"] for r in found.ranking.collect()} == {"a", "b"}
+    assert S.feature_selection(df.drop("kind"), "a", trees=3, methods=["pearson"]).class_balance is None

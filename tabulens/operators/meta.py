@@ -8,15 +8,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.functions.columns import as_double, dtype_of, is_numeric, ref, require_columns, rows_of, union_all
+from tabulens.functions.columns import as_double, dtype_of, is_numeric, ref, require_columns, union_all
 from tabulens.operators.engineer import attach_code, coerced, label_tables, label_text
-from tabulens.operators.ranks import medians
+from tabulens.operators.ranks import Cells, brackets_of, column_facts, interpolated, medians, order_statistics, ranks_around
 
 
 MAX_CLASSES = 10_000  # of a target: more are no classification problem
 WARNING = "array<struct<feature: string, kind: string, value: string, lo: double, hi: double>>"
 
 
+GRID = 1000  # steps of a stored distribution
+
+
+@dataclass
+class Spread:
+    """A numeric column's distribution: of n rows with a value, how many lie below, and up to, each of some values.
+
+    The values are quantiles of the column, or all it has where these are few. Between two of them
+    lies at most the share ``gap`` of the rows.
+    """
+
+    n: int
+    values: list[float]
+    below: list[int]
+    upto: list[int]
+
+    @property
+    def gap(self) -> float:
+        between = [b - a for a, b in zip([0, *self.upto], [*self.below, self.n])]
+        return max(between) / self.n if self.n else 0.0
+
+
 @dataclass
 class Meta:
     """What a frame's columns looked like when the preprocessing was fitted.
@@ -33,6 +55,7 @@ class Meta:
     target_is_text: bool = False
     target_median: float | None = None
     sizes: dict = field(default_factory=dict)  # of each column's part of ``classes``
+    spreads: dict[str, Spread] = field(default_factory=dict)  # of the numeric features
 
     def classes_of(self, name: str) -> DataFrame:
         return self.classes.where(F.col("column") == name).select("class", "code", "n")
@@ -55,35 +78,59 @@ class Meta:
         )
 
 
-def fit_meta(df: DataFrame, target: str | None, cols: list[str]) -> Meta:
-    """Medians and ranges of the numeric columns, sorted classes of the others."""
+def fit_meta(df: DataFrame, target: str | None, cols: list[str], fit_on: Column | None = None) -> Meta:
+    """Medians, ranges and distributions of the numeric columns in two scans, sorted classes of the others.
+
+    ``fit_on`` is a condition on the rows to learn from, such as those of the training side; a row for
+    which it is NULL is not learned from. By default all rows are.
+    """
     require_columns(df, [*cols, *([target] if target else [])])
+    if fit_on is not None:
+        df = df.where(fit_on)
     numeric = [c for c in cols if is_numeric(dtype_of(df, c))]
     texts = [c for c in cols if c not in numeric]
     target_text = bool(target) and not is_numeric(dtype_of(df, target))
     plus = [target] if target and not target_text else []
-    mids = medians(df, [*numeric, *plus])
-    numbers: dict = {}
-    if numeric:
-        facts = rows_of(
-            df,
-            [{"c": F.lit(c), "lo": F.min(as_double(df, c)), "hi": F.max(as_double(df, c))} for c in numeric],
-        )
-        numbers = {r["c"]: (mids[r["c"]], r["lo"], r["hi"]) for r in facts.collect()}
+    mids, ranges, spreads = _distributions(df, list(dict.fromkeys([*numeric, *plus])))
     coded = [*texts, *([target] if target_text else [])]
     classes, sizes = label_tables(df, coded) if coded else (None, {})
     return Meta(
         features=list(cols),
         target=target,
-        numbers=numbers,
+        numbers={c: (mids[c], *ranges[c]) for c in numeric},
         classes=classes,
         sizes=sizes,
         texts=texts,
         target_is_text=target_text,
-        target_median=mids.get(target) if plus else None,
+        target_median=mids[target] if plus else None,
+        spreads={c: spreads[c] for c in numeric},
     )
 
 
+def _distributions(df: DataFrame, cols: list[str]) -> tuple[dict, dict, dict[str, Spread]]:
+    """(medians, (least, largest), distributions): one scan for sketches, one for the counts between their values."""
+    if not cols:
+        return {}, {}, {}
+    steps = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    facts = column_facts(df, cols, [0.5], lo=F.min, hi=F.max, grid=lambda x: F.percentile_approx(x, steps, 10 * GRID))
+    mids = dict.fromkeys(cols)
+    spreads = {c: Spread(0, [], [], []) for c in cols}
+    some = [c for c in cols if facts[c]["n"]]
+    if some:
+        doubles = df.select(*[as_double(df, c).alias(c) for c in some])
+        own = {c: sorted({(float(v), float(v)) for v in facts[c]["grid"]}) for c in some}
+        wanted = {c: ranks_around(facts[c]["n"], [0.5]) for c in some}
+        with Cells(doubles, {c: own[c] + brackets_of(facts[c]["sketch"]) for c in some}) as cells:
+            totals = cells.totals()
+            at, outside = cells.at(wanted)
+            if outside:  # the sketch missed a rank
+                at |= order_statistics(doubles, {c: wanted[c] for c in outside}, {c: facts[c]["n"] for c in outside}, {c: outside[c] for c in outside})
+            for c in some:
+                mids[c] = interpolated(at[c], facts[c]["n"], [0.5])[0]
+                spreads[c] = Spread(facts[c]["n"], *cells.steps(c, totals))
+    return mids, {c: (facts[c]["lo"], facts[c]["hi"]) for c in cols}, spreads
+
+
 def fit_meta_frame(df: DataFrame, cols: list[str]) -> DataFrame:
     return fit_meta(df, None, cols).frame(df.sparkSession)
 

@@ -114,10 +114,27 @@ class Cells:
             F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.count_if("flag").alias("flagged")
         )
 
+    def totals(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(rows, distinct values listed) of every (i, cell) that has any: columns x edges at most."""
+        rows = self.table.groupBy("i", "cell").agg(F.sum("n").alias("n"), F.count("value").alias("values")).collect()
+        return {(r["i"], r["cell"]): (r["n"], r["values"]) for r in rows}
+
+    def steps(self, c: str, totals: dict) -> tuple[list[float], list[int], list[int]]:
+        """The finite edges that are values of their own, and the rows below and up to each."""
+        i, before = self.cols.index(c), 0
+        values, below, upto = [], [], []
+        for cell, (a, b) in enumerate(zip(self.edges[i], self.edges[i][1:])):
+            n = totals.get((i, cell), (0, 0))[0]
+            if np.nextafter(a, INF) == b:
+                values.append(a)
+                below.append(before)
+                upto.append(before + n)
+            before += n
+        return values, below, upto
+
     def at(self, wanted: dict[str, list[int]]) -> tuple[dict[str, dict[int, float]], dict[str, list[tuple[float, float]]]]:
         """Values at 0-based ranks, and the brackets to ask again for ranks that no bracket held."""
-        rows = self.table.groupBy("i", "cell").agg(F.sum("n").alias("n"), F.count("value").alias("values")).collect()
-        counts = {(r["i"], r["cell"]): (r["n"], r["values"]) for r in rows}  # columns x edges at most
+        counts = self.totals()
         found: dict[str, dict[int, float]] = {c: {} for c in wanted}
         again: dict[str, list[tuple[float, float]]] = {}
         marks, large = [], False

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import ref
-from tabulens.operators.drift import drift_report
+from tabulens.operators.drift import drift_report, stored_report
 from tabulens.operators.explain import prediction_interval
 from tabulens.operators.meta import Meta, apply_meta, missing_features, target_fill
 from tabulens.operators.metrics import (
@@ -124,14 +124,17 @@ class Evaluation:
 def evaluate(
     fitted: Fitted, meta: Meta, df: DataFrame, key: str, train: DataFrame | None = None, points: int = ROC_TRAIN_POINTS
 ) -> Evaluation:
-    """Score labelled new data once and read every view from it; drift against ``train`` where given."""
+    """Score labelled new data once and read every view from it.
+
+    Drift is judged against ``train`` where given, else against the distributions stored in ``meta``.
+    """
     scored = settle(score_frame(fitted, meta, df, [key], with_target=True))
     classifier = fitted.problem_type == CLASSIFICATION
     return Evaluation(
         scored,
         _metrics(fitted, scored),
         views(scored, classifier, fitted.classes, key, points=points),
-        evaluate_drift(meta, train, df) if train is not None else None,
+        evaluate_drift(meta, train, df) if train is not None else stored_report(meta, df),
         missing_features(df, meta),
     )
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tabulens.operators import drift as D
+from tabulens.operators import meta as MT
 from tabulens.operators import metrics as M
 from tabulens.plans import plan, union
 from tabulens.plans.inputs import LINE_KEY, REVENUE, hash_sql, picked, sql_select
@@ -293,6 +294,22 @@ def drift_chi2(spark, folder):
     return out.select("feature", F.round(F.col("statistic") / 1e6, 4).alias("statistic_millions"), "dof")
 
 
+_FEW = ["l_quantity", "l_tax"]
+
+
+@plan(
+    "drift_stored",
+    f"""WITH t AS ({SIDES_SQL}), {_KS}
+    SELECT feature, round(d, 6) AS statistic, round(p, 6) AS p_value, p < 0.05 AS drifted, 0.0::DOUBLE AS error
+    FROM kp WHERE feature IN ('l_quantity', 'l_tax')""",
+)
+def drift_stored(spark, folder):
+    """Columns of few values, for which a stored distribution is the whole one."""
+    train, other = sides(spark, folder)
+    out = D.stored_ks(MT.fit_meta(train, None, _FEW), other, _FEW)
+    return out.select("feature", *[F.round(c, 6).alias(c) for c in ("statistic", "p_value")], "drifted", "error")
+
+
 @plan("drift_report")
 def drift_report(spark, folder):
     return D.drift_report(*sides(spark, folder), KS_COLUMNS + TEXT_COLUMNS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.operators.meta import Meta
+from tabulens.operators.meta import Meta, Spread
 from tabulens.operators.models import Fitted, load_fitted, save_fitted
 
 
@@ -50,6 +50,9 @@ def save_model(fitted: Fitted, meta: Meta, path: str, spark: SparkSession) -> No
         "features array<string>, texts array<string>, target string, target_is_text boolean,"
         " target_median double, has_classes boolean",
     ).write.mode("overwrite").parquet(f"{path}/meta")
+    spreads = [(c, s.n, s.values, s.below, s.upto) for c, s in meta.spreads.items()]
+    schema = "column string, n bigint, values array<double>, below array<bigint>, upto array<bigint>"
+    spark.createDataFrame(spreads, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/spreads")
     if meta.classes is not None:
         meta.classes.write.mode("overwrite").parquet(f"{path}/classes")
 
@@ -65,5 +68,9 @@ def load_model(path: str, spark: SparkSession) -> tuple[Fitted, Meta]:
         texts=list(m["texts"]),
         target_is_text=m["target_is_text"],
         target_median=m["target_median"],
+        spreads={
+            r["column"]: Spread(r["n"], list(r["values"]), list(r["below"]), list(r["upto"]))
+            for r in spark.read.parquet(f"{path}/spreads").collect()
+        },
     )
     return load_fitted(path, spark), meta

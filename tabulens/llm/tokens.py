@@ -152,6 +152,18 @@ class EliasFano:
         place = np.flatnonzero(np.unpackbits(self.upper[byte : byte + 1], bitorder="little"))[left]
         return ((byte * 8 + int(place) - i) << self.low) | int(self._low(i, 1)[0])
 
+    def values(self, start: int, count: int) -> np.ndarray:
+        """``count`` values from number ``start`` on, from the bits between the listed ones around them."""
+        count = max(0, min(count, self.n - start))
+        if not count:
+            return np.zeros(0, np.uint64)
+        block, after = start // SELECT_STEP, -(-(start + count) // SELECT_STEP)
+        first = int(self.select_table[block])
+        end = int(self.select_table[after]) if after < len(self.select_table) else self.n_bits
+        bits = np.unpackbits(self.upper[first // 8 : -(-end // 8)], bitorder="little")[first % 8 : first % 8 + end - first]
+        ones = np.flatnonzero(bits)[start - block * SELECT_STEP :][:count] + first
+        return ((ones - np.arange(start, start + count)).astype(np.uint64) << np.uint64(self.low)) | self._low(start, count)
+
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.upper, count=self.n_bits, bitorder="little"))
         return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)) | self._low(0, self.n)
@@ -260,13 +272,17 @@ def _shard(path: str) -> Shard:
         return Shard(f.read())
 
 
-def _described(shard: Shard, first: int, which) -> pd.DataFrame:
-    """Documents by number, every offset from the select structure."""
-    rows = []
-    for i in which:
-        start, end = shard.span(i)
-        rows.append((shard.doc_id(i), first + start, end - start, zlib.crc32(shard.ids[start:end].astype("<u4").tobytes())))
-    return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
+def _described(shard: Shard, first: int, runs: list[range]) -> pd.DataFrame:
+    """Documents by number, their ids and offsets from the select structures, a few at a time."""
+    parts = [(np.zeros(0, np.int64),) * 4]
+    for run in runs:
+        for i in range(run.start, run.stop, SELECT_STEP):
+            n = min(SELECT_STEP, run.stop - i)
+            bounds = shard.bounds.values(i, n + 1).astype(np.int64)
+            crc = [zlib.crc32(shard.ids[s:e].astype("<u4").tobytes()) for s, e in zip(bounds, bounds[1:])]
+            names = shard.names.values(i, n).astype(np.int64) + shard.least
+            parts.append((names, first + bounds[:-1], np.diff(bounds), np.array(crc)))
+    return pd.DataFrame(dict(zip(("doc_id", "start", "n_tokens", "ids_crc32"), map(np.concatenate, zip(*parts)))))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -276,7 +292,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for pdf in batches:
             for path, first in zip(pdf["path"], pdf["first_id"]):
                 shard = _shard(path)
-                yield _described(shard, first, range(shard.n_docs))
+                yield _described(shard, first, [range(shard.n_docs)])
 
     spread = manifest.select("path", "first_id").repartition(min(MAX_TASKS, max(1, manifest.count())))
     return spread.mapInPandas(read, DOCUMENT)
@@ -299,6 +315,6 @@ def look_up(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> D
 
     def read(group: pd.DataFrame) -> pd.DataFrame:
         shard, first = _shard(group["path"].iloc[0]), int(group["first_id"].iloc[0])
-        return _described(shard, first, [i for d in group["wanted"] for i in shard.find(int(d))])
+        return _described(shard, first, [shard.find(int(d)) for d in group["wanted"]])
 
     return met.select("path", "first_id", "wanted").groupBy("path").applyInPandas(read, DOCUMENT)

@@ -423,3 +423,11 @@ def test_looking_up_documents_equals_reading_all(spark, shard_ids):
     wanted = spark.createDataFrame([(d,) for d in asked], "doc_id bigint")
     assert sorted(tuple(r) for r in tokens.look_up(manifest, wanted).collect()) == [r for r in every if r[0] in asked]
     assert tokens.look_up(manifest.limit(0), wanted).collect() == []
+
+
+@given(st.lists(st.integers(0, 1 << 34), min_size=1, max_size=900), st.integers(0, 900), st.integers(0, 400))
+@settings(max_examples=80, deadline=None)
+def test_runs_of_values_come_from_the_listed_bits(values, start, count):
+    values = sorted(values)
+    coded = tokens.EliasFano(tokens.ef_encode(np.array(values, np.uint64), values[-1]))
+    assert coded.values(start, count).tolist() == values[start : start + count]

@@ -50,7 +50,7 @@ ELIMINATION_TREES = 50
 SEARCH_DRAWS = 20
 SEARCH_FOLDS = 3
 SEARCH_SHOWN = 10
-UNLIMITED_DEPTH = 15  # stands for "no depth limit"
+UNLIMITED_DEPTH = 30  # "no depth limit": the deepest that Spark grows a tree
 GRIDS = {
     FOREST: {"trees": [50, 100, 200], "max_depth": [None, 5, 10, 20], "min_leaf": [1, 2, 4]},
     RIDGE: {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]},
@@ -290,13 +290,13 @@ def tune_random_search(
     every = [dict(zip(grid, values)) for values in product(*grid.values())]
     spark = prepared.sparkSession
     drawn = every if len(every) <= draws else random.Random(seed).sample(every, draws)
+    drawn = [{k: UNLIMITED_DEPTH if k == "max_depth" and v is None else v for k, v in p.items()} for p in drawn]
     frame = spread_rows(assembled(prepared, features, [key, "label"]), key)
     frame = kfold_assign(frame, key, folds).persist()
     classes = _classes(frame, problem_type)
 
     def one(params: dict):
-        used = {k: UNLIMITED_DEPTH if k == "max_depth" and v is None else v for k, v in params.items()}
-        return mean_std(cross_validate(frame, name, problem_type, classes, folds, used, key))
+        return mean_std(cross_validate(frame, name, problem_type, classes, folds, params, key))
 
     with ThreadPoolExecutor(max_workers=4) as pool:
         jobs = [pool.submit(inheritable_thread_target(spark)(one), p) for p in drawn]

@@ -104,7 +104,7 @@ def ef_encode(values: np.ndarray, top: int) -> bytes:
     """A sequence of ascending integers in [0, top]."""
     values = np.asarray(values, np.uint64)
     n = len(values)
-    low = max(0, (top // n).bit_length() - 1) if n else 0
+    low = max(0, (top // n).bit_length() - 1) if n else top.bit_length()
     upper = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
     bits = np.zeros(n + (top >> low) + 1, np.uint8)
     bits[upper] = 1

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import (
@@ -17,14 +20,12 @@ from tabulens.functions.columns import (
     require_columns,
 )
 from tabulens.functions.comoments import Moments, comoments
-from tabulens.functions.moments import ratio
 from tabulens.operators import ranks
 from tabulens.operators.engineer import attach_codes, label_tables
-from tabulens.operators.ranks import attach_values, avg_rank, by_row, distinct_sizes, medians, ranked_long, value_ranks
-from tabulens.session import settled
+from tabulens.operators.ranks import avg_rank, by_row, distinct_sizes, medians, ranked_long
 
-RANK_BUCKET_BITS = 16  # a window task of the Kendall count sees at most 2**16 distinct ranks
-DIGIT_BITS = 3  # base-8 digits in the Kendall count
+RANK_BUCKET_BITS = 21  # a block of the Kendall count has about 2**21 rows
+LEAST_EDGES, MOST_EDGES = 64, 1000  # values that the blocks of a column end at
 
 
 def encoded(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -101,119 +102,153 @@ def corr_spearman_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFr
     return _matrix(df, cols, comoments(ranked, cols).filled(np.zeros(len(cols))))
 
 
-def _ranked(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, int], dict[str, float]]:
-    """Columns as order-preserving codes, with the number of codes and of tied pairs per column.
+def _block_edges(values: list[float] | None) -> list[float]:
+    """Edges of the blocks of a column: every value is a block of its own, and between two lies an open one."""
+    ends = {e for v in values or () for e in (v, float(np.nextafter(v, ranks.INF))) if abs(e) < ranks.INF}
+    return [-ranks.INF, *sorted(ends), ranks.INF]
 
-    A column of few values takes dense ranks by a lookup. With any others, all rows go through the long
-    form, where the code of a value is the number of rows below it and looked-up codes just travel along.
+
+def _blocks(doubles: DataFrame, cols: list[str]) -> tuple[DataFrame, list[np.ndarray], list[bool]]:
+    """Columns v0, v1, ... with their blocks b0, b1, ... in order of value; which blocks hold one value only
+    (a mask per column); and which columns have more than one value.
+
+    Blocks end at sketched quantiles, so an open block has about 2**RANK_BUCKET_BITS rows (more where
+    MOST_EDGES of them do not suffice), and a value of more rows than that is a block of its own.
     """
-    rows, sizes = distinct_sizes(df, cols)
-    few = [c for c in cols if sizes[c] <= ranks.BROADCAST_ROWS]
-    many = [c for c in cols if c not in few]
-    codes, numbers, tied = df, {}, {}
-    if few:
-        table, facts = value_ranks(df, few, dense="dense")
-        n = F.col("n").cast("double")
-        tied = {r["column"]: r["t"] for r in table.groupBy("column").agg(F.sum(n * (n - 1) / 2).alias("t")).collect()}
-        codes = attach_values(df, few, table, facts, "dense", {c: f"_dense_{c}" for c in few})
-        numbers = {c: facts[c]["n"] for c in few}
-    codes = codes.select(*[ref(f"_dense_{c}" if c in few else c).alias(c) for c in cols])
-    if many:
-        long = settled(ranked_long(codes, cols, rows), "long")
-        at = F.col("i").isin([i for i, c in enumerate(cols) if c in many])
-        for r in long.where(at).groupBy("i").agg(F.sum((F.col("equal") - 1) / 2.0).alias("t")).collect():
-            tied[cols[r["i"]]] = r["t"]
-        codes = by_row(long, cols, F.when(at, F.col("below")).otherwise(F.col("x").cast("bigint")))
-        numbers |= {c: rows if tied.get(c, 0.0) < rows * (rows - 1) / 2.0 else 1 for c in many}
-    return codes, numbers, tied
-
-
-def _pair_counts(pairs: DataFrame, many: bool) -> DataFrame:
-    """(pair, concordant, both) of a table (pair, levels, a, b, n) of dense ranks with counts.
-
-    Two different values of ``a`` first differ in exactly one base-8 digit, so every pair
-    of rows is counted at one digit level, inside the group that shares the higher digits:
-    running sums along ``b``, one per digit, tell how many rows of a lower digit lie
-    below. That is n log n rows; no pair of rows is ever formed, and no window sees more
-    than 2**16 distinct ranks. ``both`` counts the row pairs tied on both sides.
+    zero = lambda c: F.when(ref(c) == 0, 0.0).otherwise(ref(c))  # noqa: E731 - the two zeros are equal
+    wide = doubles.select(*[zero(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    n = min(max(wide.count() >> RANK_BUCKET_BITS, LEAST_EDGES), MOST_EDGES)
+    probs = F.array(*[F.lit((i + 1) / (n + 1)) for i in range(n)])
+    about = [F.struct(F.percentile_approx(c, probs, ranks.ACCURACY), F.min(c) < F.max(c)) for c in wide.columns]
+    found = [tuple(r) for r in wide.agg(*about).first()]
+    edges = [_block_edges(values) for values, _ in found]
+    cut = [i for i, of in enumerate(edges) if len(of) > 2]
+    if cut:
+        wide = Bucketizer(
+            splitsArray=[edges[i] for i in cut],
+            inputCols=[f"v{i}" for i in cut],
+            outputCols=[f"b{i}" for i in cut],
+            handleInvalid="keep",
+        ).transform(wide)
+    blocks = [(F.col(f"b{i}") if i in cut else F.lit(0)).cast("int").alias(f"b{i}") for i in range(len(cols))]
+    single = [np.array([np.nextafter(a, b) == b for a, b in zip(of, of[1:])]) for of in edges]
+    return wide.select(*[f"v{i}" for i in range(len(cols))], *blocks), single, [bool(varies) for _, varies in found]
+
+
+def inversions(x: np.ndarray) -> int:
+    """Pairs of places in decreasing order of value, by one pass for each bit of the values' ranks."""
+    v = np.unique(x, return_inverse=True)[1]
+    total, place = 0, np.arange(len(v))
+    for bit in reversed(range(int(v.max()).bit_length() if len(v) else 0)):
+        # runs of equal higher bits stand together; within one, the places of each bit keep their order
+        upper, one = v >> bit + 1, v >> bit & 1
+        first = np.flatnonzero(np.concatenate(([True], upper[1:] != upper[:-1])))
+        sizes = np.diff(first, append=len(v))
+        ones = np.cumsum(one) - one
+        start, ones = np.repeat(first, sizes), ones - np.repeat(ones[first], sizes)
+        total += int(ones[one == 0].sum())
+        zeros = place - start - ones
+        low = np.repeat(sizes - np.add.reduceat(one, first), sizes)
+        moved = np.empty_like(v)
+        moved[start + np.where(one == 1, low + ones, zeros)] = v
+        v = moved
+    return total
+
+
+def _ties(*sorted_by: np.ndarray) -> int:
+    """Pairs of rows equal in all of the columns, whose rows are sorted."""
+    if not len(sorted_by[0]):
+        return 0
+    new = np.any([of[1:] != of[:-1] for of in sorted_by], axis=0)
+    sizes = np.diff(np.flatnonzero(np.concatenate(([True], new))), append=len(sorted_by[0]))
+    return int((sizes * (sizes - 1) // 2).sum())
+
+
+def _pairs_of(n: np.ndarray) -> int:
+    return sum(k * (k - 1) // 2 for k in n.ravel().tolist())
+
+
+def _inside(block: pa.Table) -> pa.Table:
+    """Of a block of one side of a pair: its discordant pairs of rows, those tied on x, and those tied on both sides."""
+    x, y, whole = (block[c].to_numpy() for c in ("x", "y", "whole"))
+    order = np.lexsort((y, x))
+    x, y, whole = x[order], y[order], whole[order]
+    found = {"side": [block["side"][0].as_py()], "discordant": [inversions(y)], "tied": [_ties(x)], "both": [_ties(x[whole], y[whole])]}
+    return pa.table(found, pa.schema([("side", pa.int32()), *[(c, pa.int64()) for c in ("discordant", "tied", "both")]]))
+
+
+def _between(single: list[np.ndarray], pairs: list[tuple[int, int]]) -> Callable[[pa.Table], pa.Table]:
+    """Of the counts by blocks of one pair: its rows, the discordant pairs of rows of different blocks on both sides,
+    those tied by blocks of one value, and the rows that go on to ``_inside``."""
+    names = ("n", "discordant", "tied_a", "tied_b", "both", "sent")
+
+    def count(cells: pa.Table) -> pa.Table:
+        k = cells["pair"][0].as_py()
+        a, b = (single[i] for i in pairs[k])
+        n = np.zeros((len(a), len(b)), np.int64)
+        n[cells["p"].to_numpy(), cells["q"].to_numpy()] = cells["n"].to_numpy()
+        later = n.sum(0) - np.cumsum(n, 0)  # by block of b, the rows of later blocks of a
+        below = np.cumsum(later, 1) - later  # of those, the rows of earlier blocks of b
+        tied = [_pairs_of(m) for m in (n.sum(1)[a], n.sum(0)[b], n[np.ix_(a, b)])]
+        found = [n.sum(), (n * below).sum(), *tied, n[~a].sum() + n[:, ~b].sum()]
+        return pa.table({"pair": [k], **{c: [int(v)] for c, v in zip(names, found)}}, pa.schema([("pair", pa.int32()), *[(c, pa.int64()) for c in names]]))
+
+    return count
+
+
+def _pair_counts(blocks: DataFrame, single: list[np.ndarray], pairs: list[tuple[int, int]]) -> list[tuple[int, ...]]:
+    """(rows, discordant, tied on a, tied on b, tied on both) of every pair (a, b) of columns; the last four in pairs of rows.
+
+    Two rows of different blocks on both sides are discordant or not by their blocks, so counts by pairs of
+    blocks tell. Rows of one block of a, and those of one block of b and different blocks of a, are counted by
+    the task that has the block: a row goes through the shuffle twice at most, whatever the number of rows.
+    Rows of a block of one value are tied on that side and do not go there, so no task has a hot value.
     """
-    size = 1 << DIGIT_BITS
-    keys = ["pair", "level", "g", "part"]
-    rows = pairs.select("*", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("level"))
-    rows = rows.select(
-        "pair",
-        "level",
-        F.expr(f"shiftright(a, {DIGIT_BITS} * (level + 1))").alias("g"),
-        F.expr(f"shiftright(b, {RANK_BUCKET_BITS})").alias("part"),
-        F.expr(f"shiftright(a, {DIGIT_BITS} * level) & {size - 1}").alias("digit"),
-        "b",
-        "n",
-    )
-    # the sums depend on these keys only, so a group has at most 8 rows for each of its ranks
-    rows = rows.groupBy(*keys, "digit", "b").agg(F.sum("n").alias("n"))
-    of = lambda d: F.when(F.col("digit") == d, F.col("n")).otherwise(0)
-    lower = range(size - 1)
-    below = Window.partitionBy(*keys).orderBy("b").rangeBetween(Window.unboundedPreceding, -1)
-    runs = rows.select(
-        *keys, "digit", "n", *[F.coalesce(F.sum(of(d)).over(below), F.lit(0)).alias(f"p{d}") for d in lower]
-    )
-    if many:  # add what lies in the parts before
-        parts = rows.groupBy(*keys).agg(*[F.sum(of(d)).alias(f"t{d}") for d in lower])
-        run = (
-            Window.partitionBy("pair", "level", "g")
-            .orderBy("part")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        offsets = parts.select(
-            *keys, *[F.coalesce(F.sum(f"t{d}").over(run), F.lit(0)).alias(f"o{d}") for d in lower]
-        )
-        runs = runs.join(offsets, keys).select(
-            *keys, "digit", "n", *[(F.col(f"p{d}") + F.col(f"o{d}")).alias(f"p{d}") for d in lower]
-        )
-    under = F.lit(0)
-    for d in lower:
-        under = under + F.when(F.col("digit") > d, F.col(f"p{d}")).otherwise(0)
-    n = F.col("n").cast("double")
-    return runs.groupBy("pair").agg(
-        F.sum(n * under).alias("concordant"),
-        F.sum(F.when(F.col("level") == 0, n * (n - 1) / 2)).alias("both"),
-    )
+    known = [F.col(f"v{a}").isNotNull() & F.col(f"v{b}").isNotNull() for a, b in pairs]
+    cell = [
+        F.when(ok, F.struct(F.lit(k).alias("pair"), F.col(f"b{a}").alias("p"), F.col(f"b{b}").alias("q")))
+        for k, ((a, b), ok) in enumerate(zip(pairs, known))
+    ]
+    cells = blocks.select(F.inline(F.array(*cell))).where("pair is not null").groupBy("pair", "p", "q").agg(F.count("*").alias("n"))
+    schema = "pair int, n bigint, discordant bigint, tied_a bigint, tied_b bigint, both bigint, sent bigint"
+    found = {r["pair"]: list(r[1:]) for r in cells.groupBy("pair").applyInArrow(_between(single, pairs), schema).collect()}
+    found = [found.get(k, [0] * 6) for k in range(len(pairs))]
+    sent = sum(of.pop() for of in found)
+    if sent:
+        at = [of.nonzero()[0].tolist() for of in single]
+        blocks = blocks.select("*", *[(F.col(f"b{i}").isin(of) if of else F.lit(False)).alias(f"s{i}") for i, of in enumerate(at)])
+        alone = [F.col(f"s{i}") for i in range(len(single))]
+        sides = []
+        for k, ((a, b), ok) in enumerate(zip(pairs, known)):
+            for side, i, y, whole in ((2 * k, a, F.col(f"v{b}"), F.lit(True)), (2 * k + 1, b, F.col(f"b{a}").cast("double"), alone[a])):
+                to = (F.lit(side).alias("side"), F.col(f"b{i}").alias("block"), F.col(f"v{i}").alias("x"), y.alias("y"), whole.alias("whole"))
+                sides.append(F.when(ok & ~alone[i], F.struct(*to)))
+        parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sent >> RANK_BUCKET_BITS))
+        rows = blocks.select(F.inline(F.array(*sides))).where("side is not null").repartition(parts, "side", "block")
+        inside = rows.groupBy("side", "block").applyInArrow(_inside, "side int, discordant bigint, tied bigint, both bigint")
+        total = [F.sum(F.col(c).cast("decimal(38,0)")) for c in ("discordant", "tied", "both")]
+        for side, discordant, tied, both in inside.groupBy("side").agg(*total).collect():
+            of = found[side // 2]
+            of[1] += int(discordant)
+            of[2 + side % 2] += int(tied)
+            of[4] += int(both)
+    return [tuple(of) for of in found]
 
 
 def corr_kendall_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Kendall's tau-b, exact at any size; all pairs of columns go through one shuffle."""
     cols = cols or number_columns(df)
-    codes, sizes, tied = _ranked(encode_and_fill(df, cols), cols)
-    n = float(df.count())
-    n0 = n * (n - 1) / 2
-    tagged, facts, many = [], [], False
-    for i, (x, y) in enumerate(combinations(cols, 2)):
-        a, b = (x, y) if sizes[x] <= sizes[y] else (y, x)  # fewer values, fewer digit levels
-        levels = max(-(-int(sizes[a] - 1).bit_length() // DIGIT_BITS), 1)
-        many = many or sizes[b] > 1 << RANK_BUCKET_BITS
-        tagged.append(
-            F.struct(F.lit(i).alias("pair"), F.lit(levels).alias("levels"), ref(a).alias("a"), ref(b).alias("b"))
-        )
-        spread = ((n0 - tied[x]) * (n0 - tied[y])) ** 0.5
-        for p, q in ((x, y), (y, x)):
-            facts.append((i, p, q, n0 - tied[x] - tied[y], spread))
-    spark = df.sparkSession
-    diagonal = spark.createDataFrame(
-        [(c, c, 1.0 if sizes[c] > 1 else None) for c in cols], "x string, y string, value double"
-    )
-    if not tagged:
-        return diagonal
-    pairs = (
-        codes.select(F.inline(F.array(*tagged)))
-        .groupBy("pair", "levels", "a", "b")
-        .agg(F.count("*").alias("n"))
-    )
-    known = spark.createDataFrame(facts, "pair int, x string, y string, base double, spread double")
-    # pairs of rows tied on neither side are either concordant or discordant
-    untied = F.col("base") + F.col("both")
-    tau = F.round(ratio(2 * F.col("concordant") - untied, F.col("spread")), 4)
-    off = _pair_counts(pairs, many).join(F.broadcast(known), "pair").select("x", "y", tau.alias("value"))
-    return diagonal.unionByName(off)
+    blocks, single, varies = _blocks(encode_and_fill(df, cols), cols)
+    rows = [(c, c, 1.0 if more else None) for c, more in zip(cols, varies)]
+    pairs = list(combinations(range(len(cols)), 2))
+    for (a, b), (n, discordant, *ties, both) in zip(pairs, _pair_counts(blocks, single, pairs) if pairs else []):
+        n0 = n * (n - 1) // 2
+        spread = float(n0 - ties[0]) * float(n0 - ties[1])
+        # pairs of rows tied on neither side are either concordant or discordant
+        untied = n0 - ties[0] - ties[1] + both
+        tau = round((untied - 2 * discordant) / spread**0.5, 4) if spread else None
+        rows += [(cols[a], cols[b], tau), (cols[b], cols[a], tau)]
+    return df.sparkSession.createDataFrame(rows, "x string, y string, value double")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None, method: str = "pearson") -> DataFrame:

@@ -83,3 +83,32 @@ def test_a_hot_key_is_spread_over_its_share_of_tasks(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_a_row_goes_through_the_kendall_shuffle_twice_a_pair(spark, monkeypatch):
+    """Hot values and infinities included; rows tied by a hot value go nowhere."""
+    monkeypatch.setattr(K, "RANK_BUCKET_BITS", 3)
+    pdf = mixed(400, 4)
+    pdf.loc[:9, "c3"] = np.inf
+    pdf.loc[10:19, "c3"] = -np.inf
+    blocks, single, varies = K._blocks(spark.createDataFrame(pdf), list(pdf))
+    assert varies == [True, True, False, True]
+    pairs = [(0, 1), (0, 3), (1, 2)]
+    sent = []
+    apply = type(blocks.groupBy()).applyInArrow
+    monkeypatch.setattr(type(blocks.groupBy()), "applyInArrow", lambda g, f, s: sent.append(g._df) or apply(g, f, s))
+    for (a, b), (n, discordant, *ties) in zip(pairs, K._pair_counts(blocks, single, pairs)):
+        x, y = (np.sign(np.subtract.outer(v, v)) for v in (pdf.iloc[:, i].rank().to_numpy() for i in (a, b)))
+        want = [(x * y < 0).sum(), (x == 0).sum() - 400, (y == 0).sum() - 400, ((x == 0) & (y == 0)).sum() - 400]
+        assert (n, discordant, *ties) == (400, *[w // 2 for w in want])
+    rows = sent[-1].groupBy("side").agg(F.count("*").alias("n"), F.countDistinct("block").alias("blocks")).collect()
+    assert all(r["n"] <= 400 for r in rows) and len(rows) <= 2 * len(pairs)
+    assert next(r["n"] for r in rows if r["side"] == 0) <= 200  # half of c0 is one value
+    assert sent[-1].groupBy("side", "block").count().agg(F.max("count")).first()[0] <= 16
+
+
+def test_inversions_equal_all_pairs():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 300):
+        x = rng.integers(0, max(n // 2, 1), n).astype(float)
+        assert K.inversions(x) == sum(int((x[:i] > x[i]).sum()) for i in range(n))

@@ -89,7 +89,7 @@ def with_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
     if cols and set(cols) == set(df.columns):
         n, sizes = distinct_sizes(df, cols)
         if max(sizes.values()) > ranks.BROADCAST_ROWS:
-            return by_row(ranked_long(df, cols, n), cols, F.col("below") + (F.col("equal") + 1) / 2.0)
+            return by_row(ranked_long(df, cols, n), cols, F.col("below") + (F.col("equal") + 1) / 2.0, n)
     out = avg_rank(df, cols, {c: f"_rank_{c}" for c in cols})
     return out.select(
         *[ref(f"_rank_{c}").alias(c) if c in cols else ref(c) for c in df.columns]

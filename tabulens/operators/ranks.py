@@ -397,6 +397,11 @@ def distinct_sizes(df: DataFrame, cols: list[str]) -> tuple[int, dict[str, int]]
     return row[0], dict(zip(cols, row[1:]))
 
 
+def _parts(df: DataFrame, values: int) -> int:
+    """Partitions of a shuffle of so many values, of which no task gets more than about TASK_ROWS."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-values // TASK_ROWS))
+
+
 def ranked_long(df: DataFrame, cols: list[str], n: int) -> DataFrame:
     """(row, i, x, below, equal): every value x of the i-th column with the rows below it and equal to it.
 
@@ -406,7 +411,7 @@ def ranked_long(df: DataFrame, cols: list[str], n: int) -> DataFrame:
     rows per range. What each range holds is written once.
     """
     spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(cols) // TASK_ROWS))
+    parts = _parts(df, n * len(cols))
     wide = df.select(F.monotonically_increasing_id().alias("row"), *[as_double(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
     pairs = [e for i in range(len(cols)) for e in (F.lit(i), F.col(f"v{i}"))]
     long = wide.select("row", F.stack(F.lit(len(cols)), *pairs).alias("i", "x")).where("x is not null")
@@ -444,8 +449,15 @@ def ranked_long(df: DataFrame, cols: list[str], n: int) -> DataFrame:
     )
 
 
-def by_row(long: DataFrame, names: list[str], value: Column) -> DataFrame:
-    """The long form back as one row per row, with ``value`` under each column's name."""
+def by_row(long: DataFrame, names: list[str], value: Column, n: int | None = None) -> DataFrame:
+    """The long form back as one row per row, with ``value`` under each column's name.
+
+    With the number ``n`` of rows, the values go to as many tasks as they need before any table of rows is
+    made: the values of a row come from different ranges, so nothing could be summed up before.
+    """
+    if n is not None:
+        long = long.select("row", "i", value.alias("_value")).repartition(_parts(long, n * len(names)), "row")
+        value = F.col("_value")
     out = long.groupBy("row").agg(*[F.max(F.when(F.col("i") == i, value)).alias(c) for i, c in enumerate(names)])
     return out.select(*[ref(c) for c in names])
 

@@ -85,6 +85,20 @@ def test_a_hot_key_is_spread_over_its_share_of_tasks(spark, monkeypatch):
             spark.conf.set(k, v)
 
 
+def test_rows_are_put_together_by_as_many_tasks_as_they_need(spark, monkeypatch):
+    """Neither the table of rows before the shuffle nor the one behind it grows with the input."""
+    monkeypatch.setattr(R, "TASK_ROWS", 100)
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 0)
+    pdf = mixed(500)[["c0", "c3"]]
+    ranked = K.with_ranks(spark.createDataFrame(pdf), list(pdf))
+    plan = ranked._jdf.queryExecution().sparkPlan().toString()
+    shuffle = next(at for at, line in enumerate(plan.splitlines()) if "partitioning(row" in line or "REPARTITION_BY_NUM" in line)
+    assert "row#" in plan.splitlines()[shuffle] and ", 10)" in plan.splitlines()[shuffle]  # 500 rows of 2 values, 100 a task
+    assert not any("HashAggregate(keys=[row" in line for line in plan.splitlines()[shuffle:])
+    got = ranked.toPandas().sort_values(list(pdf)).to_numpy()
+    assert got == pytest.approx(pdf.rank().sort_values(list(pdf)).to_numpy())
+
+
 def test_a_row_goes_through_the_kendall_shuffle_twice_a_pair(spark, monkeypatch):
     """Hot values and infinities included; rows tied by a hot value go nowhere."""
     monkeypatch.setattr(K, "RANK_BUCKET_BITS", 3)

@@ -31,6 +31,7 @@ WEIGHTS = {
 }
 INFO_BINS = 32
 FOREST_TREES = 100
+FOREST_ROWS = 500_000  # rows that one task of a forest keeps; it reads them all at every level
 
 
 def features_of(prepared: DataFrame, target: str) -> list[str]:
@@ -161,13 +162,26 @@ def score_chi2(prepared: DataFrame, target: str) -> DataFrame:
     )
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows in tasks of about FOREST_ROWS where a task of the input has more; others stay as they are."""
+    sizes = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    largest, n = sizes.agg(F.max("n"), F.sum("n")).first()
+    if (largest or 0) <= FOREST_ROWS:
+        return rows
+    # by a number per row, so equal rows are spread as well and nothing is sorted
+    numbered = rows.withColumn("_at", F.monotonically_increasing_id())
+    return numbered.repartition(-(-n // FOREST_ROWS), "_at").drop("_at")
+
+
 def score_rf_importance(
     prepared: DataFrame, target: str, problem_type: str, trees: int = FOREST_TREES, seed: int = 42
 ) -> DataFrame:
     feats = features_of(prepared, target)
     rows = VectorAssembler(inputCols=[f"f{i}" for i in range(len(feats))], outputCol="features").transform(
-        prepared.select(
-            *[ref(c).alias(f"f{i}") for i, c in enumerate(feats)], ref(target).alias("label")
+        dealt(
+            prepared.select(
+                *[ref(c).alias(f"f{i}") for i, c in enumerate(feats)], ref(target).alias("label")
+            )
         )
     )
     common = dict(numTrees=trees, seed=seed, labelCol="label", featuresCol="features")

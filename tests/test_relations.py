@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tabulens.functions import tails as T
 from tabulens.operators import correlation as K
@@ -50,6 +51,19 @@ def test_constant_column_correlates_with_nothing(spark):
         assert got["c", "v"] is None and got["c", "c"] is None and got["v", "v"] == 1.0
 
 
+def test_a_forest_task_keeps_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "FOREST_ROWS", 100)
+    fitted = []
+    fit = S.RandomForestRegressor.fit
+    monkeypatch.setattr(S.RandomForestRegressor, "fit", lambda forest, rows: fitted.append(rows) or fit(forest, rows))
+    x = F.floor(F.col("id") / 600)  # half of the rows are equal
+    df = spark.range(0, 1200, 1, 1).select(F.when(x == 0, 0).otherwise(F.col("id")).cast("double").alias("x"), F.rand(1).alias("z"))
+    scores = {r.column: r.score for r in S.score_rf_importance(df.withColumn("y", F.col("x") * 2), "y", "regression", trees=3).collect()}
+    sizes = [r["count"] for r in fitted[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 12 and sum(sizes) == 1200 and max(sizes) < 200
+    assert scores["x"] > 0.9 and sum(scores.values()) == pytest.approx(1)
+
+
 def test_class_scores(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"a": rng.normal(size=90), "b": rng.random(90), "y": (np.arange(90) % 3).astype(float)})

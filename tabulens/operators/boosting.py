@@ -1,7 +1,8 @@
 """Boosted trees for several classes: softmax loss, histograms of binned features, one tree per class and round.
 
-A row holds its features as bin numbers of one byte each, its class and its margins. Each level of a
-round is one pass: tasks add up first and second derivatives of the loss by (class, node, feature, bin),
+Rows are kept in blocks, a block being one row of a frame: bin numbers of one byte (features x rows), classes
+and margins (classes x rows), each as the bytes of one array. Each level of a round is one pass:
+tasks add up first and second derivatives of the loss by (class, node, feature, bin),
 the sums are merged, and the driver picks every node's split from them. What reaches the driver depends
 on classes, nodes and bins alone. Leaf weights are -G / (H + l2), scaled by the step.
 """
@@ -28,7 +29,7 @@ L2 = 1.0
 MIN_WEIGHT = 1.0  # second derivatives a child holds at least
 FAN_IN = 64  # partial sums that one task, or the driver, merges
 CUT_EVERY = 20  # rounds after which margins are written
-ROWS = "row bigint, bins binary, label int, margins binary"
+BLOCKS = "row bigint, bins binary, label binary, margins binary"  # the number of the first row; no margins yet: zeros
 
 
 @dataclass
@@ -54,28 +55,31 @@ class _Tree:
         return [self.left[node], self.right[node]]
 
     def walk(self, bins: np.ndarray) -> np.ndarray:
+        """The node that each row of features x rows ends in; in a leaf a row stays where it is."""
         feature, last, left, right = (np.array(v) for v in (self.feature, self.bin, self.left, self.right))
-        at = np.zeros(len(bins), np.int64)
-        while True:
-            rows = np.flatnonzero(feature[at] >= 0)
-            if not len(rows):
-                return at
-            node = at[rows]
-            at[rows] = np.where(bins[rows, feature[node]] <= last[node], left[node], right[node])
+        leaf = feature < 0
+        left[leaf] = right[leaf] = np.flatnonzero(leaf)
+        start, flat = np.where(leaf, 0, feature) * bins.shape[1], bins.ravel()
+        at, rows = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1])
+        while not leaf[at].all():
+            at = np.where(flat[start[at] + rows] <= last[at], left[at], right[at])
+        return at
 
     def values(self, step: float, l2: float) -> np.ndarray:
         return np.array([-step * g / (h + l2) for g, h in self.sums])
 
 
-def _unpacked(batch: pa.RecordBatch, features: int, classes: int):
-    bins = np.frombuffer(b"".join(batch["bins"].to_pylist()), np.uint8).reshape(-1, features)
-    margins = np.frombuffer(b"".join(batch["margins"].to_pylist())).reshape(-1, classes)
-    return bins, batch["label"].to_numpy(), margins
+def _unpacked(batch: pa.RecordBatch, features: int, classes: int) -> Iterator[tuple]:
+    """Number of the first row, bins, labels and margins of every block."""
+    for row, bins, label, margins in zip(*(batch[c] for c in ("row", "bins", "label", "margins"))):
+        label = np.frombuffer(label.as_buffer(), np.int32)
+        held = np.frombuffer(margins.as_buffer()) if margins.is_valid else np.zeros(len(label) * classes)
+        yield row.as_py(), np.frombuffer(bins.as_buffer(), np.uint8).reshape(features, -1), label, held.reshape(classes, -1)
 
 
-def softmax(margins: np.ndarray) -> np.ndarray:
-    e = np.exp(margins - margins.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+def softmax(margins: np.ndarray, axis: int = 1) -> np.ndarray:
+    e = np.exp(margins - margins.max(axis, keepdims=True))
+    return e / e.sum(axis, keepdims=True)
 
 
 def _drawn(rows: np.ndarray, seed: int, share: float) -> np.ndarray:
@@ -96,41 +100,54 @@ def bin_edges(train: DataFrame, features: int) -> list[np.ndarray]:
 def _binned(train: DataFrame, edges: list[np.ndarray], classes: int) -> DataFrame:
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch["x"].to_pylist(), float).reshape(batch.num_rows, len(edges))
-            bins = np.column_stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(edges)]).astype(np.uint8)
-            margins = bytes(8 * classes)
-            yield pa.RecordBatch.from_pydict({
-                "row": batch["row"], "bins": pa.array([b.tobytes() for b in bins], pa.binary()),
-                "label": batch["label"], "margins": pa.array([margins] * batch.num_rows, pa.binary()),
-            })
-
+            if not batch.num_rows:
+                continue
+            if batch["label"].null_count:
+                raise ValueError("a row to train on has no class")
+            x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(edges))
+            bins = np.stack([np.searchsorted(e, x[:, i]).astype(np.uint8) for i, e in enumerate(edges)])
+            label = batch["label"].to_numpy().astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch["row"][:1], *(pa.array([v.tobytes()], pa.binary()) for v in (bins, label)), pa.nulls(1, pa.binary())],
+                ["row", "bins", "label", "margins"],
+            )
+
+    # numbers count up by one within a partition, so the first one of a batch stands for all
     rows = train.select(
         F.monotonically_increasing_id().alias("row"), vector_to_array("features").alias("x"), F.col("label").cast("int").alias("label")
     )
-    return rows.mapInArrow(put, ROWS)
+    return rows.mapInArrow(put, BLOCKS)
 
 
 def _sums(rows: DataFrame, trees: list[_Tree], features: int, classes: int, seed: int, share: float, parts: int) -> tuple[np.ndarray, float, int]:
-    """Derivatives by (class, open node, feature, bin), the log loss summed and the rows: one pass."""
+    """Derivatives by (class, open node, feature, bin), at the roots the log loss summed, and the rows: one pass."""
+    root = all(len(t.feature) == 1 for t in trees)
     opens = max(len(t.open) for t in trees)
     shape = (2, classes, opens, features, BINS)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, loss, n = np.zeros(shape), 0.0, 0
-        for batch in batches:
-            bins, label, margins = _unpacked(batch, features, classes)
-            p = softmax(margins)
-            loss -= float(np.log(np.maximum(p[np.arange(len(p)), label], 1e-300)).sum())
-            n += len(p)
-            seen = _drawn(batch["row"].to_numpy(), seed, share) if share < 1 else np.ones(len(p), bool)
+        for row, bins, label, margins in (block for batch in batches for block in _unpacked(batch, features, classes)):
+            p = softmax(margins, 0)
+            if root:
+                loss -= float(np.log(np.maximum(p[label, np.arange(len(label))], 1e-300)).sum())
+            n += len(label)
+            seen = _drawn(row + np.arange(len(label)), seed, share) if share < 1 else None
             for k, tree in enumerate(trees):
-                slot = np.full(len(tree.feature), -1)
-                slot[tree.open] = np.arange(len(tree.open))
-                at = slot[tree.walk(bins)]
-                used = np.flatnonzero((at >= 0) & seen)
-                g, h = p[used, k] - (label[used] == k), np.maximum(2 * p[used, k] * (1 - p[used, k]), 1e-16)
+                if not tree.open:
+                    continue
+                g = p[k] - (label == k)
+                h, part, at = np.maximum(2 * p[k] * (1 - p[k]), 1e-16), bins, None
+                if len(tree.feature) > 1 or seen is not None:
+                    slot = np.full(len(tree.feature), -1)
+                    slot[tree.open] = np.arange(len(tree.open))
+                    at = slot[tree.walk(bins)]
+                    used = np.flatnonzero((at >= 0) & seen) if seen is not None else np.flatnonzero(at >= 0)
+                    if len(used) < len(at):
+                        g, h, part, at = g[used], h[used], bins[:, used], at[used]
+                    at = at * BINS
                 for f in range(features):
-                    cell = at[used] * BINS + bins[used, f]
+                    cell = part[f] if at is None else at + part[f]
                     for d, w in enumerate((g, h)):
                         total[d, k, :, f] += np.bincount(cell, w, opens * BINS).reshape(opens, BINS)
         if n:
@@ -166,11 +183,12 @@ def _updated(rows: DataFrame, trees: list[_Tree], features: int, classes: int, s
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins, _, margins = _unpacked(batch, features, classes)
-            margins = margins + np.column_stack([v[t.walk(bins)] for t, v in zip(trees, values)])
-            yield batch.set_column(3, "margins", pa.array([m.tobytes() for m in margins], pa.binary()))
+            moved = []
+            for _, bins, _, margins in _unpacked(batch, features, classes):
+                moved.append((margins + np.stack([v[t.walk(bins)] for t, v in zip(trees, values)])).tobytes())
+            yield batch.set_column(3, "margins", pa.array(moved, pa.binary()))
 
-    return rows.mapInArrow(move, ROWS)
+    return rows.mapInArrow(move, BLOCKS)
 
 
 @dataclass
@@ -263,11 +281,11 @@ class SoftmaxModel:
     def transform(self, df: DataFrame) -> DataFrame:
         model = self
 
-        @F.pandas_udf("array<double>")
-        def probs(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype=object)
-            return pd.Series(list(model.probabilities(np.stack(x.to_list()).astype(float))))
+        @F.arrow_udf("array<double>")
+        def probs(x: pa.Array) -> pa.Array:
+            found = model.probabilities(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)) if len(x) else np.zeros((0, 1))
+            ends = np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
 
         out = df.select("*", probs(vector_to_array("features")).alias("probability"))
         best = F.array_position("probability", F.array_max("probability")) - 1  # the first of equal ones

@@ -133,3 +133,15 @@ def test_interval_of_a_hundred_trees_is_one_projection(spark):
     assert got["prediction"].to_numpy() == pytest.approx(each.mean(1), abs=1e-5)
     assert got["lower_95"].to_numpy() == pytest.approx(np.quantile(each, 0.025, axis=1), abs=1e-5)
     assert got["upper_95"].to_numpy() == pytest.approx(np.quantile(each, 0.975, axis=1), abs=1e-5)
+
+
+def test_rows_to_boost_are_kept_in_blocks(spark):
+    x, y = labelled()
+    df = vectors(spark, x, y)
+    edges = B.bin_edges(df, 4)
+    blocks = B._binned(df, edges, 3).collect()
+    assert len(blocks) == 3  # one per partition of so few rows, not one per row
+    label = np.concatenate([np.frombuffer(b["label"], np.int32) for b in blocks])
+    bins = np.concatenate([np.frombuffer(b["bins"], np.uint8).reshape(4, -1) for b in blocks], axis=1)
+    want = np.stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(edges)])
+    assert sorted(zip(label, *bins)) == sorted(zip(y, *want))

@@ -6,7 +6,7 @@ import math
 import random
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from itertools import product
+from itertools import chain, product
 
 import numpy as np
 import pandas as pd
@@ -44,6 +44,7 @@ from tabulens.operators.splits import FOLDS, SEED, kfold_assign, stratified_kfol
 # Grids and limits of the model reports.
 GRID_POINTS = 50
 GRID_RANGE = (0.05, 0.95)
+GRID_VALUES = 4_000_000  # values whose rows are compared before trees are walked for a grid: 32 MB
 FRACTIONS = (0.1, 0.25, 0.5, 0.75, 1.0)
 MIN_ROWS = 10
 ELIMINATION_TREES = 50
@@ -70,17 +71,20 @@ def _grid(prepared: DataFrame, feature: str, points: int) -> list[float]:
 
     The end points use plotting positions with both shape parameters at 0.4.
     """
-    x = prepared.select(ref(feature).cast("double").alias("x"))
-    if few_distinct(x, ["x"], points)["x"] < points:
-        return [r["x"] for r in x.distinct().orderBy("x").collect()]  # fewer than ``points`` values
-    n = x.count()
-    spots = []
-    for p in GRID_RANGE:
-        at = n * p + 0.4 + 0.2 * p
-        k = int(min(max(math.floor(at), 1), n - 1))
-        spots.append((k, min(max(at - k, 0.0), 1.0)))
-    ranks = sorted({i for k, _ in spots for i in (k - 1, k)})
-    found = order_statistics(x, {"x": ranks}, {"x": n})["x"]
+    x = prepared.select(ref(feature).cast("double").alias("x")).persist()  # read four times
+    try:
+        if few_distinct(x, ["x"], points)["x"] < points:
+            return [r["x"] for r in x.distinct().orderBy("x").collect()]  # fewer than ``points`` values
+        n = x.count()
+        spots = []
+        for p in GRID_RANGE:
+            at = n * p + 0.4 + 0.2 * p
+            k = int(min(max(math.floor(at), 1), n - 1))
+            spots.append((k, min(max(at - k, 0.0), 1.0)))
+        ranks = sorted({i for k, _ in spots for i in (k - 1, k)})
+        found = order_statistics(x, {"x": ranks}, {"x": n})["x"]
+    finally:
+        x.unpersist()
     lo, hi = (found[k - 1] * (1 - g) + found[k] * g for k, g in spots)
     return [float(v) for v in np.linspace(lo, hi, points)]
 
@@ -117,15 +121,23 @@ def partial_dependence(
 
 
 def _tree_dependence(model, prepared: DataFrame, features: list[str], feature: str, grid: list[float]) -> DataFrame:
-    """``partial_dependence`` of a forest or boosted regression, exact for all grid values in one walk."""
+    """``partial_dependence`` of a forest or boosted regression, exact for all grid values in one walk.
+
+    Rows that no split on the other features tells apart are walked once.
+    """
     trees, at, points = flat_trees.of_spark(model, prepared.sparkSession), features.index(feature), np.array(grid, float)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n = np.zeros(len(points)), 0
-        for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
-            sums += trees.grid_sums(x, at, points)
-            n += len(x)
+        sums, n, held, size = np.zeros(len(points)), 0, [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]))
+                size += held[-1].size
+            if held and (batch is None or size >= GRID_VALUES):
+                x, counts = trees.alike(np.concatenate(held), at)
+                sums += trees.grid_sums(x, at, points, counts)
+                n += int(counts.sum())
+                held, size = [], 0
         yield pa.RecordBatch.from_pydict({"at": np.arange(len(points)), "sum": sums, "n": np.full(len(points), n)})
 
     rows = prepared.select(*[ref(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])

@@ -43,9 +43,25 @@ class FlatTrees:
         parts = [self.value[self.leaves(x[i : i + step])] for i in range(0, len(x), step)]
         return np.concatenate(parts) if parts else np.zeros((0, len(self.roots)))
 
-    def grid_sums(self, x: np.ndarray, feature: int, grid: np.ndarray) -> np.ndarray:
+    def alike(self, x: np.ndarray, feature: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the rows that no split on another feature tells apart the first, and how many they are."""
+        code, size = np.zeros(len(x), np.int64), 1
+        for f in range(x.shape[1]):
+            limits = np.unique(self.threshold[self.feature == f])
+            if f == feature or not len(limits):
+                continue
+            if size > 2**31:  # codes stay within 64 bits
+                code, size = np.unique(code, return_inverse=True)[1], len(x)
+            code = code * (len(limits) + 1) + np.searchsorted(limits, x[:, f])
+            size *= len(limits) + 1
+        _, first, counts = np.unique(code, return_index=True, return_counts=True)
+        return x[first], counts
+
+    def grid_sums(self, x: np.ndarray, feature: int, grid: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
         """Sums over the rows of the prediction with ``feature`` set to each value of an ascending grid.
 
+        With ``counts`` a row stands for as many.
+
         A tree is walked once for all grid values: a split on the feature shares the run of grid
         values out between both sides, any other split sends the run one way. A leaf then adds its
         value where its run begins and takes it off where it ends.
@@ -57,6 +73,8 @@ class FlatTrees:
             part = x[i : i + size]
             row = np.repeat(np.arange(len(part)), len(self.roots))
             node, weight = np.tile(self.roots, len(part)), np.tile(self.weights, len(part))
+            if counts is not None:
+                weight = weight * counts[i + row]
             a, b = np.zeros(len(row), np.int64), np.full(len(row), len(grid), np.int64)
             while len(row):
                 split = self.feature[node]

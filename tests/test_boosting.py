@@ -145,3 +145,19 @@ def test_rows_to_boost_are_kept_in_blocks(spark):
     bins = np.concatenate([np.frombuffer(b["bins"], np.uint8).reshape(4, -1) for b in blocks], axis=1)
     want = np.stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(edges)])
     assert sorted(zip(label, *bins)) == sorted(zip(y, *want))
+
+
+def test_rows_alike_are_walked_once(spark, monkeypatch):
+    df, frame, x = regression(spark, 2000)
+    flat = T.of_spark(M.fit_model(M.FOREST, frame, M.REGRESSION, params={"trees": 3, "max_depth": 2}).parts["m"], spark)
+    x[:3] = np.nan, np.inf, -np.inf
+    grid = np.linspace(-1, 4, 23)
+    for f in range(3):
+        rows, counts = flat.alike(x, f)
+        cells = np.prod([len(np.unique(flat.threshold[flat.feature == g])) + 1 for g in range(3) if g != f])
+        assert len(rows) <= cells < 500 and counts.sum() == len(x)
+        assert flat.grid_sums(rows, f, grid, counts) == pytest.approx(flat.grid_sums(x, f, grid))
+    wide = np.tile(x, (1, 20))  # more cells than 64 bits tell apart
+    many = T.FlatTrees(np.repeat(np.arange(60), 9), np.tile(np.linspace(-1, 4, 9), 60), *[np.zeros(540, np.int32)] * 2, np.zeros(540), np.zeros(1, np.int32), np.ones(1))
+    assert many.alike(wide, 0)[1].sum() == len(x)
+    assert len(many.alike(wide, 0)[0]) == len(np.unique(np.column_stack([np.searchsorted(np.linspace(-1, 4, 9), c) for c in x.T]), axis=0))

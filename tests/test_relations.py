@@ -64,6 +64,12 @@ def test_a_forest_task_keeps_a_bounded_number_of_rows(spark, monkeypatch):
     assert scores["x"] > 0.9 and sum(scores.values()) == pytest.approx(1)
 
 
+def test_a_split_of_many_rows_is_dealt_out(spark):
+    rows = S.dealt(spark.range(0, 1_200_000, 1, 1))
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 3 and sum(sizes) == 1_200_000 and max(sizes) < 600_000
+
+
 def test_class_scores(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"a": rng.normal(size=90), "b": rng.random(90), "y": (np.arange(90) % 3).astype(float)})

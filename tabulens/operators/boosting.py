@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulens.operators.flat_trees import FlatTrees
-from tabulens.session import settled
+from tabulens.session import settle
 
 BINS = 256
 L2 = 1.0
@@ -211,7 +211,7 @@ class SoftmaxBoost:
             raise ValueError("no rows to train on")
         features, classes = first["n"], self.classes
         edges = bin_edges(train, features)
-        rows = settled(_binned(train, edges, classes), "binned")
+        rows = settle(_binned(train, edges, classes))  # partitions stay as even as those of the rows
         parts = rows.rdd.getNumPartitions()
         rounds, losses, held = [], [], None
         gains = np.zeros(features)
@@ -237,7 +237,7 @@ class SoftmaxBoost:
             rounds += trees
             moved = _updated(rows, trees, features, classes, self.step, self.l2)
             cut = r % CUT_EVERY == CUT_EVERY - 1
-            moved = settled(moved, "margins") if cut else moved.persist()
+            moved = settle(moved) if cut else moved.persist()
             if held is not None:
                 moved.count()  # now nothing needs the margins before
                 held.unpersist()

@@ -30,17 +30,19 @@ def split_flag(
     """
     if not TEST_SIZE_ALLOWED[0] <= test_size <= TEST_SIZE_ALLOWED[1]:
         raise ValueError("test_size must be between 0.05 and 0.5")
-    order = row_order(df, key, seed)
-    hashed = df.select(order.cast("double").alias("h"))
-    n = hashed.count()
-    if not n:
-        return df.withColumn(name, F.lit(False))
-    rank = math.ceil(n * test_size) - 1
-    cut = order_statistics(hashed, {"h": [rank]}, {"h": n})["h"][rank]
-    keyed = ref(key).isNotNull()
-    below, at, named = df.select(order.cast("double").alias("h"), keyed.alias("named")).agg(
-        F.count_if(F.col("h") < cut), F.count_if((F.col("h") == cut) & F.col("named")), F.count_if("named")
-    ).first()
+    order, keyed = row_order(df, key, seed), ref(key).isNotNull()
+    hashed = df.select(order.cast("double").alias("h"), keyed.alias("named")).persist()  # read four times
+    try:
+        n = hashed.count()
+        if not n:
+            return df.withColumn(name, F.lit(False))
+        rank = math.ceil(n * test_size) - 1
+        cut = order_statistics(hashed.select("h"), {"h": [rank]}, {"h": n})["h"][rank]
+        below, at, named = hashed.agg(
+            F.count_if(F.col("h") < cut), F.count_if((F.col("h") == cut) & F.col("named")), F.count_if("named")
+        ).first()
+    finally:
+        hashed.unpersist()
     if named < rank + 1:
         raise ValueError(f"{n - named} of {n} rows have no key, too many to tell test from training rows")
     flag = keyed & (order.cast("double") <= F.lit(cut))

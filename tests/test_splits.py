@@ -57,3 +57,17 @@ def test_rows_without_a_key_count_in_the_bootstrap(spark):
     got = {r.metric: (r.ci_lower, r.ci_upper) for r in bootstrap_ci(df, "y", "p", "k", "regression").collect()}
     low, high = got["mae"] if "mae" in got else got["MAE"]
     assert low <= sum(i % 7 for i in range(300)) / 300 <= high
+
+
+def test_the_cut_reads_the_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = keyed(spark, 10)
+    flagged = S.split_flag(df.mapInArrow(counted, df.schema), "k")
+    assert read.value == 100
+    assert {r.row for r in flagged.where("is_test").collect()} == {r.row for r in S.split_flag(df, "k").where("is_test").collect()}

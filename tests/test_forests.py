@@ -82,3 +82,16 @@ def test_learning_curve_of_many_rows_reads_them_once_per_level(rows, spark, monk
     assert [r.train_size for r in new] == [r.train_size for r in old] == [400, 1000, 2000, 3000, 4000]
     for a, b in zip(old, new):
         assert a.train_score == pytest.approx(b.train_score, abs=0.02) and a.val_score == pytest.approx(b.val_score, abs=0.03)
+
+
+def test_elimination_on_many_rows_reads_them_once_per_level(rows, spark, monkeypatch):
+    _, df = rows
+    eliminate = lambda: [d.collect() for d in X.rfecv(df, list("abc"), "k", "regression", folds=3, trees=5, max_depth=4)]
+    _, old = eliminate()
+    monkeypatch.setattr(X, "FIT_ROWS", 0)
+    (ranks, new), jobs = jobs_of(spark, "rfecv", eliminate)
+    assert jobs < 80  # of 9 fits on folds and up to 3 on all rows
+    assert sorted(r.feature for r in ranks) == ["a", "b", "c"] and ranks[0]["rank"] == 1
+    assert [r.n_features for r in new] == [r.n_features for r in old] == [1, 2, 3]
+    for a, b in zip(old, new):
+        assert a.cv_score == pytest.approx(b.cv_score, abs=0.03)

@@ -192,7 +192,8 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, leaf_rows: int = LEAF_R
         sizes = sizes.where("n0 > 1 or (n1 > 0 and n2 > 0)").select(
             "pa", "pb", (F.col("n0") + F.col("n1") + F.col("n2") > (n if last else leaf_rows)).alias("heavy")
         )
-        rows = settled(rows.join(sizes, ["pa", "pb"]), "pairs")
+        # rows are many times the fingerprints Spark sizes them by, so the join is never left to broadcast them
+        rows = settled(rows.join(sizes.hint("shuffle_hash"), ["pa", "pb"]), "pairs")
         links = rows.where(~F.col("heavy")).groupBy("pa", "pb").applyInPandas(
             _pair_links(depth, max_bits), "a bigint, b bigint"
         )

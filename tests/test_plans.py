@@ -76,3 +76,9 @@ def asked(monkeypatch, home, frame, owner, operator, query):
 def test_boosting_query_runs_all_rounds(monkeypatch):
     seen = asked(monkeypatch, modelling, "_multi_frame", modelling, "_holdout", "clf_boost")
     assert {**models.DEFAULTS[models.BOOST], **(seen["params"] or {})} == models.DEFAULTS[models.BOOST]
+
+
+def test_learning_curve_query_grows_whole_forests(monkeypatch):
+    seen = asked(monkeypatch, modelling, "_reg_frame", explain, "learning_curve", "learning_curve")
+    assert {**models.DEFAULTS[models.FOREST], **(seen["params"] or {})} == models.DEFAULTS[models.FOREST]
+    assert seen["folds"] == splits.FOLDS and seen["fractions"] == explain.FRACTIONS

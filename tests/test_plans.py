@@ -82,3 +82,8 @@ def test_learning_curve_query_grows_whole_forests(monkeypatch):
     seen = asked(monkeypatch, modelling, "_reg_frame", explain, "learning_curve", "learning_curve")
     assert {**models.DEFAULTS[models.FOREST], **(seen["params"] or {})} == models.DEFAULTS[models.FOREST]
     assert seen["folds"] == splits.FOLDS and seen["fractions"] == explain.FRACTIONS
+
+
+def test_elimination_query_grows_whole_forests(monkeypatch):
+    seen = asked(monkeypatch, modelling, "_reg_frame", explain, "rfecv", "rfecv")
+    assert (seen["folds"], seen["step"], seen["trees"], seen["max_depth"]) == (splits.FOLDS, 1, explain.ELIMINATION_TREES, 10)

@@ -248,7 +248,7 @@ def score_chi2(spark, folder):
 
 @plan("score_rf_importance")
 def score_rf_importance(spark, folder):
-    return _rounded(R.score_rf_importance(_reg(spark, folder), "rev", "regression", trees=20))
+    return _rounded(R.score_rf_importance(_reg(spark, folder), "rev", "regression"))
 
 
 @plan("score_rf_importance_class")

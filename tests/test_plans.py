@@ -87,3 +87,8 @@ def test_learning_curve_query_grows_whole_forests(monkeypatch):
 def test_elimination_query_grows_whole_forests(monkeypatch):
     seen = asked(monkeypatch, modelling, "_reg_frame", explain, "rfecv", "rfecv")
     assert (seen["folds"], seen["step"], seen["trees"], seen["max_depth"]) == (splits.FOLDS, 1, explain.ELIMINATION_TREES, 10)
+
+
+def test_forest_importance_query_grows_all_trees(monkeypatch):
+    seen = asked(monkeypatch, relations, "_reg", scores, "score_rf_importance", "score_rf_importance")
+    assert seen["trees"] == scores.FOREST_TREES == 100

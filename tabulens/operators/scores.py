@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.columns import dtype_of, is_numeric, ref, require_columns, rows_of, union_all
 from tabulens.functions.moments import pearson, ratio
+from tabulens.operators import forests
 from tabulens.operators.correlation import prepare_features, signed, with_ranks
 from tabulens.operators.engineer import quantile_edges, with_codes
 from tabulens.operators.profile import (
@@ -31,6 +33,8 @@ WEIGHTS = {
 }
 INFO_BINS = 32
 FOREST_TREES = 100
+FOREST_DEPTH = 5
+FIT_ROWS = forests.FIT_ROWS
 FOREST_ROWS = 500_000  # rows that one task of a forest keeps and reads at every level: 137 MB with 20 trees and classes
 
 
@@ -176,7 +180,14 @@ def dealt(rows: DataFrame) -> DataFrame:
 def score_rf_importance(
     prepared: DataFrame, target: str, problem_type: str, trees: int = FOREST_TREES, seed: int = 42
 ) -> DataFrame:
+    """Shares of the trees' gains. Regression forests of more than FIT_ROWS rows grow on binned rows, see ``forests``."""
     feats = features_of(prepared, target)
+    if problem_type == REGRESSION and (n := prepared.count()) > FIT_ROWS:
+        forest = forests.Forest([*range(len(feats))], np.array([True]), np.array([False]))
+        forests.grow(forests.blocks(prepared, feats, F.lit(0), trees, seed, n, label=target), [forest], FOREST_DEPTH)
+        return prepared.sparkSession.createDataFrame(
+            [(c, float(w)) for c, w in zip(feats, forest.importances())], "column string, score double"
+        )
     rows = VectorAssembler(inputCols=[f"f{i}" for i in range(len(feats))], outputCol="features").transform(
         dealt(
             prepared.select(
@@ -184,7 +195,7 @@ def score_rf_importance(
             )
         )
     )
-    common = dict(numTrees=trees, seed=seed, labelCol="label", featuresCol="features")
+    common = dict(numTrees=trees, maxDepth=FOREST_DEPTH, seed=seed, labelCol="label", featuresCol="features")
     if problem_type == REGRESSION:
         forest = RandomForestRegressor(featureSubsetStrategy="all", **common)
     else:

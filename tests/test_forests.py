@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tabulens.operators import explain as X
 from tabulens.operators import forests as FO
 from tabulens.operators import models as ML
+from tabulens.operators import scores as S
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +96,36 @@ def test_elimination_on_many_rows_reads_them_once_per_level(rows, spark, monkeyp
     assert [r.n_features for r in new] == [r.n_features for r in old] == [1, 2, 3]
     for a, b in zip(old, new):
         assert a.cv_score == pytest.approx(b.cv_score, abs=0.03)
+
+
+def test_cells_of_equal_bins_grow_the_trees_of_their_rows(rows, monkeypatch):
+    _, df = rows
+    made = lambda: FO.Forest([0, 1], np.array([True, False]), np.array([False, True]))
+    grown = []
+    for share in (4, 10**9):  # 270 bins of two parts hold 4,000 rows: cells, then rows
+        monkeypatch.setattr(FO, "CELL_SHARE", share)
+        held = FO.blocks(df, ["a", "b"], F.col("k") % 2, 3, 42, 4000)
+        assert {r.sums is not None for r in held.rows.collect()} == {share == 4}
+        forest = made()
+        FO.grow(held, [forest], 5)
+        grown.append((forest, FO.r2(held, [forest])))
+    (a, one), (b, other) = grown
+    assert [t.feature for t in a.trees] == [t.feature for t in b.trees] and [t.bin for t in a.trees] == [t.bin for t in b.trees]
+    assert np.allclose([s for t in a.trees for s in t.sums], [s for t in b.trees for s in t.sums])
+    assert one == pytest.approx(other, abs=2e-6)
+
+
+def test_draws_are_poisson():
+    drawn = FO._drawn(np.arange(200_000), 3, 42)
+    assert drawn.mean() == pytest.approx(1, abs=0.01) and drawn.var() == pytest.approx(1, abs=0.02)
+    assert not np.array_equal(drawn, FO._drawn(np.arange(200_000), 2, 42))
+
+
+def test_importances_of_many_rows_are_near_sparks(rows, monkeypatch):
+    _, df = rows
+    scored = lambda: {r.column: r.score for r in S.score_rf_importance(df.drop("k"), "label", "regression", trees=10).collect()}
+    old = scored()
+    monkeypatch.setattr(S, "FIT_ROWS", 0)
+    new = scored()
+    assert set(new) == {"a", "b", "c"} and new != old
+    assert all(new[c] == pytest.approx(old[c], abs=0.01) for c in old)

@@ -23,12 +23,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulens.functions.columns import ref
 from tabulens.operators.boosting import Tree
-from tabulens.operators.flat_trees import FlatTrees
 from tabulens.operators.profile import few_distinct
 from tabulens.session import settle
 
@@ -340,15 +341,61 @@ def _r2(held: Blocks, forests: list[Forest]) -> list[float | None]:
     return [round(float(1 - e / v), 6) if v > NOISE * s else None for v, s, e in squares]
 
 
-def flat(held: Blocks, forest: Forest) -> FlatTrees:
-    """A forest with splits on the values themselves; a leaf's value is its mean label."""
-    columns, roots, n = [], [], 0
-    for t in forest.trees:
-        roots.append(n)
-        edges = [float(held.edges[f][b]) if f >= 0 else np.inf for f, b in zip(t.feature, t.bin)]
-        shift = lambda v: [c + n if c >= 0 else -1 for c in v]  # noqa: B023, E731
-        columns.append((t.feature, edges, shift(t.left), shift(t.right), [g / h + held.mean for g, h in t.sums]))
-        n += len(t.feature)
-    feature, threshold, left, right, value = (np.concatenate([c[i] for c in columns]) for i in range(5))
-    ints = lambda v: v.astype(np.int32)
-    return FlatTrees(ints(feature), threshold, ints(left), ints(right), value, ints(np.array(roots)), np.ones(len(roots)))
+@dataclass
+class GrownForest:
+    """A grown forest as a model: adds ``prediction`` and ``probability``, an array of two for classes 0 and 1, else NULL."""
+
+    edges: list[np.ndarray]
+    trees: list[Tree]  # as ``walk`` needs them
+    values: list[np.ndarray]  # of every node: the mean label
+    binary: bool
+    importances: np.ndarray
+
+    @staticmethod
+    def of(held: Blocks, forest: Forest, binary: bool) -> GrownForest:
+        values = [np.array([g / h + held.mean for g, h in t.sums]) for t in forest.trees]
+        return GrownForest(held.edges, [_short(t) for t in forest.trees], values, binary, forest.importances())
+
+    @property
+    def featureImportances(self):
+        return Vectors.dense(self.importances)
+
+    def means(self, x: np.ndarray) -> np.ndarray:
+        """The trees' mean by row."""
+        bins = np.stack([np.searchsorted(e, v).astype(np.uint8) for e, v in zip(self.edges, x.T)])
+        return sum(v[t.walk(bins)] for t, v in zip(self.trees, self.values)) / len(self.trees)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        model = self
+
+        @F.arrow_udf("double")
+        def mean(x: pa.Array) -> pa.Array:
+            return pa.array(model.means(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)) if len(x) else np.zeros(0))
+
+        out = df.select("*", mean(vector_to_array("features")).alias("prediction"))
+        if not self.binary:
+            return out.withColumn("probability", F.lit(None).cast("array<double>"))
+        p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))
+        return out.withColumn("probability", F.array(1 - p, p)).withColumn("prediction", (F.col("prediction") > 0.5).cast("double"))
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        nodes = pd.concat(
+            pd.DataFrame({"tree": i, "node": np.arange(len(v)), "feature": t.feature, "bin": t.bin, "left": t.left, "right": t.right, "value": v})
+            for i, (t, v) in enumerate(zip(self.trees, self.values))
+        )
+        spark.createDataFrame(nodes).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+        whole = [([e.tolist() for e in self.edges], self.binary, self.importances.tolist())]
+        schema = "edges array<array<double>>, binary boolean, importances array<double>"
+        spark.createDataFrame(whole, schema).write.mode("overwrite").parquet(f"{path}/model")
+
+    @staticmethod
+    def saved(path: str, spark: SparkSession) -> bool:
+        return "edges" in spark.read.parquet(f"{path}/model").columns
+
+    @staticmethod
+    def load(path: str, spark: SparkSession) -> GrownForest:
+        m = spark.read.parquet(f"{path}/model").first()
+        of = [g for _, g in spark.read.parquet(f"{path}/nodes").toPandas().sort_values(["tree", "node"]).groupby("tree")]
+        trees = [Tree(*(g[c].to_numpy(np.int32) for c in ("feature", "bin", "left", "right")), [], []) for g in of]
+        values = [g["value"].to_numpy(float) for g in of]
+        return GrownForest([np.array(e) for e in m["edges"]], trees, values, m["binary"], np.array(m["importances"]))

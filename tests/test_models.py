@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabulens.functions import tails
 from tabulens.operators import drift as D
 from tabulens.operators import explain as X
+from tabulens.operators import forests as FO
 from tabulens.operators import meta as MT
 from tabulens.operators import metrics as M
 from tabulens.operators import models as ML
@@ -295,3 +296,28 @@ def test_model_round_trip_and_stream(spark, train, tmp_path):
 def test_folds_cover_every_row_once(spark):
     folds = kfold_assign(spark.range(5000), "id", 5).groupBy("fold").count().collect()
     assert {r.fold for r in folds} == set(range(5)) and all(abs(r["count"] - 1000) < 100 for r in folds)
+
+
+@pytest.mark.parametrize("kind, classes", [(ML.REGRESSION, 0), (ML.CLASSIFICATION, 2)])
+def test_stacking_of_many_rows_is_near_that_of_sparks_forests(spark, monkeypatch, tmp_path, kind, classes):
+    rng = np.random.default_rng(5)
+    n = 3000
+    pdf = pd.DataFrame({"k": np.arange(n), "a": rng.integers(0, 40, n), "b": rng.random(n), "c": rng.random(n), "d": rng.random(n)})
+    y = pdf.a * (1 + pdf.b) + rng.random(n)
+    pdf["label"] = (y > 25).astype(float) if classes else y
+    frame = kfold_assign(ML.assembled(spark.createDataFrame(pdf), list("abcd"), ["k", "label"]), "k", 3).persist()
+    params = {ML.FOREST: {"trees": 8, "max_depth": 5}, ML.LOGISTIC: {"max_iter": 50}}
+    fit = lambda: ML.fit_model(ML.STACKING, frame, kind, classes, params, "fold")
+    old = ML.primary(fit().score(frame), kind)
+    monkeypatch.setattr(ML, "FIT_ROWS", 0)
+    fitted = fit()
+    scored = fitted.score(frame)
+    assert isinstance(fitted.parts["rf"], FO.GrownForest)  # Spark's forests keep a bag of every row for every fit
+    assert ML.primary(scored, kind) == pytest.approx(old, abs=0.02)
+    ML.save_fitted(fitted, str(tmp_path / "m"), spark)
+    again = ML.load_fitted(str(tmp_path / "m"), spark).score(frame)
+    read = lambda df: [(r.prediction, r.probs) for r in df.orderBy("k").collect()]
+    assert read(again) == read(scored)
+    if classes:
+        assert all(sum(p) == pytest.approx(1) for _, p in read(scored))
+    frame.unpersist()

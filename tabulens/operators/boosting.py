@@ -1,7 +1,8 @@
 """Boosted trees for several classes: softmax loss, histograms of binned features, one tree per class and round.
 
 Rows are kept in blocks, a block being one row of a frame: bin numbers of one byte (features x rows), classes
-and margins (classes x rows), each as the bytes of one array. Each level of a round is one pass:
+and margins (classes x rows), each as the bytes of one array. Rows of equal bins and class have equal margins in every round, so
+unless rounds see a part of the rows they are counted once and a block's rows stand for as many. Each level of a round is one pass:
 tasks add up first and second derivatives of the loss by (class, node, feature, bin),
 the sums are merged, and the driver picks every node's split from them. What reaches the driver depends
 on classes, nodes and bins alone. Leaf weights are -G / (H + l2), scaled by the step.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,8 @@ L2 = 1.0
 MIN_WEIGHT = 1.0  # second derivatives a child holds at least
 FAN_IN = 64  # partial sums that one task, or the driver, merges
 CUT_EVERY = 20  # rounds after which margins are written
-BLOCKS = "row bigint, bins binary, label binary, margins binary"  # the number of the first row; no margins yet: zeros
+BLOCK_ROWS = 65_536
+BLOCKS = "row bigint, bins binary, label binary, margins binary, count binary"  # the number of the first row; no margins yet: zeros
 
 
 @dataclass
@@ -75,11 +78,12 @@ class Tree:
 
 
 def _unpacked(batch: pa.RecordBatch, features: int, classes: int) -> Iterator[tuple]:
-    """Number of the first row, bins, labels and margins of every block."""
-    for row, bins, label, margins in zip(*(batch[c] for c in ("row", "bins", "label", "margins"))):
+    """Number of the first row, bins, labels, margins and counts of every block."""
+    for row, bins, label, margins, count in zip(*(batch[c] for c in ("row", "bins", "label", "margins", "count"))):
         label = np.frombuffer(label.as_buffer(), np.int32)
         held = np.frombuffer(margins.as_buffer()) if margins.is_valid else np.zeros(len(label) * classes)
-        yield row.as_py(), np.frombuffer(bins.as_buffer(), np.uint8).reshape(features, -1), label, held.reshape(classes, -1)
+        count = np.frombuffer(count.as_buffer()) if count.is_valid else np.ones(len(label))
+        yield row.as_py(), np.frombuffer(bins.as_buffer(), np.uint8).reshape(features, -1), label, held.reshape(classes, -1), count
 
 
 def softmax(margins: np.ndarray, axis: int = 1) -> np.ndarray:
@@ -113,8 +117,8 @@ def _binned(train: DataFrame, edges: list[np.ndarray], classes: int) -> DataFram
             bins = np.stack([np.searchsorted(e, x[:, i]).astype(np.uint8) for i, e in enumerate(edges)])
             label = batch["label"].to_numpy().astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch["row"][:1], *(pa.array([v.tobytes()], pa.binary()) for v in (bins, label)), pa.nulls(1, pa.binary())],
-                ["row", "bins", "label", "margins"],
+                [batch["row"][:1], *(pa.array([v.tobytes()], pa.binary()) for v in (bins, label)), *[pa.nulls(1, pa.binary())] * 2],
+                ["row", "bins", "label", "margins", "count"],
             )
 
     # numbers count up by one within a partition, so the first one of a batch stands for all
@@ -124,6 +128,37 @@ def _binned(train: DataFrame, edges: list[np.ndarray], classes: int) -> DataFram
     return rows.mapInArrow(put, BLOCKS)
 
 
+def _counted(blocks: DataFrame, features: int) -> DataFrame:
+    """Blocks in which rows of equal bins and class are one row with their number."""
+    words = [f"w{i}" for i in range(-(-features // 8))]  # eight bins each
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, bins, label, *_ in (block for batch in batches for block in _unpacked(batch, features, 1)):
+            wide = np.zeros((len(label), 8 * len(words)), np.uint8)
+            wide[:, :features] = bins.T
+            packed = np.ascontiguousarray(wide.view(np.int64).T)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*packed, label)], [*words, "label"])
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if not held or (batch is not None and size < BLOCK_ROWS):
+                continue
+            *packed, label, count = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(len(words) + 2))
+            bins = np.stack(packed, 1).view(np.uint8).T[:features]
+            arrays = [pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for v in (bins, label, count.astype(float))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([0]), *arrays[:2], pa.nulls(1, pa.binary()), arrays[2]], ["row", "bins", "label", "margins", "count"]
+            )
+            held, size = [], 0
+
+    rows = blocks.mapInArrow(spread, "".join(f"{w} bigint, " for w in words) + "label int")
+    return rows.groupBy(*words, "label").agg(F.count("*").alias("count")).mapInArrow(put, BLOCKS)
+
+
 def _sums(rows: DataFrame, trees: list[Tree], features: int, classes: int, seed: int, share: float, parts: int) -> tuple[np.ndarray, float, int]:
     """Derivatives by (class, open node, feature, bin), at the roots the log loss summed, and the rows: one pass."""
     root = all(len(t.feature) == 1 for t in trees)
@@ -132,17 +167,17 @@ def _sums(rows: DataFrame, trees: list[Tree], features: int, classes: int, seed:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, loss, n = np.zeros(shape), 0.0, 0
-        for row, bins, label, margins in (block for batch in batches for block in _unpacked(batch, features, classes)):
+        for row, bins, label, margins, count in (block for batch in batches for block in _unpacked(batch, features, classes)):
             p = softmax(margins, 0)
             if root:
-                loss -= float(np.log(np.maximum(p[label, np.arange(len(label))], 1e-300)).sum())
-            n += len(label)
+                loss -= float(np.log(np.maximum(p[label, np.arange(len(label))], 1e-300)) @ count)
+            n += int(count.sum())
             seen = _drawn(row + np.arange(len(label)), seed, share) if share < 1 else None
             for k, tree in enumerate(trees):
                 if not tree.open:
                     continue
-                g = p[k] - (label == k)
-                h, part, at = np.maximum(2 * p[k] * (1 - p[k]), 1e-16), bins, None
+                g = (p[k] - (label == k)) * count
+                h, part, at = np.maximum(2 * p[k] * (1 - p[k]), 1e-16) * count, bins, None
                 if len(tree.feature) > 1 or seen is not None:
                     slot = np.full(len(tree.feature), -1)
                     slot[tree.open] = np.arange(len(tree.open))
@@ -189,7 +224,7 @@ def _updated(rows: DataFrame, trees: list[Tree], features: int, classes: int, st
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             moved = []
-            for _, bins, _, margins in _unpacked(batch, features, classes):
+            for _, bins, _, margins, _ in _unpacked(batch, features, classes):
                 moved.append((margins + np.stack([v[t.walk(bins)] for t, v in zip(trees, values)])).tobytes())
             yield batch.set_column(3, "margins", pa.array(moved, pa.binary()))
 
@@ -216,9 +251,10 @@ class SoftmaxBoost:
             raise ValueError("no rows to train on")
         features, classes = first["n"], self.classes
         edges = bin_edges(train, features)
-        rows = settle(_binned(train, edges, classes))  # partitions stay as even as those of the rows
+        rows = _binned(train, edges, classes)
+        rows = settle(rows if self.subsample < 1 else _counted(rows, features))  # partitions stay even
         parts = rows.rdd.getNumPartitions()
-        rounds, losses, held = [], [], None
+        rounds, losses, held, before = [], [], None, None
         gains = np.zeros(features)
         for r in range(self.rounds):
             trees = [Tree() for _ in range(classes)]
@@ -226,6 +262,8 @@ class SoftmaxBoost:
                 sums, loss, n = _sums(rows, trees, features, classes, self.seed + r, self.subsample, parts)
                 if depth == 0:
                     losses.append(loss / n)
+                    if before is not None:
+                        before.unpersist()  # this pass has made the margins after
                 for k, tree in enumerate(trees):
                     grown: list[int] = []
                     for slot, node in enumerate(tree.open):
@@ -243,13 +281,14 @@ class SoftmaxBoost:
             moved = _updated(rows, trees, features, classes, self.step, self.l2)
             cut = r % CUT_EVERY == CUT_EVERY - 1
             moved = settle(moved) if cut else moved.persist()
-            if held is not None:
-                moved.count()  # now nothing needs the margins before
+            if cut and held is not None:
                 held.unpersist()
+            before = None if cut else held
             rows, held = moved, None if cut else moved
             parts = rows.rdd.getNumPartitions() if cut else parts
-        if held is not None:
-            held.unpersist()
+        for kept in (before, held):
+            if kept is not None:
+                kept.unpersist()
         return SoftmaxModel(_flat(rounds, edges, self.step, self.l2), classes, gains / (gains.sum() or 1.0), losses)
 
 

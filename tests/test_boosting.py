@@ -161,3 +161,18 @@ def test_rows_alike_are_walked_once(spark, monkeypatch):
     many = T.FlatTrees(np.repeat(np.arange(60), 9), np.tile(np.linspace(-1, 4, 9), 60), *[np.zeros(540, np.int32)] * 2, np.zeros(540), np.zeros(1, np.int32), np.ones(1))
     assert many.alike(wide, 0)[1].sum() == len(x)
     assert len(many.alike(wide, 0)[0]) == len(np.unique(np.column_stack([np.searchsorted(np.linspace(-1, 4, 9), c) for c in x.T]), axis=0))
+
+
+def test_rows_of_equal_bins_and_class_are_counted_once(spark, monkeypatch):
+    x, y = labelled()
+    x[:, 0] = np.round(x[:, 0])  # few values: rows alike
+    df = vectors(spark, np.tile(x[:, [0, 1, 3]], (6, 1)), np.tile(y, 6))
+    counted = B._counted(B._binned(df, B.bin_edges(df, 3), 3), 3).collect()
+    sizes = [np.frombuffer(b["count"]) for b in counted]
+    assert sum(map(len, sizes)) == len({(*r, c) for r, c in zip(x[:, [0, 1, 3]].tolist(), y)}) < 100
+    assert sum(s.sum() for s in sizes) == 1200
+    model = B.SoftmaxBoost(3, rounds=4, step=0.3, max_depth=3).fit(df)
+    monkeypatch.setattr(B, "_counted", lambda rows, features: rows)
+    plain = B.SoftmaxBoost(3, rounds=4, step=0.3, max_depth=3).fit(df)
+    assert model.losses == pytest.approx(plain.losses) and model.importances == pytest.approx(plain.importances)
+    assert model.trees.value == pytest.approx(plain.trees.value)

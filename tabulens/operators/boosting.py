@@ -320,7 +320,23 @@ class SoftmaxModel:
         return Vectors.dense(self.importances)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return softmax(self.trees.each(x).reshape(len(x), -1, self.classes).sum(1))
+        return softmax(self.margins(x), 0).T
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """Classes x rows: one tree at a time; a right child follows the left one, and rows stay in a leaf."""
+        t, leaf = self.trees, self.trees.feature < 0
+        left, limit = np.where(leaf, np.arange(len(leaf)), t.left).astype(np.int64), np.where(leaf, np.inf, t.threshold)
+        columns = np.where(leaf, 0, t.feature).astype(np.int64) * len(x)
+        flat, rows = np.where(np.isnan(x), np.inf, x).T.ravel(), np.arange(len(x))  # no threshold is at least NaN: right
+        total = np.zeros((self.classes, len(x)))
+        for i, root in enumerate(t.roots):
+            at, level = np.full(len(x), root, np.int64), np.flatnonzero(~leaf[root : root + 1]) + root
+            while len(level):
+                at = left.take(at) + (flat.take(columns.take(at) + rows) > limit.take(at))
+                level = np.concatenate([left[level], left[level] + 1])
+                level = level[~leaf[level]]
+            total[i % self.classes] += t.value.take(at)
+        return total
 
     def transform(self, df: DataFrame) -> DataFrame:
         model = self

@@ -176,3 +176,11 @@ def test_rows_of_equal_bins_and_class_are_counted_once(spark, monkeypatch):
     plain = B.SoftmaxBoost(3, rounds=4, step=0.3, max_depth=3).fit(df)
     assert model.losses == pytest.approx(plain.losses) and model.importances == pytest.approx(plain.importances)
     assert model.trees.value == pytest.approx(plain.trees.value)
+
+
+def test_margins_are_the_sums_of_the_trees(spark):
+    x, y = labelled()
+    model = B.SoftmaxBoost(3, rounds=4, step=0.3, max_depth=3).fit(vectors(spark, x, y))
+    x[:3, 0] = np.nan, np.inf, -np.inf
+    assert model.margins(x).T == pytest.approx(model.trees.each(x).reshape(len(x), -1, 3).sum(1))
+    assert model.margins(x[:0]).shape == (3, 0)
